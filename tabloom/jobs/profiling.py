@@ -52,17 +52,17 @@ def profile_table_summary(spark, sf_dir):
         "n_rows bigint, n_columns bigint, missing_fraction double, target_cardinality bigint, class_imbalance double")
 
 
-@job("profile_high_cardinality", with_("""t AS (SELECT 'p_name' AS feature, count(DISTINCT p_name) AS card FROM part
-   UNION ALL SELECT 'p_brand', count(DISTINCT p_brand) FROM part
-   UNION ALL SELECT 'p_type', count(DISTINCT p_type) FROM part)""",
-   "n AS (SELECT count(*) AS rows FROM part)") + """
+@job("profile_high_cardinality", with_("""t AS (SELECT 'text' AS feature,
+     count(DISTINCT text) + max(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS card FROM documents
+   UNION ALL SELECT 'source', count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) FROM documents)""",
+   "n AS (SELECT count(*) AS rows FROM documents)") + """
 SELECT feature, CAST(card AS BIGINT) AS cardinality
 FROM t, n
 WHERE card >= greatest(20, least(100, CAST(floor(rows * 0.1) AS BIGINT))) AND card / rows >= 0.1""")
 def profile_high_cardinality(spark, sf_dir):
-    """P12 on part (regression on p_retailprice)."""
-    p, facts = profile_dataset(fx.table(spark, sf_dir, "part"), Brief("parts", "p_retailprice", "regression"),
-                               key_cols=["p_partkey"])
+    """P12 on documents (classification on lang): whole texts go through the value table."""
+    docs = fx.table(spark, sf_dir, "documents")
+    p, facts = profile_dataset(docs, Brief("documents", "lang", "classification"), key_cols=["doc_id"])
     return facts.where("is_high_cardinality").select("feature", F.col("n_distinct").alias("cardinality"))
 
 
