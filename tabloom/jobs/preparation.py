@@ -49,10 +49,13 @@ def prepare(df, key_cols: Sequence[str], target: str, task: str, option: str, ov
     return out.select(*keys, *rounded), model
 
 
-def split_cte(source: str, keys: Sequence[str], name: str = "sp") -> str:
-    """The random holdout of ``source`` (column ``split``) and keys renamed k0, k1, ..."""
+def split_cte(source: str, keys: Sequence[str], name: str = "sp", ties: Sequence[str] = ()) -> str:
+    """The random holdout of ``source`` (column ``split``) and keys renamed k0, k1, ...
+
+    ``ties``: the other columns of the job's input, sorted by name (the library's
+    tie order after the keys)."""
     h = sql_row_hash(list(keys))
-    kk = ", ".join(keys)
+    kk = ", ".join([*keys, *sorted(ties)])
     ks = ", ".join(f"{k} AS k{i}" for i, k in enumerate(keys))
     return f"""{name} AS (
   SELECT {ks}, *, CASE WHEN row_number() OVER (ORDER BY {h}, {kk})
@@ -249,6 +252,7 @@ def impute_constant(spark, sf_dir):
 # ---- scaling (Z1-Z5) -------------------------------------------------------------------
 
 SCALE_COLS = ["l_discount", "l_extendedprice", "l_quantity"]
+_SCALE_TIES = ["l_orderkey", "l_linenumber", *SCALE_COLS, "l_tax"]
 
 
 def _scale_job(spark, sf_dir, method):
@@ -262,7 +266,7 @@ def _scale_job(spark, sf_dir, method):
 def _scale_sql(stats: str, expr: str) -> str:
     sel = ", ".join(stats.format(c=c) for c in SCALE_COLS)
     outs = ", ".join(f"{r(expr.format(c=c))} AS {c}" for c in SCALE_COLS)
-    return "WITH " + split_cte("lineitem", ["l_orderkey", "l_linenumber"]) + f""",
+    return "WITH " + split_cte("lineitem", ["l_orderkey", "l_linenumber"], ties=_SCALE_TIES) + f""",
 st AS (SELECT {sel} FROM sp WHERE split = 'train')
 SELECT k0, k1, {outs} FROM sp, st"""
 
@@ -350,7 +354,11 @@ def frequency_count(spark, sf_dir):
 _MATRIX_NUM = ["l_discount", "l_quantity", "l_tax"]
 
 
-@job("prepare_matrix", "WITH " + split_cte("lineitem", ["l_orderkey", "l_linenumber"]) + ",\n"
+_MATRIX_TIES = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+                "l_shipdate", "l_extendedprice"]
+
+
+@job("prepare_matrix", "WITH " + split_cte("lineitem", ["l_orderkey", "l_linenumber"], ties=_MATRIX_TIES) + ",\n"
      + "p AS (SELECT k0, k1, split, l_discount, l_quantity, l_tax, "
      + ", ".join(f"CAST({e.format(t='l_shipdate')} AS DOUBLE) AS l_shipdate__{n}" for n, e in _PARTS)
      + ", l_returnflag, l_linestatus FROM sp),\n"

@@ -25,13 +25,18 @@ REGRESSION_STRATEGIES = ("median_value", "mean_value")
 
 
 def class_priors(train: DataFrame, target: str) -> DataFrame:
-    """``label, n, prior, cum_prior``; NULL labels counted but given no prior."""
+    """``label, n, prior, cum_prior``; NULL labels counted but given no prior.
+
+    Cumulative priors are running integer counts divided once by the total, so
+    they do not depend on the order floating-point additions happen in. Windows
+    run over the class table (bounded by the number of classes)."""
     counts = train.groupBy(F.col(target).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    nonnull = F.sum(F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0)).over(Window.partitionBy(F.lit(1)))
+    labelled_n = F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0)
+    nonnull = F.sum(labelled_n).over(Window.partitionBy(F.lit(1)))
     ordered = Window.partitionBy(F.lit(1)).orderBy(F.col("label").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     prior = F.when(F.col("label").isNotNull(), F.col("n") / nonnull)
-    return counts.select("label", "n", prior.alias("prior")).withColumn(
-        "cum_prior", F.when(F.col("label").isNotNull(), F.sum(F.coalesce(F.col("prior"), F.lit(0.0))).over(ordered)))
+    cum = F.when(F.col("label").isNotNull(), F.sum(labelled_n).over(ordered) / nonnull)
+    return counts.select("label", "n", prior.alias("prior"), cum.alias("cum_prior"))
 
 
 def _collect_classes(train: DataFrame, target: str) -> list:
@@ -66,7 +71,8 @@ def baseline_prediction(train: DataFrame, target: str, task_type: str, strategy:
             return last if expr is None else expr.otherwise(last)
         raise ValueError(f"Unsupported classification baseline strategy: {strategy}")
     if strategy == "median_value":
-        m = train.agg(F.percentile(F.col(target).cast("double"), 0.5).alias("m")).collect()[0]["m"]
+        from tabloom.operators.quantile import exact_quantiles
+        m = exact_quantiles(train.select(F.col(target).cast("double").alias("_y")), {"_y": [0.5]})[("_y", 0.5)]
         return F.lit(m).cast("double")
     if strategy == "mean_value":
         m = train.agg(F.avg(F.col(target).cast("double")).alias("m")).collect()[0]["m"]

@@ -37,6 +37,17 @@ def _class_counts(df: DataFrame, target: str) -> list[tuple]:
     return sorted(((r["label"], int(r["n"])) for r in rows), key=lambda kv: (kv[0] is not None, kv[0]))
 
 
+def tie_columns(df: DataFrame, key_cols: Sequence[str]) -> list[str]:
+    """Total order behind every rank: the key columns, then every other orderable
+    column by name. Rows that still tie are identical and interchangeable, so
+    results do not depend on partitioning even when the key is not unique."""
+    from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType
+    rest = sorted(f.name for f in df.schema.fields
+                  if f.name not in key_cols and not f.name.startswith("_")
+                  and not isinstance(f.dataType, (MapType, ArrayType, StructType, BinaryType)))
+    return [*key_cols, *rest]
+
+
 def largest_remainder_quotas(counts: Sequence[tuple], total: int) -> dict:
     n = sum(c for _, c in counts)
     base = {lab: (total * c) // n for lab, c in counts}
@@ -70,7 +81,7 @@ def holdout_split(df: DataFrame, key_cols: Sequence[str], method: str = "random_
         d = df.withColumn("_h", h)
         n = d.count()
         n_train = int(n * (1 - test_size))
-        ranked = exact_rank(d, sort_key, ["_h", *key_cols], order="range", tie_hash=F.col("_h"), n_rows=n)
+        ranked = exact_rank(d, sort_key, ["_h", *tie_columns(df, key_cols)], order="range", tie_hash=F.col("_h"), n_rows=n)
         return ranked.withColumn(split_col, F.when(F.col("_rank") <= n_train, "train").otherwise("test")).drop("_rank", "_h")
 
     if method == "stratified_holdout" and task_type == "classification" and target is not None:
@@ -81,7 +92,7 @@ def holdout_split(df: DataFrame, key_cols: Sequence[str], method: str = "random_
             m = math.ceil(test_size * n)
             quotas = largest_remainder_quotas(counts, m)
             d = df.withColumn("_h", h)
-            ranked = exact_rank(d, F.col("_h"), list(key_cols), partition_cols=[target], order="hash", n_rows=n)
+            ranked = exact_rank(d, F.col("_h"), tie_columns(df, key_cols), partition_cols=[target], order="hash", n_rows=n)
             qt = _label_table(spark, df.schema[target], quotas, "_quota")
             joined = ranked.join(qt, ranked[target].eqNullSafe(qt["_label"]), "inner")
             return (joined.withColumn(split_col, F.when(F.col("_rank") <= F.col("_quota"), "test").otherwise("train"))
@@ -90,7 +101,7 @@ def holdout_split(df: DataFrame, key_cols: Sequence[str], method: str = "random_
     d = df.withColumn("_h", h)
     n = d.count()
     m = math.ceil(test_size * n)
-    ranked = exact_rank(d, F.col("_h"), list(key_cols), order="hash", n_rows=n)
+    ranked = exact_rank(d, F.col("_h"), tie_columns(df, key_cols), order="hash", n_rows=n)
     return ranked.withColumn(split_col, F.when(F.col("_rank") <= m, "test").otherwise("train")).drop("_rank", "_h")
 
 
@@ -106,12 +117,12 @@ def assign_folds(df: DataFrame, key_cols: Sequence[str], k: int, *, target: str
         for lab, c in counts:
             offsets[lab] = run
             run += c
-        ranked = exact_rank(d, F.col("_h"), list(key_cols), partition_cols=[target], order="hash", n_rows=n)
+        ranked = exact_rank(d, F.col("_h"), tie_columns(df, key_cols), partition_cols=[target], order="hash", n_rows=n)
         ot = _label_table(spark, df.schema[target], offsets, "_coff")
         joined = ranked.join(ot, ranked[target].eqNullSafe(ot["_label"]), "inner")
         return (joined.withColumn(fold_col, ((F.col("_rank") - 1 + F.col("_coff")) % k).cast("int"))
                 .drop("_rank", "_h", "_label", "_coff"))
-    ranked = exact_rank(d, F.col("_h"), list(key_cols), order="hash")
+    ranked = exact_rank(d, F.col("_h"), tie_columns(df, key_cols), order="hash")
     return ranked.withColumn(fold_col, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_h")
 
 
