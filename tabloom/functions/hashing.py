@@ -21,7 +21,9 @@ HASH_SPAN = float(1 << HASH_BITS)
 def row_hash(key_cols: Sequence[str | Column], salt: str | int = 42) -> Column:
     parts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in key_cols]
     text = F.concat_ws(":", *parts, F.lit(str(salt)))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    # never NULL (concat_ws skips NULLs); coalesce makes that visible to Catalyst so
+    # no inferred isnotnull() filter evaluates the md5 a second time per row
+    return F.coalesce(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def unit_hash(key_cols: Sequence[str | Column], salt: str | int = 42) -> Column:

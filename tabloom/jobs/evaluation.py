@@ -13,6 +13,7 @@ from tabloom.operators.metrics import (
     classification_metrics, confusion, confusion_pivot, metric_long, regression_metrics,
 )
 from tabloom.operators.split import assign_folds, holdout_split
+from tabloom.session import cut_lineage
 
 R = 6
 
@@ -99,7 +100,7 @@ U_BASE = f"(CAST({H_BASE} AS DOUBLE) / {HASH_SPAN!r})"
 
 def _orders_split(spark, sf_dir):
     o = fx.table(spark, sf_dir, "orders")
-    return holdout_split(o, ["o_orderkey"], "random_holdout")
+    return cut_lineage(holdout_split(o, ["o_orderkey"], "random_holdout"))
 
 
 def _baseline_orders(spark, sf_dir, strategy):
@@ -146,7 +147,7 @@ _LI_TRAIN = "WITH " + split_cte("lineitem", ["l_orderkey", "l_linenumber"], ties
 
 def _baseline_li(spark, sf_dir, strategy):
     li = fx.table(spark, sf_dir, "lineitem")
-    s = holdout_split(li, ["l_orderkey", "l_linenumber"])
+    s = cut_lineage(holdout_split(li, ["l_orderkey", "l_linenumber"]))
     train, test = s.where("split = 'train'"), s.where("split = 'test'")
     pred = baseline_prediction(train, "l_extendedprice", "regression", strategy, ["l_orderkey", "l_linenumber"])
     return test.select("l_orderkey", "l_linenumber", F.round(pred, R).alias("prediction"))
@@ -227,8 +228,8 @@ def model_vs_baseline(spark, sf_dir):
 
 def _folded_train(spark, sf_dir, k=5):
     li = fx.table(spark, sf_dir, "lineitem").select(*_CV_COLS)
-    s = holdout_split(li, ["l_orderkey", "l_linenumber"])
-    return assign_folds(s.where("split = 'train'"), ["l_orderkey", "l_linenumber"], k)
+    s = cut_lineage(holdout_split(li, ["l_orderkey", "l_linenumber"]))
+    return cut_lineage(assign_folds(s.where("split = 'train'"), ["l_orderkey", "l_linenumber"], k))
 
 
 _CV_COLS = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag"]

@@ -21,6 +21,7 @@ from tabloom.operators.preparer import FeaturePreparer
 from tabloom.operators.profile import Brief, profile_dataset
 from tabloom.operators.split import holdout_split
 from tabloom.plans.feature_plan import build_feature_plan, scope_overrides
+from tabloom.session import cut_lineage
 
 R = 6
 
@@ -40,7 +41,8 @@ def prepare(df, key_cols: Sequence[str], target: str, task: str, option: str, ov
     if fit_on == "all":
         train = keyed
     else:
-        train = holdout_split(keyed, keys, "random_holdout").where(F.col("split") == "train")
+        # the split is materialised once: the fit makes several passes over it
+        train = cut_lineage(holdout_split(keyed, keys, "random_holdout")).where(F.col("split") == "train")
     if fit_filter is not None:
         train = train.where(fit_filter)
     model = FeaturePreparer(plan).fit(train)

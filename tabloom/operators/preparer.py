@@ -213,8 +213,12 @@ def _pre_frame(plan: FeaturePlan, df: DataFrame, freq_maps: dict[str, DataFrame]
             exprs.extend(date_part_columns(ts, dcol))
         else:
             exprs.extend(F.lit(None).cast("double").alias(f"{dcol}__{p}") for p in ("year", "month", "day", "dayofweek"))
+    from tabloom.functions.dates import is_temporal
     for c in plan.raw_categorical_features:
-        exprs.append(_c(c).alias(c) if c in cols else F.lit(None).cast("string").alias(c))
+        if c not in cols:
+            exprs.append(F.lit(None).cast("string").alias(c))
+        else:
+            exprs.append(_c(c).cast("string").alias(c) if is_temporal(types[c]) else _c(c).alias(c))
     return d.select(*exprs)
 
 
@@ -230,6 +234,11 @@ class FeaturePreparer:
         plan = self.plan
         cfg = plan.overrides or ov.empty()
         types = {f.name: f.dataType for f in train.schema.fields}
+        from tabloom.functions.dates import is_temporal
+        temporal = [c for c in plan.raw_categorical_features if c in types and is_temporal(types[c])]
+        if temporal:
+            train = train.select(*[_c(c).cast("string").alias(c) if c in temporal else _c(c) for c in train.columns])
+            types = {f.name: f.dataType for f in train.schema.fields}
         cats = [c for c in plan.raw_categorical_features if c in types]
         sources = [r["source"] for r in cfg.get(ov.DERIVED, []) if r["kind"] == "frequency_count" and r["source"] in types]
         sources = list(dict.fromkeys(sources))
@@ -256,7 +265,7 @@ class FeaturePreparer:
                 levels = by.get(pos, [])
 
                 def typed(r):
-                    if r["value"] is None:
+                    if r["value"] is None and r["value_num"] is None:
                         return None
                     if numeric:
                         v = r["value_num"]
@@ -264,7 +273,7 @@ class FeaturePreparer:
                     return r["value"]
 
                 imp = plan.imputation.get(c)
-                nonnull = [r for r in levels if r["value"] is not None]
+                nonnull = [r for r in levels if r["value"] is not None or r["value_num"] is not None]
                 if imp is not None:
                     if imp["strategy"] == "most_frequent" and nonnull:
                         best = min(nonnull, key=lambda r: (-r["count"], r["value_num"] if numeric else r["value"]))
@@ -303,7 +312,8 @@ class FeaturePreparer:
             med_cols = {c: [0.5] for c in nums if plan.imputation.get(c, {}).get("strategy") == "median"}
             rob = [c for c in nums if plan.scaling.get(c) == "robust"]
             qreq = {c: sorted(set(med_cols.get(c, []) + ([0.25, 0.5, 0.75] if c in rob else []))) for c in set(med_cols) | set(rob)}
-            qs = exact_quantiles(pre, qreq) if qreq else {}
+            known = {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(nums)}
+            qs = exact_quantiles(pre, qreq, {c: known[c] for c in qreq}) if qreq else {}
             for i, c in enumerate(nums):
                 n1, m1, v1, lo, hi = row[f"n{i}"], row[f"m{i}"], row[f"v{i}"], row[f"lo{i}"], row[f"hi{i}"]
                 imp = plan.imputation.get(c)

@@ -120,12 +120,16 @@ def order_statistics(df: DataFrame, wanted: Mapping[str, Sequence[int]],
     return result
 
 
-def exact_quantiles(df: DataFrame, probs: Mapping[str, Sequence[float]]) -> dict[tuple[str, float], float | None]:
-    """Linear-interpolated quantiles of each column (NULLs ignored)."""
+def exact_quantiles(df: DataFrame, probs: Mapping[str, Sequence[float]],
+                    counts: Mapping[str, tuple[int, float, float]] | None = None) -> dict[tuple[str, float], float | None]:
+    """Linear-interpolated quantiles of each column (NULLs ignored). ``counts``
+    (non-null count, min, max per column) saves the first pass when the caller
+    already aggregated them."""
     cols = list(probs)
     if not cols:
         return {}
-    counts = column_counts(df, cols)
+    if counts is None or any(c not in counts for c in cols):
+        counts = column_counts(df, cols)
     wanted: dict[str, set[int]] = {}
     for c in cols:
         n = counts[c][0]
