@@ -112,8 +112,8 @@ class TabularPipeline:
                 p[k] = v
         return TabularPipeline(self.plan, self.task_type, self.model_name, self.target, self.key_cols, p, t)
 
-    def fit(self, train: DataFrame) -> FittedPipeline:
-        prepared = FeaturePreparer(self.plan).fit(train)
+    def fit(self, train: DataFrame, prepared: PreparedFeatures | None = None) -> FittedPipeline:
+        prepared = prepared or FeaturePreparer(self.plan).fit(train)
         fp = FittedPipeline(self.task_type, self.model_name, self.target, prepared,
                             params=self.params, training=self.training)
         names = prepared.output_names()
@@ -171,53 +171,78 @@ def score(fitted: FittedPipeline, df: DataFrame, key_cols: list[str]) -> dict[st
 def cross_validate(pipe: TabularPipeline, folded: DataFrame, k: int, fold_col: str = "fold",
                    grid: list[dict] | None = None) -> list[dict]:
     """Per trial (grid entry) and fold: the metrics of the model fitted on the other
-    folds. Returns rows ``{trial, fold, <metrics>}``."""
+    folds. Returns rows ``{trial, fold, <metrics>}``. All k preparations come from
+    shared passes (``FeaturePreparer.fit_folds``)."""
     grid = grid or [{}]
+    preps = FeaturePreparer(pipe.plan).fit_folds(folded, k, fold_col)
+    if pipe.model_name == "ridge_regression" and all(len(p.output_names()) <= M.MOMENT_MAX_FEATURES for p in preps) \
+            and not any(p.freq_maps for p in preps):
+        return _ridge_cv(pipe, folded, k, fold_col, grid, preps)
     rows = []
-    if pipe.model_name == "ridge_regression":
-        return _ridge_cv(pipe, folded, k, fold_col, grid)
     for f in range(k):
         tr, va = folded.where(F.col(fold_col) != f), folded.where(F.col(fold_col) == f)
         for t, params in enumerate(grid):
-            fitted = pipe.with_params(**params).fit(tr)
+            fitted = pipe.with_params(**params).fit(tr, prepared=preps[f])
             rows.append({"trial": t, "fold": f, **score(fitted, va, pipe.key_cols)})
     return rows
 
 
-def _ridge_cv(pipe: TabularPipeline, folded: DataFrame, k: int, fold_col: str, grid: list[dict]) -> list[dict]:
-    rows = []
+def _ridge_cv(pipe: TabularPipeline, folded: DataFrame, k: int, fold_col: str, grid: list[dict],
+              preps: list[PreparedFeatures]) -> list[dict]:
+    """Ridge CV in two passes for all folds and alphas: (1) every row is expanded to
+    the k-1 folds it trains and sufficient statistics are summed per fold; (2) every
+    row is scored, for every alpha, by the model of the fold it validates."""
+    from tabloom.operators.preparer import _pre_frame
     alphas = [float({**pipe.params, **g}.get("alpha", 1.0)) for g in grid]
+    target = pipe.target
+    fold = F.col(fold_col)
+    pre = _pre_frame(pipe.plan, folded, {}, {}, keep=[fold_col, target])
+    widths = [len(p.output_names()) for p in preps]
+    width = max(widths)
+    xs = []
+    for f, p in enumerate(preps):
+        e = p.output_expressions() + [F.lit(0.0)] * (width - widths[f])
+        xs.append(F.array(*[x.cast("double") for x in e]))
+    y = F.col(target).cast("double")
+    # pass 1: per-fold training moments
+    entries = [F.when(fold != f, F.struct(F.lit(f).alias("_f"), xs[f].alias("x"))) for f in range(k)]
+    long = pre.select(y.alias("_y"), F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
+    long = long.select("_y", F.col("e._f").alias("_f"), *[F.col("e.x")[i].alias(f"_x{i}") for i in range(width)])
+    mom = M.moments(long, [f"_x{i}" for i in range(width)], "_y", group="_f")
+    models = {}
     for f in range(k):
-        tr, va = folded.where(F.col(fold_col) != f), folded.where(F.col(fold_col) == f)
-        prepared = FeaturePreparer(pipe.plan).fit(tr)
-        names = prepared.output_names()
-        if len(names) > M.MOMENT_MAX_FEATURES:
-            for t, params in enumerate(grid):
-                fitted = pipe.with_params(**params).fit(tr)
-                rows.append({"trial": t, "fold": f, **score(fitted, va, pipe.key_cols)})
-            continue
-        mom = M.moments(prepared.transform(tr, [pipe.target]), names, pipe.target)[None]
-        models = [M.LinearModel(names, *_solve(mom, a)) for a in alphas]
-        pv = prepared.transform(va, [pipe.target])
-        y = F.col(pipe.target).cast("double")
-        aggs = [F.count(F.lit(1)).alias("n"), F.var_pop(y).alias("vy")]
-        for t, lm in enumerate(models):
-            e = y - lm.predict()
-            aggs += [F.sum(e * e).alias(f"sse{t}"), F.sum(F.abs(e)).alias(f"sae{t}")]
-        r = pv.agg(*aggs).collect()[0]
+        m = mom[f]
+        p = widths[f]
+        sub = {"n": m["n"], "sy": m["sy"], "syy": m["syy"], "sx": m["sx"][:p], "sxy": m["sxy"][:p], "xx": m["xx"][:p, :p]}
+        for t, a in enumerate(alphas):
+            coef, b0 = M.ridge_solve(sub, a)
+            models[(t, f)] = (list(coef) + [0.0] * (width - p), b0)
+    # pass 2: every row scored by its own fold's model, all alphas at once
+    xrow = F.when(fold == 0, xs[0])
+    for f in range(1, k):
+        xrow = xrow.when(fold == f, xs[f])
+    scored = pre.select(fold.alias("_f"), y.alias("_y"), xrow.alias("_x"))
+    aggs = [F.count(F.lit(1)).alias("n"), F.var_pop("_y").alias("vy")]
+    for t in range(len(alphas)):
+        coefs = F.array(*[F.array(*[F.lit(float(c)) for c in models[(t, f)][0]]) for f in range(k)])
+        b0s = F.array(*[F.lit(float(models[(t, f)][1])) for f in range(k)])
+        w = F.element_at(coefs, F.col("_f") + 1)
+        pred = F.element_at(b0s, F.col("_f") + 1) + F.aggregate(
+            F.zip_with(F.col("_x"), w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+        e = F.col("_y") - pred
+        aggs += [F.sum(e * e).alias(f"sse{t}"), F.sum(F.abs(e)).alias(f"sae{t}")]
+    res = {r["_f"]: r for r in scored.groupBy("_f").agg(*aggs).collect()}
+    rows = []
+    for f in range(k):
+        r = res[f]
         sst = (r["vy"] or 0.0) * r["n"]
-        for t in range(len(models)):
+        for t in range(len(alphas)):
             sse = r[f"sse{t}"]
             r2 = 1 - sse / sst if sst > 0 else (1.0 if sse == 0 else 0.0)
             rows.append({"trial": t, "fold": f, "rmse": (sse / r["n"]) ** 0.5, "mae": r[f"sae{t}"] / r["n"], "r2": r2})
     return rows
 
 
-def _solve(mom, alpha):
-    coef, b0 = M.ridge_solve(mom, alpha)
-    return [float(v) for v in coef], b0
-
-
 def summarize_cv(rows: list[dict], task_type: str) -> dict[int, dict[str, float]]:
     """Mean over folds per trial (plus population std of each metric)."""
     out: dict[int, dict[str, float]] = {}

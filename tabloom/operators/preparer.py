@@ -223,132 +223,224 @@ def _pre_frame(plan: FeaturePlan, df: DataFrame, freq_maps: dict[str, DataFrame]
 
 
 class FeaturePreparer:
-    """Estimator: ``fit(train)`` -> ``PreparedFeatures``."""
+    """Estimator: ``fit(train)`` -> ``PreparedFeatures``; ``fit_folds`` fits one
+    preparation per cross-validation fold from shared passes."""
 
     def __init__(self, plan: FeaturePlan, max_levels: int = MAX_LEVELS):
         self.plan = plan
         self.max_levels = max_levels
 
     def fit(self, train: DataFrame) -> PreparedFeatures:
+        return self._fit_sets(train, None, [None])[0]
+
+    def fit_folds(self, folded: DataFrame, k: int, fold_col: str = "fold") -> list[PreparedFeatures]:
+        """Fold f is fitted on the rows of every other fold. Level counts and numeric
+        moments are aggregated once per fold and combined over the complement, so all
+        k fits share the same passes (the reference refits per fold; the statistics
+        are identical)."""
+        cfg = self.plan.overrides or ov.empty()
+        if any(r["kind"] == "frequency_count" for r in cfg.get(ov.DERIVED, [])):
+            # derived features depend on each fold's own map: fit fold by fold
+            return [self.fit(folded.where(F.col(fold_col) != f)) for f in range(k)]
+        return self._fit_sets(folded, fold_col, [set(range(k)) - {f} for f in range(k)])
+
+    def _fit_sets(self, df: DataFrame, group_col: str | None, sets: list[set | None]) -> list[PreparedFeatures]:
+        from tabloom.functions.dates import is_temporal
         from tabloom.session import cut_lineage
         plan = self.plan
         cfg = plan.overrides or ov.empty()
-        types = {f.name: f.dataType for f in train.schema.fields}
-        from tabloom.functions.dates import is_temporal
+        types = {f.name: f.dataType for f in df.schema.fields}
         temporal = [c for c in plan.raw_categorical_features if c in types and is_temporal(types[c])]
         if temporal:
-            train = train.select(*[_c(c).cast("string").alias(c) if c in temporal else _c(c) for c in train.columns])
-            types = {f.name: f.dataType for f in train.schema.fields}
+            df = df.select(*[_c(c).cast("string").alias(c) if c in temporal else _c(c) for c in df.columns])
+            types = {f.name: f.dataType for f in df.schema.fields}
+        g = F.col(f"`{group_col}`") if group_col else F.lit(0)
+
+        def member(sset):
+            return F.lit(True) if sset is None else g.isin(sorted(sset))
+
+        in_set = lambda gid, s: s is None or gid in s
         cats = [c for c in plan.raw_categorical_features if c in types]
-        sources = [r["source"] for r in cfg.get(ov.DERIVED, []) if r["kind"] == "frequency_count" and r["source"] in types]
-        sources = list(dict.fromkeys(sources))
-        fills: dict[str, Any] = {}
-        categories: dict[str, list] = {}
+        sources = list(dict.fromkeys(r["source"] for r in cfg.get(ov.DERIVED, [])
+                                     if r["kind"] == "frequency_count" and r["source"] in types))
         raw_types = {c: types[c].simpleString() for c in cats}
-        freq_maps: dict[str, DataFrame] = {}
-        freq_sizes: dict[str, int] = {}
+        fills = [dict() for _ in sets]
+        categories = [dict() for _ in sets]
 
-        # categorical levels and modes (one value-table aggregate, bounded collect)
+        # categorical levels and modes: one value-table aggregate (by group), bounded collect
         if cats:
-            vt = value_table(train, cats)
-            per = vt.groupBy("pos").agg(F.count(F.lit(1)).alias("k")).collect()
+            # the value table, additionally keyed by the group (fold) of each row
+            ent = [F.struct(F.lit(i).alias("pos"),
+                            (F.lit(None).cast("string") if is_numeric_type(types[c]) else _c(c).cast("string")).alias("value"),
+                            (_c(c).cast("double") if is_numeric_type(types[c]) else F.lit(None).cast("double")).alias("value_num"))
+                   for i, c in enumerate(cats)]
+            vt = (df.select(g.alias("_g"), F.inline(F.array(*ent)))
+                  .groupBy("_g", "pos", "value_num", "value").agg(F.count(F.lit(1)).alias("count")))
+            per = (vt.groupBy("pos", "value_num", "value").agg(F.sum("count").alias("c"))
+                   .groupBy("pos").agg(F.count(F.lit(1)).alias("k")).collect())
             too_many = [cats[r["pos"]] for r in per if r["k"] > self.max_levels]
             if too_many:
                 raise ValueError(f"categorical features exceed {self.max_levels} levels: {', '.join(too_many)}; "
                                  "drop them or treat them as identifiers")
             rows = vt.collect()
-            by: dict[int, list] = {}
-            for r in rows:
-                by.setdefault(r["pos"], []).append(r)
-            for pos, c in enumerate(cats):
-                numeric = is_numeric_type(types[c])
-                levels = by.get(pos, [])
-
-                def typed(r):
-                    if r["value"] is None and r["value_num"] is None:
-                        return None
-                    if numeric:
-                        v = r["value_num"]
-                        return int(v) if types[c].typeName() in ("integer", "long", "short", "byte") else v
-                    return r["value"]
-
-                imp = plan.imputation.get(c)
-                nonnull = [r for r in levels if r["value"] is not None or r["value_num"] is not None]
-                if imp is not None:
-                    if imp["strategy"] == "most_frequent" and nonnull:
-                        best = min(nonnull, key=lambda r: (-r["count"], r["value_num"] if numeric else r["value"]))
-                        fills[c] = typed(best)
-                    elif imp["strategy"] == "constant":
-                        fills[c] = imp["value"]
-                vals = [typed(r) for r in levels]
-                if c in fills:  # imputation happens before encoding: NULL becomes the fill
-                    vals = [v for v in vals if v is not None]
-                    if fills[c] not in vals:
-                        vals.append(fills[c])
-                present = [v for v in vals if v is not None]
-                order = sorted(set(present), key=lambda v: (str(type(v)), v))
-                if any(v is None for v in vals):
-                    order.append(None)
-                categories[c] = order
+            for si, sset in enumerate(sets):
+                by: dict[int, dict] = {}
+                for r in rows:
+                    if in_set(r["_g"], sset):
+                        key = (r["value_num"], r["value"])
+                        by.setdefault(r["pos"], {})
+                        by[r["pos"]][key] = by[r["pos"]].get(key, 0) + r["count"]
+                for pos, c in enumerate(cats):
+                    f, order = self._levels(c, types[c], by.get(pos, {}))
+                    if f is not _NO_FILL:
+                        fills[si][c] = f
+                    categories[si][c] = order
+
         # D1 frequency maps over raw training values (NULL kept), materialised once
+        freq_maps: list[dict] = [dict() for _ in sets]
+        freq_sizes: list[dict] = [dict() for _ in sets]
         for src in sources:
-            m = train.groupBy(_c(src).alias("value")).agg(F.count(F.lit(1)).cast("double").alias("count"))
-            m = cut_lineage(m)
-            freq_maps[src] = m
-            freq_sizes[src] = m.count()
-
-        # numeric statistics on the pre-frame of the training rows
-        pre = _pre_frame(plan, train, freq_maps, freq_sizes)
+            for si, sset in enumerate(sets):
+                part = df if sset is None else df.where(member(sset))
+                m = part.groupBy(_c(src).alias("value")).agg(F.count(F.lit(1)).cast("double").alias("count"))
+                m = cut_lineage(m)
+                freq_maps[si][src] = m
+                freq_sizes[si][src] = m.count()
+
+        # numeric statistics on the pre-frame (row-local, the same for every set here)
         nums = list(plan.numeric_features)
-        scalers: dict[str, tuple[float, float]] = {}
+        scalers = [dict() for _ in sets]
         if nums:
+            pre = _pre_frame(plan, df.withColumn("_g", g), freq_maps[0], freq_sizes[0], keep=["_g"])
             aggs = [F.count(F.lit(1)).alias("_n")]
             for i, c in enumerate(nums):
                 x = _c(c)
                 aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}"),
                          F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-            row = pre.agg(*aggs).collect()[0]
-            n = row["_n"]
-            med_cols = {c: [0.5] for c in nums if plan.imputation.get(c, {}).get("strategy") == "median"}
+            grows = pre.groupBy("_g").agg(*aggs).collect()
+            stats = [self._combine([r for r in grows if in_set(r["_g"], sset)], len(nums)) for sset in sets]
+            med = [c for c in nums if plan.imputation.get(c, {}).get("strategy") == "median"]
             rob = [c for c in nums if plan.scaling.get(c) == "robust"]
-            qreq = {c: sorted(set(med_cols.get(c, []) + ([0.25, 0.5, 0.75] if c in rob else []))) for c in set(med_cols) | set(rob)}
-            known = {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(nums)}
-            qs = exact_quantiles(pre, qreq, {c: known[c] for c in qreq}) if qreq else {}
-            for i, c in enumerate(nums):
-                n1, m1, v1, lo, hi = row[f"n{i}"], row[f"m{i}"], row[f"v{i}"], row[f"lo{i}"], row[f"hi{i}"]
-                imp = plan.imputation.get(c)
-                f = None
-                if imp is not None:
-                    s = imp["strategy"]
-                    f = m1 if s == "mean" else qs.get((c, 0.5)) if s == "median" else float(imp["value"]) if s == "constant" else None
-                    if f is not None:
-                        fills[c] = float(f)
-                n0 = (n - n1) if f is not None else 0
-                method = plan.scaling.get(c, "none")
-                if method == "standard":
-                    if n1 == 0 and n0 == 0:
-                        continue
-                    tot = n1 + n0
-                    mean = ((n1 * (m1 or 0.0)) + n0 * (f or 0.0)) / tot
-                    var = (n1 * ((v1 or 0.0) + ((m1 or 0.0) - mean) ** 2) + n0 * ((f or 0.0) - mean) ** 2) / tot
-                    sd = math.sqrt(max(var, 0.0))
-                    scalers[c] = (mean, sd if sd > 10 * 2.220446049250313e-16 * max(abs(mean), 1.0) and sd > 0 else 1.0)
-                elif method == "minmax":
-                    los = [v for v in (lo, f if n0 else None) if v is not None]
-                    his = [v for v in (hi, f if n0 else None) if v is not None]
-                    if not los:
-                        continue
-                    a, b = min(los), max(his)
-                    scalers[c] = (a, (b - a) if (b - a) > 0 else 1.0)
-                elif method == "robust":
-                    if n0 and f is not None:
-                        filled = pre.select(F.coalesce(_c(c), F.lit(f)).alias(c))
-                        q = exact_quantiles(filled, {c: [0.25, 0.5, 0.75]})
-                    else:
-                        q = qs
-                    q1, q2, q3 = q.get((c, 0.25)), q.get((c, 0.5)), q.get((c, 0.75))
-                    if q2 is None:
-                        continue
-                    iqr = q3 - q1
-                    scalers[c] = (q2, iqr if iqr > 0 else 1.0)
-        return PreparedFeatures(plan, fills, scalers, categories, freq_maps, freq_sizes, raw_types)
+            qcols, qreq, known = [], {}, {}
+            for si, sset in enumerate(sets):
+                for c in sorted(set(med) | set(rob)):
+                    i = nums.index(c)
+                    name = f"{c}\u0001{si}"
+                    qcols.append(F.when(member(sset), _c(c)).alias(name))
+                    qreq[name] = sorted(set(([0.5] if c in med else []) + ([0.25, 0.5, 0.75] if c in rob else [])))
+                    known[name] = (stats[si]["n1"][i], stats[si]["lo"][i], stats[si]["hi"][i])
+            qs = exact_quantiles(pre.select(*qcols), qreq, known) if qreq else {}
+            refill = {}
+            for si, sset in enumerate(sets):
+                st = stats[si]
+                for i, c in enumerate(nums):
+                    imp = plan.imputation.get(c)
+                    f = None
+                    if imp is not None:
+                        s_ = imp["strategy"]
+                        f = (st["m1"][i] if s_ == "mean" else qs.get((f"{c}\u0001{si}", 0.5)) if s_ == "median"
+                             else float(imp["value"]) if s_ == "constant" else None)
+                        if f is not None:
+                            fills[si][c] = float(f)
+                    n0 = (st["n"] - st["n1"][i]) if f is not None else 0
+                    method = plan.scaling.get(c, "none")
+                    if method == "robust" and n0 and f is not None:
+                        refill[(si, c)] = f
+                    sc = self._scaler(method, st["n1"][i], st["m1"][i], st["v1"][i], st["lo"][i], st["hi"][i],
+                                      f, n0, qs, f"{c}\u0001{si}")
+                    if sc is not None:
+                        scalers[si][c] = sc
+            if refill:
+                # robust scaling of an imputed column: quantiles of the filled column
+                cols2, req2 = [], {}
+                for (si, c), f in refill.items():
+                    name = f"{c}\u0002{si}"
+                    cols2.append(F.when(member(sets[si]), F.coalesce(_c(c), F.lit(f))).alias(name))
+                    req2[name] = [0.25, 0.5, 0.75]
+                q2 = exact_quantiles(pre.select(*cols2), req2)
+                for (si, c) in refill:
+                    name = f"{c}\u0002{si}"
+                    q1, qm, q3 = q2.get((name, 0.25)), q2.get((name, 0.5)), q2.get((name, 0.75))
+                    if qm is not None:
+                        scalers[si][c] = (qm, (q3 - q1) if (q3 - q1) > 0 else 1.0)
+        return [PreparedFeatures(plan, fills[si], scalers[si], categories[si], freq_maps[si], freq_sizes[si], raw_types)
+                for si in range(len(sets))]
+
+    def _levels(self, c: str, dtype, counts: dict):
+        """Fill value (most frequent / constant) and sorted encoder levels of one column."""
+        plan = self.plan
+        numeric = is_numeric_type(dtype)
+        integral = dtype.typeName() in ("integer", "long", "short", "byte")
+
+        def typed(key):
+            num, text = key
+            if num is None and text is None:
+                return None
+            if numeric:
+                return int(num) if integral else num
+            return text
+
+        imp = plan.imputation.get(c)
+        nonnull = [(k, n) for k, n in counts.items() if n > 0 and typed(k) is not None]
+        fill = _NO_FILL
+        if imp is not None:
+            if imp["strategy"] == "most_frequent" and nonnull:
+                best = min(nonnull, key=lambda kn: (-kn[1], kn[0][0] if numeric else kn[0][1]))
+                fill = typed(best[0])
+            elif imp["strategy"] == "constant":
+                fill = imp["value"]
+        vals = [typed(k) for k, n in counts.items() if n > 0]
+        if fill is not _NO_FILL:  # imputation happens before encoding: NULL becomes the fill
+            vals = [v for v in vals if v is not None]
+            if fill not in vals:
+                vals.append(fill)
+        present = [v for v in vals if v is not None]
+        order = sorted(set(present), key=lambda v: (str(type(v)), v))
+        if any(v is None for v in vals):
+            order.append(None)
+        return fill, order
+
+    @staticmethod
+    def _combine(rows, p: int) -> dict:
+        """Pool per-group (count, non-null count, mean, population variance, min, max)."""
+        n = sum(r["_n"] for r in rows)
+        out = {"n": n, "n1": [], "m1": [], "v1": [], "lo": [], "hi": []}
+        for i in range(p):
+            parts = [(r[f"n{i}"], r[f"m{i}"], r[f"v{i}"], r[f"lo{i}"], r[f"hi{i}"]) for r in rows if r[f"n{i}"]]
+            n1 = sum(q[0] for q in parts)
+            if n1 == 0:
+                out["n1"].append(0), out["m1"].append(None), out["v1"].append(None)
+                out["lo"].append(None), out["hi"].append(None)
+                continue
+            mean = sum(q[0] * q[1] for q in parts) / n1
+            m2 = sum(q[0] * (q[2] + (q[1] - mean) ** 2) for q in parts)
+            out["n1"].append(n1), out["m1"].append(mean), out["v1"].append(m2 / n1)
+            out["lo"].append(min(q[3] for q in parts)), out["hi"].append(max(q[4] for q in parts))
+        return out
+
+    @staticmethod
+    def _scaler(method, n1, m1, v1, lo, hi, f, n0, qs, qname):
+        if method == "standard":
+            if n1 == 0 and n0 == 0:
+                return None
+            tot = n1 + n0
+            mean = ((n1 * (m1 or 0.0)) + n0 * (f or 0.0)) / tot
+            var = (n1 * ((v1 or 0.0) + ((m1 or 0.0) - mean) ** 2) + n0 * ((f or 0.0) - mean) ** 2) / tot
+            sd = math.sqrt(max(var, 0.0))
+            return (mean, sd if sd > 10 * 2.220446049250313e-16 * max(abs(mean), 1.0) and sd > 0 else 1.0)
+        if method == "minmax":
+            los = [v for v in (lo, f if n0 else None) if v is not None]
+            his = [v for v in (hi, f if n0 else None) if v is not None]
+            if not los:
+                return None
+            a, b = min(los), max(his)
+            return (a, (b - a) if (b - a) > 0 else 1.0)
+        if method == "robust":
+            q1, q2, q3 = qs.get((qname, 0.25)), qs.get((qname, 0.5)), qs.get((qname, 0.75))
+            if q2 is None:
+                return None
+            return (q2, (q3 - q1) if (q3 - q1) > 0 else 1.0)
+        return None
+
+
+_NO_FILL = object()

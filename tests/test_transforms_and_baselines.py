@@ -76,3 +76,23 @@ def test_regression_baselines(spark):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([10, 12, 13, 15, 100, 120])], "k int, y double")
     assert df.select(baseline_prediction(df, "y", "regression", "mean_value", ["k"])).first()[0] == pytest.approx(45.0)
     assert df.select(baseline_prediction(df, "y", "regression", "median_value", ["k"])).first()[0] == pytest.approx(14.0)
+
+
+def test_fold_aware_fit_equals_per_fold_fits(spark):
+    from tabloom.operators.split import assign_folds
+    rows = [(i, None if i % 7 == 0 else float((i * 13) % 50), ["a", "b", "c", None][i % 4], float(i % 9), i % 2)
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, x double, c string, z double, target int")
+    p, _ = profile_dataset(df, Brief("f", "target", "classification"), key_cols=["k"])
+    plan = build_feature_plan(p, "auto_tabular_preprocessing", {
+        "drop_features": ["k"], "feature_scaling_rules": [{"feature": "z", "method": "robust"}]})
+    folded = assign_folds(df, ["k"], 4)
+    shared = FeaturePreparer(plan).fit_folds(folded, 4)
+    for f in range(4):
+        single = FeaturePreparer(plan).fit(folded.where(f"fold != {f}"))
+        assert shared[f].categories == single.categories
+        assert shared[f].fills.keys() == single.fills.keys()
+        for c in single.fills:
+            assert shared[f].fills[c] == pytest.approx(single.fills[c])
+        for c in single.scalers:
+            assert shared[f].scalers[c] == pytest.approx(single.scalers[c])
