@@ -256,8 +256,8 @@ class FeaturePreparer:
             types = {f.name: f.dataType for f in df.schema.fields}
         g = F.col(f"`{group_col}`") if group_col else F.lit(0)
 
-        def member(sset):
-            return F.lit(True) if sset is None else g.isin(sorted(sset))
+        def member(sset, col=g):
+            return F.lit(True) if sset is None else col.isin(sorted(sset))
 
         in_set = lambda gid, s: s is None or gid in s
         cats = [c for c in plan.raw_categorical_features if c in types]
@@ -326,7 +326,7 @@ class FeaturePreparer:
                 for c in sorted(set(med) | set(rob)):
                     i = nums.index(c)
                     name = f"{c}\u0001{si}"
-                    qcols.append(F.when(member(sset), _c(c)).alias(name))
+                    qcols.append(F.when(member(sset, F.col("_g")), _c(c)).alias(name))
                     qreq[name] = sorted(set(([0.5] if c in med else []) + ([0.25, 0.5, 0.75] if c in rob else [])))
                     known[name] = (stats[si]["n1"][i], stats[si]["lo"][i], stats[si]["hi"][i])
             qs = exact_quantiles(pre.select(*qcols), qreq, known) if qreq else {}
@@ -355,7 +355,7 @@ class FeaturePreparer:
                 cols2, req2 = [], {}
                 for (si, c), f in refill.items():
                     name = f"{c}\u0002{si}"
-                    cols2.append(F.when(member(sets[si]), F.coalesce(_c(c), F.lit(f))).alias(name))
+                    cols2.append(F.when(member(sets[si], F.col("_g")), F.coalesce(_c(c), F.lit(f))).alias(name))
                     req2[name] = [0.25, 0.5, 0.75]
                 q2 = exact_quantiles(pre.select(*cols2), req2)
                 for (si, c) in refill:
