@@ -36,7 +36,8 @@ def _c(name: str) -> Column:
 # ---- M2: ridge -----------------------------------------------------------------------
 
 def moments(df: DataFrame, cols: list[str], label: str, group: str | None = None) -> dict[Any, dict]:
-    """n, sum x, sum y, X'X, X'y, y'y per group (one aggregate, bounded output)."""
+    """n, sum x, sum y, X'X, X'y, y'y per group: one aggregate (partial sums per
+    partition, merged by Spark), output bounded by groups x p^2."""
     p = len(cols)
     x = [_c(c).cast("double") for c in cols]
     y = _c(label).cast("double")

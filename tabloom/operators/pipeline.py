@@ -189,46 +189,44 @@ def cross_validate(pipe: TabularPipeline, folded: DataFrame, k: int, fold_col: s
 
 def _ridge_cv(pipe: TabularPipeline, folded: DataFrame, k: int, fold_col: str, grid: list[dict],
               preps: list[PreparedFeatures]) -> list[dict]:
-    """Ridge CV in two passes for all folds and alphas: (1) every row is expanded to
-    the k-1 folds it trains and sufficient statistics are summed per fold; (2) every
-    row is scored, for every alpha, by the model of the fold it validates."""
+    """Ridge CV for every alpha of the grid: per fold one sufficient-statistics
+    aggregate on its prepared training rows (all alphas solved from it), then a
+    single pass that scores every row, for every alpha, with the model of the fold
+    it validates (scalar CASE-by-fold expressions, kept inside codegen)."""
     from tabloom.operators.preparer import _pre_frame
     alphas = [float({**pipe.params, **g}.get("alpha", 1.0)) for g in grid]
     target = pipe.target
     fold = F.col(fold_col)
     pre = _pre_frame(pipe.plan, folded, {}, {}, keep=[fold_col, target])
-    widths = [len(p.output_names()) for p in preps]
-    width = max(widths)
-    xs = []
-    for f, p in enumerate(preps):
-        e = p.output_expressions() + [F.lit(0.0)] * (width - widths[f])
-        xs.append(F.array(*[x.cast("double") for x in e]))
-    y = F.col(target).cast("double")
-    # pass 1: per-fold training moments
-    entries = [F.when(fold != f, F.struct(F.lit(f).alias("_f"), xs[f].alias("x"))) for f in range(k)]
-    long = pre.select(y.alias("_y"), F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
-    long = long.select("_y", F.col("e._f").alias("_f"), *[F.col("e.x")[i].alias(f"_x{i}") for i in range(width)])
-    mom = M.moments(long, [f"_x{i}" for i in range(width)], "_y", group="_f")
     models = {}
-    for f in range(k):
-        m = mom[f]
-        p = widths[f]
-        sub = {"n": m["n"], "sy": m["sy"], "syy": m["syy"], "sx": m["sx"][:p], "sxy": m["sxy"][:p], "xx": m["xx"][:p, :p]}
+    exprs = []
+    for f, prep in enumerate(preps):
+        names = prep.output_names()
+        xf = prep.output_expressions()
+        exprs.append(xf)
+        tr = pre.where(fold != f).select(*xf, F.col(target))
+        m = M.moments(tr, names, target)[None]
         for t, a in enumerate(alphas):
-            coef, b0 = M.ridge_solve(sub, a)
-            models[(t, f)] = (list(coef) + [0.0] * (width - p), b0)
-    # pass 2: every row scored by its own fold's model, all alphas at once
-    xrow = F.when(fold == 0, xs[0])
-    for f in range(1, k):
-        xrow = xrow.when(fold == f, xs[f])
-    scored = pre.select(fold.alias("_f"), y.alias("_y"), xrow.alias("_x"))
+            coef, b0 = M.ridge_solve(m, a)
+            models[(t, f)] = ([float(c) for c in coef], float(b0))
+    width = max(len(e) for e in exprs)
+    xcols = []
+    for j in range(width):
+        e = None
+        for f in range(k):
+            v = exprs[f][j] if j < len(exprs[f]) else F.lit(0.0)
+            e = F.when(fold == f, v) if e is None else e.when(fold == f, v)
+        xcols.append(e.cast("double").alias(f"_x{j}"))
+    scored = pre.select(fold.alias("_f"), F.col(target).cast("double").alias("_y"), *xcols)
     aggs = [F.count(F.lit(1)).alias("n"), F.var_pop("_y").alias("vy")]
     for t in range(len(alphas)):
-        coefs = F.array(*[F.array(*[F.lit(float(c)) for c in models[(t, f)][0]]) for f in range(k)])
-        b0s = F.array(*[F.lit(float(models[(t, f)][1])) for f in range(k)])
-        w = F.element_at(coefs, F.col("_f") + 1)
-        pred = F.element_at(b0s, F.col("_f") + 1) + F.aggregate(
-            F.zip_with(F.col("_x"), w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+        pred = None
+        for f in range(k):
+            coef, b0 = models[(t, f)]
+            lin = F.lit(b0)
+            for j, c in enumerate(coef):
+                lin = lin + F.col(f"_x{j}") * F.lit(c)
+            pred = F.when(F.col("_f") == f, lin) if pred is None else pred.when(F.col("_f") == f, lin)
         e = F.col("_y") - pred
         aggs += [F.sum(e * e).alias(f"sse{t}"), F.sum(F.abs(e)).alias(f"sae{t}")]
     res = {r["_f"]: r for r in scored.groupBy("_f").agg(*aggs).collect()}
