@@ -209,7 +209,7 @@ SELECT m.metric, m.series, round(m.value, {R}) AS value FROM (
 def model_vs_baseline(spark, sf_dir):
     """Model and baseline metrics on the holdout, long form, plus the signed delta."""
     o = fx.table(spark, sf_dir, "orders")
-    s = holdout_split(o, ["o_orderkey"])
+    s = cut_lineage(holdout_split(o, ["o_orderkey"]))
     train, test = s.where("split = 'train'"), s.where("split = 'test'")
     base = baseline_prediction(train, "o_orderstatus", "classification", "stratified_random", ["o_orderkey"])
     mb = classification_metrics(test.select(F.col("o_orderstatus").alias("actual"), base.alias("prediction")))

@@ -33,9 +33,11 @@ BROADCAST_ROWS = 2_000_000
 MAX_GROUPS = 100_000
 
 
-def _nbits(n: int, rows_per_bucket: int) -> int:
-    want = max(1, math.ceil(n / max(rows_per_bucket, 1)))
-    return min(int(math.ceil(math.log2(want))) if want > 1 else 0, int(math.log2(MAX_BUCKETS)))
+def _nbits(n: int, rows_per_bucket: int, parallelism: int = 1) -> int:
+    """Bucket bits: enough that no bucket exceeds ``rows_per_bucket`` rows, and at
+    least about two buckets per core so the per-bucket sort is never one task."""
+    want = max(1, math.ceil(n / max(rows_per_bucket, 1)), 2 * max(parallelism, 1))
+    return min(int(math.ceil(math.log2(want))), int(math.log2(MAX_BUCKETS)))
 
 
 def exact_rank(df: DataFrame, sort_key: Column, tie_cols: Sequence[str | Column], *,
@@ -54,7 +56,7 @@ def exact_rank(df: DataFrame, sort_key: Column, tie_cols: Sequence[str | Column]
     d = df.withColumn("_sk", sort_key)
     if n_rows is None:
         n_rows = d.count()
-    bits = _nbits(n_rows, rows_per_bucket)
+    bits = _nbits(n_rows, rows_per_bucket, spark.sparkContext.defaultParallelism)
 
     if order == "hash":
         d = d.withColumn("_b", F.shiftright(F.col("_sk"), HASH_BITS - bits) if bits else F.lit(0).cast("bigint"))
