@@ -238,3 +238,34 @@ def score_saved_model(spark, sf_dir):
     fitted.save(path)
     loaded = FittedPipeline.load(spark, path)
     return loaded.predict(split.where("split = 'test'"), ["l_orderkey", "l_linenumber", "l_extendedprice"])
+
+
+_PREVIEW_SQL = _RIDGE_SQL + f"""
+SELECT l_orderkey, l_linenumber, l_extendedprice AS actual, round(b0 + b * l_quantity, {R4}) AS prediction
+FROM sp, m WHERE split = 'test'
+ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice LIMIT 25"""
+
+
+@job("prediction_preview", _PREVIEW_SQL)
+def prediction_preview_job(spark, sf_dir):
+    """The first 25 holdout predictions in key order (a top-k report)."""
+    from tabloom.sources.io import prediction_preview
+    split, pipe = _ridge_setup(spark, sf_dir)
+    fitted = pipe.fit(split.where("split = 'train'"))
+    scored = fitted.predict(split.where("split = 'test'"), ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"])
+    prev = prediction_preview(scored, "l_extendedprice", ["l_orderkey", "l_linenumber", "l_quantity"], 25)
+    return prev.select("l_orderkey", "l_linenumber", "actual", F.round("prediction", R4).alias("prediction"))
+
+
+@job("actual_vs_predicted_histogram", _RIDGE_SQL + """,
+p AS (SELECT l_extendedprice AS actual, b0 + b * l_quantity AS prediction FROM sp, m WHERE split = 'test')
+SELECT CAST(least(greatest(floor((actual - 0.0) / 2500.0), 0), 39) AS INTEGER) AS actual_bin,
+       CAST(least(greatest(floor((prediction - 0.0) / 2500.0), 0), 39) AS INTEGER) AS predicted_bin,
+       count(*) AS n FROM p GROUP BY ALL""")
+def actual_vs_predicted_histogram(spark, sf_dir):
+    """A14 at scale: every holdout point binned into a 40 x 40 grid (0 to 100,000)."""
+    from tabloom.operators.metrics import prediction_histogram
+    split, pipe = _ridge_setup(spark, sf_dir)
+    fitted = pipe.fit(split.where("split = 'train'"))
+    scored = fitted.predict(split.where("split = 'test'"), ["l_extendedprice"])
+    return prediction_histogram(scored.withColumnRenamed("l_extendedprice", "actual"), 0.0, 100_000.0, 40)

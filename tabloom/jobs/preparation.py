@@ -104,6 +104,19 @@ def scope_drop_named(spark, sf_dir):
     return out
 
 
+@job("scope_exclude_categorical", "SELECT l_orderkey AS k0, l_linenumber AS k1, "
+     + ", ".join(f"{r(c)} AS {c}" for c in LI_NUMERIC)
+     + ", " + ", ".join(f"{r(e)} AS l_shipdate__{p}" for e, p in [
+         ("year(l_shipdate)", "year"), ("month(l_shipdate)", "month"), ("day(l_shipdate)", "day"),
+         ("isodow(l_shipdate) - 1", "dayofweek")]) + " FROM lineitem")
+def scope_exclude_categorical(spark, sf_dir):
+    """exclude the (non-date) categorical features; the date stays as parts."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    out, _ = prepare(li, ["l_orderkey", "l_linenumber"], "l_extendedprice", "regression", "minimal_cleanup",
+                     scope="exclude_categorical")
+    return out
+
+
 @job("scope_subset", "SELECT l_orderkey AS k0, l_linenumber AS k1, "
      + f"{r('l_discount')} AS l_discount, {r('l_quantity')} AS l_quantity FROM lineitem")
 def scope_subset(spark, sf_dir):

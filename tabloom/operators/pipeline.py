@@ -43,22 +43,22 @@ class FittedPipeline:
     training: dict = field(default_factory=dict)
 
     def predict(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        """``keep`` columns + ``prediction`` (labels back in their own type)."""
-        names = self.prepared.output_names()
+        """``keep`` columns (raw values) + ``prediction`` (labels in their own type)."""
+        pk = "__keep__"
+        back = [F.col(f"`{pk}{k}`").alias(k) for k in keep]
         if self.linear is not None:
-            prep = self.prepared.transform(df, keep)
-            return prep.select(*[F.col(k) for k in keep], self.linear.predict().alias("prediction"))
+            prep = self.prepared.transform(df, keep, pk)
+            return prep.select(*back, self.linear.predict().alias("prediction"))
         if self.mlp is not None:
-            prep = self.prepared.transform(df, keep)
-            return self.mlp.predict_frame(prep, keep)
-        assembled = self.prepared.assemble(df, keep)
+            prep = self.prepared.transform(df, keep, pk)
+            return self.mlp.predict_frame(prep, [pk + k for k in keep]).select(*back, "prediction")
+        assembled = self.prepared.assemble(df, keep, keep_prefix=pk)
         out = self.spark_model.transform(assembled)
         pred = F.col("prediction")
         if self.task_type == "classification":
             arr = F.array(*[F.lit(v) for v in self.labels])
             pred = F.element_at(arr, F.col("prediction").cast("int") + 1)
-        del names
-        return out.select(*[F.col(k) for k in keep], pred.alias("prediction"))
+        return out.select(*back, pred.alias("prediction"))
 
     def save(self, path: str) -> None:
         spark = SparkSession.getActiveSession()
@@ -131,7 +131,8 @@ class TabularPipeline:
                                          seed=int(self.training.get("random_seed", 42)))
             return fp
         keep = [self.target, *self.key_cols]
-        data = prepared.assemble(train, keep)
+        data = prepared.assemble(train, keep, keep_prefix="__keep__")
+        data = data.select(*[F.col(f"`__keep__{k}`").alias(k) for k in keep], "features")
         n_classes = None
         if self.task_type == "classification":
             labels = sorted({r[0] for r in train.select(self.target).distinct().collect()}, key=lambda v: (v is None, v))

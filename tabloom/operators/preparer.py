@@ -55,8 +55,8 @@ class PreparedFeatures:
     raw_types: dict[str, str] = field(default_factory=dict)
 
     # ---- stage 1: row-local rules, derived features, date parts, alignment ------------
-    def pre_frame(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        return _pre_frame(self.plan, df, self.freq_maps, self.freq_sizes, keep)
+    def pre_frame(self, df: DataFrame, keep: Sequence[str] = (), keep_prefix: str = "") -> DataFrame:
+        return _pre_frame(self.plan, df, self.freq_maps, self.freq_sizes, keep, keep_prefix)
 
     # ---- stage 2: fills, scaling, encoding ----------------------------------------
     def output_expressions(self) -> list[Column]:
@@ -100,14 +100,35 @@ class PreparedFeatures:
                     names.extend(one_hot_name(c, v) for v in self.categories.get(c, []))
         return names
 
-    def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        pre = self.pre_frame(df, keep)
-        return pre.select(*[_c(k) for k in keep], *self.output_expressions())
-
-    def assemble(self, df: DataFrame, keep: Sequence[str] = (), output_col: str = "features") -> DataFrame:
+    def required_columns(self) -> list[str]:
+        """Raw input columns the preparation reads."""
+        plan = self.plan
+        cfg = plan.overrides or ov.empty()
+        derived = set(plan.derived_numeric_features)
+        parts = {f"{d}__{p}" for d in plan.date_features for p in ("year", "month", "day", "dayofweek")}
+        cols = [c for c in plan.numeric_features if c not in derived and c not in parts]
+        cols += list(plan.date_features) + list(plan.raw_categorical_features)
+        cols += [r["source"] for r in cfg.get(ov.DERIVED, []) if r["kind"] == "frequency_count"]
+        return list(dict.fromkeys(cols))
+
+    def transform(self, df: DataFrame, keep: Sequence[str] = (), keep_prefix: str = "",
+                  require_columns: bool = False) -> DataFrame:
+        """Prepared columns plus passthrough ``keep`` columns (named ``keep_prefix + k``,
+        so a passthrough column may share its name with a feature). Missing input
+        columns become NULL features (F13), or raise when ``require_columns`` (N2)."""
+        if require_columns:
+            missing = [c for c in self.required_columns() if c not in df.columns]
+            if missing:
+                raise ValueError(f"The input is missing required columns: {', '.join(missing)}")
+        pre = self.pre_frame(df, keep, keep_prefix)
+        return pre.select(*[_c(keep_prefix + k) for k in keep], *self.output_expressions())
+
+    def assemble(self, df: DataFrame, keep: Sequence[str] = (), output_col: str = "features",
+                 keep_prefix: str = "") -> DataFrame:
         """Prepared columns into one vector; non-finite values are refused."""
         from pyspark.ml.feature import VectorAssembler
-        prepared = self.transform(df, keep)
+        prepared = self.transform(df, keep, keep_prefix)
+        keep = [keep_prefix + k for k in keep]
         names = self.output_names()
         bad = F.lit(False)
         for n in names:
@@ -171,7 +192,7 @@ def column_blocks(plan: FeaturePlan) -> list[list[str]]:
 
 
 def _pre_frame(plan: FeaturePlan, df: DataFrame, freq_maps: dict[str, DataFrame], freq_sizes: dict[str, int],
-               keep: Sequence[str] = ()) -> DataFrame:
+               keep: Sequence[str] = (), keep_prefix: str = "") -> DataFrame:
     cfg = plan.overrides or ov.empty()
     cols = set(df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -194,7 +215,7 @@ def _pre_frame(plan: FeaturePlan, df: DataFrame, freq_maps: dict[str, DataFrame]
     for r in cfg.get(ov.TRANS, []):
         rules_by_col.setdefault(r["feature"], []).append(r)
     # T11-T13 date parts, F13 alignment
-    exprs: list[Column] = [_c(k) for k in keep if k in d.columns]
+    exprs: list[Column] = [_c(k).alias(keep_prefix + k) for k in keep if k in d.columns]
     for c in plan.numeric_features:
         if c in plan.derived_numeric_features:
             exprs.append(_c(c).cast("double").alias(c) if c in d.columns else F.lit(None).cast("double").alias(c))

@@ -154,6 +154,34 @@ def execute_workflow(spark: SparkSession, brief: Brief, df: DataFrame, key_cols:
     return result
 
 
+def validate(spark: SparkSession, fitted: FittedPipeline, train: DataFrame, test: DataFrame, brief: Brief,
+             key_cols: list[str], metric: str, model_name: str | None = None, role: str = "candidate",
+             cv_metrics: dict | None = None) -> dict:
+    """Validate any fitted pipeline on a holdout against the no-feature baseline."""
+    return _validate(spark, fitted, train, test, brief, key_cols, metric, model_name or fitted.model_name, role,
+                     cv_metrics or {})
+
+
+def run_competition(spark: SparkSession, brief: Brief, profile: Profile, fplan, models: list[str],
+                    folded: DataFrame, k: int, train: DataFrame, key_cols: list[str], metric: str) -> DataFrame:
+    """For every shortlisted model, a compact grid search from its default
+    parameters; one ``<model>_tuned`` row each (model, role, metric, cv value, params)."""
+    rows = []
+    for model in models:
+        params = cat.default_model_parameters(model, profile.rows, profile.class_imbalance)
+        training = cat.default_training_configuration(model, profile.rows)
+        pipe = TabularPipeline(fplan, brief.task_type, model, brief.target, key_cols, params, training)
+        grid = cat.expand_grid(cat.search_space(model, "small_competition"))
+        _, dash = grid_search(pipe, folded, k, grid, metric, train)
+        higher = HIGHER_IS_BETTER[metric]
+        best = None
+        for d in dash:
+            if best is None or (d["cv_metric"] > best["cv_metric"] if higher else d["cv_metric"] < best["cv_metric"]):
+                best = d
+        rows.append((f"{model}_tuned", "competition", metric, float(best["cv_metric"]), json.dumps(best["params"], default=str)))
+    return spark.createDataFrame(rows, "model string, role string, metric string, cv_value double, params string")
+
+
 def competition_dashboard(spark: SparkSession, rows: list[dict], metric: str) -> DataFrame:
     """H8: trial, params, mean and population std over folds, rank (min method)."""
     from tabloom.operators.metrics import rank_trials

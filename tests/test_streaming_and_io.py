@@ -56,3 +56,29 @@ def test_stream_scoring(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT count(*) FROM scored").first()[0] == ev.count()
+
+
+def test_alignment_and_required_columns(spark):
+    ev, fitted = _fitted(spark)
+    without = ev.drop("event_type")
+    out = fitted.prepared.transform(without).collect()
+    assert all(r[c] == 0.0 for r in out for c in r.asDict() if c.startswith("event_type="))
+    with pytest.raises(ValueError, match="missing required columns: event_type"):
+        fitted.prepared.transform(without, require_columns=True)
+
+
+def test_competition_and_standalone_validation(spark):
+    from tabloom.operators.split import assign_folds, holdout_split
+    from tabloom.plans.workflow import run_competition, validate
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "event_type", "value")
+    b = Brief("ev", "value", "regression")
+    p, _ = profile_dataset(ev, b, key_cols=["event_id"])
+    plan = build_feature_plan(p, "auto_tabular_preprocessing", {"drop_features": ["event_id"]})
+    s = holdout_split(ev, ["event_id"])
+    train, test = s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")
+    folded = assign_folds(train, ["event_id"], 3)
+    board = run_competition(spark, b, p, plan, ["ridge_regression"], folded, 3, train, ["event_id"], "rmse").collect()
+    assert board[0]["model"] == "ridge_regression_tuned" and board[0]["cv_value"] > 0
+    pipe = TabularPipeline(plan, "regression", "ridge_regression", "value", ["event_id"], {"alpha": 1.0}, {})
+    res = validate(spark, pipe.fit(train), train, test, b, ["event_id"], "rmse")
+    assert res["baseline_strategy"] == "mean_value" and set(res["model_metrics"]) == {"rmse", "mae", "r2"}
