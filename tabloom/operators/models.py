@@ -59,6 +59,35 @@ def moments(df: DataFrame, cols: list[str], label: str, group: str | None = None
     return out
 
 
+def moments_union(parts: list[tuple[Any, DataFrame, list[str]]], label: str) -> dict[Any, dict]:
+    """``moments`` of several frames (each with its own columns) in one job: the
+    aggregates are padded to a common width and unioned."""
+    width = max(len(cols) for _, _, cols in parts)
+    frames = []
+    for key, df, cols in parts:
+        x = [_c(c).cast("double") for c in cols] + [F.lit(0.0)] * (width - len(cols))
+        y = _c(label).cast("double")
+        aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")]
+        aggs += [F.sum(x[i]).alias(f"sx{i}") for i in range(width)]
+        aggs += [F.sum(x[i] * y).alias(f"sxy{i}") for i in range(width)]
+        aggs += [F.sum(x[i] * x[j]).alias(f"xx{i}_{j}") for i in range(width) for j in range(i, width)]
+        frames.append(df.agg(*aggs).withColumn("_key", F.lit(key)))
+    union = frames[0]
+    for fr in frames[1:]:
+        union = union.unionByName(fr)
+    out = {}
+    for r in union.collect():
+        p = len(next(cols for key, _, cols in parts if key == r["_key"]))
+        xx = np.zeros((p, p))
+        for i in range(p):
+            for j in range(i, p):
+                xx[i, j] = xx[j, i] = r[f"xx{i}_{j}"] or 0.0
+        out[r["_key"]] = {"n": r["n"], "sy": r["sy"] or 0.0, "syy": r["syy"] or 0.0,
+                          "sx": np.array([r[f"sx{i}"] or 0.0 for i in range(p)]),
+                          "sxy": np.array([r[f"sxy{i}"] or 0.0 for i in range(p)]), "xx": xx}
+    return out
+
+
 def combine(ms: list[dict]) -> dict:
     return {"n": sum(m["n"] for m in ms), "sy": sum(m["sy"] for m in ms), "syy": sum(m["syy"] for m in ms),
             "sx": sum(m["sx"] for m in ms), "sxy": sum(m["sxy"] for m in ms), "xx": sum(m["xx"] for m in ms)}

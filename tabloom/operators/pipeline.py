@@ -200,15 +200,13 @@ def _ridge_cv(pipe: TabularPipeline, folded: DataFrame, k: int, fold_col: str, g
     fold = F.col(fold_col)
     pre = _pre_frame(pipe.plan, folded, {}, {}, keep=[fold_col, target])
     models = {}
-    exprs = []
-    for f, prep in enumerate(preps):
-        names = prep.output_names()
-        xf = prep.output_expressions()
-        exprs.append(xf)
-        tr = pre.where(fold != f).select(*xf, F.col(target))
-        m = M.moments(tr, names, target)[None]
+    exprs = [prep.output_expressions() for prep in preps]
+    # every fold's training moments in one job: one aggregate branch per fold
+    moms = M.moments_union([(f, pre.where(fold != f).select(*exprs[f], F.col(target)), preps[f].output_names())
+                            for f in range(k)], target)
+    for f in range(k):
         for t, a in enumerate(alphas):
-            coef, b0 = M.ridge_solve(m, a)
+            coef, b0 = M.ridge_solve(moms[f], a)
             models[(t, f)] = ([float(c) for c in coef], float(b0))
     width = max(len(e) for e in exprs)
     xcols = []

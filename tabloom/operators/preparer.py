@@ -297,13 +297,17 @@ class FeaturePreparer:
                    for i, c in enumerate(cats)]
             vt = (df.select(g.alias("_g"), F.inline(F.array(*ent)))
                   .groupBy("_g", "pos", "value_num", "value").agg(F.count(F.lit(1)).alias("count")))
-            per = (vt.groupBy("pos", "value_num", "value").agg(F.sum("count").alias("c"))
-                   .groupBy("pos").agg(F.count(F.lit(1)).alias("k")).collect())
-            too_many = [cats[r["pos"]] for r in per if r["k"] > self.max_levels]
-            if too_many:
-                raise ValueError(f"categorical features exceed {self.max_levels} levels: {', '.join(too_many)}; "
-                                 "drop them or treat them as identifiers")
-            rows = vt.collect()
+            # one bounded collect: at most groups x columns x max_levels rows are needed,
+            # so one more row than that proves some column is over the level cap
+            cap = len(sets) * len(cats) * self.max_levels
+            rows = vt.limit(cap + 1).collect()
+            levels_per_pos: dict[int, set] = {}
+            for r in rows:
+                levels_per_pos.setdefault(r["pos"], set()).add((r["value_num"], r["value"]))
+            too_many = [cats[p] for p, v in levels_per_pos.items() if len(v) > self.max_levels]
+            if too_many or len(rows) > cap:
+                raise ValueError(f"categorical features exceed {self.max_levels} levels: "
+                                 f"{', '.join(too_many) or ', '.join(cats)}; drop them or treat them as identifiers")
             for si, sset in enumerate(sets):
                 by: dict[int, dict] = {}
                 for r in rows:
