@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.functions.hashing import HASH_SPAN, sql_row_hash, unit_hash
+from tabloom.functions.hashing import HASH_SPAN, sql_row_hash
 from tabloom.jobs import job
 from tabloom.jobs import fixtures as fx
 from tabloom.jobs.preparation import split_cte

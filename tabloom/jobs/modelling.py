@@ -7,8 +7,6 @@ engine's implementation).
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import sql_row_hash

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.dates import date_part_columns, lenient_timestamp
 from tabloom.functions.transforms import apply_rules
-from tabloom.operators.profile import is_numeric_type, value_table
+from tabloom.operators.profile import is_numeric_type
 from tabloom.operators.quantile import exact_quantiles
 from tabloom.plans import overrides as ov
 from tabloom.plans.feature_plan import FeaturePlan
