@@ -49,6 +49,16 @@ def lenient_timestamp(col: str | Column, dtype: DataType | None = None,
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats])
 
 
+def order_micros(col: Column, dtype: DataType | None) -> Column:
+    """A BIGINT ordering key for a date-like column: instants (``TIMESTAMP``) by their
+    epoch microseconds, wall-clock values (``TIMESTAMP_NTZ``, dates, parsed text) by
+    their wall-clock microseconds, so the order never depends on the session time zone."""
+    if isinstance(dtype, TimestampType):
+        return F.unix_micros(col)
+    ts = lenient_timestamp(col, dtype)
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
 def date_part_columns(ts: Column, prefix: str) -> list[Column]:
     """``<prefix>__year``, ``__month``, ``__day``, ``__dayofweek`` (Monday = 0), as doubles."""
     return [

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.dates import lenient_timestamp
+from tabloom.functions.dates import order_micros
 from tabloom.functions.hashing import row_hash
 from tabloom.operators.rank import exact_rank
 
@@ -75,8 +75,7 @@ def holdout_split(df: DataFrame, key_cols: Sequence[str], method: str = "random_
         if not date_column or date_column not in df.columns:
             raise ValueError("Time-ordered holdout requires a valid date_column in the project brief.")
         dtype = df.schema[date_column].dataType
-        ts = lenient_timestamp(F.col(date_column), dtype)
-        micros = F.unix_micros(ts.cast("timestamp"))
+        micros = order_micros(F.col(date_column), dtype)
         sort_key = F.coalesce(micros, F.lit(LONG_MAX).cast("bigint"))
         d = df.withColumn("_h", h)
         n = d.count()
