@@ -8,8 +8,8 @@ from tabloom.functions.hashing import sql_row_hash
 from tabloom.functions.dates import sql_lenient_timestamp
 from tabloom.jobs import job
 from tabloom.jobs import fixtures as fx
-from tabloom.operators.profile import Brief, profile_dataset
-from tabloom.plans.recommend import profile_summary, recommend, summary_frame
+from tabloom.operators.profile import Brief
+from tabloom.plans.recommend import profile_catalog, recommend
 
 # (dataset_id, brief, key, schema facts for the oracle: typed-date columns, text columns,
 #  columns whose name matches the identifier pattern, all feature columns)
@@ -105,8 +105,5 @@ SELECT dataset_id, step_id, CAST(step_number AS BIGINT) AS step_number, title, s
 def recommend_steps(spark, sf_dir):
     """Three datasets profiled, summarised, and planned in one rules projection."""
     frames = _frames(spark, sf_dir)
-    rows = []
-    for did, brief, key, *_ in DATASETS:
-        profile, _ = profile_dataset(frames[did], brief, key_cols=[key])
-        rows.append(profile_summary(did, brief, profile))
-    return recommend(summary_frame(spark, rows))
+    summary = profile_catalog(spark, [(did, brief, frames[did], [key]) for did, brief, key, *_ in DATASETS])
+    return recommend(summary)

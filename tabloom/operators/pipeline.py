@@ -170,7 +170,7 @@ def score(fitted: FittedPipeline, df: DataFrame, key_cols: list[str]) -> dict[st
 
 
 def cross_validate(pipe: TabularPipeline, folded: DataFrame, k: int, fold_col: str = "fold",
-                   grid: list[dict] | None = None) -> list[dict]:
+                   grid: list[dict] | None = None, parallelism: int = 4) -> list[dict]:
     """Per trial (grid entry) and fold: the metrics of the model fitted on the other
     folds. Returns rows ``{trial, fold, <metrics>}``. All k preparations come from
     shared passes (``FeaturePreparer.fit_folds``)."""
@@ -179,13 +179,19 @@ def cross_validate(pipe: TabularPipeline, folded: DataFrame, k: int, fold_col: s
     if pipe.model_name == "ridge_regression" and all(len(p.output_names()) <= M.MOMENT_MAX_FEATURES for p in preps) \
             and not any(p.freq_maps for p in preps):
         return _ridge_cv(pipe, folded, k, fold_col, grid, preps)
-    rows = []
-    for f in range(k):
+    # independent (fold, trial) fits: submitted from a few driver threads so their
+    # Spark jobs share the cluster, like CrossValidator(parallelism=...)
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(ft):
+        f, t = ft
         tr, va = folded.where(F.col(fold_col) != f), folded.where(F.col(fold_col) == f)
-        for t, params in enumerate(grid):
-            fitted = pipe.with_params(**params).fit(tr, prepared=preps[f])
-            rows.append({"trial": t, "fold": f, **score(fitted, va, pipe.key_cols)})
-    return rows
+        fitted = pipe.with_params(**grid[t]).fit(tr, prepared=preps[f])
+        return {"trial": t, "fold": f, **score(fitted, va, pipe.key_cols)}
+
+    tasks = [(f, t) for f in range(k) for t in range(len(grid))]
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as pool:
+        return list(pool.map(one, tasks))
 
 
 def _ridge_cv(pipe: TabularPipeline, folded: DataFrame, k: int, fold_col: str, grid: list[dict],

@@ -33,6 +33,25 @@ def profile_summary(dataset_id: str, brief: Brief, profile: Profile) -> tuple:
             profile.class_imbalance, profile.target_skew)
 
 
+def profile_catalog(spark: SparkSession, datasets: list[tuple[str, Brief, DataFrame, list[str] | None]],
+                    parallelism: int = 4) -> DataFrame:
+    """Profile several (dataset_id, brief, frame, key columns) at once and return the
+    summary table. Profiles are independent, so their jobs are submitted from a few
+    driver threads and share the cluster (as ``CrossValidator(parallelism=...)`` does)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tabloom.operators.profile import profile_dataset
+
+    def one(item):
+        did, brief, df, keys = item
+        profile, _ = profile_dataset(df, brief, key_cols=keys)
+        return profile_summary(did, brief, profile)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(datasets)))) as pool:
+        rows = list(pool.map(one, datasets))
+    return summary_frame(spark, rows)
+
+
 def summary_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, SUMMARY_SCHEMA)
 
