@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import HASH_BITS
 
-ROWS_PER_BUCKET = 1 << 20
-MAX_BUCKETS = 1 << 14
-BROADCAST_ROWS = 2_000_000
+ROWS_PER_BUCKET = 1 << 20   # rows one window task sorts at most (until MAX_BUCKETS)
+MAX_BUCKETS = 1 << 20       # 10^12 rows -> ~1M rows per bucket; the offset table stays <= 1M rows per class
+BROADCAST_ROWS = 2_000_000  # offsets are broadcast only below this many rows, else joined by shuffle
 MAX_GROUPS = 100_000
 
 
