@@ -29,6 +29,7 @@ from tabloom.functions.hashing import HASH_BITS
 
 ROWS_PER_BUCKET = 1 << 20   # rows one window task sorts at most (until MAX_BUCKETS)
 MAX_BUCKETS = 1 << 20       # 10^12 rows -> ~1M rows per bucket; the offset table stays <= 1M rows per class
+MAX_RANGE_BITS = 16         # range order: at most 2^16 quantile buckets (heavy values are split further)
 BROADCAST_ROWS = 2_000_000  # offsets are broadcast only below this many rows, else joined by shuffle
 MAX_GROUPS = 100_000
 
@@ -64,10 +65,13 @@ def exact_rank(df: DataFrame, sort_key: Column, tie_cols: Sequence[str | Column]
     elif order == "range":
         if tie_hash is None:
             raise ValueError("range order needs tie_hash to split heavy values")
-        nq = 1 << max(bits, 0)
+        # range buckets from approximate quantiles (exactness comes from the counts, so
+        # uneven buckets only cost balance); the sketch is sized to the bucket count
+        nq = 1 << min(max(bits, 0), MAX_RANGE_BITS)
         if nq > 1:
             probs = [i / nq for i in range(1, nq)]
-            qs = d.agg(F.percentile_approx(F.col("_sk"), probs, 10_000).alias("q")).collect()[0]["q"] or []
+            accuracy = int(min(max(10_000, 10 * nq), 1_000_000))
+            qs = d.agg(F.percentile_approx(F.col("_sk"), probs, accuracy).alias("q")).collect()[0]["q"] or []
         else:
             qs = []
         # boundary value -> how many quantile slots it covers (a heavy value repeats)
