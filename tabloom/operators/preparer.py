@@ -36,6 +36,7 @@ from tabloom.plans import overrides as ov
 from tabloom.plans.feature_plan import FeaturePlan
 
 MAX_LEVELS = 10_000
+SPARSE_ONE_HOT_MIN = 32
 BROADCAST_ROWS = 1_000_000
 NULL_LEVEL = "null"
 
@@ -59,7 +60,8 @@ class PreparedFeatures:
         return _pre_frame(self.plan, df, self.freq_maps, self.freq_sizes, keep, keep_prefix)
 
     # ---- stage 2: fills, scaling, encoding ----------------------------------------
-    def output_expressions(self) -> list[Column]:
+    def named_outputs(self) -> list[tuple[str, Column]]:
+        """(output name, expression) over the pre-frame, in matrix (C1 block) order."""
         plan, out = self.plan, []
         for block in column_blocks(plan):
             for c in block:
@@ -70,26 +72,30 @@ class PreparedFeatures:
                     if c in self.scalers:
                         center, scale = self.scalers[c]
                         x = (x - F.lit(center)) / F.lit(scale)
-                    out.append(x.alias(c))
+                    out.append((c, x.alias(c)))
+                    continue
+                x = _c(c)
+                if c in self.fills:
+                    x = F.coalesce(x, F.lit(self.fills[c]).cast(self.raw_types.get(c, "string")))
+                cats = self.categories.get(c, [])
+                if plan.encoding.get(c) == "ordinal":
+                    # codes over the non-missing levels; unseen -> -1; missing stays missing
+                    code = None
+                    for i, v in enumerate([v for v in cats if v is not None]):
+                        cond = x == F.lit(v)
+                        code = F.when(cond, F.lit(float(i))) if code is None else code.when(cond, F.lit(float(i)))
+                    expr = code.otherwise(F.lit(-1.0)) if code is not None else F.lit(-1.0)
+                    out.append((c, F.when(x.isNull(), F.lit(None).cast("double")).otherwise(expr).alias(c)))
                 else:
-                    x = _c(c)
-                    if c in self.fills:
-                        x = F.coalesce(x, F.lit(self.fills[c]).cast(self.raw_types.get(c, "string")))
-                    cats = self.categories.get(c, [])
-                    if plan.encoding.get(c) == "ordinal":
-                        # codes over the non-missing levels; unseen -> -1; missing stays missing
-                        code = None
-                        for i, v in enumerate([v for v in cats if v is not None]):
-                            cond = x == F.lit(v)
-                            code = F.when(cond, F.lit(float(i))) if code is None else code.when(cond, F.lit(float(i)))
-                        expr = code.otherwise(F.lit(-1.0)) if code is not None else F.lit(-1.0)
-                        out.append(F.when(x.isNull(), F.lit(None).cast("double")).otherwise(expr).alias(c))
-                    else:
-                        for v in cats:
-                            cond = x.isNull() if v is None else (x == F.lit(v))
-                            out.append(F.when(cond, 1.0).otherwise(0.0).alias(one_hot_name(c, v)))
+                    for v in cats:
+                        cond = x.isNull() if v is None else (x == F.lit(v))
+                        name = one_hot_name(c, v)
+                        out.append((name, F.when(cond, 1.0).otherwise(0.0).alias(name)))
         return out
 
+    def output_expressions(self) -> list[Column]:
+        return [e for _, e in self.named_outputs()]
+
     def output_names(self) -> list[str]:
         names = []
         for block in column_blocks(self.plan):
@@ -125,20 +131,62 @@ class PreparedFeatures:
 
     def assemble(self, df: DataFrame, keep: Sequence[str] = (), output_col: str = "features",
                  keep_prefix: str = "") -> DataFrame:
-        """Prepared columns into one vector; non-finite values are refused."""
-        from pyspark.ml.feature import VectorAssembler
-        prepared = self.transform(df, keep, keep_prefix)
-        keep = [keep_prefix + k for k in keep]
-        names = self.output_names()
+        """Prepared columns into one vector; non-finite values are refused.
+
+        One-hot features with more than ``SPARSE_ONE_HOT_MIN`` levels are not expanded
+        into columns: their level index comes from a broadcast join with the level table
+        (at most ``MAX_LEVELS`` rows) and ``OneHotEncoder`` emits a sparse vector, whose
+        extra "unseen" slot is dropped so an unseen value encodes as all zeros."""
+        from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+        plan = self.plan
+        wide = {c for c in plan.raw_categorical_features
+                if plan.encoding.get(c) != "ordinal" and len(self.categories.get(c, [])) > SPARSE_ONE_HOT_MIN}
+        pre = self.pre_frame(df, keep, keep_prefix)
+        keep_cols = [keep_prefix + k for k in keep]
+        spark = df.sparkSession
+        for c in wide:
+            levels = self.categories[c]
+            x = _c(c)
+            if c in self.fills:
+                x = F.coalesce(x, F.lit(self.fills[c]).cast(self.raw_types.get(c, "string")))
+            lv = spark.createDataFrame([(v if v is None else str(v), i) for i, v in enumerate(levels)],
+                                       f"`_lv_{c}` string, `_li_{c}` int")
+            pre = (pre.withColumn(f"_lk_{c}", x.cast("string"))
+                   .join(F.broadcast(lv), F.col(f"_lk_{c}").eqNullSafe(F.col(f"_lv_{c}")), "left")
+                   .withColumn(f"_ix_{c}", F.coalesce(F.col(f"_li_{c}"), F.lit(len(levels))).cast("double"))
+                   .drop(f"_lk_{c}", f"_lv_{c}", f"_li_{c}"))
+        exprs, inputs, checks = [], [], []
+        by_name = dict(self.named_outputs())
+        for block in column_blocks(plan):
+            for c in block:
+                if c in wide:
+                    inputs.append(f"_oh_{c}")
+                    continue
+                names = [c] if (c in plan.numeric_features or plan.encoding.get(c) == "ordinal") else \
+                    [one_hot_name(c, v) for v in self.categories.get(c, [])]
+                for n in names:
+                    exprs.append(by_name[n])
+                    inputs.append(n)
+                    checks.append(n)
+        cols = [*[_c(k) for k in keep_cols], *exprs, *[F.col(f"_ix_{c}") for c in wide]]
+        prepared = pre.select(*cols)
         bad = F.lit(False)
-        for n in names:
+        for n in checks:
             x = _c(n)
             bad = bad | x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
         guarded = prepared.withColumn("_bad", F.when(bad, F.raise_error(F.lit(
             "prepared features contain missing or infinite values; add an imputation rule for: "
-            + ", ".join(names[:20])))).otherwise(F.lit(False)))
-        va = VectorAssembler(inputCols=names, outputCol=output_col, handleInvalid="error")
-        return va.transform(guarded.drop("_bad")).select(*[_c(k) for k in keep], output_col)
+            + ", ".join(checks[:20])))).otherwise(F.lit(False))).drop("_bad")
+        if wide:
+            for c in wide:
+                meta = {"ml_attr": {"type": "nominal", "name": f"_ix_{c}",
+                                    "vals": [str(i) for i in range(len(self.categories[c]) + 1)]}}
+                guarded = guarded.withColumn(f"_ix_{c}", F.col(f"_ix_{c}").alias(f"_ix_{c}", metadata=meta))
+            ohe = OneHotEncoder(inputCols=[f"_ix_{c}" for c in wide], outputCols=[f"_oh_{c}" for c in wide],
+                                dropLast=True, handleInvalid="error")
+            guarded = ohe.fit(guarded).transform(guarded)
+        va = VectorAssembler(inputCols=inputs, outputCol=output_col, handleInvalid="error")
+        return va.transform(guarded).select(*[_c(k) for k in keep_cols], output_col)
 
     # ---- S9: persistence --------------------------------------------------------
     def save(self, path: str) -> None:

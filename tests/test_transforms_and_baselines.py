@@ -96,3 +96,24 @@ def test_fold_aware_fit_equals_per_fold_fits(spark):
             assert shared[f].fills[c] == pytest.approx(single.fills[c])
         for c in single.scalers:
             assert shared[f].scalers[c] == pytest.approx(single.scalers[c])
+
+
+def test_sparse_one_hot_matches_wide_columns(spark):
+    import tabloom.operators.preparer as PR
+    rows = [(i, f"v{i % 40}", float(i % 7), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, c string, x double, target int")
+    p, _ = profile_dataset(df, Brief("w", "target", "classification"), key_cols=["k"])
+    plan = build_feature_plan(p, "auto_tabular_preprocessing", {"drop_features": ["k"]})
+    prep = FeaturePreparer(plan).fit(df.where("k < 300"))
+    test = df.union(spark.createDataFrame([(999, "unseen", 1.0, 0)], df.schema))
+    sparse = {r["k"]: r["features"].toArray().tolist() for r in prep.assemble(test, ["k"]).collect()}
+    old = PR.SPARSE_ONE_HOT_MIN
+    PR.SPARSE_ONE_HOT_MIN = 10_000
+    try:
+        dense = {r["k"]: r["features"].toArray().tolist() for r in prep.assemble(test, ["k"]).collect()}
+    finally:
+        PR.SPARSE_ONE_HOT_MIN = old
+    assert sparse.keys() == dense.keys()
+    for k in sparse:
+        assert sparse[k] == pytest.approx(dense[k])
+    assert sum(sparse[999][1:]) == 0.0  # unseen level -> all zeros
