@@ -1,13 +1,13 @@
 """Preparation + model as one fitted unit (M10, M11, S9), cross-validation (A8) and
 grid search (H7).
 
-The preparer is refitted on every fold's training rows, like the reference's
-cloned pipeline. Training frames are cut from their lineage once (checkpoint to
-the shared checkpoint folder) so the folds and the final refit do not recompute
-the split. Ridge regression takes a shortcut that keeps it exact: per fold, one
-aggregate of sufficient statistics on the prepared training rows solves every
-alpha of the grid, and one pass over the prepared validation rows scores all of
-them at once.
+Cross-validation fits one preparation per fold, like the reference's cloned
+pipeline, but all k of them come from shared passes (``FeaturePreparer.fit_folds``).
+Callers materialise the split and folds once (``session.cut_lineage``), so folds and
+refits never recompute them. Ridge regression stays exact with sufficient
+statistics: every fold's moments come from one job, every alpha is solved on the
+driver, and one pass scores every row with its own fold's model for all alphas.
+Other models fit per (fold, trial), submitted from a few driver threads.
 """
 
 from __future__ import annotations

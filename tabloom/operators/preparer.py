@@ -3,8 +3,9 @@
 ``FeaturePreparer(plan).fit(train)`` computes everything a transform needs from the
 training rows only:
 
-* one value-table aggregate over the categorical features and frequency sources:
-  encoder categories (sorted), most-frequent fills, and frequency maps;
+* one value-table aggregate over the categorical features (bounded collect, capped
+  at ``MAX_LEVELS`` per feature): encoder levels (sorted) and most-frequent fills;
+* one grouped count per frequency source, written once as a table (the map);
 * one aggregate over the numeric outputs (count, non-null count, mean, population
   variance, min, max), plus exact quantiles for median fills and robust scaling.
   Scaler statistics are those of the *imputed* column, combined algebraically from
