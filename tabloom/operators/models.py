@@ -233,11 +233,18 @@ class MLPRegressorModel:
 
 def fit_mlp_regressor(df: DataFrame, cols: list[str], label: str, hidden=(64, 32), alpha: float = 1e-4,
                       learning_rate: float = 1e-3, epochs: int = 250, seed: int = 42, tol: float = 1e-4,
-                      n_iter_no_change: int = 10) -> MLPRegressorModel:
-    """Full-batch Adam; each step one Spark job summing per-partition gradients."""
+                      n_iter_no_change: int = 10, val_col: str | None = None) -> MLPRegressorModel:
+    """Full-batch Adam; each epoch is one Spark job in which every partition returns
+    its gradient sum over training rows and its squared error over validation rows
+    (``val_col`` true). With a validation slice, training stops after
+    ``n_iter_no_change`` epochs without a validation-loss gain of ``tol`` and the best
+    weights are kept (early stopping); without one, the training loss decides."""
     from tabloom.session import cut_lineage
-    data = cut_lineage(df.select(*[_c(c).cast("double").alias(c) for c in cols], _c(label).cast("double").alias("_y")))
-    n = data.count()
+    vexpr = (F.col(val_col).cast("boolean") if val_col else F.lit(False)).alias("_val")
+    data = cut_lineage(df.select(*[_c(c).cast("double").alias(c) for c in cols],
+                                 _c(label).cast("double").alias("_y"), vexpr))
+    counts = {r["_val"]: r["count"] for r in data.groupBy("_val").count().collect()}
+    n_train, n_val = counts.get(False, 0), counts.get(True, 0)
     rng = np.random.default_rng(seed)
     sizes = [len(cols), *hidden, 1]
     params = []
@@ -246,43 +253,57 @@ def fit_mlp_regressor(df: DataFrame, cols: list[str], label: str, hidden=(64, 32
         params.append([rng.uniform(-bound, bound, (a, b)), rng.uniform(-bound, bound, b)])
     m = [[np.zeros_like(W), np.zeros_like(b)] for W, b in params]
     v = [[np.zeros_like(W), np.zeros_like(b)] for W, b in params]
-    best, stall = float("inf"), 0
+    best, stall, best_params = float("inf"), 0, None
     flat_len = sum(W.size + b.size for W, b in params)
     for t in range(1, epochs + 1):
         ws = [(W.copy(), b.copy()) for W, b in params]
 
         def grads(batches, ws=ws):
             import pandas as pd
-            g = [np.zeros(flat_len)]
-            loss = 0.0
+            g = np.zeros(flat_len)
+            loss, vloss = 0.0, 0.0
             for pdf in batches:
-                x = pdf[cols].to_numpy(dtype=float)
-                y = pdf["_y"].to_numpy(dtype=float)[:, None]
-                acts = [x]
-                for i, (W, b) in enumerate(ws):
-                    z = acts[-1] @ W + b
-                    acts.append(np.maximum(z, 0.0) if i < len(ws) - 1 else z)
-                err = acts[-1] - y
-                loss += float((err ** 2).sum()) / 2
-                delta = err
-                parts = []
-                for i in range(len(ws) - 1, -1, -1):
-                    W, _ = ws[i]
-                    parts.append((acts[i].T @ delta, delta.sum(axis=0)))
-                    if i > 0:
-                        delta = (delta @ W.T) * (acts[i] > 0)
-                parts.reverse()
-                g[0] += np.concatenate([np.concatenate([gw.ravel(), gb.ravel()]) for gw, gb in parts])
-            yield pd.DataFrame({"g": [g[0].tolist()], "loss": [loss]})
-        # one partial gradient per partition (bounded by partitions x parameters), summed
-        # on the driver like a tree aggregate
-        partials = data.mapInPandas(grads, "g array<double>, loss double").collect()
-        agg = {"g": np.sum([np.array(r["g"]) for r in partials], axis=0), "loss": sum(r["loss"] for r in partials)}
-        gflat = np.array(agg["g"]) / n
-        loss = agg["loss"] / n + alpha / (2 * n) * sum(float((W ** 2).sum()) for W, _ in params)
+                x_all = pdf[cols].to_numpy(dtype=float)
+                y_all = pdf["_y"].to_numpy(dtype=float)[:, None]
+                is_val = pdf["_val"].to_numpy(dtype=bool)
+                for sel, train in ((~is_val, True), (is_val, False)):
+                    if not sel.any():
+                        continue
+                    acts = [x_all[sel]]
+                    for i, (W, b) in enumerate(ws):
+                        z = acts[-1] @ W + b
+                        acts.append(np.maximum(z, 0.0) if i < len(ws) - 1 else z)
+                    err = acts[-1] - y_all[sel]
+                    if not train:
+                        vloss += float((err ** 2).sum()) / 2
+                        continue
+                    loss += float((err ** 2).sum()) / 2
+                    delta, parts = err, []
+                    for i in range(len(ws) - 1, -1, -1):
+                        W, _ = ws[i]
+                        parts.append((acts[i].T @ delta, delta.sum(axis=0)))
+                        if i > 0:
+                            delta = (delta @ W.T) * (acts[i] > 0)
+                    parts.reverse()
+                    g += np.concatenate([np.concatenate([gw.ravel(), gb.ravel()]) for gw, gb in parts])
+            yield pd.DataFrame({"g": [g.tolist()], "loss": [loss], "vloss": [vloss]})
+        # one partial per partition (bounded by partitions x parameters), summed on the
+        # driver like a tree aggregate
+        partials = data.mapInPandas(grads, "g array<double>, loss double, vloss double").collect()
+        gsum = np.sum([np.array(r["g"]) for r in partials], axis=0)
+        loss = sum(r["loss"] for r in partials) / max(n_train, 1)
+        loss += alpha / (2 * max(n_train, 1)) * sum(float((W ** 2).sum()) for W, _ in params)
+        watch = sum(r["vloss"] for r in partials) / n_val if n_val else loss
+        if watch < best - tol:
+            best, stall, best_params = watch, 0, [(W.copy(), b.copy()) for W, b in params]
+        else:
+            stall += 1
+            if stall >= n_iter_no_change:
+                break
+        gflat = gsum / max(n_train, 1)
         off = 0
         for i, (W, b) in enumerate(params):
-            gw = gflat[off:off + W.size].reshape(W.shape) + alpha / n * W
+            gw = gflat[off:off + W.size].reshape(W.shape) + alpha / max(n_train, 1) * W
             off += W.size
             gb = gflat[off:off + b.size]
             off += b.size
@@ -291,10 +312,5 @@ def fit_mlp_regressor(df: DataFrame, cols: list[str], label: str, hidden=(64, 32
                 v[i][j] = 0.999 * v[i][j] + 0.001 * gr * gr
                 mh, vh = m[i][j] / (1 - 0.9 ** t), v[i][j] / (1 - 0.999 ** t)
                 params[i][j] = params[i][j] - learning_rate * mh / (np.sqrt(vh) + 1e-8)
-        if loss > best - tol:
-            stall += 1
-            if stall >= n_iter_no_change:
-                break
-        else:
-            best, stall = loss, 0
-    return MLPRegressorModel(list(cols), [(W.tolist(), b.tolist()) for W, b in params])
+    final = best_params if (n_val and best_params is not None) else params
+    return MLPRegressorModel(list(cols), [(W.tolist(), b.tolist()) for W, b in final])

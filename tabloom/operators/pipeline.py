@@ -122,9 +122,16 @@ class TabularPipeline:
             fp.linear = M.fit_ridge(prep, names, self.target, float(self.params.get("alpha", 1.0)))
             return fp
         if self.model_name == "mlp_regressor":
-            prep = prepared.transform(train, [self.target])
+            pk = "__keep__"
+            prep = prepared.transform(train, [self.target, *self.key_cols], pk)
+            val = None
+            if self.training.get("early_stopping"):
+                frac = float(self.training.get("validation_fraction", 0.1))
+                prep = prep.withColumn("_is_val", unit_hash([f"`{pk}{k}`" for k in self.key_cols], "valid:42") < F.lit(frac))
+                val = "_is_val"
+            prep = prep.withColumnRenamed(pk + self.target, self.target)
             hidden = tuple(self.params.get("hidden_layer_sizes", (64, 32)))
-            fp.mlp = M.fit_mlp_regressor(prep, names, self.target, hidden=hidden,
+            fp.mlp = M.fit_mlp_regressor(prep, names, self.target, val_col=val, hidden=hidden,
                                          alpha=float(self.params.get("alpha", 1e-4)),
                                          learning_rate=float(self.training.get("learning_rate") or 1e-3),
                                          epochs=int(self.training.get("epochs") or 250),

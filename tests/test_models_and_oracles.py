@@ -73,3 +73,22 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert {r["role"] for r in rows} == {"baseline", "candidate"}
     assert set(df.columns) == {"model", "role", "split", "metric", "value"}
+
+
+def test_mlp_regressor_beats_mean_baseline(spark):
+    from pyspark.sql import functions as F
+    from tabloom.operators.pipeline import TabularPipeline, score
+    from tabloom.operators.profile import Brief, profile_dataset
+    from tabloom.operators.split import holdout_split
+    from tabloom.plans.feature_plan import build_feature_plan
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select(
+        "o_orderkey", (F.col("o_custkey") % 97 / 10.0).alias("x1"), (F.col("o_orderkey") % 89 / 10.0).alias("x2"))
+    o = o.withColumn("y", 3 * F.col("x1") - 2 * F.col("x2") * F.col("x2"))
+    p, _ = profile_dataset(o, Brief("m", "y", "regression"), key_cols=["o_orderkey"])
+    plan = build_feature_plan(p, "auto_tabular_preprocessing", {"drop_features": ["o_orderkey"]})
+    s = holdout_split(o, ["o_orderkey"])
+    training = cat.default_training_configuration("mlp_regressor", p.rows)
+    training.update(learning_rate=0.01, epochs=120)
+    fitted = TabularPipeline(plan, "regression", "mlp_regressor", "y", ["o_orderkey"],
+                             {"hidden_layer_sizes": (16, 8), "alpha": 1e-4}, training).fit(s.where("split = 'train'"))
+    assert score(fitted, s.where("split = 'test'"), ["o_orderkey"])["r2"] > 0.5
