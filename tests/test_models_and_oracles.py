@@ -92,3 +92,14 @@ def test_mlp_regressor_beats_mean_baseline(spark):
     fitted = TabularPipeline(plan, "regression", "mlp_regressor", "y", ["o_orderkey"],
                              {"hidden_layer_sizes": (16, 8), "alpha": 1e-4}, training).fit(s.where("split = 'train'"))
     assert score(fitted, s.where("split = 'test'"), ["o_orderkey"])["r2"] > 0.5
+
+
+def test_scope_edits_and_top_trials(spark):
+    from tabloom.plans.workflow import competition_dashboard, top_trials
+    assert cat.edit_scope(["a", "b"], add=["c"], remove=["a"]) == ["b", "c"]
+    assert cat.edit_scope(["a"], replace=["x", "x", "y"]) == ["x", "y"]
+    rows = [{"trial": t, "params": {"alpha": t}, "cv_metric": float(20 - t % 7), "cv_metric_std": 0.0} for t in range(20)]
+    dash = competition_dashboard(spark, rows, "rmse")
+    top = top_trials(dash, 12).collect()
+    assert len(top) == 12 and top[0]["rank"] == 1 and top[0]["cv_metric"] == 14.0
+    assert [r["rank"] for r in top] == sorted(r["rank"] for r in top)
