@@ -26,7 +26,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fold(n: int):
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
 @_register
@@ -43,3 +43,22 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every whole text, as digests."""
     from tabloom.llm import bpe
     return bpe.digests(bpe.encode_decode(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json")))
+
+
+@_register
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from the labelled rows outside the held-out fold."""
+    from tabloom.llm import toxicity
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    lexicon = toxicity.learn(docs, labels.where(_fold(5) != 0))
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_register
+def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PPM and unigram scores of every whole text, learned from the texts outside the held-out fold."""
+    from tabloom.llm import ppm
+    docs = _documents(spark, sf_dir)
+    model, words = ppm.learn(docs.where(_fold(7) != 2))
+    return ppm.score(docs, model, words).select("doc_id", (_fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
