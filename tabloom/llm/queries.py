@@ -62,3 +62,10 @@ def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model, words = ppm.learn(docs.where(_fold(7) != 2))
     return ppm.score(docs, model, words).select("doc_id", (_fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_register
+def op6_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept vectors of all ``embeddings`` at cosine 0.98."""
+    from tabloom.llm import embed_join
+    return embed_join.range_join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.98)
