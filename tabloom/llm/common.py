@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tabloom.session import checkpoint_dir, cut_lineage
 
-__all__ = ["Fingerprints", "array_bytes", "binary_column", "checkpoint_dir", "chunks", "cut_lineage", "mix64",
+__all__ = ["Fingerprints", "array_bytes", "binary_column", "checkpoint_dir", "chunks", "cut_lineage", "drop", "keep", "mix64",
            "ship", "word_spans", "with_text"]
 
 U64 = np.uint64
@@ -45,6 +45,22 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """cut_lineage that remembers where the table lies, for ``drop``."""
+    out = cut_lineage(df)
+    out.table_files = out.inputFiles()[:1]
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables written by ``keep`` that no later step reads."""
+    for df in tables:
+        for name in df.table_files:
+            jvm = df.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (splitmix64)."""
     x = x ^ (x >> U64(30))

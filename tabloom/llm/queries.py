@@ -69,3 +69,10 @@ def op6_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, components and kept vectors of all ``embeddings`` at cosine 0.98."""
     from tabloom.llm import embed_join
     return embed_join.range_join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.98)
+
+
+@_register
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles agree to 0.9."""
+    from tabloom.llm import parity_join
+    return parity_join.near_duplicates(_documents(spark, sf_dir), 3, 90)
