@@ -76,3 +76,13 @@ def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles agree to 0.9."""
     from tabloom.llm import parity_join
     return parity_join.near_duplicates(_documents(spark, sf_dir), 3, 90)
+
+
+@_register
+def op10_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of 13 words taken out of all documents but the first with each."""
+    from tabloom.llm import automaton_dedup
+    kept = automaton_dedup.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), 13)
+    # kept words joined by one space, in texts that lost nothing too
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
