@@ -86,3 +86,10 @@ def op10_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # kept words joined by one space, in texts that lost nothing too
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+@_register
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated strings of 400 bytes taken out of every whole text."""
+    from tabloom.llm import suffix_dedup
+    return suffix_dedup.remove_repeats(_documents(spark, sf_dir), 400).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
