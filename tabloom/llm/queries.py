@@ -93,3 +93,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated strings of 400 bytes taken out of every whole text."""
     from tabloom.llm import suffix_dedup
     return suffix_dedup.remove_repeats(_documents(spark, sf_dir), 400).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_register
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that leaked into each document."""
+    from tabloom.llm import decontam
+    return decontam.find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
