@@ -1,13 +1,68 @@
-"""Training-corpus pipeline over ``documents``: language ID, near-duplicate groups, repeated
-passages, benchmark leaks, BPE."""
+"""Training-corpus pipeline over ``documents``: language ID, one document per near-duplicate
+group, repeated passages, benchmark leaks, byte-level BPE.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; each result
+is written as Parquet and read again. All stages but the last return the columns of
+``documents``. SQL cannot express the first and the last stage, so there is no ORACLE_SQL; the
+tests hold the stages against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabloom.llm import automaton_dedup, bpe, decontam, langid, parity_join
+from tabloom.llm.common import cut_lineage
+from tabloom.llm.queries import vocabulary
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts whose language can be told stay; those without a letter (``und``) go."""
+    model = langid.learn(docs, vocabulary("piece_bpe_32k.model"))
+    scored = langid.score_rows(docs, model)
+    return scored.where(F.col("lang_pred") != langid.UND).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked at 0.8 on 5-word shingles, the document with the smallest id stays."""
+    groups = parity_join.near_duplicates(docs, 5, 80)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # rows that share an id are one document
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 13 words that an earlier document holds too are cut out of the text."""
+    kept = automaton_dedup.remove_repeats(docs, 13)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item's question and answer go."""
+    leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    ids = leaks.select(F.col("doc_id").alias("leaked")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of what is left, as digests."""
+    return bpe.digests(bpe.encode_decode(docs, vocabulary("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("language_id", language),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("benchmark_decontamination", benchmark_leaks),
+    ("bpe_round_trip", encode),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return docs

@@ -100,3 +100,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that leaked into each document."""
     from tabloom.llm import decontam
     return decontam.find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@_register
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as sequences of 512 byte ids in a keyed order, written as fixed-stride shards."""
+    from tabloom.llm import training_order
+    return training_order.materialise(_documents(spark, sf_dir), training_order.shared_folder(spark))
