@@ -7,7 +7,7 @@ too. Windows are judged on the input, not on what is left.
 Every window chooses one of its short shingles, the first one with the least hash. Equal windows choose
 equal shingles, so documents that share a window share a chosen shingle; the first document
 with a shingle is the reference of all others that have it. The references are the shards:
-a document's words travel to the reference of each of its shared shingles, where the suffix
+the stretches of a document that hold windows of a shared shingle travel to that shingle's reference, where the suffix
 automaton of the reference gives their matching statistics, and the windows that end
 where at least ``min_words`` words match are removed. (The automata of all references together
 grow with the corpus, so they are not broadcast but joined, one automaton per reference and task;
@@ -154,42 +154,71 @@ def _later(rows: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
     return rows.select(*columns).repartition(keys[0]).sortWithinPartitions(*keys, "doc_id").mapInArrow(run, schema)
 
 
+def _asked(texts: DataFrame, min_words: int) -> DataFrame:
+    """Rows (first, doc_id, low, windows, text): the stretches of a document's words that hold windows to be looked up
+    in the reference ``first``; ``low`` is the number of the stretch's first word, ``windows`` are window starts within it.
+    ``texts``: (doc_id, text, asked), ``asked`` a list of (key, first) in any order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, buf, offs in chunks(batches, "text"):
+            starts, ends, doc = word_spans(buf, offs)
+            at, key = chosen(Fingerprints(buf).of(starts, ends), doc, min_words)
+            bounds = np.searchsorted(at, doc)
+            body = buf.tobytes()
+            lists = part.column(2)
+            list_at = lists.offsets.to_numpy()
+            wanted = lists.flatten().field("key").to_numpy(zero_copy_only=False).astype(np.int64).view(U)
+            wanted_first = lists.flatten().field("first").to_numpy(zero_copy_only=False)
+            ids = part.column(0).to_pylist()
+            out: list[tuple] = []
+            for row in range(part.num_rows):
+                a, b = list_at[row] - list_at[0], list_at[row + 1] - list_at[0]
+                order = np.argsort(wanted[a:b])
+                keys, firsts = wanted[a:b][order], wanted_first[a:b][order]
+                own = slice(bounds[row], bounds[row + 1])
+                spot = np.minimum(np.searchsorted(keys, key[own]), len(keys) - 1)
+                hit = np.flatnonzero(keys[spot] == key[own])
+                if not len(hit):
+                    continue
+                place, first = at[own][hit], firsts[spot[hit]]
+                order = np.lexsort((place, first))
+                place, first = place[order], first[order]
+                cuts = np.flatnonzero((np.diff(first) != 0) | (np.diff(place) > min_words)) + 1
+                for c, d in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)]):
+                    low, high = int(place[c]), int(place[d - 1]) + min_words - 1
+                    out.append((int(first[c]), ids[row], low - int(doc[row]), (place[c:d] - low).astype(np.int32).tobytes(), body[starts[low]:ends[high]].decode()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()))],
+                                                 ["first", "doc_id", "low", "windows", "text"])
+
+    return texts.mapInArrow(run, "first bigint, doc_id bigint, low bigint, windows binary, text string")
+
+
 def _against_references(asked: DataFrame, min_words: int) -> DataFrame:
     """Rows (doc_id, start, stop, h1, h2): runs of window starts found in their reference (h1 null), and
-    single windows not found in it. ``asked``: (first, doc_id, keys, text, reference), a reference's rows together."""
+    single windows not found in it. ``asked``: rows of _asked with the text of their reference, a reference's rows together."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, automaton = None, None
-        for part, buf, offs in chunks(batches, "text"):
+        for part, buf, offs in chunks(batches, "text", 1 << 19):
             starts, ends, doc = word_spans(buf, offs)
             words = Fingerprints(buf).of(starts, ends)
-            at, key = chosen(words, doc, min_words)
             h1, h2 = _sequences(words, min_words, 1), _sequences(words, min_words, 2)
-            bounds = np.searchsorted(at, doc)
-            firsts, ids = part.column(0).to_pylist(), part.column(1).to_pylist()
+            firsts, ids, lows, lists = (part.column(k).to_pylist() for k in range(4))
             out: list[tuple] = []
             for row in range(part.num_rows):
                 if firsts[row] != now:
                     now = firsts[row]
-                    ref = np.frombuffer((part.column(4)[row].as_py() or "").encode(), np.uint8)
+                    ref = np.frombuffer((part.column(5)[row].as_py() or "").encode(), np.uint8)
                     a, b, _ = word_spans(ref, np.array([0, len(ref)]))
                     automaton = SuffixAutomaton(Fingerprints(ref).of(a, b).tolist())
-                own = slice(bounds[row], bounds[row + 1])
-                wanted = np.array(part.column(2)[row].as_py(), np.int64).view(U)
-                mine = at[own][np.isin(key[own], wanted)]
-                if not len(mine):
-                    continue
-                # stretches of neighbouring windows, each streamed once
-                cut = np.flatnonzero(np.diff(mine) > min_words) + 1
-                for group in np.split(mine, cut):
-                    low = int(group[0])
-                    stat = np.array(automaton.statistics(words[low:int(group[-1]) + min_words].tolist()))
-                    found = stat[group - low + min_words - 1] >= min_words
-                    hit = group[found] - doc[row]
-                    if len(hit):
-                        for r in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
-                            out.append((ids[row], int(r[0]), int(r[-1]) + 1, None, None))
-                    for p in group[~found].tolist():
-                        out.append((ids[row], p - int(doc[row]), p - int(doc[row]) + 1, int(h1[p].view(np.int64)), int(h2[p] >> U(33))))
+                place, base = np.frombuffer(lists[row], np.int32).astype(np.int64), int(doc[row])
+                stat = np.array(automaton.statistics(words[base:int(doc[row + 1])].tolist()))
+                found = stat[place + min_words - 1] >= min_words
+                hit = place[found] + lows[row]
+                if len(hit):
+                    for r in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
+                        out.append((ids[row], int(r[0]), int(r[-1]) + 1, None, None))
+                for p in place[~found].tolist():
+                    out.append((ids[row], p + lows[row], p + lows[row] + 1, int(h1[base + p].view(np.int64)), int(h2[base + p] >> U(33))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))],
                                                  ["doc_id", "start", "stop", "h1", "h2"])
@@ -201,11 +230,12 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     """Rows (doc_id, runs): the starts of a document's removed windows as [start, stop) runs of word numbers."""
     docs = docs.where("doc_id is not null and text is not null")
     later = keep(_later(_shingles(docs, min_words), ["key"], []))
-    pairs = later.groupBy("first", "doc_id").agg(F.collect_list("key").alias("keys"))  # at most a document's windows
+    lists = later.groupBy("doc_id").agg(F.collect_set(F.struct("key", "first")).alias("asked"))  # at most a document's windows
     involved = later.select("doc_id").union(later.select(F.col("first").alias("doc_id"))).distinct()
     texts = keep(docs.join(involved, "doc_id", "left_semi"))
     references = texts.select(F.col("doc_id").alias("first"), F.col("text").alias("reference"))
-    asked = pairs.join(texts, "doc_id").join(references, "first").select("first", "doc_id", "keys", "text", "reference")
+    asked = _asked(texts.join(lists, "doc_id").select("doc_id", "text", "asked"), min_words)
+    asked = asked.join(references, "first").select(*asked.columns, "reference")
     found = cut_lineage(_against_references(asked, min_words))
     drop(later, texts)
     among = _later(found.where("h1 is not null"), ["h1", "h2"], ["start", "stop"])
