@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tabloom.llm.common import Fingerprints, chunks, cut_lineage, drop, keep, mix64, ship, word_spans
+from tabloom.llm.common import Fingerprints, chunks, cut_lineage, drop, keep, mix64, release, ship, word_spans
 
 SHINGLE = 4
 U = np.uint64
@@ -232,7 +232,9 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     later = keep(_later(_shingles(docs, min_words), ["key"], []))
     lists = later.groupBy("doc_id").agg(F.collect_set(F.struct("key", "first")).alias("asked"))  # at most a document's windows
     involved = later.select("doc_id").union(later.select(F.col("first").alias("doc_id"))).distinct()
+    release(docs.sparkSession)
     texts = keep(docs.join(involved, "doc_id", "left_semi"))
+    release(docs.sparkSession)
     references = texts.select(F.col("doc_id").alias("first"), F.col("text").alias("reference"))
     asked = _asked(texts.join(lists, "doc_id").select("doc_id", "text", "asked"), min_words)
     asked = asked.join(references, "first").select(*asked.columns, "reference")

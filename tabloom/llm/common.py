@@ -3,6 +3,7 @@ fingerprints, lineage cuts, and shipping the package to the executors."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tabloom.session import checkpoint_dir, cut_lineage
 
 __all__ = ["Fingerprints", "array_bytes", "binary_column", "checkpoint_dir", "chunks", "cut_lineage", "drop", "keep", "mix64",
-           "ship", "word_spans", "with_text"]
+           "release", "ship", "word_spans", "with_text"]
 
 U64 = np.uint64
 CHUNK_BYTES = 2 << 20
@@ -52,13 +53,21 @@ def keep(df: DataFrame) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs now: it does so when the driver's garbage
+    collector finds that nothing refers to them, which on a quiet driver can take long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(*tables: DataFrame) -> None:
-    """Delete tables written by ``keep`` that no later step reads."""
+    """Delete tables written by ``keep`` that no later step reads, and release finished shuffles."""
     for df in tables:
         for name in df.table_files:
             jvm = df.sparkSession._jvm
             folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    release(tables[0].sparkSession)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

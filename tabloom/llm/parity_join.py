@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Fingerprints, binary_column, chunks, cut_lineage, drop, keep, mix64, ship, word_spans
+from tabloom.llm.common import Fingerprints, binary_column, chunks, cut_lineage, drop, keep, mix64, release, ship, word_spans
 from tabloom.llm.components import connected_components
 
 SKETCH_BITS = 1024
@@ -231,6 +231,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     classes = cut_lineage(sets.groupBy(*same).agg(F.min("doc_id").alias("rep")))
     reps = sets.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi")
     stars = cut_lineage(_stars(reps.select(F.explode("keys").alias("key"), "doc_id")))
+    release(docs.sparkSession)
     clusters = connected_components(stars)
     shapes = classes.select(F.col("rep").alias("doc_id"), "n_shingles").distinct()
     members = cut_lineage(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(shapes, "doc_id"))
