@@ -7,6 +7,7 @@ where SQL can express it, an equivalent DuckDB query used as the correctness ora
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
@@ -21,11 +22,6 @@ def job(name: str, sql: str | None = None):
 
 
 def registry() -> dict[str, tuple[Callable, str | None]]:
-    from tabloom.jobs import profiling  # noqa: F401
-    for mod in ("planning", "preparation", "splitting", "evaluation", "modelling"):
-        try:
-            __import__(f"tabloom.jobs.{mod}")
-        except ModuleNotFoundError as exc:  # module not written yet
-            if exc.name != f"tabloom.jobs.{mod}":
-                raise
+    for module in ("profiling", "planning", "preparation", "splitting", "evaluation", "modelling"):
+        import_module(f"tabloom.jobs.{module}")
     return dict(REGISTRY)

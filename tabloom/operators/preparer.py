@@ -24,6 +24,7 @@ import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +38,6 @@ from tabloom.plans import overrides as ov
 from tabloom.plans.feature_plan import FeaturePlan
 
 MAX_LEVELS = 10_000
-SPARSE_ONE_HOT_MIN = 32
 BROADCAST_ROWS = 1_000_000
 NULL_LEVEL = "null"
 
@@ -134,14 +134,13 @@ class PreparedFeatures:
                  keep_prefix: str = "") -> DataFrame:
         """Prepared columns into one vector; non-finite values are refused.
 
-        One-hot features with more than ``SPARSE_ONE_HOT_MIN`` levels are not expanded
-        into columns: their level index comes from a broadcast join with the level table
-        (at most ``MAX_LEVELS`` rows) and ``OneHotEncoder`` emits a sparse vector, whose
+        One-hot features are not expanded into columns, however many levels they have:
+        the level index comes from a join with the level table, on the typed value, and ``OneHotEncoder`` emits a sparse vector, whose
         extra "unseen" slot is dropped so an unseen value encodes as all zeros."""
         from pyspark.ml.feature import OneHotEncoder, VectorAssembler
         plan = self.plan
         wide = {c for c in plan.raw_categorical_features
-                if plan.encoding.get(c) != "ordinal" and len(self.categories.get(c, [])) > SPARSE_ONE_HOT_MIN}
+                if plan.encoding.get(c) != "ordinal" and self.categories.get(c)}
         pre = self.pre_frame(df, keep, keep_prefix)
         keep_cols = [keep_prefix + k for k in keep]
         spark = df.sparkSession
@@ -150,9 +149,9 @@ class PreparedFeatures:
             x = _c(c)
             if c in self.fills:
                 x = F.coalesce(x, F.lit(self.fills[c]).cast(self.raw_types.get(c, "string")))
-            lv = spark.createDataFrame([(v if v is None else str(v), i) for i, v in enumerate(levels)],
-                                       f"`_lv_{c}` string, `_li_{c}` int")
-            pre = (pre.withColumn(f"_lk_{c}", x.cast("string"))
+            kind = self.raw_types.get(c, "string")
+            lv = spark.createDataFrame([(v, i) for i, v in enumerate(levels)], f"`_lv_{c}` {kind}, `_li_{c}` int")
+            pre = (pre.withColumn(f"_lk_{c}", x.cast(kind))
                    .join(F.broadcast(lv), F.col(f"_lk_{c}").eqNullSafe(F.col(f"_lv_{c}")), "left")
                    .withColumn(f"_ix_{c}", F.coalesce(F.col(f"_li_{c}"), F.lit(len(levels))).cast("double"))
                    .drop(f"_lk_{c}", f"_lv_{c}", f"_li_{c}"))
@@ -208,8 +207,27 @@ class PreparedFeatures:
         pl = meta["plan"]
         plan = FeaturePlan(**{k: (tuple(v) if isinstance(v, list) else v) for k, v in pl.items()})
         freq = {src: spark.read.parquet(f"{path}/freq/{_safe(src)}") for src in meta["freq_sizes"]}
-        return PreparedFeatures(plan, meta["fills"], {k: tuple(v) for k, v in meta["scalers"].items()},
-                                meta["categories"], freq, meta["freq_sizes"], meta["raw_types"])
+        kinds = meta["raw_types"]
+        fills = {c: _typed(v, kinds.get(c, "string")) for c, v in meta["fills"].items()}
+        levels = {c: [_typed(v, kinds.get(c, "string")) for v in vs] for c, vs in meta["categories"].items()}
+        return PreparedFeatures(plan, fills, {k: tuple(v) for k, v in meta["scalers"].items()},
+                                levels, freq, meta["freq_sizes"], meta["raw_types"])
+
+
+def _typed(value, kind: str):
+    """A level or fill as the Python value of a column of type ``kind``; what does not parse stays as it is."""
+    if value is None or not isinstance(value, (str, int, float)) or kind == "string":
+        return value
+    try:
+        if kind == "boolean":
+            return value if isinstance(value, bool) else {"true": True, "1": True, "false": False, "0": False}[str(value).lower()]
+        if kind in ("tinyint", "smallint", "int", "bigint"):
+            return int(value)
+        if kind.startswith("decimal"):
+            return Decimal(str(value))
+        return float(value) if kind in ("float", "double") else value
+    except (KeyError, ValueError, ArithmeticError):
+        return value
 
 
 def _safe(name: str) -> str:
@@ -219,6 +237,10 @@ def _safe(name: str) -> str:
 def one_hot_name(c: str, v) -> str:
     if v is None:
         return f"{c}={NULL_LEVEL}"
+    if v == NULL_LEVEL:
+        return f'{c}="{v}"'
+    if isinstance(v, bool):
+        return f"{c}={str(v).lower()}"
     if isinstance(v, float) and v.is_integer():
         v = int(v)
     return f"{c}={v}"
@@ -341,7 +363,7 @@ class FeaturePreparer:
         if cats:
             # the value table, additionally keyed by the group (fold) of each row
             ent = [F.struct(F.lit(i).alias("pos"),
-                            (F.lit(None).cast("string") if is_numeric_type(types[c]) else _c(c).cast("string")).alias("value"),
+                            _c(c).cast("string").alias("value"),
                             (_c(c).cast("double") if is_numeric_type(types[c]) else F.lit(None).cast("double")).alias("value_num"))
                    for i, c in enumerate(cats)]
             vt = (df.select(g.alias("_g"), F.inline(F.array(*ent)))
@@ -443,16 +465,11 @@ class FeaturePreparer:
     def _levels(self, c: str, dtype, counts: dict):
         """Fill value (most frequent / constant) and sorted encoder levels of one column."""
         plan = self.plan
-        numeric = is_numeric_type(dtype)
-        integral = dtype.typeName() in ("integer", "long", "short", "byte")
+        numeric, kind = is_numeric_type(dtype), dtype.simpleString()
 
         def typed(key):
             num, text = key
-            if num is None and text is None:
-                return None
-            if numeric:
-                return int(num) if integral else num
-            return text
+            return None if text is None else _typed(num if kind in ("float", "double") else text, kind)
 
         imp = plan.imputation.get(c)
         nonnull = [(k, n) for k, n in counts.items() if n > 0 and typed(k) is not None]
@@ -462,7 +479,7 @@ class FeaturePreparer:
                 best = min(nonnull, key=lambda kn: (-kn[1], kn[0][0] if numeric else kn[0][1]))
                 fill = typed(best[0])
             elif imp["strategy"] == "constant":
-                fill = imp["value"]
+                fill = _typed(imp["value"], kind)
         vals = [typed(k) for k, n in counts.items() if n > 0]
         if fill is not _NO_FILL:  # imputation happens before encoding: NULL becomes the fill
             vals = [v for v in vals if v is not None]

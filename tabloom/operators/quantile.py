@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 COLLECT_LIMIT = 200_000
-MAX_PASSES = 64
+MAX_PASSES = 256  # a pass narrows a bracket 4096-fold; doubles span 2^2098
 
 
 def _positions(n: int, p: float) -> tuple[int, int, float]:
@@ -46,6 +46,20 @@ def column_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, fl
     return {c: (row[f"n{i}"], row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(cols)}
 
 
+def _infinite(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, int, float, float]]:
+    """Of columns with infinite values: how many are -inf and +inf, and the finite range."""
+    if not cols:
+        return {}
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(f"`{c}`").cast("double")
+        finite = F.when((x > F.lit(-math.inf)) & (x < F.lit(math.inf)), x)
+        aggs += [F.count_if(x == F.lit(-math.inf)).alias(f"a{i}"), F.count_if(x == F.lit(math.inf)).alias(f"b{i}"),
+                 F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}")]
+    r = df.agg(*aggs).collect()[0]
+    return {c: (r[f"a{i}"], r[f"b{i}"], r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(cols)}
+
+
 def order_statistics(df: DataFrame, wanted: Mapping[str, Sequence[int]],
                      counts: Mapping[str, tuple[int, float, float]] | None = None) -> dict[tuple[str, int], float]:
     """k-th smallest non-null value (1-based) of each column for each requested k."""
@@ -54,6 +68,7 @@ def order_statistics(df: DataFrame, wanted: Mapping[str, Sequence[int]],
         return {}
     if counts is None:
         counts = column_counts(df, cols)
+    infinite = _infinite(df, [c for c in cols if counts[c][0] and (math.isinf(counts[c][1]) or math.isinf(counts[c][2]))])
     result: dict[tuple[str, int], float] = {}
     # open targets: (col, k) -> [lo, hi, below]
     open_: dict[tuple[str, int], list] = {}
@@ -64,6 +79,16 @@ def order_statistics(df: DataFrame, wanted: Mapping[str, Sequence[int]],
                 result[(c, k)] = None
             elif mn == mx:
                 result[(c, k)] = float(mn)
+            elif c in infinite:
+                low, high, lo, hi = infinite[c]
+                if k <= low:
+                    result[(c, k)] = -math.inf
+                elif k > n - high:
+                    result[(c, k)] = math.inf
+                elif lo == hi:
+                    result[(c, k)] = float(lo)
+                else:
+                    open_[(c, k)] = [float(lo), float(hi), low, n - low - high]
             else:
                 open_[(c, k)] = [float(mn), float(mx), 0, n]
     passes = 0
@@ -95,7 +120,7 @@ def order_statistics(df: DataFrame, wanted: Mapping[str, Sequence[int]],
             for i, t in enumerate(big):
                 lo, hi, _, _ = open_[t]
                 x = F.col(f"`{t[0]}`").cast("double")
-                b = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+                b = F.least(F.floor((x / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
                 entries.append(F.when((x >= lo) & (x <= hi), F.struct(F.lit(i).alias("t"), b.alias("b"), x.alias("x"))))
             hist = (df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
                     .groupBy("e.t", "e.b").agg(F.count(F.lit(1)).alias("n"), F.min("e.x").alias("mn"),

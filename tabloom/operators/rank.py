@@ -79,9 +79,9 @@ def exact_rank(df: DataFrame, sort_key: Column, tie_cols: Sequence[str | Column]
         for q in qs:
             reps[int(q)] = reps.get(int(q), 0) + 1
         bounds = sorted(reps)
-        # splits -inf, b1, b1+1, b2, b2+1, ..., +inf: [b, b+1) holds exactly the
-        # integer value b, so every boundary value is a bucket of its own. Bucketizer
-        # finds the bucket by binary search inside the JVM.
+        # splits -inf, b1, b1+1, b2, b2+1, ..., +inf: up to 2^53 [b, b+1) holds exactly the
+        # integer value b, so every boundary value is a bucket of its own; beyond, buckets are
+        # still monotone. Bucketizer finds the bucket by binary search inside the JVM.
         if bounds:
             from pyspark.ml.feature import Bucketizer
             splits = sorted({float(x) for b in bounds for x in (b, b + 1)})
@@ -89,16 +89,22 @@ def exact_rank(df: DataFrame, sort_key: Column, tie_cols: Sequence[str | Column]
             d = d.withColumn("_skd", F.col("_sk").cast("double"))
             d = Bucketizer(splits=splits, inputCol="_skd", outputCol="_bd").transform(d)
             d = d.withColumn("_b", F.col("_bd").cast("bigint")).drop("_skd", "_bd")
-            heavy = {splits.index(float(b)): max(1, int(math.ceil(math.log2(reps[b] + 1))))
-                     for b in bounds if reps[b] >= 2}
+            # A heavy value is split by the tie hash. Doubles cannot tell large neighbours apart, so the
+            # value itself is compared as BIGINT: smaller rows of the bucket come first, then its own
+            # splits, then the larger ones.
+            heavy: dict[int, list[tuple[int, int]]] = {}
+            for b in bounds:
+                if reps[b] >= 2:
+                    heavy.setdefault(splits.index(float(b)), []).append((b, max(1, int(math.ceil(math.log2(reps[b] + 1))))))
             sub = F.lit(0).cast("bigint")
-            if heavy:
-                sub_expr = None
-                for bid, sb in heavy.items():
-                    cond = F.col("_b") == F.lit(bid)
-                    val = F.shiftright(tie_hash, HASH_BITS - sb)
-                    sub_expr = F.when(cond, val) if sub_expr is None else sub_expr.when(cond, val)
-                sub = sub_expr.otherwise(F.lit(0)).cast("bigint")
+            for bid, values in heavy.items():
+                base, inner = 0, None
+                for b, sb in values:
+                    below, own = F.col("_sk") < F.lit(b).cast("bigint"), F.col("_sk") == F.lit(b).cast("bigint")
+                    split = F.lit(base + 1) + F.shiftright(tie_hash, HASH_BITS - sb)
+                    inner = (F.when(below, F.lit(base)) if inner is None else inner.when(below, F.lit(base))).when(own, split)
+                    base += 1 + (1 << sb)
+                sub = F.when(F.col("_b") == F.lit(bid), inner.otherwise(F.lit(base))).otherwise(sub).cast("bigint")
             d = d.withColumn("_sub", sub)
         else:
             d = d.withColumn("_b", F.lit(0).cast("bigint")).withColumn("_sub", F.lit(0).cast("bigint"))

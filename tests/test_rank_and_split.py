@@ -81,3 +81,32 @@ def test_exact_quantiles_small_buckets(spark):
             assert got[("x", p)] == np.percentile(vals, p * 100)
     finally:
         Q.BUCKETS, Q.COLLECT_LIMIT = old
+
+
+def test_range_rank_with_a_heavy_sentinel_beyond_2_53(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from tabloom.functions.hashing import row_hash
+    from tabloom.operators.rank import exact_rank
+    top = 10_413_792_000_000_000  # 2300-01-01 in microseconds
+    df = spark.range(8000).select("id", F.when(F.col("id") % 2 == 0, F.lit(top)).when(F.col("id") % 3 == 0, F.lit(top) + 1).otherwise(F.lit(top) + F.col("id")).alias("t"))
+    df = df.withColumn("h", row_hash(["id"]))
+    got = exact_rank(df, F.col("t"), ["h", "id"], order="range", tie_hash=F.col("h"), rows_per_bucket=100)
+    want = df.withColumn("want", F.row_number().over(Window.orderBy("t", "h", "id"))).select("id", "want")
+    assert got.join(want, "id").where("_rank <> want").count() == 0
+
+
+def test_quantiles_with_infinite_values(spark):
+    from pyspark.sql import functions as F
+    from tabloom.operators import quantile as Q
+    df = spark.range(5000).select(F.when(F.col("id") < 300, F.lit(float("-inf"))).when(F.col("id") >= 4900, F.lit(float("inf"))).otherwise(F.col("id").cast("double")).alias("x"),
+                                  (F.exp(F.col("id") / 8.0) * F.when(F.col("id") % 2 == 0, 1).otherwise(-1)).alias("y"))
+    old = Q.COLLECT_LIMIT
+    Q.COLLECT_LIMIT = 10
+    try:
+        got = Q.exact_quantiles(df, {"x": [0.0, 0.5, 1.0], "y": [0.5]})
+    finally:
+        Q.COLLECT_LIMIT = old
+    assert got["x", 0.0] == float("-inf") and got["x", 1.0] == float("inf") and got["x", 0.5] == 2499.5
+    ys = sorted(r["y"] for r in df.select("y").collect())
+    assert abs(got["y", 0.5] - (ys[2499] + ys[2500]) / 2) < 1e-6

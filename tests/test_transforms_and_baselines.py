@@ -98,22 +98,28 @@ def test_fold_aware_fit_equals_per_fold_fits(spark):
             assert shared[f].scalers[c] == pytest.approx(single.scalers[c])
 
 
-def test_sparse_one_hot_matches_wide_columns(spark):
-    import tabloom.operators.preparer as PR
-    rows = [(i, f"v{i % 40}", float(i % 7), i % 2) for i in range(400)]
-    df = spark.createDataFrame(rows, "k long, c string, x double, target int")
+def test_assembled_one_hot_equals_transformed_columns(spark):
+    from decimal import Decimal
+    rows = [(i, f"v{i % 40}", Decimal(i % 50) / 4, (i % 50) / 8, i % 3 == 0, i % 9, float(i % 7), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, c string, d decimal(10,2), e double, b boolean, n int, x double, target int")
     p, _ = profile_dataset(df, Brief("w", "target", "classification"), key_cols=["k"])
-    plan = build_feature_plan(p, "auto_tabular_preprocessing", {"drop_features": ["k"]})
+    plan = build_feature_plan(p, "auto_tabular_preprocessing", {"drop_features": ["k"], "force_one_hot_features": ["d", "e", "b", "n"]})
     prep = FeaturePreparer(plan).fit(df.where("k < 300"))
-    test = df.union(spark.createDataFrame([(999, "unseen", 1.0, 0)], df.schema))
-    sparse = {r["k"]: r["features"].toArray().tolist() for r in prep.assemble(test, ["k"]).collect()}
-    old = PR.SPARSE_ONE_HOT_MIN
-    PR.SPARSE_ONE_HOT_MIN = 10_000
-    try:
-        dense = {r["k"]: r["features"].toArray().tolist() for r in prep.assemble(test, ["k"]).collect()}
-    finally:
-        PR.SPARSE_ONE_HOT_MIN = old
-    assert sparse.keys() == dense.keys()
-    for k in sparse:
-        assert sparse[k] == pytest.approx(dense[k])
-    assert sum(sparse[999][1:]) == 0.0  # unseen level -> all zeros
+    unseen = [(999, "unseen", Decimal("99.5"), 99.5, None, 77, 1.0, 0)]
+    test = df.union(spark.createDataFrame(unseen, df.schema))
+    assembled = {r["k"]: r["features"].toArray().tolist() for r in prep.assemble(test, ["k"]).collect()}
+    columns = {r["__k"]: [r[n] for n in prep.output_names()] for r in prep.transform(test, ["k"], keep_prefix="__").collect()}
+    assert assembled.keys() == columns.keys()
+    for k in columns:
+        assert assembled[k] == pytest.approx(columns[k])
+        assert sum(columns[k][1:]) == (5 if k != 999 else 0)  # one level of each of the five features
+
+
+def test_null_level_and_text_null_keep_apart(spark):
+    df = spark.createDataFrame([(i, ["null", None, "a"][i % 3], float(i), i % 2) for i in range(30)], "k long, c string, x double, target int")
+    p, _ = profile_dataset(df, Brief("w", "target", "classification"), key_cols=["k"])
+    plan = build_feature_plan(p, "minimal_cleanup", {"drop_features": ["k"]})
+    plan.imputation.clear()
+    prep = FeaturePreparer(plan).fit(df)
+    assert len(set(prep.output_names())) == len(prep.output_names()) == 4
+    assert prep.assemble(df, ["k"]).count() == 30
