@@ -224,9 +224,10 @@ def repeated_strings(docs: DataFrame, threshold: int) -> DataFrame:
         # the pair (rank here, rank ``offset`` phrases on); the latter is among the next rows if it is not unique
         along = Window.partitionBy("row").orderBy("i")
         nexts = F.array(*[F.struct(F.lead("i", k).over(along).alias("i"), F.lead("pair", k).over(along).alias("pair")) for k in range(1, offset + 1)])
-        ranks = ranks.distinct().select("row", "i", "pair", nexts.alias("nexts"))
-        ranks = ranks.select("row", "i", "pair", F.expr(f"filter(nexts, s -> s.i = i + {offset})").alias("on")).where("size(on) > 0").select(
-            F.xxhash64("pair", F.col("on")[0]["pair"]).alias("pair"), "row", "i")
+        ranks = ranks.groupBy("row", "i", "pair").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("times"))  # rows equal in id and text
+        ranks = ranks.select("row", "i", "pair", "times", nexts.alias("nexts"))
+        ranks = ranks.select("row", "i", "pair", "times", F.expr(f"filter(nexts, s -> s.i = i + {offset})").alias("on")).where("size(on) > 0").select(
+            F.xxhash64("pair", F.col("on")[0]["pair"]).alias("pair"), "row", "i", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
         ranks = _repeated(ranks, ["pair"], ["row", "i"])
         offset *= 2
     lists = cut_lineage(ranks.groupBy("row").agg(F.collect_set("i").alias("own")))  # at most a document's anchors

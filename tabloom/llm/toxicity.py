@@ -1,7 +1,7 @@
 """Toxicity scores from a weighted lexicon matched by an Aho-Corasick automaton.
 
 Text is folded first: case, homoglyphs (Latin look-alikes of other scripts, accents kept) and
-digits or signs that stand for letters *inside* a word; what else is not a letter separates
+digits or signs that stand for letters inside a word (digits at its start too); what else is not a letter separates
 words. Lexicon entries are whole words and word beginnings, both anchored at the word's
 start; each has a weight, the log-odds of being found in toxic against other texts among
 the labelled training rows. An exception phrase is an entry with the word before or after it
@@ -63,12 +63,12 @@ _SIGNS = str.maketrans({c: v for c, v in LEET.items()})
 
 def fold(text: str) -> str:
     """Words of letters, a single space before each and after the last. A digit or sign counts as a
-    letter between two letters of its word; at a word's edge it falls away."""
+    letter inside a word, a digit also before it; else it falls away."""
     words = text.translate(_FOLD).split()
     out = []
     for w in words:
         if not w.isalpha():
-            w = w.strip("013457@$!")
+            w = w.lstrip("@$!").rstrip("013457@$!")
             if not w.isalpha():
                 w = w.translate(_SIGNS)
         if w:
