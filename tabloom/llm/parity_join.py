@@ -8,8 +8,10 @@ their symmetric difference is at most (|A| + |B|) * (100 - percent) / (100 + per
 Documents with the same set are one class, with its smallest id as representative. Sizes
 are divided into bands; a pair lies within one band or across one border, and for each of
 these families the largest possible difference d is known. Every shingle is hashed into one
-of d + 1 blocks and XORed into it: a difference of at most d shingles leaves at least one
-block untouched, so linked sets share a (family, block, XOR) key: the pigeonhole join. The
+of 2 (d + 1) blocks and XORed into it. A document's keys are its d + 1 fullest blocks (by number of shingles,
+then by hash): a difference of at most d shingles leaves at least one of them untouched, and of two linked
+documents' keys the untouched one that ranks higher is a key of both, since the order
+depends on a block's content alone. So linked sets share a (family, block, XOR) key: the pigeonhole join. The
 rows of a key are streamed in order, each joined with the key's first document only, so no
 group is held in memory or expanded into pairs; clusters of candidates are the components
 of these edges.
@@ -47,7 +49,7 @@ def borders(percent: int, most: int) -> np.ndarray:
     first = 0
     while 2 * (first + 1) * (100 - percent) // (100 + percent) == 0:
         first += 1
-    out, ratio = [max(first, 1)], max(1.7, 105 / percent)
+    out, ratio = [max(first, 1)], max(1.35, 105 / percent)
     while out[-1] < most:
         out.append(max(out[-1] + 1, int(out[-1] * ratio)))
     return np.array(out)
@@ -94,17 +96,19 @@ def _family_keys(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarra
         own = owner[mine]
         salt = mix64((family.astype(np.int64) + 1).astype(U) * U(0xA24BAED4963EE407))
         block = mix64(h[mine] ^ salt[own])
-        spot = base[own] + (block % m[own].astype(U)).astype(np.int64)
+        begin = 2 * np.concatenate([[0], np.cumsum(m)])
+        spot = begin[own] + (block % (2 * m[own]).astype(U)).astype(np.int64)
         order = np.argsort(spot, kind="stable")
         first = np.flatnonzero(np.diff(spot[order], prepend=-1))
-        parity = np.zeros(int(m.sum()), U)
-        begin = np.concatenate([[0], np.cumsum(m)[:-1]])
+        parity, full = np.zeros(begin[-1], U), np.bincount(spot, minlength=begin[-1])
         if len(first):
-            where = spot[order][first]
-            parity[where - base[own[order][first]] + begin[own[order][first]]] = np.bitwise_xor.reduceat(h[mine][order], first)
-        doc = np.repeat(np.arange(len(size)), m)
-        number = np.arange(len(parity)) - begin[doc]
-        out[base[doc] + number] = mix64(parity ^ mix64(salt[doc] + number.astype(U)))
+            parity[spot[order][first]] = np.bitwise_xor.reduceat(h[mine][order], first)
+        doc = np.repeat(np.arange(len(size)), 2 * m)
+        key = mix64(parity ^ mix64(salt[doc] + (np.arange(len(parity)) - begin[doc]).astype(U)))
+        order = np.lexsort((key, -full, doc))  # the fullest first
+        place = np.arange(len(order)) - begin[doc]
+        kept = place < m[doc]
+        out[base[doc[kept]] + place[kept]] = key[order][kept]
         base = base + m
     return out, per_doc
 
