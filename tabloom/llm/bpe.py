@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import Fingerprints, chunks, ship, with_text
 
 LONG_WORD = 256
-MEMO_PIECES = 1_500_000
+MEMO_PIECES = 800_000
 _NONE = 1 << 62
 
 #: The pre-tokenisation pattern of byte-level BPE, with Unicode's White_Space spelled out.

@@ -34,7 +34,7 @@ MAX_PIECE = 16
 LONG_WORD = 128
 SCALE = 16.0  # per byte, so that products of small probabilities stay in range
 UNKNOWN = 1e-7
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 
 _SEPARATORS = np.ones(256, bool)
 _SEPARATORS[97:123] = False
