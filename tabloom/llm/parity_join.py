@@ -113,18 +113,29 @@ def _family_keys(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarra
     return out, per_doc
 
 
-def _described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, h1, h2, keys)."""
+def _described(docs: DataFrame, n: int) -> DataFrame:
+    """Rows (doc_id, n_shingles, h1, h2): size and two sums of each row's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in chunks(batches, "text", lower=True):
             h, at = shingle_sets(buf, offs, n)
             sums = [np.concatenate([np.zeros(1, U), np.cumsum(mix64(h ^ U(c)))]) for c in (0x1B873593, 0x85EBCA6B)]
             h1, h2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
-            keys, counts = _family_keys(h, at, percent)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(h1), pa.array(h2), lists], ["doc_id", "n_shingles", "h1", "h2", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(h1), pa.array(h2)], ["doc_id", "n_shingles", "h1", "h2"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, keys array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint")
+
+
+def _keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Rows (key, doc_id): the keys of each document's families. They are made where the texts are and go straight into the
+    shuffle by key: a table of them would be larger than the texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, buf, offs in chunks(batches, "text", lower=True):
+            keys, counts = _family_keys(*shingle_sets(buf, offs, n), percent)
+            if len(keys):
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids)], ["key", "doc_id"])
+
+    return docs.mapInArrow(run, "key bigint, doc_id bigint")
 
 
 def _stars(keys: DataFrame) -> DataFrame:
@@ -229,12 +240,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     """Rows (doc_id, n_shingles, component_id), one per row of ``docs``."""
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = keep(_described(docs, n, percent))
-    sets = table.where("n_shingles > 0 and doc_id is not null")
+    rows = cut_lineage(_described(docs, n))
+    sets = rows.where("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "h1", "h2"]
     classes = cut_lineage(sets.groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    reps = sets.join(classes.withColumnRenamed("rep", "doc_id"), [*same, "doc_id"], "left_semi")
-    stars = cut_lineage(_stars(reps.select(F.explode("keys").alias("key"), "doc_id")))
+    reps = docs.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    stars = cut_lineage(_stars(_keys(reps, n, percent)))
     release(docs.sparkSession)
     clusters = connected_components(stars)
     shapes = classes.select(F.col("rep").alias("doc_id"), "n_shingles").distinct()
@@ -242,7 +253,5 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     links = _links(members, docs, n, percent)
     component = connected_components(links)
     known = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
-    rows = cut_lineage(table.select("doc_id", *same))
-    drop(table)
     with_set = rows.where("n_shingles > 0 and doc_id is not null").join(known, same).select("doc_id", "n_shingles", "component_id")
     return with_set.unionByName(rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
