@@ -230,16 +230,17 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     """Rows (doc_id, runs): the starts of a document's removed windows as [start, stop) runs of word numbers."""
     docs = docs.where("doc_id is not null and text is not null")
     later = keep(_later(_shingles(docs, min_words), ["key"], []))
-    lists = later.groupBy("doc_id").agg(F.collect_set(F.struct("key", "first")).alias("asked"))  # at most a document's windows
-    involved = later.select("doc_id").union(later.select(F.col("first").alias("doc_id"))).distinct()
+    first = F.lit(None).cast("struct<key:bigint,first:bigint>")
+    roles = later.select("doc_id", F.struct("key", "first").alias("ask")).union(later.select("first").distinct().select("first", first))
+    roles = roles.groupBy("doc_id").agg(F.collect_set("ask").alias("asked"), F.max(F.col("ask").isNull()).alias("is_first"))  # at most a document's windows
     release(docs.sparkSession)
-    texts = keep(docs.join(involved, "doc_id", "left_semi"))
-    release(docs.sparkSession)
-    references = texts.select(F.col("doc_id").alias("first"), F.col("text").alias("reference"))
-    asked = _asked(texts.join(lists, "doc_id").select("doc_id", "text", "asked"), min_words)
+    texts = keep(docs.join(roles, "doc_id").select("doc_id", "text", "asked", "is_first"))  # the only shuffle of whole texts by their own id
+    drop(later)
+    references = texts.where("is_first").select(F.col("doc_id").alias("first"), F.col("text").alias("reference"))
+    asked = _asked(texts.where(F.size("asked") > 0).select("doc_id", "text", "asked"), min_words)
     asked = asked.join(references, "first").select(*asked.columns, "reference")
     found = cut_lineage(_against_references(asked, min_words))
-    drop(later, texts)
+    drop(texts)
     among = _later(found.where("h1 is not null"), ["h1", "h2"], ["start", "stop"])
     runs = found.where("h1 is null").select("doc_id", "start", "stop").unionByName(among.select("doc_id", "start", "stop"))
     return runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
