@@ -22,6 +22,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import checkpoint_dir, chunks, cut_lineage, mix64, ship
+from tabloom.llm.common import checkpoint_dir, chunks, cut_lineage, mix64, release, ship
 
 ROUNDS = 6
 U = np.uint64
@@ -58,11 +59,12 @@ def _location(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
 
 
-def materialise(docs: DataFrame, path: str, length: int = 512, shard_bytes: int = 64 << 20, key: int = 20240229, vocabulary_path: str | None = None,
+def materialise(docs: DataFrame, path: str, length: int = 512, shard_bytes: int = 64 << 20, key: int = 20240229, vocabulary_path: str | None = None, waves: int = 2,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards and ``manifest.json`` below ``path`` (a folder that all workers share) and return
     one row per sequence, in what the shards hold: (slot, shard, byte_offset, doc_id, seq, n_ids, crc32).
-    ``docs`` must be a scan of files: both passes then see the same partitions."""
+    ``docs`` must be a scan of files: all passes then see the same partitions. The shards are written in ``waves`` ranges,
+    each with a pass over the texts; only one range's sequences lie in shuffle files at a time."""
     spark = docs.sparkSession
     ship(spark)
     width = 2 if vocabulary_path else 1
@@ -77,7 +79,7 @@ def materialise(docs: DataFrame, path: str, length: int = 512, shard_bytes: int
         begin[part], total = total, total + by_part[part]
     shared = spark.sparkContext.broadcast((begin, _source(vocabulary_path)))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
         starts, source = shared.value
         number = starts.get(TaskContext.get().partitionId(), 0)
         for part, buf, offs in chunks(batches, "text"):
@@ -92,12 +94,13 @@ def materialise(docs: DataFrame, path: str, length: int = 512, shard_bytes: int
             n_ids = np.minimum(length, size[owner] // width + 1 - seq * length)
             slot = slots(number + np.arange(len(owner)), total, key)
             number += len(owner)
+            mine = (slot >= low * per_shard) & (slot < high * per_shard)
+            owner, seq, n_ids, slot, whole = owner[mine], seq[mine], n_ids[mine], slot[mine], whole.reshape(-1, stride)[mine]
             rows = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer((np.arange(len(owner) + 1) * stride).astype(np.int32)), pa.py_buffer(whole)])
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), part.column(0).take(pa.array(owner)), pa.array(seq.astype(np.int32)),
                                               pa.array(n_ids.astype(np.int32)), rows], ["slot", "shard", "doc_id", "seq", "n_ids", "ids"])
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    rows = narrow.mapInArrow(cut, f"slot bigint, shard int, doc_id {kind}, seq int, n_ids int, ids binary")
     shards = -(-total // per_shard)
     place = path.rstrip("/")
     system, folder = _location(place)
@@ -130,8 +133,15 @@ def materialise(docs: DataFrame, path: str, length: int = 512, shard_bytes: int
         if out is not None:
             close()
 
-    dealt = rows.repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("slot")
-    return cut_lineage(dealt.mapInArrow(write, f"slot bigint, shard int, byte_offset bigint, doc_id {kind}, seq int, n_ids int, crc32 bigint"))
+    edges = sorted({w * shards // waves for w in range(waves + 1)}) if shards else [0, 1]
+    written = []
+    for low, high in zip(edges, edges[1:]):
+        rows = narrow.mapInArrow(partial(cut, low=low, high=high), f"slot bigint, shard int, doc_id {kind}, seq int, n_ids int, ids binary")
+        dealt = rows.repartitionById(high - low, F.col("shard") - low).sortWithinPartitions("slot")
+        written.append(cut_lineage(dealt.mapInArrow(write, f"slot bigint, shard int, byte_offset bigint, doc_id {kind}, seq int, n_ids int, crc32 bigint")))
+        del rows, dealt
+        release(spark)
+    return reduce(DataFrame.unionByName, written)
 
 
 def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
