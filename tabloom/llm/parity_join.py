@@ -213,7 +213,8 @@ def _links(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([*part.columns[:3], binary_column(h, np.diff(at))], ["doc_id", "cluster", "n_shingles", "members"])
 
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
-    texts = docs.join(members, "doc_id").select("doc_id", "cluster", "n_shingles", "text")
+    # members grow with the documents, so both sides are shuffled at every size
+    texts = docs.join(members.hint("merge"), "doc_id").select("doc_id", "cluster", "n_shingles", "text")
     full = keep(texts.mapInArrow(sets, "doc_id bigint, cluster bigint, n_shingles bigint, members binary"))
     size = F.least(F.greatest(F.ceil(F.col("rows") / BLOCKS), F.lit(MIN_BLOCK)), F.lit(MAX_BLOCK))
     blocks = members.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("rows") / size).cast("int"))
@@ -244,7 +245,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     sets = rows.where("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "h1", "h2"]
     classes = cut_lineage(sets.groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    reps = docs.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    reps = docs.join(classes.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     stars = cut_lineage(_stars(_keys(reps, n, percent)))
     release(docs.sparkSession)
     clusters = connected_components(stars)
