@@ -2,16 +2,22 @@
 
 The byte model is pretrained on the corpus. Spark counts every window of ``ORDER`` context
 bytes and the byte after them over all training texts, and derives the shorter contexts
-from them. A context belongs to the trie when it was seen often enough: the least power of
-two that at most ``CONTEXTS`` contexts reach, so the trie is bounded however large the
-corpus is; with each of them come all bytes seen after it. A byte's probability comes from
-the longest context of the trie that precedes it: with n of the T occurrences, and D
+from them. Every context that was seen once belongs to the model, with all bytes seen after
+it. A byte's probability comes from
+the longest context of the model that precedes it: with n of the T occurrences, and D
 different bytes seen there, n / (T + D), or an escape of D / (T + D) to the context that is
 one byte shorter, where the bytes already seen above are excluded (escape method C); below
 the empty context all unseen bytes are equally likely. A document's score is the log10
 probability of its bytes (A-Z lower-cased) and of its end, which is a symbol of its own;
 contexts do not cross documents.
 
+The counts stay in a table that grows with the corpus. Two bounded parts of it are broadcast, which
+changes no score: the trie of the most frequent contexts (those that reach the least power of two that at
+most ``CONTEXTS`` contexts reach), which settles each byte after a context of ``ORDER`` bytes that it holds;
+and the costs of the most frequent of the other windows (at most ``WINDOWS``). The costs of all other windows
+are worked out in Spark from the whole table, order by order (``_costs``); windows beyond the second
+broadcast are joined with them.
+
 The base score is an add-one unigram model of words (see ``base``): words are counted over
 all training texts. Words that make up at least one in ``FREQUENT`` training tokens (at most
 that many words) are broadcast; all others are joined by their fingerprint.
@@ -29,13 +35,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import Fingerprints, chunks, cut_lineage, ship, word_spans
 
 ORDER = 5
 CONTEXTS = 1 << 15
+WINDOWS = 1 << 20
 FREQUENT = 1 << 22
 END = 0xFF  # no byte of UTF-8
 
@@ -53,6 +60,12 @@ class Model:
     tag: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
+@dataclass(frozen=True)
+class Tables:
+    words: DataFrame  # (key, n): all words by fingerprint
+    grams: DataFrame  # (order, gram, n): all (context, byte) counts
+
+
 def _stream(buf: np.ndarray, offs: np.ndarray):
     """The texts with ORDER ends before each one and after the last; where each text begins in it."""
     size = np.diff(offs)
@@ -62,15 +75,20 @@ def _stream(buf: np.ndarray, offs: np.ndarray):
     return out, begin, begin + size
 
 
-def _grams(stream: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """ORDER context bytes and the byte itself, for every byte of the texts and their ends."""
+def _grams(stream: np.ndarray) -> np.ndarray:
+    """ORDER context bytes and the byte itself, for every place of the stream from ORDER on."""
     value = np.zeros(len(stream) - ORDER, np.int64)
     for k in range(ORDER + 1):
         value = value << 8 | stream[k:len(stream) - ORDER + k]
+    return value
+
+
+def _real(stream: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of these places are bytes of the texts or their ends."""
     real = np.zeros(len(stream) + 1, np.int64)
     real[begin] += 1
     real[end + 1] -= 1
-    return value[np.cumsum(real[:-1])[ORDER:] > 0]
+    return np.cumsum(real[:-1])[ORDER:] > 0
 
 
 class _Tally:
@@ -100,9 +118,11 @@ def _counts(training: DataFrame, text_col: str) -> DataFrame:
             docs += part.num_rows
             starts, ends, _ = word_spans(buf, offs)
             words.add(Fingerprints(buf).of(starts, ends))
-            grams.add(_grams(*_stream(buf, offs)))
-            if len(words.keys) > 2_000_000:
-                yield from _flush(words, 0)
+            stream, begin, end = _stream(buf, offs)
+            grams.add(_grams(stream)[_real(stream, begin, end)])
+            for kind, tally in enumerate((words, grams)):
+                if len(tally.keys) > 2_000_000:
+                    yield from _flush(tally, kind)
         yield from _flush(words, 0)
         yield from _flush(grams, 1)
         yield _rows(2, np.zeros(1, np.int64), np.array([docs]))
@@ -120,8 +140,14 @@ def _counts(training: DataFrame, text_col: str) -> DataFrame:
     return text.mapInArrow(run, "kind tinyint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def learn(training: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model, and the table of all words (key, n)."""
+def _least(table: DataFrame, n: str, most: int) -> int:
+    """The least k such that at most ``most`` rows have n >= 2^k."""
+    level = {r["level"]: r["rows"] for r in table.groupBy(F.floor(F.log2(n)).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect()}
+    return next(k for k in range(65) if sum(rows for e, rows in level.items() if e >= k) <= most)
+
+
+def learn(training: DataFrame, text_col: str = "text") -> tuple[Model, Tables]:
+    """The model's broadcast part, and its tables."""
     ship(training.sparkSession)
     counts = cut_lineage(_counts(training, text_col))
     words = counts.where("kind = 0").select("key", "n")
@@ -136,12 +162,45 @@ def learn(training: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame
     gram = cut_lineage(gram)
     context = F.shiftright("gram", 8).alias("context")
     contexts = gram.groupBy("order", context).agg(F.sum("n").alias("total"))
-    level = {r["level"]: r["n"] for r in contexts.groupBy(F.floor(F.log2("total")).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    least = next(k for k in range(65) if sum(n for e, n in level.items() if e >= k) <= CONTEXTS)
-    kept = contexts.where(F.floor(F.log2("total")) >= least).select("order", "context")
-    trie = gram.select("order", "gram", "n", context).join(kept, ["order", "context"]).select("order", "gram", "n").toPandas().sort_values(["order", "gram"])
+    kept = contexts.where(F.floor(F.log2("total")) >= _least(contexts, "total", CONTEXTS)).select("order", "context")
+    trie = gram.select("order", "gram", "n", context).join(kept, ["order", "context"]).select("order", "gram", "n").toArrow().to_pandas().sort_values(["order", "gram"])
     return Model(int(tokens), int(distinct), int(docs), frequent["key"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64),
-                 trie["order"].to_numpy(np.int64), trie["gram"].to_numpy(np.int64), trie["n"].to_numpy(np.int64)), words
+                 trie["order"].to_numpy(np.int64), trie["gram"].to_numpy(np.int64), trie["n"].to_numpy(np.int64)), Tables(words, gram)
+
+
+def _costs(grams: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (gram, cost): the log10 probability of the last byte of every ``wanted`` window (column gram), from all counts.
+
+    At each order a row is a (context, byte) that was counted (n > 0) or is wanted; ``rest`` is the probability
+    of a byte not seen after the context, after the escape from it. The bytes of a context were all seen after the
+    shorter context too, so what is excluded there is known by their number and the sum of their counts there."""
+    shorter = None
+    context = Window.partitionBy("context")
+    for order in range(ORDER + 1):
+        mask = F.lit((1 << 8 * (order + 1)) - 1)
+        asked = wanted.select(F.col("gram").bitwiseAND(mask).alias("gram"), F.lit(0).cast("long").alias("n"))
+        rows = grams.where(F.col("order") == order).select("gram", "n").unionByName(asked).groupBy("gram").agg(F.sum("n").alias("n"))
+        if order == 0:
+            below = [F.lit(0).cast("long").alias("n_below"), F.lit(0).cast("long").alias("total_below"), F.lit(0).cast("long").alias("kinds_below"),
+                     F.lit(None).cast("double").alias("rest_below"), F.lit(1 / 256).alias("prob_below")]
+            rows = rows.select("gram", "n", *below)
+        else:
+            # both sides grow with the distinct windows, so both are shuffled at every size
+            rows = rows.withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))).join(shorter.hint("merge"), "short").drop("short")
+        rows = rows.withColumn("context", F.shiftright("gram", 8))
+        seen = F.col("n") > 0
+        rows = rows.withColumns({"total": F.sum("n").over(context), "kinds": F.sum(seen.cast("long")).over(context),
+                                 "excluded": F.sum(F.when(seen, F.col("n_below")).otherwise(0)).over(context)})
+        left = F.col("kinds_below") - F.col("kinds")
+        weight = F.col("total_below") - F.col("excluded") + left
+        rest = F.lit(1.0) / F.greatest(256 - F.col("kinds"), F.lit(1)) if order == 0 else F.when(
+            F.col("n_below") > 0, F.col("n_below") / weight).otherwise(F.when(weight > 0, left / weight).otherwise(1.0) * F.col("rest_below"))
+        rows = rows.withColumn("rest", F.when(~seen & (F.col("total") > 0), rest))
+        whole = F.col("total") + F.col("kinds")
+        prob = F.when(F.col("total") == 0, F.col("prob_below")).when(seen, F.col("n") / whole).otherwise(F.col("kinds") / whole * F.col("rest"))
+        shorter = rows.select(F.col("gram").alias("short"), F.col("n").alias("n_below"), F.col("total").alias("total_below"), F.col("kinds").alias("kinds_below"),
+                              F.col("rest").alias("rest_below"), prob.alias("prob_below"))
+    return wanted.select("gram").join(shorter.select(F.col("short").alias("gram"), F.log10("prob_below").alias("cost")).hint("merge"), "gram")
 
 
 class Trie:
@@ -153,13 +212,13 @@ class Trie:
         contexts = [np.unique(gram[order == o] >> 8) if o else np.zeros(1, np.int64) for o in range(ORDER + 1)]
         first = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
         self.child = np.full((first[-1], 256), -1, np.int32)
-        self.cost = np.empty((first[-1], 256), np.float32)
+        self.cost = np.empty((first[-1], 256))
         rest = above = None
         for o in range(ORDER + 1):
             own, mine = contexts[o], order == o
-            counts = np.zeros((len(own), 256), np.float32)
+            counts = np.zeros((len(own), 256))
             counts[np.searchsorted(own, gram[mine] >> 8), gram[mine] & 255] = n[mine]
-            left_over = np.empty((len(own), 256), np.float32)  # probabilities of bytes not seen here, after the escape
+            left_over = np.empty((len(own), 256))  # probabilities of bytes not seen here, after the escape
             for k in range(0, len(own), 2048):
                 part = slice(k, k + 2048)
                 if o == 0:
@@ -173,7 +232,7 @@ class Trie:
                     weight = out.sum(1) + kinds
                     escape = np.where(weight > 0, kinds / np.maximum(weight, 1), 1.0)
                     left_over[part] = np.where(out > 0, out / np.maximum(weight, 1)[:, None], escape[:, None] * rest[parent])
-                here = counts[part].astype(np.float64)
+                here = counts[part]
                 kinds = (here > 0).sum(1)
                 weight = here.sum(1) + kinds
                 escape = np.where(weight > 0, kinds / np.maximum(weight, 1), 1.0)
@@ -181,8 +240,9 @@ class Trie:
                 self.cost[first[o] + k:first[o] + k + len(kinds)] = np.log10(np.maximum(prob, 1e-300))
             above, rest = counts, left_over
 
-    def costs(self, stream: np.ndarray) -> np.ndarray:
-        """log10 probability of every symbol of the stream from position ORDER on."""
+    def costs(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of every symbol of the stream from position ORDER on, and which of them are settled:
+        those after a context of ORDER bytes. For others the whole table may hold a longer context."""
         m = len(stream) - ORDER
         node = np.zeros(m, np.int32)
         live = np.arange(m)
@@ -191,7 +251,9 @@ class Trie:
             ok = step >= 0
             live = live[ok]
             node[live] = step[ok]
-        return self.cost[node, stream[ORDER:]]
+        settled = np.zeros(m, bool)
+        settled[live] = True
+        return self.cost[node, stream[ORDER:]], settled
 
 
 _MEMO: dict[str, Trie] = {}
@@ -209,16 +271,42 @@ def base(n: Column, model: Model) -> Column:
     return F.log10((n + 1.0) / float(model.train_tokens + model.vocabulary + 1))
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _open_windows(docs: DataFrame, shared) -> DataFrame:
+    """Rows (gram, n): the distinct windows of ``docs`` (column text) that the trie does not settle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, tally = _trie(shared.value), _Tally(np.int64)
+
+        def flush():
+            tally.merge()
+            for k in range(0, len(tally.keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(tally.keys[k:k + 100_000]), pa.array(tally.counts[k:k + 100_000])], ["gram", "n"])
+            tally.keys, tally.counts = tally.keys[:0], tally.counts[:0]
+
+        for _, buf, offs in chunks(batches, "text", lower=True):
+            stream, begin, end = _stream(buf, offs)
+            tally.add(_grams(stream)[_real(stream, begin, end) & ~trie.costs(stream)[1]])
+            if len(tally.keys) > 2_000_000:
+                yield from flush()
+        yield from flush()
+
+    return docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def score(docs: DataFrame, model: Model, tables: Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
     narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    windows = cut_lineage(_open_windows(narrow, shared))
+    costs = cut_lineage(_costs(tables.grams, windows).join(windows.hint("merge"), "gram"))
+    often = costs.where(F.floor(F.log2("n")) >= _least(costs, "n", WINDOWS)).select("gram", "cost").toArrow().sort_by("gram")
+    held = spark.sparkContext.broadcast((often["gram"].to_numpy(), often["cost"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         trie = _trie(model)
+        grams, gram_costs = held.value
         scale = np.log10(float(model.train_tokens + model.vocabulary + 1))
         for part, buf, offs in chunks(batches, "text", lower=True):
             starts, ends, doc = word_spans(buf, offs)
@@ -232,17 +320,29 @@ def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id
             rare_at = np.searchsorted(rare, doc)
             lists = pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array(keys[rare].view(np.int64)))
             stream, begin, end = _stream(buf, offs)
-            cost = np.concatenate([[0], np.cumsum(trie.costs(stream), dtype=np.float64)])
+            cost, settled = trie.costs(stream)
+            where = np.flatnonzero(_real(stream, begin, end) & ~settled)
+            gram, back = np.unique(_grams(stream)[where], return_inverse=True)
+            at = np.minimum(np.searchsorted(grams, gram), max(len(grams) - 1, 0))
+            hit = grams[at] == gram if len(grams) else np.zeros(len(gram), bool)
+            open_cost = np.zeros(len(gram))
+            open_cost[hit] = gram_costs[at[hit]]
+            cost[where] = open_cost[back]
+            missing = ~hit[back]
+            missing_at = np.append(np.searchsorted(where[missing], begin - ORDER), missing.sum())
+            open_lists = pa.ListArray.from_arrays(pa.array(missing_at, pa.int32()), pa.array(gram[back][missing]))
+            cost = np.concatenate([[0], np.cumsum(cost)])
             last = np.log10(model.train_docs + 1.0) - scale
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(np.diff(doc) + 1), pa.array(np.diff(found[doc]) + (model.train_docs > 0)),
-                 pa.array(value[doc[1:]] - value[doc[:-1]] + last), pa.array(cost[end + 1 - ORDER] - cost[begin - ORDER]), lists],
-                ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"])
+                 pa.array(value[doc[1:]] - value[doc[:-1]] + last), pa.array(cost[end + 1 - ORDER] - cost[begin - ORDER]), lists, open_lists],
+                ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "open"])
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    rows = cut_lineage(narrow.mapInArrow(run, f"row bigint, doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>"))
-    rare = rows.select("row", F.explode("rare").alias("key")).join(words, "key", "left").groupBy("row").agg(
+    rows = cut_lineage(narrow.mapInArrow(run, f"row bigint, doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>, open array<bigint>"))
+    rare = rows.select("row", F.explode("rare").alias("key")).join(tables.words, "key", "left").groupBy("row").agg(
         F.sum(base(F.coalesce("n", F.lit(0)), model)).alias("more"), F.count("n").alias("hits"))
-    return rows.drop("rare").join(rare, "row", "left").select(
+    rest = rows.select("row", F.explode("open").alias("gram")).join(costs.select("gram", "cost"), "gram").groupBy("row").agg(F.sum("cost").alias("rest"))
+    return rows.drop("rare", "open").join(rare, "row", "left").join(rest, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("hits", F.lit(0))).alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"))

@@ -174,6 +174,46 @@ def test_ppm_base_equals_brute_force_and_distributions_sum_to_one(docs, data):
     assert np.allclose((10.0 ** ppm.Trie(model).cost.astype(float)).sum(1), 1, atol=1e-5)
 
 
+def ppm_brute_force(training, texts):
+    """PPM of order 5, method C with exclusion, from every context of the training texts."""
+    symbols = lambda t: [*(t or "").encode().lower(), 255]
+    seen = {}
+    for t in training:
+        s = [255] * 5 + symbols(t)
+        for k in range(5, len(s)):
+            for o in range(6):
+                seen.setdefault(tuple(s[k - o:k]), Counter())[s[k]] += 1
+
+    def prob(context, b):
+        p, out = 1.0, set()
+        for o in range(len(context), -1, -1):
+            left = {x: n for x, n in seen.get(tuple(context[len(context) - o:]), {}).items() if x not in out}
+            if left:
+                whole = sum(left.values()) + len(left)
+                if b in left:
+                    return p * left[b] / whole
+                p *= len(left) / whole
+                out |= set(left)
+        return p / (256 - len(out))
+
+    scores = []
+    for t in texts:
+        s = [255] * 5 + symbols(t)
+        scores.append(sum(math.log10(prob(s[k - 5:k], s[k])) for k in range(5, len(s))))
+    return scores
+
+
+def test_ppm_score_equals_brute_force_whatever_is_broadcast(docs, data, monkeypatch):
+    want = ppm_brute_force([r[1] for r in data if r[0] is not None and r[0] % 7 != 2], [r[1] for r in data])
+    want = sorted((repr(r[0]), s) for r, s in zip(data, want))
+    for contexts, windows in ((ppm.CONTEXTS, ppm.WINDOWS), (40, 200), (40, 0)):
+        monkeypatch.setattr(ppm, "CONTEXTS", contexts)
+        monkeypatch.setattr(ppm, "WINDOWS", windows)
+        got = sorted((repr(r["doc_id"]), r["score"]) for r in ppm.score(docs, *ppm.learn(docs.where("doc_id % 7 <> 2"))).collect())
+        assert [k for k, _ in got] == [k for k, _ in want]
+        assert np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-9)
+
+
 def test_language_and_toxicity(spark, docs):
     real = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.learn(real.where("doc_id % 3 <> 1"), public_tokenizers.path("piece_bpe_32k.model"), 100)
