@@ -104,6 +104,6 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as sequences of 512 byte ids in a keyed order, written as fixed-stride shards."""
+    """All documents as sequences of 512 BPE ids in a keyed order, written as fixed-stride shards."""
     from tabloom.llm import training_order
-    return training_order.materialise(_documents(spark, sf_dir), training_order.shared_folder(spark))
+    return training_order.materialise(_documents(spark, sf_dir), training_order.shared_folder(spark), vocabulary_path=vocabulary("byte_bpe_50k.json"))

@@ -1,7 +1,8 @@
 """Training-order materialisation: token ids as fixed-stride binary shards in a keyed random order.
 
 Every document becomes sequences of ``length`` ids: its ids and one end id, the last sequence
-filled up with end ids. Sequences are numbered 0..N-1 in the order of the input's partitions and rows, and a keyed Feistel
+filled up with end ids. The documents' ids are made once, in a table that the numbering and the writing read; it goes when the
+shards are written. Sequences are numbered 0..N-1 in the order of the input's partitions and rows, and a keyed Feistel
 permutation of the next even power of two, walked along its cycle until it falls below N, gives each
 number its global slot: a bijection that any worker computes by itself. Shard k holds the slots
 [k * S, (k + 1) * S) in order, each at the byte offset (slot mod S) * stride of its file, so a
@@ -10,7 +11,7 @@ sorted by slot; a shard is written under a name of its attempt and renamed when
 a lost executor or a second attempt leaves the same file.
 
 Ids are the UTF-8 bytes (one byte each; 0xFF, no byte of UTF-8, is the end), or with a
-vocabulary the ids of byte-level BPE (two bytes each).
+vocabulary the ids of byte-level BPE (two bytes each, or four if its ids need them).
 
 Null and empty texts are one sequence of end ids. Rows keep their multiplicity, null ids stay, extra
 columns are ignored. An empty table writes a manifest and no shard.
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import checkpoint_dir, chunks, cut_lineage, mix64, release, ship
+from tabloom.llm.common import checkpoint_dir, chunks, cut_lineage, drop, keep, mix64, release, ship
 
 ROUNDS = 6
 U = np.uint64
@@ -63,41 +64,38 @@ def materialise(docs: DataFrame, path: str, length: int = 512, shard_bytes: int
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards and ``manifest.json`` below ``path`` (a folder that all workers share) and return
     one row per sequence, in what the shards hold: (slot, shard, byte_offset, doc_id, seq, n_ids, crc32).
-    ``docs`` must be a scan of files: all passes then see the same partitions. The shards are written in ``waves`` ranges,
-    each with a pass over the texts; only one range's sequences lie in shuffle files at a time."""
+    The shards are written in ``waves`` ranges,
+    each with a pass over the table of ids; only one range's sequences lie in shuffle files at a time."""
     spark = docs.sparkSession
     ship(spark)
-    width = 2 if vocabulary_path else 1
+    source = _source(vocabulary_path)
+    width, end = _form(source)
     stride = length * width
     per_shard = max(1, shard_bytes // stride)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sizes = _token_counts(narrow, vocabulary_path)
-    counts = sizes.groupBy("part").agg(F.sum(F.ceil((F.col("n") + 1) / length)).alias("n")).collect()  # one row per input partition
-    by_part = {r["part"]: r["n"] for r in counts}
+    encoded = keep(_encoded(narrow, source, length, width))
+    by_part = {r["part"]: r["n"] for r in encoded.groupBy("part").agg(F.sum("many").alias("n")).collect()}  # one row per input partition
     begin, total = {}, 0
     for part in sorted(by_part):
         begin[part], total = total, total + by_part[part]
-    shared = spark.sparkContext.broadcast((begin, _source(vocabulary_path)))
+    shared = spark.sparkContext.broadcast(begin)
 
     def cut(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
-        starts, source = shared.value
-        number = starts.get(TaskContext.get().partitionId(), 0)
-        for part, buf, offs in chunks(batches, "text"):
-            ids, at = _ids(part, buf, offs, source)
-            many = (np.diff(at) // width + 1 + length - 1) // length
-            whole = np.full(int(many.sum()) * stride, 0xFF, np.uint8) if width == 1 else np.frombuffer(np.full(int(many.sum()) * length, _end(source), "<u2").tobytes(), np.uint8).copy()
+        starts = shared.value
+        for part, ids, at in chunks(batches, "ids"):
+            size, many = np.diff(at), part.column(2).to_numpy(zero_copy_only=False)
+            whole = np.frombuffer(np.full(int(many.sum()) * length, end, f"<u{width}").tobytes(), np.uint8).copy()
             first = np.concatenate([[0], np.cumsum(many)])
-            size = np.diff(at)
             whole[np.repeat(first[:-1] * stride - at[:-1], size) + np.arange(len(ids))] = ids
             owner = np.repeat(np.arange(part.num_rows), many)
             seq = np.arange(len(owner)) - first[owner]
             n_ids = np.minimum(length, size[owner] // width + 1 - seq * length)
-            slot = slots(number + np.arange(len(owner)), total, key)
-            number += len(owner)
+            number = np.array([starts[p] for p in part.column(0).to_pylist()], np.int64) + part.column(1).to_numpy(zero_copy_only=False)
+            slot = slots(number[owner] + seq, total, key)
             mine = (slot >= low * per_shard) & (slot < high * per_shard)
             owner, seq, n_ids, slot, whole = owner[mine], seq[mine], n_ids[mine], slot[mine], whole.reshape(-1, stride)[mine]
             rows = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer((np.arange(len(owner) + 1) * stride).astype(np.int32)), pa.py_buffer(whole)])
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), part.column(0).take(pa.array(owner)), pa.array(seq.astype(np.int32)),
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), part.column(3).take(pa.array(owner)), pa.array(seq.astype(np.int32)),
                                               pa.array(n_ids.astype(np.int32)), rows], ["slot", "shard", "doc_id", "seq", "n_ids", "ids"])
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
@@ -136,11 +134,12 @@ def materialise(docs: DataFrame, path: str, length: int = 512, shard_bytes: int
     edges = sorted({w * shards // waves for w in range(waves + 1)}) if shards else [0, 1]
     written = []
     for low, high in zip(edges, edges[1:]):
-        rows = narrow.mapInArrow(partial(cut, low=low, high=high), f"slot bigint, shard int, doc_id {kind}, seq int, n_ids int, ids binary")
+        rows = encoded.mapInArrow(partial(cut, low=low, high=high), f"slot bigint, shard int, doc_id {kind}, seq int, n_ids int, ids binary")
         dealt = rows.repartitionById(high - low, F.col("shard") - low).sortWithinPartitions("slot")
         written.append(cut_lineage(dealt.mapInArrow(write, f"slot bigint, shard int, byte_offset bigint, doc_id {kind}, seq int, n_ids int, crc32 bigint")))
         del rows, dealt
         release(spark)
+    drop(encoded)
     return reduce(DataFrame.unionByName, written)
 
 
@@ -168,9 +167,13 @@ class _Held:
         self.value = value
 
 
-def _end(source: str) -> int:
+def _form(source: str | None) -> tuple[int, int]:
+    """Bytes of an id, and the end id."""
+    if source is None:
+        return 1, 0xFF
     from tabloom.llm import bpe
-    return max(bpe.loaded(_Held(source), False).vocabulary.special.values())
+    encoder = bpe.loaded(_Held(source), False)
+    return encoder.width, max(encoder.vocabulary.special.values())
 
 
 def _ids(part: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, source: str | None, column: int = 1):
@@ -181,18 +184,24 @@ def _ids(part: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, source: str |
     return ids, at
 
 
-def _token_counts(docs: DataFrame, vocabulary_path: str | None) -> DataFrame:
-    """Rows (part, n): each text's number of ids, with its input partition."""
-    if vocabulary_path is None:
-        return docs.select(F.spark_partition_id().alias("part"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
-    source = docs.sparkSession.sparkContext.broadcast(_source(vocabulary_path))
+def _encoded(docs: DataFrame, source: str | None, length: int, width: int) -> DataFrame:
+    """Rows (part, first, many, doc_id, ids): each text's ids with its input partition, the number of its first sequence
+    within that partition and its number of sequences."""
+    shared = docs.sparkSession.sparkContext.broadcast(source)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number = TaskContext.get().partitionId(), 0
         for part, buf, offs in chunks(batches, "text"):
-            _, at = _ids(part, buf, offs, source.value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, TaskContext.get().partitionId(), np.int32)), pa.array(np.diff(at) // 2)], ["part", "n"])
+            ids, at = _ids(part, buf, offs, shared.value)
+            size = np.diff(at)
+            many = size // width // length + 1
+            first = number + np.cumsum(many) - many
+            number += int(many.sum())
+            data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, now, np.int32)), pa.array(first), pa.array(many), part.column(0), data],
+                                             ["part", "first", "many", "doc_id", "ids"])
 
-    return docs.mapInArrow(count, "part int, n bigint")
+    return docs.mapInArrow(run, f"part int, first bigint, many bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
 def read_slots(path: str, first: int, count: int) -> np.ndarray:
@@ -208,7 +217,7 @@ def read_slots(path: str, first: int, count: int) -> np.ndarray:
         with system.open_input_file(f"{folder}/shard-{shard:06d}.bin") as f:
             out.append(f.read_at(many * m["stride"], at * m["stride"]))
         slot += many
-    return np.frombuffer(b"".join(out), np.uint8 if m["width"] == 1 else "<u2").reshape(-1, m["length"])
+    return np.frombuffer(b"".join(out), f"<u{m['width']}").reshape(-1, m["length"])
 
 
 def shared_folder(spark) -> str:

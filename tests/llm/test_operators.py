@@ -333,6 +333,30 @@ def test_training_order_is_a_bijection_and_reads_back(spark, tmp_path):
         assert np.concatenate(by[r["doc_id"]]).tobytes() == (r["text"] or "").encode() + b"\xff"
 
 
+def test_training_order_query_writes_the_ids_of_the_vocabulary(spark, docs, data, monkeypatch):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    end = t.token_to_id("<|endoftext|>")
+    place = training_order.shared_folder(spark)
+    got = training_order.materialise(docs, place, 16, 1 << 10, vocabulary_path=path, waves=3).collect()
+    ids = training_order.read_slots(place, 0, 1 << 40)
+    assert sorted(r["slot"] for r in got) == list(range(len(ids)))
+    assert all((ids[r["slot"]][r["n_ids"]:] == end).all() for r in got)
+    want = [(repr(r[0]), t.encode(r[1] or "", add_special_tokens=False).ids + [end]) for r in data]
+    want = Counter((k, j, tuple(x[16 * j:16 * j + 16])) for k, x in want for j in range(-(-len(x) // 16)))
+    assert Counter((repr(r["doc_id"]), r["seq"], tuple(ids[r["slot"]][:r["n_ids"]].tolist())) for r in got) == want
+    place = training_order.shared_folder(spark)
+    monkeypatch.setattr(training_order, "shared_folder", lambda spark: place)
+    rows = queries.QUERIES["op8_training_order"](spark, SF).collect()
+    ids = training_order.read_slots(place, 0, 1 << 40)
+    by = {}
+    for r in sorted(rows, key=lambda r: r["seq"]):
+        by.setdefault(r["doc_id"], []).extend(ids[r["slot"]][:r["n_ids"]].tolist())
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        assert by[r["doc_id"]] == t.encode(r["text"] or "", add_special_tokens=False).ids + [end]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 3), (5, 6), (7, 7), (6, 5)], "a long, b long")
     assert {r["node"]: r["component"] for r in components.connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5}
