@@ -301,6 +301,15 @@ def test_leaks_found_and_clean_documents_left_alone(spark, data):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1000 + k, items[k][0]) for k in range(12)}
 
 
+def test_pipeline_keeps_clean_documents_with_the_id_of_a_leak(spark, data):
+    import corpus_pipeline
+    item = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect() if r["text"])
+    clean = [r[1] for r in data if r[0] is not None and r[1]][:6]
+    rows = [(None, "before " + item + " after"), (7, item), (None, None)] + [(i, t) for i, t in zip((None, None, 7, 8, 9, None), clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collected(corpus_pipeline.benchmark_leaks(spark, docs, SF), "doc_id", "text") == sorted(rows[2:], key=repr)
+
+
 def test_block_max_wand_equals_exhaustive_scoring():
     rng = random.Random(2)
     items = [(i, " ".join(f"w{int(rng.expovariate(0.1))}" for _ in range(rng.randint(3, 40)))) for i in range(150)]
