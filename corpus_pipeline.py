@@ -25,10 +25,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at 0.8 on 5-word shingles, the document with the smallest id stays."""
-    groups = parity_join.near_duplicates(docs, 5, 80)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # rows that share an id are one document
+    """Of each group linked at 0.8 on 5-word shingles, the document with the smallest id stays (then the least hash of id and
+    text). Rows of one id with different texts are different documents; of rows with the same id and text the one
+    with the least other columns stays. Rows without an id stay."""
+    keyed = docs.where("doc_id is not null").withColumn("__key", F.xxhash64("doc_id", "text"))
+    groups = parity_join.near_duplicates(keyed, 5, 80, id_col="__key").select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    first = keyed.select("__key", "doc_id").distinct().join(groups, "__key").groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("first"))
+    kept = keyed.join(first.select("first.__key"), "__key", "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = kept.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("__0"), *others)).alias("__rest")).select("doc_id", "text", *[F.col(f"__rest.{c}") for c in others])
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

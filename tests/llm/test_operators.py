@@ -101,6 +101,23 @@ def test_parity_join_equals_brute_force(docs, data):
             assert r["doc_id"] is None or r["n_shingles"] == len(sets[r["doc_id"]])
 
 
+def test_pipeline_keeps_unrelated_texts_of_one_id(spark):
+    import corpus_pipeline
+    rng = random.Random(11)
+    para = lambda: " ".join(f"w{rng.randint(0, 10 ** 6)}" for _ in range(120))
+    a, b, c, d = (para() for _ in range(4))
+    rows = [(5, a, "x"), (5, b, "x"), (5, a, "y"), (5, a, "x"), (3, b + " tail", "x"), (9, c, "x"), (4, c, "z"), (2, d, "x"), (2, d + " tail", "x"),
+            (6, "", "x"), (7, None, "x"), (7, "", "x"), (None, a, "x"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    got = collected(got, "doc_id", "text", "lang")
+    two = [r for r in got if r[0] == 2]
+    assert len(two) == 1 and two[0][1] in (d, d + " tail")
+    want = [(5, a, "x"), (3, b + " tail", "x"), (4, c, "z"), (6, "", "x"), (7, None, "x"), (7, "", "x"), (None, a, "x"), (None, a, "x")]
+    assert sorted((r for r in got if r[0] != 2), key=repr) == sorted(want, key=repr)
+
+
 def test_automaton_dedup_equals_brute_force(docs, data):
     first = {}
     for r in sorted((r for r in data if r[0] is not None), key=lambda r: r[0]):
