@@ -107,3 +107,25 @@ def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as sequences of 512 BPE ids in a keyed order, written as fixed-stride shards."""
     from tabloom.llm import training_order
     return training_order.materialise(_documents(spark, sf_dir), training_order.shared_folder(spark), vocabulary_path=vocabulary("byte_bpe_50k.json"))
+
+
+@_register
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal periodic runs of words of every whole text, after a tenth of the documents were made periodic by rule."""
+    from tabloom.llm import periodic_runs
+    found = periodic_runs.find_runs(_made_periodic(_documents(spark, sf_dir)), 12, digest=True)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.p")).alias("period"),
+        F.expr("1000 * best.length div -best.p").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"))
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """Texts of documents with h % 10 = 0, h the crc32 of the id, whose word i >= a becomes word a + (i - a) % p."""
+    made = """transform(transform(array(filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')), w -> struct(w, cast((h div 10) % size(w) as int) as a)),
+        s -> concat_ws(' ', slice(s.w, 1, s.a), slice(flatten(array_repeat(
+            slice(s.w, s.a + 1, cast(1 + (size(s.w) - s.a) div (3 + (h div 10) % 8) as int)), cast(3 + (h div 10) % 8 as int))), 1, size(s.w) - s.a)))[0]"""
+    hashed = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    planted = F.when((F.col("h") % 10 == 0) & F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.expr(made)).otherwise(F.col("text"))
+    return hashed.select("doc_id", planted.alias("text"))
