@@ -129,3 +129,24 @@ def _made_periodic(docs: DataFrame) -> DataFrame:
     hashed = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
     planted = F.when((F.col("h") % 10 == 0) & F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.expr(made)).otherwise(F.col("text"))
     return hashed.select("doc_id", planted.alias("text"))
+
+
+@_register
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives, and the records read back from them."""
+    from tabloom.llm import warc_archive
+    pages, place = spark.read.parquet(f"{sf_dir}/pages.parquet"), warc_archive.archive_folder(spark)
+    warc_archive.write_archive(pages, place)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return warc_archive.read_archive(spark, place, kind).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op13_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+     d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(x, 1 + 10 * (i // 8), 10))::UBIGINT >> (35 - 5 * (i % 8))) & 31)::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d"""
