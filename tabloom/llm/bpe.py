@@ -7,8 +7,10 @@ scanned for its minimum, that boundary is deleted and the two neighbouring ranks
 refreshed, until no pair has a rank. Words of more than ``LONG_WORD`` bytes use the same
 merges through a heap, so a text without spaces costs n log n.
 
-A Python worker keeps the encodings of pieces of text it has met in byte pools (a bounded
-memo, emptied when full; it never changes a result), so known pieces are copied in bulk. The vocabulary file is read on the driver and broadcast; its size
+A Python worker keeps the encodings of pieces of text it has met in byte pools (a memo bounded in pieces and bytes,
+emptied when full), so known pieces are copied in bulk. Pieces are looked up by fingerprint; as the bytes
+that a piece's ids stand for are the piece itself, every hit is then held against the text byte by byte, and a text with a wrong hit is
+encoded by itself. The vocabulary file is read on the driver and broadcast; its size
 is that of the file. Decoding joins the bytes of the ids and reads them as UTF-8, replacing
 malformed sequences.
 
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import Fingerprints, chunks, ship, with_text
 
 LONG_WORD = 256
-MEMO_PIECES = 800_000
+MEMO_PIECES = 600_000
+MEMO_BYTES = 48 << 20
 _NONE = 1 << 62
 
 #: The pre-tokenisation pattern of byte-level BPE, with Unicode's White_Space spelled out.
@@ -215,9 +218,11 @@ class Encoder:
         self.keys = np.zeros(0, np.uint64)
         self.heads = np.zeros(0, np.uint64)
         self.rows = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.at = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
-        self.pool = [np.zeros(0, np.uint8), np.zeros(0, np.uint8)]
+        self.counts = _Pool(np.int64)
+        self.ends = [_Pool(np.int64), _Pool(np.int64)]
+        self.pools = [_Pool(np.uint8), _Pool(np.uint8)]
+        for ends in self.ends:
+            ends.add(np.zeros(1, np.int64))
 
     def ids_bytes(self, ids: list[int]) -> bytes:
         if self.csv:
@@ -232,12 +237,11 @@ class Encoder:
         known = {w: (len(ids), self.ids_bytes(ids), b"".join([token[i] for i in ids]))
                  for w, ids in zip(unique, self.vocabulary.encode_words([w.encode() for w in unique]))}
         got = [[known[w] for w in ws] for ws in words]
-        self.count = np.concatenate([self.count, [sum([k[0] for k in g]) for g in got]])
+        self.counts.add(np.array([sum([k[0] for k in g]) for g in got], np.int64))
         for which in (0, 1):
             parts = [b"".join([k[which + 1] for k in g]) for g in got]
-            ends = self.at[which][-1] + np.cumsum([len(x) for x in parts])
-            self.at[which] = np.concatenate([self.at[which], ends])
-            self.pool[which] = np.concatenate([self.pool[which], np.frombuffer(b"".join(parts), np.uint8)])
+            self.ends[which].add(self.pools[which].size + np.cumsum([len(x) for x in parts]))
+            self.pools[which].add(np.frombuffer(b"".join(parts), np.uint8))
 
     def _find(self, keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -247,8 +251,7 @@ class Encoder:
 
     def encode(self, buf: np.ndarray, offs: np.ndarray):
         """For the texts in ``buf``: number of ids, ids' bytes with offsets, decoded bytes with offsets."""
-        docs = len(offs) - 1
-        if len(self.keys) > MEMO_PIECES:
+        if len(self.keys) > MEMO_PIECES or self.pools[0].size + self.pools[1].size > MEMO_BYTES:
             self.forget()
         starts = piece_starts(buf, offs)
         ends = np.append(starts[1:], len(buf))
@@ -263,7 +266,7 @@ class Encoder:
         if len(new):
             body = buf.tobytes()
             self._learn([body[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
-            row[new] = np.arange(len(self.count) - len(new), len(self.count))
+            row[new] = np.arange(self.counts.size - len(new), self.counts.size)
             spot = np.searchsorted(self.keys, unique[new])
             self.keys = np.insert(self.keys, spot, unique[new])
             self.heads = np.insert(self.heads, spot, heads[where[new]])
@@ -271,19 +274,49 @@ class Encoder:
         row = row[back]
         doc = np.searchsorted(starts, offs)
         total = lambda x: np.concatenate([[0], np.cumsum(x)])[doc]
-        counts = np.diff(total(self.count[row]))
+        counts = np.diff(total(self.counts.data[row]))
         out = [counts]
         for which in (0, 1):
-            length = self.at[which][row + 1] - self.at[which][row]
-            out += [gather(self.pool[which], self.at[which][row], length), total(length)]
+            length = self.ends[which].data[row + 1] - self.ends[which].data[row]
+            out += [gather(self.pools[which].data, self.ends[which].data[row], length), total(length)]
+        if not (np.array_equal(length, size) and np.array_equal(out[3], buf)):
+            return self._apart(buf, offs)
         if self.csv:  # the comma after each text's last id goes
             full = counts > 0
             keep = np.ones(len(out[1]), bool)
             keep[out[2][1:][full] - 1] = False
             out[1], out[2] = out[1][keep], out[2] - np.concatenate([[0], np.cumsum(full)])
-        assert len(counts) == docs
         return out
 
+    def _apart(self, buf: np.ndarray, offs: np.ndarray):
+        """As encode, without the memo: one of its fingerprints stood for two pieces."""
+        counts, ids, texts = [], [], []
+        for a, b in zip(offs, offs[1:]):
+            own = self.vocabulary._plain(buf[a:b].tobytes().decode())
+            counts.append(len(own))
+            ids.append(self.ids_bytes(own).rstrip(b",") if self.csv else self.ids_bytes(own))
+            texts.append(b"".join([self.vocabulary.token[i] for i in own]))
+        out = [np.array(counts, np.int64)]
+        for parts in (ids, texts):
+            out += [np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)]
+        return out
+
+
+class _Pool:
+    """An array that grows at its end by doubling."""
+
+    def __init__(self, kind):
+        self.data, self.size = np.zeros(0, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        need = self.size + len(more)
+        if need > len(self.data):
+            wide = np.empty(max(need, 2 * len(self.data)), self.data.dtype)
+            wide[:self.size] = self.data[:self.size]
+            self.data = wide
+        self.data[self.size:need] = more
+        self.size = need
+
 
 def _string_column(data: np.ndarray, offs: np.ndarray) -> pa.Array:
     body = data.tobytes()

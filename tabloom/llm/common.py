@@ -22,10 +22,10 @@ __all__ = ["Fingerprints", "array_bytes", "binary_column", "checkpoint_dir", "ch
 U64 = np.uint64
 CHUNK_BYTES = 2 << 20
 
-#: Odd multiplier and its inverse modulo 2^64, and one random 64-bit value per byte.
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE_VALUES = np.random.RandomState(20240229).randint(1, 1 << 62, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+#: The prime 2^31 - 1, a base of large order for each lane and its inverse, and a random value per lane and byte.
+_PRIME = (1 << 31) - 1
+_BASES = [1389796, 972439182, 1500450271]
+_BYTE_VALUES = np.random.RandomState(20240229).randint(1, _PRIME, (3, 256), dtype=np.int64).astype(U64)
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
 _SHIPPED: set[str] = set()
@@ -138,34 +138,60 @@ def word_spans(buf: np.ndarray, offs: np.ndarray, separators: np.ndarray | None
 
 
 class Fingerprints:
-    """64-bit fingerprints of substrings of one byte buffer: a polynomial over random byte
-    values modulo 2^64, so any substring's value comes from two prefix sums."""
+    """Fingerprints of substrings of one byte buffer: polynomials over random byte values modulo 2^31 - 1, in two
+    lanes with bases of their own (62 bits together), so any substring's value comes from prefix sums. A third lane,
+    ``spare``, is only worked out where it is asked for. The modulus is a prime, so regular strings
+    (Thue-Morse words, say, which agree modulo 2^64 for every base) are told apart like any others."""
 
-    _power = np.ones(1, U64)
-    _unpower = np.ones(1, U64)
+    _powers: dict[tuple[int, bool], np.ndarray] = {}
 
     @classmethod
-    def _grow(cls, n: int) -> None:
-        if len(cls._power) < n:
-            size = max(n, CHUNK_BYTES + 1)
-            p = np.full(size, _BASE, U64)
-            q = np.full(size, _INVERSE, U64)
-            p[0] = q[0] = 1
-            cls._power, cls._unpower = np.cumprod(p), np.cumprod(q)
+    def _power(cls, lane: int, inverse: bool, n: int) -> np.ndarray:
+        """The base's powers 0..n-1, or those of its inverse; made by doubling and kept."""
+        have = cls._powers.get((lane, inverse))
+        if have is None or len(have) < n:
+            base = pow(_BASES[lane], -1, _PRIME) if inverse else _BASES[lane]
+            out = np.ones(max(n, CHUNK_BYTES + 1), np.uint32)
+            size = 1
+            while size < len(out):
+                more = min(size, len(out) - size)
+                out[size:size + more] = out[:more].astype(U64) * U64(pow(base, size, _PRIME)) % U64(_PRIME)
+                size += more
+            have = cls._powers[lane, inverse] = out
+        return have
 
     def __init__(self, buf: np.ndarray):
-        n = len(buf)
-        self._grow(n + 1)
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE_VALUES[buf] * self._power[:n], out=self.sums[1:])
+        self.buf = buf
+        self.sums = [self._lane(0), self._lane(1)]
+
+    def _lane(self, lane: int) -> np.ndarray:
+        n = len(self.buf)
+        term = _BYTE_VALUES[lane][self.buf]
+        term *= self._power(lane, False, n + 1)[:n]
+        high = term >> U64(31)
+        term &= U64(_PRIME)
+        term += high  # below 2^32 and right modulo the prime
+        sums = np.zeros(n + 1, U64)
+        np.cumsum(term, out=sums[1:])
+        return sums
+
+    def _values(self, lane: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        sums = self.sums[lane]
+        return (sums[b] - sums[a]) % U64(_PRIME) * self._power(lane, True, len(self.buf) + 1)[a] % U64(_PRIME)
 
     def raw(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (self.sums[b] - self.sums[a]) * self._unpower[a]
+        return self._values(0, a, b) << U64(31) | self._values(1, a, b)
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Fingerprints of the substrings [a, b)."""
         return mix64(self.raw(a, b) + (b - a).astype(U64) * U64(0xD6E8FEB86659FD93))
 
+    def spare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """31 further bits, from a lane of their own."""
+        if len(self.sums) < 3:
+            self.sums.append(self._lane(2))
+        return self._values(2, a, b).astype(np.int32)
+
 
 def binary_column(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     """Rows of a binary column: consecutive runs of ``values``, ``counts`` of them each."""

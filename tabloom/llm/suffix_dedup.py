@@ -19,7 +19,7 @@ then the whole stretch that these strings cover, whose repetition proves them al
 only for anchors next to the end of a repeat, string by string. Sorted runs are streamed
 with a bounded state; no group is collected.
 
-Names and fingerprints have 64 bits while candidates are searched and 96 where strings are held equal.
+Names and fingerprints have 62 bits while candidates are searched and 93, from three independent lanes, where strings are held equal.
 
 Null and empty texts have no bytes. Rows that are equal in id and text are copies of each
 other like any others. Null ids are kept. Extra columns are ignored.
@@ -150,10 +150,8 @@ def _stretches(asked: DataFrame, threshold: int) -> DataFrame:
 
 
 def _two(prints: Fingerprints, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits: of the string, and of the string without its first 61 bytes seen from another finaliser."""
-    f = prints.of(a, b)
-    inner = prints.of(a + np.minimum(61, b - a), b)
-    return f.view(np.int64), (mix64(inner * U(0xC2B2AE3D27D4EB4F) + f) >> U(33)).astype(np.int32)
+    """93 bits of the strings, from three lanes."""
+    return prints.of(a, b).view(np.int64), prints.spare(a, b)
 
 
 def _judged(stretches: DataFrame) -> DataFrame:

@@ -39,6 +39,7 @@ from tabloom.llm.common import checkpoint_dir, drop, keep, ship
 MAX_RANGES = 1 << 14
 RECORD_BYTES = 512  # headers of a record, for the sizes of ranges
 READ_BYTES = 1 << 20
+READ_TASKS = 1 << 13
 _URL_SAFE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -81,7 +82,8 @@ def read_archive(spark: SparkSession, path: str, id_type: str = "bigint", payloa
     ship(spark)
     place = path.rstrip("/")
     files = spark.read.parquet(f"{place}/manifest").select("file")
-    found = files.repartition("file").mapInArrow(_reader(place, payloads), "page_id string, record_type string, record_id string, target_uri string, refers_to string, "
+    tasks = max(1, min(files.count(), READ_TASKS))
+    found = files.repartition(tasks).mapInArrow(_reader(place, payloads), "page_id string, record_type string, record_id string, target_uri string, refers_to string, "
                                                  "payload_bytes bigint, payload_digest string" + (", payload binary" if payloads else ""))
     return found.withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 

@@ -426,3 +426,49 @@ def test_pipeline_stages(spark):
     assert len(ids) == len(set(ids))
     assert parity_join.near_duplicates(now, 5, 80).where("doc_id <> component_id").count() <= now.count()
     assert corpus_pipeline.run(spark, SF).count() == len(ids)
+
+
+def thue_morse():
+    """Two texts of one length and head whose polynomial fingerprints modulo 2^64 agree for every base."""
+    line = [bin(k).count("1") % 2 for k in range(2048)]
+    return ["c" * 8 + "".join("ab"[x ^ flip] for x in line) for flip in (0, 1)]
+
+
+def test_regular_strings_are_told_apart(spark):
+    from tokenizers import Tokenizer
+    from tabloom.llm.common import Fingerprints
+    one, two = thue_morse()
+    buf = np.frombuffer((one + two).encode(), np.uint8)
+    a = np.array([0, len(one)])
+    prints = Fingerprints(buf)
+    assert len(set(prints.of(a, a + len(one)).tolist())) == 2 == len(set(prints.raw(a, a + len(one)).tolist())) == len(set(prints.spare(a, a + len(one)).tolist()))
+    rows = [(k, t) for k, t in enumerate([one, two, one, f"x {two} y", f"x {one} y"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    for r in bpe.encode_decode(docs, path).collect():
+        want = library.encode(rows[r["doc_id"]][1], add_special_tokens=False).ids
+        assert (r["ids"], r["decoded"]) == (",".join(map(str, want)), rows[r["doc_id"]][1])
+    model, words = ppm.learn(docs.where("doc_id = 0"))
+    known = {r["doc_id"]: r["n_known"] for r in ppm.score(docs, model, words).collect()}
+    assert known == {0: 2, 1: 1, 2: 2, 3: 1, 4: 2}
+    long = [(k, " ".join(f"w{k}{j}" for j in range(40)) + f" {t} " + "same tail of words here and so on for a while yes it is") for k, t in enumerate((one, two, one))]
+    kept = {r["doc_id"]: r["n_removed"] for r in automaton_dedup.remove_repeats(spark.createDataFrame(long, "doc_id long, text string"), 13).collect()}
+    assert kept[0] == 0 and kept[2] == kept[1] + 1
+    linked = {r["doc_id"]: r["component_id"] for r in parity_join.near_duplicates(docs.where("doc_id < 3"), 3, 90).collect()}
+    assert linked == {0: 0, 1: 1, 2: 0}
+
+
+def test_a_wrong_memo_hit_is_noticed(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        source = f.read()
+    texts = ["same words here", "other text, ünlike", "", "same again", "other text, ünlike"]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    for csv in (True, False):
+        want = bpe.Encoder(bpe.Vocabulary(source), csv).encode(buf, offs)
+        with monkeypatch.context() as m:
+            m.setattr(bpe.Fingerprints, "of", lambda self, a, b: (b - a).astype(np.uint64))
+            got = bpe.Encoder(bpe.Vocabulary(source), csv).encode(buf, offs)
+        assert [x.tolist() for x in got] == [x.tolist() for x in want]
