@@ -160,7 +160,12 @@ def _stars(keys: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     parts = keys.repartition("key").sortWithinPartitions("key", "doc_id")
-    return parts.mapInArrow(run, "a bigint, b bigint").distinct()
+    # a document has as many first documents as keys: it keeps the least of them, and that one takes over its links to the others
+    hubs = parts.mapInArrow(run, "a bigint, b bigint").groupBy("a").agg(F.collect_set("b").alias("hubs"))
+    least = F.array_min("hubs")
+    own = hubs.select("a", least.alias("b"))
+    others = hubs.where(F.size("hubs") > 1).select(F.explode("hubs").alias("a"), least.alias("b")).where("a <> b")
+    return own.unionByName(others).distinct()
 
 
 def _sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:

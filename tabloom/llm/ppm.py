@@ -11,10 +11,11 @@ the empty context all unseen bytes are equally likely. A document's score is the
 probability of its bytes (A-Z lower-cased) and of its end, which is a symbol of its own;
 contexts do not cross documents.
 
-The counts stay in a table that grows with the corpus. Two bounded parts of it are broadcast, which
-changes no score: the trie of the most frequent contexts (those that reach the least power of two that at
-most ``CONTEXTS`` contexts reach), which settles each byte after a context of ``ORDER`` bytes that it holds;
-and the costs of the most frequent of the other windows (at most ``WINDOWS``). The costs of all other windows
+The trie of contexts is a table of (order, context and byte, count) that grows with the corpus; a context's parent is the
+context without its first byte. Two bounded parts of what follows from it are broadcast, which changes no score: the
+costs of the most frequent training windows after a whole context of ``ORDER`` bytes (those that reach the least power of two
+that at most ``KNOWN`` windows reach), which need the counts of that context only; and the costs of the most frequent
+of the other windows (at most ``WINDOWS``). The costs of all other windows
 are worked out in Spark from the whole table, order by order (``_costs``); windows beyond the second
 broadcast are joined with them.
 
@@ -41,8 +42,8 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import Fingerprints, chunks, cut_lineage, ship, word_spans
 
 ORDER = 5
-CONTEXTS = 1 << 15
-WINDOWS = 1 << 20
+KNOWN = 1 << 19
+WINDOWS = 1 << 19
 FREQUENT = 1 << 22
 END = 0xFF  # no byte of UTF-8
 
@@ -54,9 +55,8 @@ class Model:
     train_docs: int
     words: np.ndarray  # fingerprints of frequent words, sorted
     counts: np.ndarray
-    orders: np.ndarray  # of the trie's (context, byte) counts
-    grams: np.ndarray  # context bytes and the byte after them, as one number
-    gram_counts: np.ndarray
+    grams: np.ndarray  # frequent windows: ORDER context bytes and the byte after them, as one number
+    costs: np.ndarray  # log10 probabilities of their last bytes
     tag: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
@@ -160,12 +160,12 @@ def learn(training: DataFrame, text_col: str = "text") -> tuple[Model, Tables]:
     gram = counts.where("kind = 1").select("key", "n", orders).select(
         "order", F.expr("key & (shiftleft(1L, 8 * (`order` + 1)) - 1)").alias("gram"), "n").groupBy("order", "gram").agg(F.sum("n").alias("n"))
     gram = cut_lineage(gram)
-    context = F.shiftright("gram", 8).alias("context")
-    contexts = gram.groupBy("order", context).agg(F.sum("n").alias("total"))
-    kept = contexts.where(F.floor(F.log2("total")) >= _least(contexts, "total", CONTEXTS)).select("order", "context")
-    trie = gram.select("order", "gram", "n", context).join(kept, ["order", "context"]).select("order", "gram", "n").toArrow().to_pandas().sort_values(["order", "gram"])
+    whole = gram.where(F.col("order") == ORDER).select("gram", "n", F.shiftright("gram", 8).alias("context"))
+    frequent_grams = whole.where(F.floor(F.log2("n")) >= _least(whole, "n", KNOWN))
+    contexts = whole.groupBy("context").agg((F.sum("n") + F.count(F.lit(1))).alias("whole"))  # occurrences and different bytes
+    known = frequent_grams.join(contexts, "context").select("gram", F.log10(F.col("n") / F.col("whole")).alias("cost")).toArrow()
     return Model(int(tokens), int(distinct), int(docs), frequent["key"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64),
-                 trie["order"].to_numpy(np.int64), trie["gram"].to_numpy(np.int64), trie["n"].to_numpy(np.int64)), Tables(words, gram)
+                 known["gram"].to_numpy(), known["cost"].to_numpy()), Tables(words, gram)
 
 
 def _costs(grams: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -203,66 +203,46 @@ def _costs(grams: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("gram").join(shorter.select(F.col("short").alias("gram"), F.log10("prob_below").alias("cost")).hint("merge"), "gram")
 
 
-class Trie:
-    """Contexts as nodes: ``child[node, byte]`` is the context that is longer by that byte at its front
-    (-1: none), ``cost[node, byte]`` the log10 probability of the byte after it."""
-
-    def __init__(self, model: Model):
-        order, gram, n = model.orders, model.grams, model.gram_counts
-        contexts = [np.unique(gram[order == o] >> 8) if o else np.zeros(1, np.int64) for o in range(ORDER + 1)]
-        first = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
-        self.child = np.full((first[-1], 256), -1, np.int32)
-        self.cost = np.empty((first[-1], 256))
-        rest = above = None
-        for o in range(ORDER + 1):
-            own, mine = contexts[o], order == o
-            counts = np.zeros((len(own), 256))
-            counts[np.searchsorted(own, gram[mine] >> 8), gram[mine] & 255] = n[mine]
-            left_over = np.empty((len(own), 256))  # probabilities of bytes not seen here, after the escape
-            for k in range(0, len(own), 2048):
-                part = slice(k, k + 2048)
-                if o == 0:
-                    left_over[part] = 1 / max(256 - np.count_nonzero(counts), 1)
-                else:
-                    shorter = own[part] & ((1 << 8 * (o - 1)) - 1)
-                    parent = np.searchsorted(contexts[o - 1], shorter)
-                    self.child[first[o - 1] + parent, own[part] >> 8 * (o - 1)] = first[o] + k + np.arange(len(parent))
-                    out = np.where(counts[part] > 0, 0.0, above[parent])  # the shorter context without what is excluded
-                    kinds = (out > 0).sum(1)
-                    weight = out.sum(1) + kinds
-                    escape = np.where(weight > 0, kinds / np.maximum(weight, 1), 1.0)
-                    left_over[part] = np.where(out > 0, out / np.maximum(weight, 1)[:, None], escape[:, None] * rest[parent])
-                here = counts[part]
-                kinds = (here > 0).sum(1)
-                weight = here.sum(1) + kinds
-                escape = np.where(weight > 0, kinds / np.maximum(weight, 1), 1.0)
-                prob = np.where(here > 0, here / np.maximum(weight, 1)[:, None], escape[:, None] * left_over[part])
-                self.cost[first[o] + k:first[o] + k + len(kinds)] = np.log10(np.maximum(prob, 1e-300))
-            above, rest = counts, left_over
-
-    def costs(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of every symbol of the stream from position ORDER on, and which of them are settled:
-        those after a context of ORDER bytes. For others the whole table may hold a longer context."""
-        m = len(stream) - ORDER
-        node = np.zeros(m, np.int32)
-        live = np.arange(m)
-        for k in range(1, ORDER + 1):
-            step = self.child[node[live], stream[live + ORDER - k]]
-            ok = step >= 0
-            live = live[ok]
-            node[live] = step[ok]
-        settled = np.zeros(m, bool)
-        settled[live] = True
-        return self.cost[node, stream[ORDER:]], settled
-
-
-_MEMO: dict[str, Trie] = {}
-
-
-def _trie(model: Model) -> Trie:
+class WindowCosts:
+    """Costs by window in an open-addressing table, found for many windows at once."""
+
+    def __init__(self, grams: np.ndarray, costs: np.ndarray):
+        self.bits = max(4, int(4 * len(grams)).bit_length())
+        self.mask = (1 << self.bits) - 1
+        self.keys, self.costs = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1)
+        at, left = self._place(grams), np.arange(len(grams))
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]] = grams[free]
+            put = left[self.keys[at[left]] == grams[left]]
+            self.costs[at[put]] = costs[put]
+            left = left[self.keys[at[left]] != grams[left]]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _place(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows' costs (0 where unknown), and which are known."""
+        at = self._place(grams)
+        there = self.keys[at]
+        known = there == grams
+        left = np.flatnonzero(~known & (there >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            there = self.keys[at[left]]
+            known[left[there == grams[left]]] = True
+            left = left[(there >= 0) & (there != grams[left])]
+        return np.where(known, self.costs[at], 0.0), known
+
+
+_MEMO: dict[str, WindowCosts] = {}
+
+
+def _known(model: Model) -> WindowCosts:
     if model.tag not in _MEMO:
         _MEMO.clear()
-        _MEMO[model.tag] = Trie(model)
+        _MEMO[model.tag] = WindowCosts(model.grams, model.costs)
     return _MEMO[model.tag]
 
 
@@ -272,9 +252,9 @@ def base(n: Column, model: Model) -> Column:
 
 
 def _open_windows(docs: DataFrame, shared) -> DataFrame:
-    """Rows (gram, n): the distinct windows of ``docs`` (column text) that the trie does not settle."""
+    """Rows (gram, n): the distinct windows of ``docs`` (column text) that the model's frequent ones do not settle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, tally = _trie(shared.value), _Tally(np.int64)
+        known, tally = _known(shared.value), _Tally(np.int64)
 
         def flush():
             tally.merge()
@@ -284,7 +264,8 @@ def _open_windows(docs: DataFrame, shared) -> DataFrame:
 
         for _, buf, offs in chunks(batches, "text", lower=True):
             stream, begin, end = _stream(buf, offs)
-            tally.add(_grams(stream)[_real(stream, begin, end) & ~trie.costs(stream)[1]])
+            grams = _grams(stream)[_real(stream, begin, end)]
+            tally.add(grams[~known.find(grams)[1]])
             if len(tally.keys) > 2_000_000:
                 yield from flush()
         yield from flush()
@@ -305,7 +286,7 @@ def score(docs: DataFrame, model: Model, tables: Tables, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        trie = _trie(model)
+        known_grams = _known(model)
         grams, gram_costs = held.value
         scale = np.log10(float(model.train_tokens + model.vocabulary + 1))
         for part, buf, offs in chunks(batches, "text", lower=True):
@@ -320,9 +301,10 @@ def score(docs: DataFrame, model: Model, tables: Tables, id_col: str = "doc_id",
             rare_at = np.searchsorted(rare, doc)
             lists = pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array(keys[rare].view(np.int64)))
             stream, begin, end = _stream(buf, offs)
-            cost, settled = trie.costs(stream)
+            every = _grams(stream)
+            cost, settled = known_grams.find(every)
             where = np.flatnonzero(_real(stream, begin, end) & ~settled)
-            gram, back = np.unique(_grams(stream)[where], return_inverse=True)
+            gram, back = np.unique(every[where], return_inverse=True)
             at = np.minimum(np.searchsorted(grams, gram), max(len(grams) - 1, 0))
             hit = grams[at] == gram if len(grams) else np.zeros(len(gram), bool)
             open_cost = np.zeros(len(gram))

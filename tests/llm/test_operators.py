@@ -188,7 +188,15 @@ def test_ppm_base_equals_brute_force_and_distributions_sum_to_one(docs, data):
     got = ppm.score(docs, model, words)
     assert sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got.collect()), key=repr) == want
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got.collect())
-    assert np.allclose((10.0 ** ppm.Trie(model).cost.astype(float)).sum(1), 1, atol=1e-5)
+    contexts = [r["c"] for r in words.grams.where(f"order = {ppm.ORDER}").select(F.shiftright("gram", 8).alias("c")).distinct().orderBy(F.xxhash64("c")).limit(20).collect()] + [0, 1 << 39]
+    every = docs.sparkSession.createDataFrame([(c << 8 | b,) for c in contexts for b in range(256)], "gram long")
+    sums = ppm._costs(words.grams, every).groupBy(F.shiftright("gram", 8)).agg(F.sum(F.pow(F.lit(10.0), "cost")).alias("p")).collect()
+    assert len(sums) == len(contexts) and all(abs(r["p"] - 1) < 1e-9 for r in sums)
+    known = {int(g): c for g, c in zip(model.grams, model.costs)}
+    table = ppm.WindowCosts(model.grams, model.costs)
+    asked = np.concatenate([model.grams, model.grams + 1, np.arange(99)])
+    cost, hit = table.find(asked)
+    assert hit.tolist() == [int(g) in known for g in asked] and cost.tolist() == [known.get(int(g), 0.0) for g in asked]
 
 
 def ppm_brute_force(training, texts):
@@ -223,8 +231,8 @@ def ppm_brute_force(training, texts):
 def test_ppm_score_equals_brute_force_whatever_is_broadcast(docs, data, monkeypatch):
     want = ppm_brute_force([r[1] for r in data if r[0] is not None and r[0] % 7 != 2], [r[1] for r in data])
     want = sorted((repr(r[0]), s) for r, s in zip(data, want))
-    for contexts, windows in ((ppm.CONTEXTS, ppm.WINDOWS), (40, 200), (40, 0)):
-        monkeypatch.setattr(ppm, "CONTEXTS", contexts)
+    for known, windows in ((ppm.KNOWN, ppm.WINDOWS), (40, 200), (40, 0), (0, 0)):
+        monkeypatch.setattr(ppm, "KNOWN", known)
         monkeypatch.setattr(ppm, "WINDOWS", windows)
         got = sorted((repr(r["doc_id"]), r["score"]) for r in ppm.score(docs, *ppm.learn(docs.where("doc_id % 7 <> 2"))).collect())
         assert [k for k, _ in got] == [k for k, _ in want]
