@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.hashing import HASH_SPAN, sql_row_hash
 from tabloom.jobs import job
 from tabloom.jobs import fixtures as fx
+from tabloom.jobs.sqlgen import fold_of
 from tabloom.jobs.preparation import split_cte
 from tabloom.operators.baseline import baseline_prediction, choose_baseline_strategy
 from tabloom.operators.metrics import (
@@ -235,7 +236,7 @@ def _folded_train(spark, sf_dir, k=5):
 _CV_COLS = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag"]
 _CV_TIE = ", ".join(["l_orderkey", "l_linenumber", *sorted(_CV_COLS)])
 _FOLDS_SQL = "WITH " + split_cte("lineitem", ["l_orderkey", "l_linenumber"], ties=_CV_COLS) + f""",
-tr AS (SELECT *, CAST((row_number() OVER (ORDER BY {sql_row_hash(['l_orderkey', 'l_linenumber'], 'fold:42')}, {_CV_TIE}) - 1) % 5 AS INTEGER) AS fold
+tr AS (SELECT *, {fold_of(f"(row_number() OVER (ORDER BY {sql_row_hash(['l_orderkey', 'l_linenumber'], 'fold:42')}, {_CV_TIE}) - 1)", "(SELECT count(*) FROM sp WHERE split = 'train')", 5)} AS fold
        FROM sp WHERE split = 'train')"""
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.hashing import sql_row_hash
 from tabloom.jobs import job
 from tabloom.jobs import fixtures as fx
+from tabloom.jobs.sqlgen import fold_of
 from tabloom.jobs.preparation import split_cte
 from tabloom.operators.metrics import rank_trials
 from tabloom.operators.pipeline import FittedPipeline, TabularPipeline, cross_validate, summarize_cv
@@ -72,7 +73,7 @@ _ALPHAS = cat.search_space("ridge_regression", "expanded_competition")["alpha"]
 _CV_TIE = ", ".join(["l_orderkey", "l_linenumber", *sorted(_RIDGE_COLS)])
 _GRID_SQL = "WITH " + split_cte("lineitem", ["l_orderkey", "l_linenumber"], ties=_RIDGE_COLS) + f""",
 tr AS (SELECT l_quantity AS x, l_extendedprice AS y,
-              CAST((row_number() OVER (ORDER BY {sql_row_hash(['l_orderkey', 'l_linenumber'], 'fold:42')}, {_CV_TIE}) - 1) % 5 AS INTEGER) AS fold
+              {fold_of(f"(row_number() OVER (ORDER BY {sql_row_hash(['l_orderkey', 'l_linenumber'], 'fold:42')}, {_CV_TIE}) - 1)", "(SELECT count(*) FROM sp WHERE split = 'train')", 5)} AS fold
        FROM sp WHERE split = 'train'),
 a AS (SELECT * FROM (VALUES {', '.join(f'({i}, CAST({a!r} AS DOUBLE))' for i, a in enumerate(_ALPHAS))}) AS t(trial, alpha)),
 f AS (SELECT DISTINCT fold FROM tr),

@@ -8,6 +8,7 @@ from tabloom.functions.dates import sql_lenient_timestamp
 from tabloom.functions.hashing import sql_row_hash
 from tabloom.jobs import job
 from tabloom.jobs import fixtures as fx
+from tabloom.jobs.sqlgen import fold_of
 from tabloom.operators.split import assign_folds, holdout_split, leakage_check, split_summary
 
 H_ORDERS = sql_row_hash(["o_orderkey"])
@@ -73,9 +74,10 @@ def split_time_ordered_text(spark, sf_dir):
 
 @job("kfold_stratified", f"""WITH b AS (SELECT doc_id, quality, {sql_row_hash(['doc_id'], 'fold:42')} AS h FROM labels),
 cls AS (SELECT quality, count(*) AS n FROM b GROUP BY quality),
-off AS (SELECT quality, coalesce(sum(n) OVER (ORDER BY quality NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS coff FROM cls)
-SELECT doc_id, CAST((row_number() OVER (PARTITION BY b.quality ORDER BY h, doc_id) - 1 + coff) % 5 AS INTEGER) AS fold
-FROM b JOIN off ON b.quality IS NOT DISTINCT FROM off.quality""")
+off AS (SELECT quality, n, coalesce(sum(n) OVER (ORDER BY quality NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS coff FROM cls),
+r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY h, doc_id) - 1 AS r FROM b)
+SELECT doc_id, {fold_of('r', 'n', 5, 'coff')} AS fold
+FROM r JOIN off ON r.quality IS NOT DISTINCT FROM off.quality""")
 def kfold_stratified(spark, sf_dir):
     """Stratified 5-fold assignment."""
     lab = fx.table(spark, sf_dir, "labels")
@@ -83,7 +85,7 @@ def kfold_stratified(spark, sf_dir):
 
 
 @job("kfold_random", f"""WITH b AS (SELECT l_orderkey, l_linenumber, {sql_row_hash(['l_orderkey', 'l_linenumber'], 'fold:42')} AS h FROM lineitem)
-SELECT l_orderkey, l_linenumber, CAST((row_number() OVER (ORDER BY h, l_orderkey, l_linenumber) - 1) % 5 AS INTEGER) AS fold
+SELECT l_orderkey, l_linenumber, {fold_of('(row_number() OVER (ORDER BY h, l_orderkey, l_linenumber) - 1)', '(SELECT count(*) FROM b)', 5)} AS fold
 FROM b""")
 def kfold_random(spark, sf_dir):
     """5-fold assignment over a composite key."""
@@ -107,3 +109,50 @@ def split_leakage_check(spark, sf_dir):
     """Train and test are disjoint on the key and add up to the table."""
     s = holdout_split(fx.table(spark, sf_dir, "orders"), ["o_orderkey"])
     return leakage_check(s, ["o_orderkey"])
+
+
+_ORDERS_TIES = "o_custkey, o_orderdate, o_orderkey, o_orderpriority, o_orderstatus, o_totalprice"
+_DUPLICATE_KEYS = f"""WITH b AS (SELECT *, {sql_row_hash(['o_custkey'])} AS h FROM orders),
+s AS (SELECT o_orderkey, o_custkey, CASE WHEN row_number() OVER (ORDER BY h, {_ORDERS_TIES})
+                             <= (SELECT CAST(ceil(CAST(0.2 AS DOUBLE) * count(*)) AS BIGINT) FROM b)
+                        THEN 'test' ELSE 'train' END AS split FROM b)"""
+
+
+@job("split_random_duplicate_key", _DUPLICATE_KEYS + "\nSELECT o_orderkey, split FROM s")
+def split_random_duplicate_key(spark, sf_dir):
+    """X1 with a key that many rows share: the cut falls among rows of one key and is told by the other columns."""
+    return holdout_split(fx.table(spark, sf_dir, "orders"), ["o_custkey"]).select("o_orderkey", "split")
+
+
+@job("split_leakage_duplicate_key", _DUPLICATE_KEYS + """
+SELECT CAST(count(*) FILTER (split = 'train') AS BIGINT) AS train_rows, CAST(count(*) FILTER (split = 'test') AS BIGINT) AS test_rows,
+       CAST(count(*) AS BIGINT) AS total_rows,
+       CAST(count(*) FILTER (split = 'train' AND o_custkey IN (SELECT o_custkey FROM s WHERE split = 'test')) AS BIGINT) AS overlap_rows FROM s""")
+def split_leakage_duplicate_key(spark, sf_dir):
+    """X8 where the key is not unique: the rows of the key at the cut leak."""
+    return leakage_check(holdout_split(fx.table(spark, sf_dir, "orders"), ["o_custkey"]), ["o_custkey"])
+
+
+_HALF_MISSING = "CASE WHEN event_id % 2 = 0 THEN NULL ELSE ts END"
+
+
+@job("split_time_ordered_sentinel", f"""WITH b AS (SELECT event_id, {_HALF_MISSING} AS t, {H_EVENTS} AS h FROM events)
+SELECT event_id, CASE WHEN row_number() OVER (ORDER BY t NULLS LAST, h, event_id)
+                           <= (SELECT CAST(floor(count(*) * CAST(0.8 AS DOUBLE)) AS BIGINT) FROM b)
+                      THEN 'train' ELSE 'test' END AS split
+FROM b""")
+def split_time_ordered_sentinel(spark, sf_dir):
+    """X3 with every second time missing: the cut falls among rows without a time."""
+    e = fx.table(spark, sf_dir, "events").withColumn("ts", F.when(F.col("event_id") % 2 == 0, None).otherwise(F.col("ts")))
+    return holdout_split(e, ["event_id"], "time_ordered_holdout", date_column="ts").select("event_id", "split")
+
+
+@job("fold_sizes", f"""WITH b AS (SELECT quality, {sql_row_hash(['doc_id'], 'fold:42')} AS h, doc_id FROM labels),
+cls AS (SELECT quality, count(*) AS n FROM b GROUP BY quality),
+off AS (SELECT quality, n, coalesce(sum(n) OVER (ORDER BY quality NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS coff FROM cls),
+r AS (SELECT quality, row_number() OVER (PARTITION BY quality ORDER BY h, doc_id) - 1 AS r FROM b)
+SELECT quality, {fold_of('r', 'n', 7, 'coff')} AS fold, CAST(count(*) AS BIGINT) AS rows FROM r JOIN off USING (quality) GROUP BY ALL""")
+def fold_sizes(spark, sf_dir):
+    """Rows of each class in each of 7 folds."""
+    lab = fx.table(spark, sf_dir, "labels")
+    return assign_folds(lab, ["doc_id"], 7, target="quality", stratified=True).groupBy("quality", "fold").agg(F.count(F.lit(1)).alias("rows"))

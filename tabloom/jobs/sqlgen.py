@@ -29,3 +29,10 @@ def per_column_stats(source: str, cols: Sequence[tuple[str, str]]) -> str:
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def fold_of(rank0: str, n: str, k: int, before: str = "0") -> str:
+    """Fold of the row of rank ``rank0`` (from 0) among ``n``: k stretches, the first n mod k one row longer, turned on by ``before``."""
+    q, e = f"({n} // {k})", f"({n} % {k})"
+    return (f"CAST((CASE WHEN {rank0} < {e} * ({q} + 1) THEN {rank0} // ({q} + 1) "
+            f"ELSE {e} + ({rank0} - {e} * ({q} + 1)) // greatest({q}, 1) END + {before}) % {k} AS INTEGER)")

@@ -1,4 +1,4 @@
-"""Holdouts and folds (X1-X8), all on the exact distributed rank (K1).
+"""Holdouts and folds (X1-X8), as exact cuts of a row order (``cuts``): no row is shuffled.
 
 * random holdout: the ``ceil(test_size * n)`` rows with the smallest row hash;
 * stratified holdout: per-class quotas by largest remainder (tie -> smaller label)
@@ -6,9 +6,9 @@
   falls back to random when there is one class or a class has a single row;
 * time-ordered holdout: the first ``int(n * (1 - test_size))`` rows by parsed time
   (missing times last, ties by row hash) train, the rest test;
-* k-fold: ``(rank - 1) mod k``; stratified k-fold ranks within class and offsets each
-  class by the rows of the classes before it, so every fold gets its share of
-  every class.
+* k-fold: k stretches of the hash order, the first n mod k one row longer; stratified
+  k-fold cuts each class like that and turns its folds on by the rows of the classes before
+  it, so every fold gets its share of every class and all folds are equally large.
 
 Row hashes come from ``row_hash(key_cols, salt)``; the same split is reproduced by
 the SQL oracle with md5 and ``row_number()``.
@@ -18,22 +18,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.dates import order_micros
-from tabloom.functions.hashing import row_hash
-from tabloom.operators.rank import exact_rank
+from tabloom.functions.hashing import HASH_BITS, row_hash
+from tabloom.operators.cuts import Key, find_cuts
 
 MAX_CLASSES = 100_000
 LONG_MAX = (1 << 63) - 1
 
 
 def _class_counts(df: DataFrame, target: str) -> list[tuple]:
-    rows = df.groupBy(F.col(target).alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = df.groupBy(F.col(f"`{target}`").alias("label")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{len(rows)} classes exceed the stratification limit of {MAX_CLASSES}")
+        raise ValueError(f"there are more classes than the stratification limit of {MAX_CLASSES}")
     return sorted(((r["label"], int(r["n"])) for r in rows), key=lambda kv: (kv[0] is not None, kv[0]))
 
 
@@ -59,70 +60,55 @@ def largest_remainder_quotas(counts: Sequence[tuple], total: int) -> dict:
     return base
 
 
-def _label_table(spark, target_field, values: dict, name: str):
-    from pyspark.sql.types import LongType, StructField, StructType
-    schema = StructType([StructField("_label", target_field.dataType), StructField(name, LongType())])
-    return F.broadcast(spark.createDataFrame(list(values.items()), schema))
+_HASH = Key("_h", 0, (1 << HASH_BITS) - 1, (1 << HASH_BITS) - 1)
+
+
+def _side(cuts, split_col: str, first: str, second: str) -> DataFrame:
+    return cuts.passed().withColumn(split_col, F.when(F.col("_passed") == 0, first).otherwise(second)).drop("_h", "_t", "_row", "_passed", "_extra")
 
 
 def holdout_split(df: DataFrame, key_cols: Sequence[str], method: str = "random_holdout", *,
                   target: str | None = None, task_type: str | None = None, date_column: str | None = None,
                   test_size: float = 0.2, seed: int = 42, split_col: str = "split") -> DataFrame:
     """Add ``split_col`` in {'train', 'test'}."""
-    spark = df.sparkSession
-    h = row_hash(key_cols, seed)
+    d = df.withColumn("_h", row_hash(key_cols, seed))
+    ties = tie_columns(df, key_cols)
     if method == "time_ordered_holdout":
         if not date_column or date_column not in df.columns:
             raise ValueError("Time-ordered holdout requires a valid date_column in the project brief.")
-        dtype = df.schema[date_column].dataType
-        micros = order_micros(F.col(date_column), dtype)
-        sort_key = F.coalesce(micros, F.lit(LONG_MAX).cast("bigint"))
-        d = df.withColumn("_h", h)
-        n = d.count()
-        n_train = int(n * (1 - test_size))
-        ranked = exact_rank(d, sort_key, ["_h", *tie_columns(df, key_cols)], order="range", tie_hash=F.col("_h"), n_rows=n)
-        return ranked.withColumn(split_col, F.when(F.col("_rank") <= n_train, "train").otherwise("test")).drop("_rank", "_h")
+        micros = order_micros(F.col(date_column), df.schema[date_column].dataType)
+        d = d.withColumn("_t", F.coalesce(micros, F.lit(LONG_MAX).cast("bigint")))
+        n, low, usual = d.agg(F.count(F.lit(1)), F.min("_t"), F.max(F.when(F.col("_t") < LONG_MAX, F.col("_t")))).first()
+        low = LONG_MAX if low is None else low
+        time = Key("_t", low, LONG_MAX, low if usual is None else usual)
+        return _side(find_cuts(d, [time, _HASH], ties, {None: [int(n * (1 - test_size))]}, {None: n}), split_col, "train", "test")
 
     if method == "stratified_holdout" and task_type == "classification" and target is not None:
         counts = _class_counts(df, target)
         nonnull = [c for lab, c in counts if lab is not None]
         if len(counts) > 1 and nonnull and min(nonnull) > 1:
-            n = sum(c for _, c in counts)
-            m = math.ceil(test_size * n)
-            quotas = largest_remainder_quotas(counts, m)
-            d = df.withColumn("_h", h)
-            ranked = exact_rank(d, F.col("_h"), tie_columns(df, key_cols), partition_cols=[target], order="hash", n_rows=n)
-            qt = _label_table(spark, df.schema[target], quotas, "_quota")
-            joined = ranked.join(qt, ranked[target].eqNullSafe(qt["_label"]), "inner")
-            return (joined.withColumn(split_col, F.when(F.col("_rank") <= F.col("_quota"), "test").otherwise("train"))
-                    .drop("_rank", "_h", "_label", "_quota"))
-
-    d = df.withColumn("_h", h)
-    n = d.count()
-    m = math.ceil(test_size * n)
-    ranked = exact_rank(d, F.col("_h"), tie_columns(df, key_cols), order="hash", n_rows=n)
-    return ranked.withColumn(split_col, F.when(F.col("_rank") <= m, "test").otherwise("train")).drop("_rank", "_h")
+            quotas = largest_remainder_quotas(counts, math.ceil(test_size * sum(c for _, c in counts)))
+            return _side(find_cuts(d, [_HASH], ties, {lab: [q] for lab, q in quotas.items()}, dict(counts), target), split_col, "test", "train")
+    n = df.count()
+    return _side(find_cuts(d, [_HASH], ties, {None: [math.ceil(test_size * n)]}, {None: n}), split_col, "test", "train")
+
+
+def fold_ends(n: int, k: int) -> list[int]:
+    """Ranks of the last rows of all folds but the last: n rows in k stretches, the first n mod k one row longer."""
+    return [f * (n // k) + min(f, n % k) for f in range(1, k)]
 
 
 def assign_folds(df: DataFrame, key_cols: Sequence[str], k: int, *, target: str | None = None,
                  stratified: bool = False, seed: int = 42, fold_col: str = "fold") -> DataFrame:
     """Add ``fold_col`` in [0, k)."""
-    spark = df.sparkSession
     d = df.withColumn("_h", row_hash(key_cols, f"fold:{seed}"))
-    if stratified and target is not None:
-        counts = _class_counts(df, target)
-        n = sum(c for _, c in counts)
-        offsets, run = {}, 0
-        for lab, c in counts:
-            offsets[lab] = run
-            run += c
-        ranked = exact_rank(d, F.col("_h"), tie_columns(df, key_cols), partition_cols=[target], order="hash", n_rows=n)
-        ot = _label_table(spark, df.schema[target], offsets, "_coff")
-        joined = ranked.join(ot, ranked[target].eqNullSafe(ot["_label"]), "inner")
-        return (joined.withColumn(fold_col, ((F.col("_rank") - 1 + F.col("_coff")) % k).cast("int"))
-                .drop("_rank", "_h", "_label", "_coff"))
-    ranked = exact_rank(d, F.col("_h"), tie_columns(df, key_cols), order="hash")
-    return ranked.withColumn(fold_col, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_h")
+    by_class = stratified and target is not None
+    sizes = dict(_class_counts(df, target)) if by_class else {None: df.count()}
+    before, run = {}, 0
+    for lab, n in sizes.items():
+        before[lab], run = run, run + n
+    cuts = find_cuts(d, [_HASH], tie_columns(df, key_cols), {lab: fold_ends(n, k) for lab, n in sizes.items()}, sizes, target if by_class else None, before)
+    return cuts.passed().withColumn(fold_col, ((F.col("_passed") + F.col("_extra")) % k).cast("int")).drop("_h", "_row", "_passed", "_extra")
 
 
 def split_summary(split_df: DataFrame, split_col: str = "split") -> DataFrame:
@@ -131,13 +117,12 @@ def split_summary(split_df: DataFrame, split_col: str = "split") -> DataFrame:
 
 
 def leakage_check(split_df: DataFrame, key_cols: Sequence[str], split_col: str = "split") -> DataFrame:
-    """One row: train rows, test rows, keys in both (must be 0), total."""
-    train = split_df.where(F.col(split_col) == "train").select(*key_cols)
-    test = split_df.where(F.col(split_col) == "test").select(*key_cols)
-    overlap = train.join(test, list(key_cols), "left_semi")
-    n_overlap = overlap.count()
-    return split_df.agg(
-        F.sum(F.when(F.col(split_col) == "train", 1).otherwise(0)).cast("bigint").alias("train_rows"),
-        F.sum(F.when(F.col(split_col) == "test", 1).otherwise(0)).cast("bigint").alias("test_rows"),
-        F.count(F.lit(1)).alias("total_rows"),
-        F.lit(n_overlap).cast("bigint").alias("overlap_rows"))
+    """One row: train rows, test rows, total, and the train rows whose key is in the test part too. One
+    aggregate by key, so the split is worked out once."""
+    side = lambda name: F.sum(F.when(F.col(split_col) == name, 1).otherwise(0)).cast("bigint")
+    keys = split_df.groupBy(*[F.col(f"`{c}`") for c in key_cols]).agg(side("train").alias("_train"), side("test").alias("_test"), F.count(F.lit(1)).alias("_n"))
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    shared = F.when(F.col("_test") > 0, F.col("_train")).otherwise(0)
+    known = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in key_cols])  # a missing key is no one's double
+    return keys.agg(whole("_train").alias("train_rows"), whole("_test").alias("test_rows"), whole("_n").alias("total_rows"),
+                    whole(F.when(known, shared).otherwise(0)).alias("overlap_rows"))
