@@ -6,9 +6,10 @@
   driver (a p x p system). Every alpha of a grid and every fold comes from the
   same pass. Wide inputs (p > ``MOMENT_MAX_FEATURES``) use Spark ML's
   ``LinearRegression`` with the equivalent penalty.
-* logistic regression, random forests, gradient boosting and the MLP classifier are
+* random forests and gradient boosting are grown from histograms (``trees``);
+* logistic regression and the MLP classifier are
   Spark ML estimators on the assembled vector, with the reference's parameters
-  mapped onto Spark's (penalty scaled by the rows being fitted, depth caps, class
+  mapped onto Spark's (penalty scaled by the rows being fitted, class
   weights as a weight column computed on the training rows only);
 * the MLP regressor has no Spark ML class: it is trained data-parallel, each step
   summing per-partition gradients (NumPy inside ``mapInPandas``) and updating the
@@ -26,7 +27,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOMENT_MAX_FEATURES = 48
-SPARK_MAX_DEPTH = 30
 
 
 def _c(name: str) -> Column:
@@ -158,35 +158,14 @@ def weight_column(weights: dict) -> Column:
 
 def spark_estimator(model: str, params: dict, training: dict, n_rows: int, n_classes: int | None,
                     weighted: bool):
-    from pyspark.ml import classification as C, regression as Rg
+    from pyspark.ml import classification as C
     seed = int(training.get("random_seed", 42))
-    depth = params.get("max_depth")
     wcol = {"weightCol": "weight"} if weighted else {}
     if model == "logistic_regression":
         c = float(params.get("C", 1.0))
         return C.LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (c * n_rows),
                                     elasticNetParam=0.0, standardization=False,
                                     maxIter=int(training.get("epochs") or 300), tol=1e-8, **wcol)
-    if model in ("random_forest_classifier", "random_forest_regressor"):
-        kw = dict(featuresCol="features", labelCol="label", numTrees=int(params.get("n_estimators", 300)),
-                  maxDepth=SPARK_MAX_DEPTH if depth is None else min(int(depth), SPARK_MAX_DEPTH),
-                  minInstancesPerNode=int(params.get("min_samples_leaf", 1)), seed=seed)
-        mf = params.get("max_features")
-        if model == "random_forest_classifier":
-            return C.RandomForestClassifier(featureSubsetStrategy=_subset(mf, "sqrt"), **kw, **wcol)
-        return Rg.RandomForestRegressor(featureSubsetStrategy=_subset(mf, "all"), **kw)
-    if model in ("hist_gradient_boosting_classifier", "hist_gradient_boosting_regressor"):
-        leaves = params.get("max_leaf_nodes") or 31
-        d = int(depth) if depth is not None else int(math.ceil(math.log2(leaves)))
-        kw = dict(featuresCol="features", labelCol="label", stepSize=float(training.get("learning_rate") or 0.1),
-                  maxIter=int(training.get("epochs") or 200), maxDepth=min(d, SPARK_MAX_DEPTH), maxBins=255, seed=seed)
-        if training.get("early_stopping"):
-            kw["validationIndicatorCol"] = "is_validation"
-        if model == "hist_gradient_boosting_classifier":
-            gbt = C.GBTClassifier(**kw)
-            return gbt if (n_classes or 2) <= 2 else C.OneVsRest(classifier=C.GBTClassifier(
-                **{k: v for k, v in kw.items() if k != "validationIndicatorCol"}), featuresCol="features", labelCol="label")
-        return Rg.GBTRegressor(**kw)
     if model == "mlp_classifier":
         hidden = list(params.get("hidden_layer_sizes", (64, 32)))
         solver = "l-bfgs" if (training.get("optimizer") in (None, "lbfgs", "adam")) else "gd"
@@ -197,14 +176,6 @@ def spark_estimator(model: str, params: dict, training: dict, n_rows: int, n_cla
     raise ValueError(f"Unsupported model option: {model}")
 
 
-def _subset(mf, default: str) -> str:
-    if mf is None:
-        return default
-    if isinstance(mf, str):
-        return mf
-    return str(float(mf))
-
-
 # ---- M8: data-parallel MLP regressor -------------------------------------------------------
 
 @dataclass

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import unit_hash
 from tabloom.operators import models as M
+from tabloom.operators import trees as T
 from tabloom.operators.metrics import HIGHER_IS_BETTER, METRICS
 from tabloom.operators.preparer import FeaturePreparer, PreparedFeatures
 from tabloom.plans.feature_plan import FeaturePlan
@@ -38,6 +39,7 @@ class FittedPipeline:
     labels: list = field(default_factory=list)
     linear: M.LinearModel | None = None
     mlp: M.MLPRegressorModel | None = None
+    trees: T.TreeModel | None = None
     spark_model: Any = None
     params: dict = field(default_factory=dict)
     training: dict = field(default_factory=dict)
@@ -53,7 +55,7 @@ class FittedPipeline:
             prep = self.prepared.transform(df, keep, pk)
             return self.mlp.predict_frame(prep, [pk + k for k in keep]).select(*back, "prediction")
         assembled = self.prepared.assemble(df, keep, keep_prefix=pk)
-        out = self.spark_model.transform(assembled)
+        out = (self.trees or self.spark_model).transform(assembled)
         pred = F.col("prediction")
         if self.task_type == "classification":
             arr = F.array(*[F.lit(v) for v in self.labels])
@@ -67,10 +69,13 @@ class FittedPipeline:
                 "labels": self.labels, "params": self.params, "training": self.training,
                 "linear": None if self.linear is None else self.linear.__dict__,
                 "mlp": None if self.mlp is None else self.mlp.__dict__,
+                "trees": None if self.trees is None else {k: v for k, v in self.trees.__dict__.items() if k != "trees"},
                 "spark_class": None if self.spark_model is None else
                 f"{type(self.spark_model).__module__}.{type(self.spark_model).__name__}"}
         spark.createDataFrame([(json.dumps(meta, default=str),)], "meta string").coalesce(1) \
             .write.mode("overwrite").parquet(f"{path}/meta")
+        if self.trees is not None:
+            spark.createDataFrame(self.trees.rows(), self.trees.ROW).write.mode("overwrite").parquet(f"{path}/trees")
         if self.spark_model is not None:
             self.spark_model.write().overwrite().save(f"{path}/model")
 
@@ -85,6 +90,9 @@ class FittedPipeline:
             fp.linear = M.LinearModel(**meta["linear"])
         if meta["mlp"]:
             fp.mlp = M.MLPRegressorModel(**meta["mlp"])
+        if meta["trees"]:
+            rows = sorted(spark.read.parquet(f"{path}/trees").collect(), key=lambda r: r["tree"])
+            fp.trees = T.TreeModel(trees=[T.Tree(r["feature"], r["threshold"], r["left"], r["right"], r["value"]) for r in rows], **meta["trees"])
         if meta["spark_class"]:
             mod, cls = meta["spark_class"].rsplit(".", 1)
             fp.spark_model = getattr(importlib.import_module(mod), cls).load(f"{path}/model")
@@ -159,9 +167,13 @@ class TabularPipeline:
         weighted = self.params.get("class_weight") in ("balanced", "balanced_subsample") and self.task_type == "classification"
         if weighted:
             data = data.withColumn("weight", M.weight_column(M.balanced_weights(data, "label")))
-        if self.training.get("early_stopping") and self.model_name.startswith("hist_gradient"):
-            frac = float(self.training.get("validation_fraction", 0.1))
-            data = data.withColumn("is_validation", unit_hash(self.key_cols, "valid:42") < F.lit(frac))
+        if self.model_name.startswith(("hist_gradient", "random_forest")):
+            valid = F.lit(False)
+            if self.training.get("early_stopping") and self.model_name.startswith("hist_gradient"):
+                valid = unit_hash(self.key_cols, "valid:42") < F.lit(float(self.training.get("validation_fraction", 0.1)))
+            rows = data.select("features", "label", (F.col("weight") if weighted else F.lit(1.0)).alias("weight"), valid.alias("valid"))
+            fp.trees = T.fit(rows, self.model_name, self.params, self.training, n_classes or 0)
+            return fp
         n_rows = data.count()
         est = M.spark_estimator(self.model_name, self.params, self.training, n_rows, n_classes, weighted)
         if self.model_name == "mlp_classifier":
