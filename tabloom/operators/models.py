@@ -1,32 +1,29 @@
-"""Models (M1-M12) on prepared features.
-
-* ridge regression (M2) is solved exactly from sufficient statistics: one aggregate
-  gives n, sums, X'X, X'y and y'y (grouped by fold when cross-validating), and the
-  intercept-centred closed form ``(Xc'Xc + alpha I) b = Xc'yc`` is solved on the
-  driver (a p x p system). Every alpha of a grid and every fold comes from the
-  same pass. Wide inputs (p > ``MOMENT_MAX_FEATURES``) use Spark ML's
-  ``LinearRegression`` with the equivalent penalty.
-* random forests and gradient boosting are grown from histograms (``trees``);
-* logistic regression and the MLP classifier are
-  Spark ML estimators on the assembled vector, with the reference's parameters
-  mapped onto Spark's (penalty scaled by the rows being fitted, class
-  weights as a weight column computed on the training rows only);
-* the MLP regressor has no Spark ML class: it is trained data-parallel, each step
-  summing per-partition gradients (NumPy inside ``mapInPandas``) and updating the
-  weights with Adam on the driver.
+"""Linear models (M1, M2) and class weights (M9). Trees are in ``trees``, networks in ``networks``.
+
+* ridge regression (M2) is solved exactly from sufficient statistics, at every width. One pass gives the means; a second one
+  the products of the centred features and label, block by block as a matrix product, summed row by row of the matrix by
+  Spark (grouped by fold when cross-validating). As the columns are centred before they are multiplied, years, keys and other
+  columns far from zero lose no digits. ``(Xc'Xc + alpha I) b = Xc'yc`` is solved on the driver (a p x p system); every alpha
+  of a grid and every fold comes from the same two passes.
+* logistic regression is Spark ML's on the assembled vector, its penalty scaled by the rows being fitted, class
+  weights as a weight column computed on the training rows only. All solvers reach the same optimum.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOMENT_MAX_FEATURES = 48
+from tabloom.session import ship
+
+MAX_CLASSES = 1_000
+WIDE = 64  # features from which a prediction is an array expression, not a sum of terms
 
 
 def _c(name: str) -> Column:
@@ -35,79 +32,73 @@ def _c(name: str) -> Column:
 
 # ---- M2: ridge -----------------------------------------------------------------------
 
-def moments(df: DataFrame, cols: list[str], label: str, group: str | None = None) -> dict[Any, dict]:
-    """n, sum x, sum y, X'X, X'y, y'y per group: one aggregate (partial sums per
-    partition, merged by Spark), output bounded by groups x p^2."""
-    p = len(cols)
-    x = [_c(c).cast("double") for c in cols]
-    y = _c(label).cast("double")
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")]
-    aggs += [F.sum(x[i]).alias(f"sx{i}") for i in range(p)]
-    aggs += [F.sum(x[i] * y).alias(f"sxy{i}") for i in range(p)]
-    aggs += [F.sum(x[i] * x[j]).alias(f"xx{i}_{j}") for i in range(p) for j in range(i, p)]
-    rows = (df.groupBy(group).agg(*aggs) if group else df.agg(*aggs)).collect()
-    out = {}
-    for r in rows:
-        xx = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                xx[i, j] = xx[j, i] = r[f"xx{i}_{j}"] or 0.0
-        out[r[group] if group else None] = {
-            "n": r["n"], "sy": r["sy"] or 0.0, "syy": r["syy"] or 0.0,
-            "sx": np.array([r[f"sx{i}"] or 0.0 for i in range(p)]),
-            "sxy": np.array([r[f"sxy{i}"] or 0.0 for i in range(p)]), "xx": xx}
-    return out
-
-
-def moments_union(parts: list[tuple[Any, DataFrame, list[str]]], label: str) -> dict[Any, dict]:
-    """``moments`` of several frames (each with its own columns) in one job: the
-    aggregates are padded to a common width and unioned."""
+def moments(parts: list[tuple[Any, DataFrame, list[str]]], label: str) -> dict[Any, dict]:
+    """Per part (key, frame, feature columns) the centred sufficient statistics: n, ``mean`` (features, then label) and ``xx``, the
+    products of the centred features and label. Rows without a label do not count. Two passes over all parts together."""
     width = max(len(cols) for _, _, cols in parts)
     frames = []
-    for key, df, cols in parts:
-        x = [_c(c).cast("double") for c in cols] + [F.lit(0.0)] * (width - len(cols))
-        y = _c(label).cast("double")
-        aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")]
-        aggs += [F.sum(x[i]).alias(f"sx{i}") for i in range(width)]
-        aggs += [F.sum(x[i] * y).alias(f"sxy{i}") for i in range(width)]
-        aggs += [F.sum(x[i] * x[j]).alias(f"xx{i}_{j}") for i in range(width) for j in range(i, width)]
-        frames.append(df.agg(*aggs).withColumn("_key", F.lit(key)))
-    union = frames[0]
+    for k, (_, df, cols) in enumerate(parts):
+        x = [_c(c).cast("double") for c in cols] + [F.lit(0.0)] * (width - len(cols)) + [_c(label).cast("double")]
+        frames.append(df.where(_c(label).isNotNull()).select(F.lit(k).alias("key"), F.array(*x).alias("x")))
+    rows = frames[0]
     for fr in frames[1:]:
-        union = union.unionByName(fr)
+        rows = rows.unionByName(fr)
+    ship(rows.sparkSession)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        for b in batches:
+            if b.num_rows:
+                key, x = b.column(0).to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                for k in np.unique(key):
+                    yield int(k), x[key == k]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for k, x in blocks(batches):
+            total[k] = total.get(k, 0) + np.append(x.sum(0), len(x))
+        yield _matrix_rows(total)
+
+    def summed(products: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+        def add(group: pa.Table) -> pa.Table:
+            x = np.sort(np.stack([np.asarray(v) for v in group["x"].to_pylist()]), 0).sum(0)  # in one order, however they come
+            return pa.table({"key": group["key"].slice(0, 1), "row": group["row"].slice(0, 1), "x": pa.array([x.tolist()], pa.list_(pa.float64()))})
+        return {(r["key"], r["row"]): np.asarray(r["x"]) for r in products.groupBy("key", "row").applyInArrow(add, "key int, row int, x array<double>").toArrow().to_pylist()}
+
+    total = summed(rows.mapInArrow(sums, "key int, row int, x array<double>"))
+    means = {k: v[:-1] / v[-1] for (k, _), v in total.items()}
+    shared = rows.sparkSession.sparkContext.broadcast(means)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for k, x in blocks(batches):
+            z = np.column_stack([x - shared.value[k], np.ones(len(x))])
+            total[k] = total.get(k, 0) + z.T @ z
+        yield _matrix_rows(total)
+
+    got = summed(rows.mapInArrow(products, "key int, row int, x array<double>"))
     out = {}
-    for r in union.collect():
-        p = len(next(cols for key, _, cols in parts if key == r["_key"]))
-        xx = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                xx[i, j] = xx[j, i] = r[f"xx{i}_{j}"] or 0.0
-        out[r["_key"]] = {"n": r["n"], "sy": r["sy"] or 0.0, "syy": r["syy"] or 0.0,
-                          "sx": np.array([r[f"sx{i}"] or 0.0 for i in range(p)]),
-                          "sxy": np.array([r[f"sxy{i}"] or 0.0 for i in range(p)]), "xx": xx}
+    for k, (name, _, cols) in enumerate(parts):
+        if k not in means:
+            raise ValueError("there are no rows with a label to fit")
+        z = np.stack([got[k, i] for i in range(width + 2)])
+        n, rest = z[-1, -1], z[-1, :-1]
+        keep = [*range(len(cols)), width]
+        xx = (z[:-1, :-1] - np.outer(rest, rest) / n)[np.ix_(keep, keep)]  # what rounding left of the means goes
+        out[name] = {"n": int(n), "mean": (means[k] + rest / n)[keep], "xx": xx}
     return out
 
 
-def combine(ms: list[dict]) -> dict:
-    return {"n": sum(m["n"] for m in ms), "sy": sum(m["sy"] for m in ms), "syy": sum(m["syy"] for m in ms),
-            "sx": sum(m["sx"] for m in ms), "sxy": sum(m["sxy"] for m in ms), "xx": sum(m["xx"] for m in ms)}
+def _matrix_rows(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """Rows (key, row, x) of the matrices of each key."""
+    rows = [(k, i, line.tolist()) for k, m in total.items() for i, line in enumerate(np.atleast_2d(m))]
+    kinds = (pa.int32(), pa.int32(), pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 3, kinds)], ["key", "row", "x"])
 
 
 def ridge_solve(m: dict, alpha: float) -> tuple[np.ndarray, float]:
-    n = m["n"]
-    mx, my = m["sx"] / n, m["sy"] / n
-    xtx = m["xx"] - n * np.outer(mx, mx)
-    xty = m["sxy"] - n * mx * my
-    coef = np.linalg.solve(xtx + alpha * np.eye(len(mx)), xty) if len(mx) else np.zeros(0)
-    return coef, float(my - mx @ coef)
-
-
-def sse_from_moments(m: dict, coef: np.ndarray, intercept: float) -> float:
-    """sum (y - b0 - x b)^2 over the rows summarised by ``m``."""
-    b = np.concatenate([[intercept], coef])
-    xtx = np.block([[np.array([[m["n"]]]), m["sx"][None, :]], [m["sx"][:, None], m["xx"]]])
-    xty = np.concatenate([[m["sy"]], m["sxy"]])
-    return float(m["syy"] - 2 * b @ xty + b @ xtx @ b)
+    xx, p = m["xx"], len(m["mean"]) - 1
+    coef = np.linalg.solve(xx[:p, :p] + alpha * np.eye(p), xx[:p, p]) if p else np.zeros(0)
+    return coef, float(m["mean"][p] - m["mean"][:p] @ coef)
 
 
 @dataclass
@@ -117,6 +108,9 @@ class LinearModel:
     intercept: float
 
     def predict(self) -> Column:
+        if len(self.cols) > WIDE:
+            terms = F.zip_with(F.array(*[_c(c).cast("double") for c in self.cols]), F.array(*[F.lit(float(w)) for w in self.coef]), lambda x, w: x * w)
+            return F.aggregate(terms, F.lit(float(self.intercept)), lambda a, x: a + x)
         expr = F.lit(self.intercept)
         for c, w in zip(self.cols, self.coef):
             expr = expr + _c(c).cast("double") * F.lit(float(w))
@@ -124,164 +118,31 @@ class LinearModel:
 
 
 def fit_ridge(df: DataFrame, cols: list[str], label: str, alpha: float = 1.0) -> LinearModel:
-    if len(cols) <= MOMENT_MAX_FEATURES:
-        coef, b0 = ridge_solve(moments(df, cols, label)[None], alpha)
-        return LinearModel(list(cols), [float(v) for v in coef], b0)
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    n, sd = df.agg(F.count(F.lit(1)), F.stddev_samp(_c(label))).collect()[0]
-    data = VectorAssembler(inputCols=cols, outputCol="_v").transform(df)
-    lr = LinearRegression(featuresCol="_v", labelCol=label, regParam=alpha * (sd or 1.0) / n, elasticNetParam=0.0,
-                          standardization=False, solver="l-bfgs", maxIter=1000, tol=1e-10)
-    m = lr.fit(data)
-    return LinearModel(list(cols), [float(v) for v in m.coefficients], float(m.intercept))
+    coef, b0 = ridge_solve(moments([(None, df, cols)], label)[None], alpha)
+    return LinearModel(list(cols), [float(v) for v in coef], b0)
 
 
 # ---- class weights (M9) -----------------------------------------------------------------
 
 def balanced_weights(train: DataFrame, label: str) -> dict:
-    """n / (k * n_c) from the training rows (bounded by #classes)."""
-    counts = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
-    n, k = sum(counts.values()), len(counts)
-    return {c: n / (k * v) for c, v in counts.items()}
+    """n / (k * n_c) from the training rows (at most MAX_CLASSES classes)."""
+    rows = train.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"there are more classes than {MAX_CLASSES}")
+    n, k = sum(r[1] for r in rows), len(rows)
+    return {r[0]: n / (k * r[1]) for r in rows}
 
 
 def weight_column(weights: dict) -> Column:
-    expr = None
-    for c, w in weights.items():
-        cond = F.col("label") == F.lit(c)
-        expr = F.when(cond, F.lit(float(w))) if expr is None else expr.when(cond, F.lit(float(w)))
-    return expr.otherwise(F.lit(1.0)) if expr is not None else F.lit(1.0)
-
-
-# ---- Spark ML estimators (M1, M3-M7) -------------------------------------------------------
-
-def spark_estimator(model: str, params: dict, training: dict, n_rows: int, n_classes: int | None,
-                    weighted: bool):
-    from pyspark.ml import classification as C
-    seed = int(training.get("random_seed", 42))
-    wcol = {"weightCol": "weight"} if weighted else {}
-    if model == "logistic_regression":
-        c = float(params.get("C", 1.0))
-        return C.LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (c * n_rows),
-                                    elasticNetParam=0.0, standardization=False,
-                                    maxIter=int(training.get("epochs") or 300), tol=1e-8, **wcol)
-    if model == "mlp_classifier":
-        hidden = list(params.get("hidden_layer_sizes", (64, 32)))
-        solver = "l-bfgs" if (training.get("optimizer") in (None, "lbfgs", "adam")) else "gd"
-        return C.MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", layers=hidden,
-                                                maxIter=int(training.get("epochs") or 250), seed=seed, solver=solver,
-                                                stepSize=float(training.get("learning_rate") or 0.001),
-                                                blockSize=int(training.get("mini_batch") or 128))
-    raise ValueError(f"Unsupported model option: {model}")
-
-
-# ---- M8: data-parallel MLP regressor -------------------------------------------------------
-
-@dataclass
-class MLPRegressorModel:
-    cols: list[str]
-    weights: list = field(default_factory=list)  # [(W, b), ...] as nested lists
-
-    def predict_frame(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        ws = [(np.array(W), np.array(b)) for W, b in self.weights]
-        cols = self.cols
-
-        def run(batches):
-            import pandas as pd
-            for pdf in batches:
-                h = pdf[cols].to_numpy(dtype=float)
-                for i, (W, b) in enumerate(ws):
-                    h = h @ W + b
-                    if i < len(ws) - 1:
-                        h = np.maximum(h, 0.0)
-                out = pdf[keep].copy()
-                out["prediction"] = h[:, 0]
-                yield out
-        schema = ", ".join(f"`{k}` {t}" for k, t in df.select(*keep).dtypes) + ", prediction double"
-        return df.select(*keep, *cols).mapInPandas(run, schema)
-
-
-def fit_mlp_regressor(df: DataFrame, cols: list[str], label: str, hidden=(64, 32), alpha: float = 1e-4,
-                      learning_rate: float = 1e-3, epochs: int = 250, seed: int = 42, tol: float = 1e-4,
-                      n_iter_no_change: int = 10, val_col: str | None = None) -> MLPRegressorModel:
-    """Full-batch Adam; each epoch is one Spark job in which every partition returns
-    its gradient sum over training rows and its squared error over validation rows
-    (``val_col`` true). With a validation slice, training stops after
-    ``n_iter_no_change`` epochs without a validation-loss gain of ``tol`` and the best
-    weights are kept (early stopping); without one, the training loss decides."""
-    from tabloom.session import cut_lineage
-    vexpr = (F.col(val_col).cast("boolean") if val_col else F.lit(False)).alias("_val")
-    data = cut_lineage(df.select(*[_c(c).cast("double").alias(c) for c in cols],
-                                 _c(label).cast("double").alias("_y"), vexpr))
-    counts = {r["_val"]: r["count"] for r in data.groupBy("_val").count().collect()}
-    n_train, n_val = counts.get(False, 0), counts.get(True, 0)
-    rng = np.random.default_rng(seed)
-    sizes = [len(cols), *hidden, 1]
-    params = []
-    for a, b in zip(sizes[:-1], sizes[1:]):
-        bound = math.sqrt(6.0 / (a + b))
-        params.append([rng.uniform(-bound, bound, (a, b)), rng.uniform(-bound, bound, b)])
-    m = [[np.zeros_like(W), np.zeros_like(b)] for W, b in params]
-    v = [[np.zeros_like(W), np.zeros_like(b)] for W, b in params]
-    best, stall, best_params = float("inf"), 0, None
-    flat_len = sum(W.size + b.size for W, b in params)
-    for t in range(1, epochs + 1):
-        ws = [(W.copy(), b.copy()) for W, b in params]
-
-        def grads(batches, ws=ws):
-            import pandas as pd
-            g = np.zeros(flat_len)
-            loss, vloss = 0.0, 0.0
-            for pdf in batches:
-                x_all = pdf[cols].to_numpy(dtype=float)
-                y_all = pdf["_y"].to_numpy(dtype=float)[:, None]
-                is_val = pdf["_val"].to_numpy(dtype=bool)
-                for sel, train in ((~is_val, True), (is_val, False)):
-                    if not sel.any():
-                        continue
-                    acts = [x_all[sel]]
-                    for i, (W, b) in enumerate(ws):
-                        z = acts[-1] @ W + b
-                        acts.append(np.maximum(z, 0.0) if i < len(ws) - 1 else z)
-                    err = acts[-1] - y_all[sel]
-                    if not train:
-                        vloss += float((err ** 2).sum()) / 2
-                        continue
-                    loss += float((err ** 2).sum()) / 2
-                    delta, parts = err, []
-                    for i in range(len(ws) - 1, -1, -1):
-                        W, _ = ws[i]
-                        parts.append((acts[i].T @ delta, delta.sum(axis=0)))
-                        if i > 0:
-                            delta = (delta @ W.T) * (acts[i] > 0)
-                    parts.reverse()
-                    g += np.concatenate([np.concatenate([gw.ravel(), gb.ravel()]) for gw, gb in parts])
-            yield pd.DataFrame({"g": [g.tolist()], "loss": [loss], "vloss": [vloss]})
-        # one partial per partition (bounded by partitions x parameters), summed on the
-        # driver like a tree aggregate
-        partials = data.mapInPandas(grads, "g array<double>, loss double, vloss double").collect()
-        gsum = np.sum([np.array(r["g"]) for r in partials], axis=0)
-        loss = sum(r["loss"] for r in partials) / max(n_train, 1)
-        loss += alpha / (2 * max(n_train, 1)) * sum(float((W ** 2).sum()) for W, _ in params)
-        watch = sum(r["vloss"] for r in partials) / n_val if n_val else loss
-        if watch < best - tol:
-            best, stall, best_params = watch, 0, [(W.copy(), b.copy()) for W, b in params]
-        else:
-            stall += 1
-            if stall >= n_iter_no_change:
-                break
-        gflat = gsum / max(n_train, 1)
-        off = 0
-        for i, (W, b) in enumerate(params):
-            gw = gflat[off:off + W.size].reshape(W.shape) + alpha / max(n_train, 1) * W
-            off += W.size
-            gb = gflat[off:off + b.size]
-            off += b.size
-            for j, gr in enumerate((gw, gb)):
-                m[i][j] = 0.9 * m[i][j] + 0.1 * gr
-                v[i][j] = 0.999 * v[i][j] + 0.001 * gr * gr
-                mh, vh = m[i][j] / (1 - 0.9 ** t), v[i][j] / (1 - 0.999 ** t)
-                params[i][j] = params[i][j] - learning_rate * mh / (np.sqrt(vh) + 1e-8)
-    final = best_params if (n_val and best_params is not None) else params
-    return MLPRegressorModel(list(cols), [(W.tolist(), b.tolist()) for W, b in final])
+    """The weight of the row's ``label``, an index of classes: one look-up in an array."""
+    if not weights:
+        return F.lit(1.0)
+    by_class = [float(weights.get(float(k), 1.0)) for k in range(int(max(weights)) + 1)]
+    return F.coalesce(F.get(F.array(*[F.lit(w) for w in by_class]), F.col("label").cast("int")), F.lit(1.0))
+
+
+def logistic(params: dict, training: dict, n_rows: int, weighted: bool):
+    """M1: the unfitted estimator; ``n_rows`` is the sum of the weights of the rows that it will be fitted on."""
+    from pyspark.ml.classification import LogisticRegression
+    return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (float(params.get("C", 1.0)) * n_rows), elasticNetParam=0.0,
+                              standardization=False, maxIter=int(training.get("epochs") or 300), tol=1e-8, **({"weightCol": "weight"} if weighted else {}))

@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import unit_hash
 from tabloom.operators import models as M
+from tabloom.operators import networks as N
 from tabloom.operators import trees as T
 from tabloom.operators.metrics import HIGHER_IS_BETTER, METRICS
 from tabloom.operators.preparer import FeaturePreparer, PreparedFeatures
+from tabloom.plans.catalog import check_search_parameters, effective_parameters
 from tabloom.plans.feature_plan import FeaturePlan
 
 MAX_CLASSES = 1_000
@@ -38,7 +40,7 @@ class FittedPipeline:
     prepared: PreparedFeatures
     labels: list = field(default_factory=list)
     linear: M.LinearModel | None = None
-    mlp: M.MLPRegressorModel | None = None
+    network: N.Network | None = None
     trees: T.TreeModel | None = None
     spark_model: Any = None
     params: dict = field(default_factory=dict)
@@ -51,11 +53,8 @@ class FittedPipeline:
         if self.linear is not None:
             prep = self.prepared.transform(df, keep, pk)
             return prep.select(*back, self.linear.predict().alias("prediction"))
-        if self.mlp is not None:
-            prep = self.prepared.transform(df, keep, pk)
-            return self.mlp.predict_frame(prep, [pk + k for k in keep]).select(*back, "prediction")
         assembled = self.prepared.assemble(df, keep, keep_prefix=pk)
-        out = (self.trees or self.spark_model).transform(assembled)
+        out = (self.trees or self.network or self.spark_model).transform(assembled)
         pred = F.col("prediction")
         if self.task_type == "classification":
             arr = F.array(*[F.lit(v) for v in self.labels])
@@ -68,7 +67,7 @@ class FittedPipeline:
         meta = {"task_type": self.task_type, "model_name": self.model_name, "target": self.target,
                 "labels": self.labels, "params": self.params, "training": self.training,
                 "linear": None if self.linear is None else self.linear.__dict__,
-                "mlp": None if self.mlp is None else self.mlp.__dict__,
+                "network": None if self.network is None else self.network.__dict__,
                 "trees": None if self.trees is None else {k: v for k, v in self.trees.__dict__.items() if k != "trees"},
                 "spark_class": None if self.spark_model is None else
                 f"{type(self.spark_model).__module__}.{type(self.spark_model).__name__}"}
@@ -88,8 +87,8 @@ class FittedPipeline:
                             params=meta["params"], training=meta["training"])
         if meta["linear"]:
             fp.linear = M.LinearModel(**meta["linear"])
-        if meta["mlp"]:
-            fp.mlp = M.MLPRegressorModel(**meta["mlp"])
+        if meta["network"]:
+            fp.network = N.Network(**meta["network"])
         if meta["trees"]:
             rows = sorted(spark.read.parquet(f"{path}/trees").collect(), key=lambda r: r["tree"])
             fp.trees = T.TreeModel(trees=[T.Tree(r["feature"], r["threshold"], r["left"], r["right"], r["value"]) for r in rows], **meta["trees"])
@@ -129,30 +128,14 @@ class TabularPipeline:
             prep = prepared.transform(train, [self.target])
             fp.linear = M.fit_ridge(prep, names, self.target, float(self.params.get("alpha", 1.0)))
             return fp
-        if self.model_name == "mlp_regressor":
-            pk = "__keep__"
-            prep = prepared.transform(train, [self.target, *self.key_cols], pk)
-            val = None
-            if self.training.get("early_stopping"):
-                frac = float(self.training.get("validation_fraction", 0.1))
-                prep = prep.withColumn("_is_val", unit_hash([f"`{pk}{k}`" for k in self.key_cols], "valid:42") < F.lit(frac))
-                val = "_is_val"
-            prep = prep.withColumnRenamed(pk + self.target, self.target)
-            hidden = tuple(self.params.get("hidden_layer_sizes", (64, 32)))
-            fp.mlp = M.fit_mlp_regressor(prep, names, self.target, val_col=val, hidden=hidden,
-                                         alpha=float(self.params.get("alpha", 1e-4)),
-                                         learning_rate=float(self.training.get("learning_rate") or 1e-3),
-                                         epochs=int(self.training.get("epochs") or 250),
-                                         seed=int(self.training.get("random_seed", 42)))
-            return fp
         keep = [self.target, *self.key_cols]
         data = prepared.assemble(train, keep, keep_prefix="__keep__")
         data = data.select(*[F.col(f"`__keep__{k}`").alias(k) for k in keep], "features")
         n_classes = None
         if self.task_type == "classification":
-            labels = sorted({r[0] for r in train.select(self.target).distinct().collect()}, key=lambda v: (v is None, v))
+            labels = sorted({r[0] for r in train.select(F.col(f"`{self.target}`")).distinct().limit(MAX_CLASSES + 1).collect()}, key=lambda v: (v is None, v))
             if len(labels) > MAX_CLASSES:
-                raise ValueError(f"{len(labels)} classes exceed {MAX_CLASSES}")
+                raise ValueError(f"there are more classes than {MAX_CLASSES}")
             if any(v is None for v in labels):
                 raise ValueError(f"target {self.target!r} has missing labels in the training rows")
             fp.labels = labels
@@ -167,18 +150,20 @@ class TabularPipeline:
         weighted = self.params.get("class_weight") in ("balanced", "balanced_subsample") and self.task_type == "classification"
         if weighted:
             data = data.withColumn("weight", M.weight_column(M.balanced_weights(data, "label")))
-        if self.model_name.startswith(("hist_gradient", "random_forest")):
+        if self.model_name != "logistic_regression":
             valid = F.lit(False)
-            if self.training.get("early_stopping") and self.model_name.startswith("hist_gradient"):
+            if self.training.get("early_stopping") and not self.model_name.startswith("random_forest"):
                 valid = unit_hash(self.key_cols, "valid:42") < F.lit(float(self.training.get("validation_fraction", 0.1)))
             rows = data.select("features", "label", (F.col("weight") if weighted else F.lit(1.0)).alias("weight"), valid.alias("valid"))
-            fp.trees = T.fit(rows, self.model_name, self.params, self.training, n_classes or 0)
+            if not self.model_name.startswith("mlp_"):
+                fp.trees = T.fit(rows, self.model_name, self.params, self.training, n_classes or 0)
+                return fp
+            t = self.training
+            fp.network = N.fit(rows, self.params.get("hidden_layer_sizes", (64, 32)), n_classes or 0, alpha=float(self.params.get("alpha", 1e-4)),
+                               optimizer=t.get("optimizer") or "adam", rate=float(t.get("learning_rate") or 1e-3), epochs=int(t.get("epochs") or 250),
+                               batch=int(t.get("mini_batch") or 200), seed=int(t.get("random_seed", 42)), early_stopping=bool(t.get("early_stopping")))
             return fp
-        n_rows = data.count()
-        est = M.spark_estimator(self.model_name, self.params, self.training, n_rows, n_classes, weighted)
-        if self.model_name == "mlp_classifier":
-            est.setLayers([len(names), *list(self.params.get("hidden_layer_sizes", (64, 32))), n_classes])
-        fp.spark_model = est.fit(data)
+        fp.spark_model = M.logistic(self.params, self.training, data.count(), weighted).fit(data)
         return fp
 
 
@@ -195,9 +180,13 @@ def cross_validate(pipe: TabularPipeline, folded: DataFrame, k: int, fold_col: s
     shared passes (``FeaturePreparer.fit_folds``)."""
     grid = grid or [{}]
     preps = FeaturePreparer(pipe.plan).fit_folds(folded, k, fold_col)
-    if pipe.model_name == "ridge_regression" and all(len(p.output_names()) <= M.MOMENT_MAX_FEATURES for p in preps) \
-            and not any(p.freq_maps for p in preps):
-        return _ridge_cv(pipe, folded, k, fold_col, grid, preps)
+    for trial in grid:
+        check_search_parameters(pipe.model_name, trial)
+    if pipe.model_name == "ridge_regression" and all(len(p.output_names()) <= M.WIDE for p in preps) and not any(p.freq_maps for p in preps):
+        return _ridge_cv(pipe, folded, k, fold_col, grid, preps)  # one expression scores all folds and alphas
+    # trials that fit the same model are fitted once
+    keys = [effective_parameters(pipe.model_name, q.params, q.training) for q in (pipe.with_params(**trial) for trial in grid)]
+    first = {key: t for t, key in reversed(list(enumerate(keys)))}
     # independent (fold, trial) fits: submitted from a few driver threads so their
     # Spark jobs share the cluster, like CrossValidator(parallelism=...)
     from concurrent.futures import ThreadPoolExecutor
@@ -208,9 +197,10 @@ def cross_validate(pipe: TabularPipeline, folded: DataFrame, k: int, fold_col: s
         fitted = pipe.with_params(**grid[t]).fit(tr, prepared=preps[f])
         return {"trial": t, "fold": f, **score(fitted, va, pipe.key_cols)}
 
-    tasks = [(f, t) for f in range(k) for t in range(len(grid))]
+    tasks = [(f, t) for f in range(k) for t in sorted(first.values())]
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as pool:
-        return list(pool.map(one, tasks))
+        fitted = {(r["fold"], r["trial"]): r for r in pool.map(one, tasks)}
+    return [fitted[f, first[keys[t]]] | {"trial": t} for f in range(k) for t in range(len(grid))]
 
 
 def _ridge_cv(pipe: TabularPipeline, folded: DataFrame, k: int, fold_col: str, grid: list[dict],
@@ -227,7 +217,7 @@ def _ridge_cv(pipe: TabularPipeline, folded: DataFrame, k: int, fold_col: str, g
     models = {}
     exprs = [prep.output_expressions() for prep in preps]
     # every fold's training moments in one job: one aggregate branch per fold
-    moms = M.moments_union([(f, pre.where(fold != f).select(*exprs[f], F.col(target)), preps[f].output_names())
+    moms = M.moments([(f, pre.where(fold != f).select(*exprs[f], F.col(target)), preps[f].output_names())
                             for f in range(k)], target)
     for f in range(k):
         for t, a in enumerate(alphas):
