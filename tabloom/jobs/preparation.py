@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabloom.functions.dates import sql_lenient_timestamp
@@ -406,3 +407,57 @@ def prepare_whole_table(spark, sf_dir):
         "feature_imputation_rules": [{"feature": "c_acctbal", "strategy": "mean"},
                                      {"feature": "c_nationkey", "strategy": "mean"}]}, fit_on="all")
     return out
+
+
+# ---- levels of every type and number (E1, E2) ------------------------------------------------
+
+def _hot_index(spark, df, feature: str, key: str, target: str, overrides: dict):
+    """The position of the 1 in the assembled vector of one categorical feature, fitted on the training rows."""
+    profile, _ = profile_dataset(df, Brief("levels", target, "regression"), key_cols=[key])
+    plan = build_feature_plan(profile, "minimal_cleanup", {"drop_features": [key], **overrides})
+    train = cut_lineage(holdout_split(df, [key], "random_holdout")).where(F.col("split") == "train")
+    vector = FeaturePreparer(plan).fit(train.drop("split")).assemble(df, [key]).select(F.col(key).alias("k0"), vector_to_array("features").alias("v"))
+    return vector.select("k0", F.size("v").alias("levels"), F.nullif(F.array_position("v", F.lit(1.0)), F.lit(0)).cast("int").alias("level")).withColumn("level", F.col("level") - 1)
+
+
+def _hot_index_sql(source: str, key: str, feature: str, ties: Sequence[str]) -> str:
+    return "WITH src AS (" + source + "), " + split_cte("src", [key], ties=ties) + f""",
+m AS (SELECT {feature} AS fill FROM sp WHERE split = 'train' AND {feature} IS NOT NULL GROUP BY {feature} ORDER BY count(*) DESC, {feature} LIMIT 1),
+im AS (SELECT k0, split, coalesce({feature}, (SELECT fill FROM m)) AS x FROM sp),
+lv AS (SELECT x, CAST(row_number() OVER (ORDER BY x) - 1 AS INTEGER) AS i FROM (SELECT DISTINCT x FROM im WHERE split = 'train'))
+SELECT k0, (SELECT CAST(count(*) AS INTEGER) FROM lv) AS levels, lv.i AS level FROM im LEFT JOIN lv ON im.x = lv.x"""
+
+
+_MANY = "SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE 'k' || CAST(o_orderkey % 13000 AS VARCHAR) END AS tag, o_totalprice FROM orders"
+
+
+@job("one_hot_many_levels", _hot_index_sql(_MANY, "o_orderkey", "tag", ["o_orderkey", "tag", "o_totalprice"]))
+def one_hot_many_levels(spark, sf_dir):
+    """E1 with more levels than are ever fetched: numbered by their distributed order, joined, one sparse vector."""
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 97 == 0, None).otherwise(
+        F.concat(F.lit("k"), (F.col("o_orderkey") % 13000).cast("string"))).alias("tag"), "o_totalprice")
+    return _hot_index(spark, o, "tag", "o_orderkey", "o_totalprice", {})
+
+
+@job("ordinal_many_levels", "SELECT k0, coalesce(CAST(level AS DOUBLE), -1.0) AS tag FROM (" + _hot_index_sql(_MANY, "o_orderkey", "tag", ["o_orderkey", "tag", "o_totalprice"]) + ")")
+def ordinal_many_levels(spark, sf_dir):
+    """E2 with more levels than are ever fetched: codes from a join, unseen levels -1, missing ones the most frequent level."""
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 97 == 0, None).otherwise(
+        F.concat(F.lit("k"), (F.col("o_orderkey") % 13000).cast("string"))).alias("tag"), "o_totalprice")
+    out, _ = prepare(o, ["o_orderkey"], "o_totalprice", "regression", "minimal_cleanup", {"drop_features": ["o_orderkey"], "force_ordinal_features": ["tag"]})
+    return out
+
+
+@job("one_hot_decimal", _hot_index_sql("SELECT o_orderkey, CAST(o_orderkey % 61 AS DECIMAL(12, 2)) / 4 AS d, o_totalprice FROM orders", "o_orderkey", "d", ["d", "o_orderkey", "o_totalprice"]))
+def one_hot_decimal(spark, sf_dir):
+    """E1 on a decimal column kept as categories: levels in the order of their values."""
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderkey") % 61).cast("decimal(12,2)") / 4).alias("d"), "o_totalprice")
+    return _hot_index(spark, o, "d", "o_orderkey", "o_totalprice", {"force_categorical_features": ["d"]})
+
+
+@job("one_hot_boolean", _hot_index_sql("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice > 150000 END AS b, o_totalprice FROM orders", "o_orderkey", "b",
+                                       ["b", "o_orderkey", "o_totalprice"]))
+def one_hot_boolean(spark, sf_dir):
+    """E1 on booleans kept as categories: false, true; missing ones are the more frequent."""
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, None).otherwise(F.col("o_totalprice") > 150000).alias("b"), "o_totalprice")
+    return _hot_index(spark, o, "b", "o_orderkey", "o_totalprice", {"force_categorical_features": ["b"]})

@@ -182,7 +182,7 @@ def cross_validate(pipe: TabularPipeline, folded: DataFrame, k: int, fold_col: s
     preps = FeaturePreparer(pipe.plan).fit_folds(folded, k, fold_col)
     for trial in grid:
         check_search_parameters(pipe.model_name, trial)
-    if pipe.model_name == "ridge_regression" and all(len(p.output_names()) <= M.WIDE for p in preps) and not any(p.freq_maps for p in preps):
+    if pipe.model_name == "ridge_regression" and all(len(p.output_names()) <= M.WIDE for p in preps) and not any(p.freq_maps or p.joined() or p.level_tables for p in preps):
         return _ridge_cv(pipe, folded, k, fold_col, grid, preps)  # one expression scores all folds and alphas
     # trials that fit the same model are fitted once
     keys = [effective_parameters(pipe.model_name, q.params, q.training) for q in (pipe.with_params(**trial) for trial in grid)]

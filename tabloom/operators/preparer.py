@@ -3,8 +3,8 @@
 ``FeaturePreparer(plan).fit(train)`` computes everything a transform needs from the
 training rows only:
 
-* one value-table aggregate over the categorical features (bounded collect, capped
-  at ``MAX_LEVELS`` per feature): encoder levels (sorted) and most-frequent fills;
+* one value-table aggregate over the categorical features: encoder levels (sorted) and most-frequent fills. Features
+  with at most ``MAX_LEVELS`` levels are fetched; the levels of larger ones stay a table, numbered by their distributed order;
 * one grouped count per frequency source, written once as a table (the map);
 * one aggregate over the numeric outputs (count, non-null count, mean, population
   variance, min, max), plus exact quantiles for median fills and robust scaling.
@@ -14,7 +14,8 @@ training rows only:
 
 ``PreparedFeatures.transform(df)`` is one projection: numeric rules, date parts,
 alignment of missing columns to NULL, fills, scaling and encoding are literal
-expressions inside whole-stage codegen. Frequency maps are joined, broadcast only
+expressions inside whole-stage codegen; beyond ``INLINE_LEVELS`` levels a feature's
+codes come from a join with its level table. Frequency maps and level tables are joined, broadcast only
 when their row count (known from the fit) is under ``BROADCAST_ROWS``.
 """
 
@@ -27,7 +28,7 @@ from dataclasses import dataclass, field
 from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.dates import date_part_columns, lenient_timestamp
@@ -37,7 +38,8 @@ from tabloom.operators.quantile import exact_quantiles
 from tabloom.plans import overrides as ov
 from tabloom.plans.feature_plan import FeaturePlan
 
-MAX_LEVELS = 10_000
+MAX_LEVELS = 10_000      # levels fetched, and one-hot columns by name, per feature
+INLINE_LEVELS = 64       # codes as literal expressions
 BROADCAST_ROWS = 1_000_000
 NULL_LEVEL = "null"
 
@@ -55,6 +57,31 @@ class PreparedFeatures:
     freq_maps: dict[str, DataFrame] = field(default_factory=dict)
     freq_sizes: dict[str, int] = field(default_factory=dict)
     raw_types: dict[str, str] = field(default_factory=dict)
+    level_tables: dict[str, DataFrame] = field(default_factory=dict)  # of features with more than MAX_LEVELS levels: (level, index)
+    level_sizes: dict[str, int] = field(default_factory=dict)
+
+    # ---- levels -----------------------------------------------------------------------
+    def levels_of(self, c: str) -> int:
+        return self.level_sizes.get(c, len(self.categories.get(c, [])))
+
+    def joined(self) -> set[str]:
+        """Ordinal features whose codes come from a join."""
+        return {c for c in self.plan.raw_categorical_features if self.plan.encoding.get(c) == "ordinal" and self.levels_of(c) > INLINE_LEVELS}
+
+    def _with_index(self, pre: DataFrame, c: str) -> DataFrame:
+        """``pre`` with ``_ix_c``: the number of the row's level, or the number of levels if it is none of them. The typed value is
+        joined; the level table is broadcast under a row bound, else the join is Spark's, which splits a level that very many rows have."""
+        kind, spark = self.raw_types.get(c, "string"), pre.sparkSession
+        x = _c(c)
+        if c in self.fills:
+            x = F.coalesce(x, F.lit(self.fills[c]).cast(kind))
+        if c in self.level_tables:
+            lv = self.level_tables[c].select(F.col("level").alias("_lv"), F.col("index").alias("_li"))
+        else:
+            lv = spark.createDataFrame([(v, i) for i, v in enumerate(self.categories[c])], f"`_lv` {kind}, `_li` int")
+        lv = F.broadcast(lv) if self.levels_of(c) <= BROADCAST_ROWS else lv
+        return (pre.withColumn("_lk", x.cast(kind)).join(lv, F.col("_lk").eqNullSafe(F.col("_lv")), "left")
+                .withColumn(f"_ix_{c}", F.coalesce(F.col("_li"), F.lit(self.levels_of(c))).cast("double")).drop("_lk", "_lv", "_li"))
 
     # ---- stage 1: row-local rules, derived features, date parts, alignment ------------
     def pre_frame(self, df: DataFrame, keep: Sequence[str] = (), keep_prefix: str = "") -> DataFrame:
@@ -63,7 +90,7 @@ class PreparedFeatures:
     # ---- stage 2: fills, scaling, encoding ----------------------------------------
     def named_outputs(self) -> list[tuple[str, Column]]:
         """(output name, expression) over the pre-frame, in matrix (C1 block) order."""
-        plan, out = self.plan, []
+        plan, out, joined = self.plan, [], self.joined()
         for block in column_blocks(plan):
             for c in block:
                 if c in plan.numeric_features:
@@ -79,7 +106,10 @@ class PreparedFeatures:
                 if c in self.fills:
                     x = F.coalesce(x, F.lit(self.fills[c]).cast(self.raw_types.get(c, "string")))
                 cats = self.categories.get(c, [])
-                if plan.encoding.get(c) == "ordinal":
+                if c in joined:
+                    code = F.when(F.col(f"`_ix_{c}`") >= self.levels_of(c), -1.0).otherwise(F.col(f"`_ix_{c}`"))
+                    out.append((c, F.when(x.isNull(), F.lit(None).cast("double")).otherwise(code).alias(c)))
+                elif plan.encoding.get(c) == "ordinal":
                     # codes over the non-missing levels; unseen -> -1; missing stays missing
                     code = None
                     for i, v in enumerate([v for v in cats if v is not None]):
@@ -127,7 +157,12 @@ class PreparedFeatures:
             missing = [c for c in self.required_columns() if c not in df.columns]
             if missing:
                 raise ValueError(f"The input is missing required columns: {', '.join(missing)}")
+        many = [c for c in self.level_tables if self.plan.encoding.get(c) != "ordinal"]
+        if many:
+            raise ValueError(f"one-hot columns by name end at {MAX_LEVELS} levels; assemble() gives the vector of {', '.join(many)}")
         pre = self.pre_frame(df, keep, keep_prefix)
+        for c in self.joined():
+            pre = self._with_index(pre, c)
         return pre.select(*[_c(keep_prefix + k) for k in keep], *self.output_expressions())
 
     def assemble(self, df: DataFrame, keep: Sequence[str] = (), output_col: str = "features",
@@ -140,21 +175,11 @@ class PreparedFeatures:
         from pyspark.ml.feature import OneHotEncoder, VectorAssembler
         plan = self.plan
         wide = {c for c in plan.raw_categorical_features
-                if plan.encoding.get(c) != "ordinal" and self.categories.get(c)}
+                if plan.encoding.get(c) != "ordinal" and self.levels_of(c)}
         pre = self.pre_frame(df, keep, keep_prefix)
         keep_cols = [keep_prefix + k for k in keep]
-        spark = df.sparkSession
-        for c in wide:
-            levels = self.categories[c]
-            x = _c(c)
-            if c in self.fills:
-                x = F.coalesce(x, F.lit(self.fills[c]).cast(self.raw_types.get(c, "string")))
-            kind = self.raw_types.get(c, "string")
-            lv = spark.createDataFrame([(v, i) for i, v in enumerate(levels)], f"`_lv_{c}` {kind}, `_li_{c}` int")
-            pre = (pre.withColumn(f"_lk_{c}", x.cast(kind))
-                   .join(F.broadcast(lv), F.col(f"_lk_{c}").eqNullSafe(F.col(f"_lv_{c}")), "left")
-                   .withColumn(f"_ix_{c}", F.coalesce(F.col(f"_li_{c}"), F.lit(len(levels))).cast("double"))
-                   .drop(f"_lk_{c}", f"_lv_{c}", f"_li_{c}"))
+        for c in sorted(wide | self.joined()):
+            pre = self._with_index(pre, c)
         exprs, inputs, checks = [], [], []
         by_name = dict(self.named_outputs())
         for block in column_blocks(plan):
@@ -168,7 +193,7 @@ class PreparedFeatures:
                     exprs.append(by_name[n])
                     inputs.append(n)
                     checks.append(n)
-        cols = [*[_c(k) for k in keep_cols], *exprs, *[F.col(f"_ix_{c}") for c in wide]]
+        cols = [*[_c(k) for k in keep_cols], *exprs, *[F.col(f"`_ix_{c}`") for c in wide]]
         prepared = pre.select(*cols)
         bad = F.lit(False)
         for n in checks:
@@ -179,9 +204,8 @@ class PreparedFeatures:
             + ", ".join(checks[:20])))).otherwise(F.lit(False))).drop("_bad")
         if wide:
             for c in wide:
-                meta = {"ml_attr": {"type": "nominal", "name": f"_ix_{c}",
-                                    "vals": [str(i) for i in range(len(self.categories[c]) + 1)]}}
-                guarded = guarded.withColumn(f"_ix_{c}", F.col(f"_ix_{c}").alias(f"_ix_{c}", metadata=meta))
+                meta = {"ml_attr": {"type": "nominal", "name": f"_ix_{c}", "num_vals": self.levels_of(c) + 1}}
+                guarded = guarded.withColumn(f"_ix_{c}", F.col(f"`_ix_{c}`").alias(f"_ix_{c}", metadata=meta))
             ohe = OneHotEncoder(inputCols=[f"_ix_{c}" for c in wide], outputCols=[f"_oh_{c}" for c in wide],
                                 dropLast=True, handleInvalid="error")
             guarded = ohe.fit(guarded).transform(guarded)
@@ -194,12 +218,14 @@ class PreparedFeatures:
         meta = {
             "plan": {k: (list(v) if isinstance(v, tuple) else v) for k, v in self.plan.__dict__.items()},
             "fills": self.fills, "scalers": self.scalers, "categories": self.categories,
-            "freq_sizes": self.freq_sizes, "raw_types": self.raw_types,
+            "freq_sizes": self.freq_sizes, "raw_types": self.raw_types, "level_sizes": self.level_sizes,
         }
         spark.createDataFrame([(json.dumps(meta, default=str),)], "meta string").coalesce(1) \
             .write.mode("overwrite").parquet(f"{path}/meta")
         for src, m in self.freq_maps.items():
             m.write.mode("overwrite").parquet(f"{path}/freq/{_safe(src)}")
+        for k, c in enumerate(self.level_sizes):
+            self.level_tables[c].write.mode("overwrite").parquet(f"{path}/levels/{k}")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "PreparedFeatures":
@@ -211,7 +237,8 @@ class PreparedFeatures:
         fills = {c: _typed(v, kinds.get(c, "string")) for c, v in meta["fills"].items()}
         levels = {c: [_typed(v, kinds.get(c, "string")) for v in vs] for c, vs in meta["categories"].items()}
         return PreparedFeatures(plan, fills, {k: tuple(v) for k, v in meta["scalers"].items()},
-                                levels, freq, meta["freq_sizes"], meta["raw_types"])
+                                levels, freq, meta["freq_sizes"], meta["raw_types"],
+                                {c: spark.read.parquet(f"{path}/levels/{k}") for k, c in enumerate(meta["level_sizes"])}, meta["level_sizes"])
 
 
 def _typed(value, kind: str):
@@ -358,6 +385,7 @@ class FeaturePreparer:
         raw_types = {c: types[c].simpleString() for c in cats}
         fills = [dict() for _ in sets]
         categories = [dict() for _ in sets]
+        level_tables, level_sizes = [dict() for _ in sets], [dict() for _ in sets]
 
         # categorical levels and modes: one value-table aggregate (by group), bounded collect
         if cats:
@@ -375,10 +403,16 @@ class FeaturePreparer:
             levels_per_pos: dict[int, set] = {}
             for r in rows:
                 levels_per_pos.setdefault(r["pos"], set()).add((r["value_num"], r["value"]))
-            too_many = [cats[p] for p, v in levels_per_pos.items() if len(v) > self.max_levels]
-            if too_many or len(rows) > cap:
-                raise ValueError(f"categorical features exceed {self.max_levels} levels: "
-                                 f"{', '.join(too_many) or ', '.join(cats)}; drop them or treat them as identifiers")
+            large: list[int] = []
+            if len(rows) > cap or any(len(v) > self.max_levels for v in levels_per_pos.values()):
+                vt = cut_lineage(vt)
+                many = vt.select("pos", "value_num", "value").distinct().groupBy("pos").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > self.max_levels)
+                large = sorted(r["pos"] for r in many.collect())
+                rows = vt.where(~F.col("pos").isin(large)).collect()
+            for si, sset in enumerate(sets):
+                for pos in large:
+                    part = vt.where(F.col("pos") == pos)
+                    self._level_table(part if sset is None else part.where(member(sset, F.col("_g"))), cats[pos], types[cats[pos]], fills[si], level_tables[si], level_sizes[si])
             for si, sset in enumerate(sets):
                 by: dict[int, dict] = {}
                 for r in rows:
@@ -387,6 +421,8 @@ class FeaturePreparer:
                         by.setdefault(r["pos"], {})
                         by[r["pos"]][key] = by[r["pos"]].get(key, 0) + r["count"]
                 for pos, c in enumerate(cats):
+                    if pos in large:
+                        continue
                     f, order = self._levels(c, types[c], by.get(pos, {}))
                     if f is not _NO_FILL:
                         fills[si][c] = f
@@ -459,9 +495,38 @@ class FeaturePreparer:
                     q1, qm, q3 = q2.get((name, 0.25)), q2.get((name, 0.5)), q2.get((name, 0.75))
                     if qm is not None:
                         scalers[si][c] = (qm, (q3 - q1) if (q3 - q1) > 0 else 1.0)
-        return [PreparedFeatures(plan, fills[si], scalers[si], categories[si], freq_maps[si], freq_sizes[si], raw_types)
+        return [PreparedFeatures(plan, fills[si], scalers[si], categories[si], freq_maps[si], freq_sizes[si], raw_types, level_tables[si], level_sizes[si])
                 for si in range(len(sets))]
 
+    def _level_table(self, counts: DataFrame, c: str, dtype, fills: dict, tables: dict, sizes: dict) -> None:
+        """The levels of a feature with very many of them, as a table (level, index) numbered in their order, NULL last: dealt by range,
+        numbered within each range, the ranges' numbers of levels added up. Its fill, if it has one, is one row of an aggregate."""
+        from tabloom.session import cut_lineage
+        kind = dtype.simpleString()
+        typed = (F.col("value_num") if kind in ("float", "double") else F.col("value")).cast(kind)
+        levels = counts.select(typed.alias("level"), "count").groupBy("level").agg(F.sum("count").alias("count"))
+        imp = self.plan.imputation.get(c)
+        fill = None
+        if imp is not None:
+            if imp["strategy"] == "most_frequent":
+                best = levels.where("level is not null").agg(F.min(F.struct((-F.col("count")).alias("n"), "level")).alias("best")).first()["best"]
+                fill = best["level"] if best else None
+            elif imp["strategy"] == "constant":
+                fill = _typed(imp["value"], kind)
+        if fill is not None:  # imputation happens before encoding: NULL becomes the fill
+            fills[c] = fill
+            one = counts.sparkSession.range(1).select(F.lit(fill).cast(kind).alias("level"), F.lit(0).cast("bigint").alias("count"))
+            levels = levels.where("level is not null").unionByName(one).groupBy("level").agg(F.sum("count").alias("count"))
+        order = F.col("level").asc_nulls_last()
+        dealt = cut_lineage(levels.select("level").repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+        before, start = {}, 0
+        for r in sorted(dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["part"]):
+            before[r["part"]], start = start, start + r["n"]
+        offset = F.element_at(F.create_map(*[F.lit(v) for kv in before.items() for v in kv]), F.col("part"))
+        within = F.row_number().over(Window.partitionBy("part").orderBy(order))
+        tables[c] = cut_lineage(dealt.select("level", (offset + within - 1).cast("int").alias("index")))
+        sizes[c] = start
+
     def _levels(self, c: str, dtype, counts: dict):
         """Fill value (most frequent / constant) and sorted encoder levels of one column."""
         plan = self.plan
