@@ -1,22 +1,17 @@
-"""Exact quantiles at scale by iterative histogram narrowing.
-
-Spark's exact ``percentile`` keeps every distinct value of a group in one
-aggregation buffer, so a single global median over billions of distinct doubles
-lands in one task. Here each wanted order statistic (k-th smallest non-null value)
-is found by narrowing a value bracket:
-
-1. one aggregate gives count/min/max per column;
-2. each pass buckets the values inside every open bracket into ``BUCKETS`` equal-width
-   buckets (``groupBy(target, bucket)`` with partial aggregation, keeping count,
-   min, max per bucket), and the bucket holding rank k becomes the new bracket,
-   tightened to the exact min/max seen in it;
-3. a bracket that holds a single value is done; one that holds at most
-   ``COLLECT_LIMIT`` rows is fetched and sorted directly.
-
-All work is scans plus small grouped counts; the driver holds at most
-``targets x BUCKETS`` histogram rows or ``COLLECT_LIMIT`` values per target.
-Quantiles interpolate linearly between neighbouring order statistics, like
-NumPy/pandas and DuckDB's ``quantile_cont``.
+"""Exact quantiles in two scans, at any size.
+
+Spark's exact ``percentile`` keeps every distinct value of a group in one aggregation buffer, so a global median over
+billions of distinct doubles lands in one task. Here
+
+1. one aggregate over all columns takes count, extremes and a mergeable quantile sketch (``percentile_approx``,
+   whose ranks are off by at most 1 / ``ACCURACY`` of the rows), which brackets every wanted order statistic;
+2. one pass over all columns counts the rows below each bracket, and each value inside it: a few rows in ten thousand,
+   written as a table (bracket, value, count).
+
+The rest works on that table: it is dealt by range of value, the ranges' counts are added up, and only the range that
+holds a wanted rank is put in order. The counts prove the bracket; one that does not hold its ranks (rounding of the sketch)
+is taken over the whole column instead. The driver sees counts of ranges and one value per order statistic.
+Quantiles interpolate linearly between neighbouring order statistics, like NumPy/pandas and DuckDB's ``quantile_cont``.
 """
 
 from __future__ import annotations
@@ -24,12 +19,13 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
-COLLECT_LIMIT = 200_000
-MAX_PASSES = 256  # a pass narrows a bracket 4096-fold; doubles span 2^2098
+from tabloom.session import cut_lineage
+
+ACCURACY = 20_000
+RANGE_ROWS = 1 << 16  # values put in order at a time, about
 
 
 def _positions(n: int, p: float) -> tuple[int, int, float]:
@@ -38,139 +34,86 @@ def _positions(n: int, p: float) -> tuple[int, int, float]:
     return lo + 1, min(lo + 2, n), pos - lo
 
 
-def column_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, float, float]]:
-    row = df.agg(*[x for i, c in enumerate(cols) for x in (
-        F.count(F.col(f"`{c}`")).alias(f"n{i}"),
-        F.min(F.col(f"`{c}`").cast("double")).alias(f"a{i}"),
-        F.max(F.col(f"`{c}`").cast("double")).alias(f"b{i}"))]).collect()[0]
-    return {c: (row[f"n{i}"], row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(cols)}
-
-
-def _infinite(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, int, float, float]]:
-    """Of columns with infinite values: how many are -inf and +inf, and the finite range."""
-    if not cols:
-        return {}
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(f"`{c}`").cast("double")
-        finite = F.when((x > F.lit(-math.inf)) & (x < F.lit(math.inf)), x)
-        aggs += [F.count_if(x == F.lit(-math.inf)).alias(f"a{i}"), F.count_if(x == F.lit(math.inf)).alias(f"b{i}"),
-                 F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}")]
-    r = df.agg(*aggs).collect()[0]
-    return {c: (r[f"a{i}"], r[f"b{i}"], r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(cols)}
-
-
-def order_statistics(df: DataFrame, wanted: Mapping[str, Sequence[int]],
-                     counts: Mapping[str, tuple[int, float, float]] | None = None) -> dict[tuple[str, int], float]:
-    """k-th smallest non-null value (1-based) of each column for each requested k."""
-    cols = list(wanted)
-    if not cols:
-        return {}
-    if counts is None:
-        counts = column_counts(df, cols)
-    infinite = _infinite(df, [c for c in cols if counts[c][0] and (math.isinf(counts[c][1]) or math.isinf(counts[c][2]))])
-    result: dict[tuple[str, int], float] = {}
-    # open targets: (col, k) -> [lo, hi, below]
-    open_: dict[tuple[str, int], list] = {}
-    for c in cols:
-        n, mn, mx = counts[c]
-        for k in sorted(set(wanted[c])):
-            if n == 0 or k < 1 or k > n:
-                result[(c, k)] = None
-            elif mn == mx:
-                result[(c, k)] = float(mn)
-            elif c in infinite:
-                low, high, lo, hi = infinite[c]
-                if k <= low:
-                    result[(c, k)] = -math.inf
-                elif k > n - high:
-                    result[(c, k)] = math.inf
-                elif lo == hi:
-                    result[(c, k)] = float(lo)
-                else:
-                    open_[(c, k)] = [float(lo), float(hi), low, n - low - high]
-            else:
-                open_[(c, k)] = [float(mn), float(mx), 0, n]
-    passes = 0
-    while open_:
-        passes += 1
-        if passes > MAX_PASSES:
-            raise RuntimeError("quantile narrowing did not converge")
-        targets = list(open_)
-        small = [t for t in targets if open_[t][3] <= COLLECT_LIMIT]
-        big = [t for t in targets if open_[t][3] > COLLECT_LIMIT]
-        if small:
-            # fetch the few rows inside each small bracket and sort on the driver
-            entries = []
-            for i, t in enumerate(small):
-                lo, hi, _, _ = open_[t]
-                x = F.col(f"`{t[0]}`").cast("double")
-                entries.append(F.when((x >= lo) & (x <= hi), F.struct(F.lit(i).alias("t"), x.alias("x"))))
-            vals = (df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
-                    .select("e.t", "e.x").collect())
-            per: dict[int, list[float]] = {}
-            for r in vals:
-                per.setdefault(r["t"], []).append(r["x"])
-            for i, t in enumerate(small):
-                xs = sorted(per.get(i, []))
-                result[t] = xs[t[1] - open_[t][2] - 1]
-                del open_[t]
-        if big:
-            entries = []
-            for i, t in enumerate(big):
-                lo, hi, _, _ = open_[t]
-                x = F.col(f"`{t[0]}`").cast("double")
-                b = F.least(F.floor((x / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-                entries.append(F.when((x >= lo) & (x <= hi), F.struct(F.lit(i).alias("t"), b.alias("b"), x.alias("x"))))
-            hist = (df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
-                    .groupBy("e.t", "e.b").agg(F.count(F.lit(1)).alias("n"), F.min("e.x").alias("mn"),
-                                               F.max("e.x").alias("mx"))
-                    .collect())
-            per_t: dict[int, list] = {}
-            for r in hist:
-                per_t.setdefault(r["t"], []).append(r)
-            for i, t in enumerate(big):
-                lo, hi, below, _ = open_[t]
-                need = t[1] - below
-                run = 0
-                for r in sorted(per_t.get(i, []), key=lambda r: r["b"]):
-                    if run + r["n"] >= need:
-                        if r["mn"] == r["mx"]:
-                            result[t] = float(r["mn"])
-                            del open_[t]
-                        else:
-                            open_[t] = [float(r["mn"]), float(r["mx"]), below + run, int(r["n"])]
-                        break
-                    run += r["n"]
-    return result
+def _x(c: str) -> Column:
+    return F.col(f"`{c}`").cast("double")
 
 
 def exact_quantiles(df: DataFrame, probs: Mapping[str, Sequence[float]],
                     counts: Mapping[str, tuple[int, float, float]] | None = None) -> dict[tuple[str, float], float | None]:
-    """Linear-interpolated quantiles of each column (NULLs ignored). ``counts``
-    (non-null count, min, max per column) saves the first pass when the caller
-    already aggregated them."""
-    cols = list(probs)
-    if not cols:
-        return {}
-    if counts is None or any(c not in counts for c in cols):
-        counts = column_counts(df, cols)
-    wanted: dict[str, set[int]] = {}
+    """Linear-interpolated quantiles of each column (NULLs ignored). ``counts``: (non-null count, min, max) of
+    columns for which the caller knows them; those without two different values need no scan."""
+    counts = dict(counts or {})
+    cols = [c for c in probs if c not in counts or (counts[c][0] and counts[c][1] != counts[c][2])]
+    asked = {c: sorted(set(probs[c])) for c in cols}
+    slack = 4.0 / ACCURACY
+    brackets: dict[str, list[tuple[float, float]]] = {}
+    if cols:
+        aggs = []
+        for i, c in enumerate(cols):
+            near = [min(1.0, max(0.0, p + s)) for p in asked[c] for s in (-slack, slack)]
+            aggs += [F.count(_x(c)).alias(f"n{i}"), F.min(_x(c)).alias(f"a{i}"), F.max(_x(c)).alias(f"b{i}"), F.percentile_approx(_x(c), near, ACCURACY).alias(f"q{i}")]
+        row = df.agg(*aggs).first()
+        for i, c in enumerate(cols):
+            n, low, high = row[f"n{i}"], row[f"a{i}"], row[f"b{i}"]
+            counts[c] = (n, low, high)
+            # among few rows, a neighbour in rank may lie outside: the column is its own bracket
+            whole = n * slack < 4
+            brackets[c] = [(low, high) if whole else (row[f"q{i}"][2 * k], row[f"q{i}"][2 * k + 1]) for k in range(len(asked[c]))] if n else []
+    wanted: dict[tuple[str, int], tuple[float, float]] = {}
     for c in cols:
-        n = counts[c][0]
-        for p in probs[c]:
-            if n:
-                a, b, _ = _positions(n, p)
-                wanted.setdefault(c, set()).update({a, b})
-    stats = order_statistics(df, {c: sorted(v) for c, v in wanted.items()}, counts)
+        n, low, high = counts[c]
+        if n and low != high:
+            for p, bracket in zip(asked[c], brackets[c]):
+                for k in _positions(n, p)[:2]:
+                    wanted.setdefault((c, k), bracket)
+    found = _order_statistics(df, wanted)
+    if missed := {t: counts[t[0]][1:] for t in wanted if t not in found}:
+        found |= _order_statistics(df, missed)
     out: dict[tuple[str, float], float | None] = {}
-    for c in cols:
-        n = counts[c][0]
+    for c in probs:
+        n, low, high = counts[c]
         for p in probs[c]:
             if not n:
-                out[(c, p)] = None
+                out[c, p] = None
                 continue
             a, b, frac = _positions(n, p)
-            xa, xb = stats[(c, a)], stats[(c, b)]
-            out[(c, p)] = xa if frac == 0 or xa == xb else xa + (xb - xa) * frac
+            xa, xb = (float(low), float(low)) if low == high else (found[c, a], found[c, b])
+            out[c, p] = xa if frac == 0 or xa == xb else xa + (xb - xa) * frac
     return out
+
+
+def _order_statistics(df: DataFrame, wanted: Mapping[tuple[str, int], tuple[float, float]]) -> dict[tuple[str, int], float]:
+    """The k-th smallest values of columns, for each (column, k) whose bracket holds it. One scan of ``df``."""
+    if not wanted:
+        return {}
+    places = {b: i for i, b in enumerate(dict.fromkeys((c, *bracket) for (c, _), bracket in wanted.items()))}
+    entries = []
+    for (c, low, high), i in places.items():
+        x = _x(c)
+        inside = F.struct(F.lit(i).alias("t"), F.when(x >= F.lit(float(low)), x).alias("x"))  # below the bracket: counted without a value
+        entries.append(F.when(x <= F.lit(float(high)), inside))
+    values = df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).groupBy("e.t", "e.x").agg(F.count(F.lit(1)).alias("n"))
+    table = cut_lineage(values)
+    rows = table.count()
+    parts = max(1, min(-(-rows // RANGE_ROWS), 1 << 14))
+    dealt = cut_lineage(table.repartitionByRange(parts, "t", F.col("x").asc_nulls_first()).withColumn("part", F.spark_partition_id())) if parts > 1 else table.withColumn("part", F.lit(0))
+    sums: dict[int, dict[int, tuple[int, int]]] = {}
+    for r in dealt.groupBy("t", "part").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("x").isNull(), F.col("n"))), F.lit(0)).alias("below")).collect():
+        sums.setdefault(r["t"], {})[r["part"]] = (r["n"], r["below"])
+    needs = []
+    for (c, k), bracket in wanted.items():
+        t, before = places[(c, *bracket)], 0
+        if sum(below for _, below in sums.get(t, {}).values()) >= k:
+            continue  # the bracket begins above this rank
+        for part in sorted(sums.get(t, {})):
+            if k <= before + sums[t][part][0]:
+                needs.append((t, part, c, k, k - before))
+                break
+            before += sums[t][part][0]
+    if not needs:
+        return {}
+    need = F.broadcast(df.sparkSession.createDataFrame(needs, "t int, part int, c string, k bigint, rank bigint"))
+    upto = F.sum("n").over(Window.partitionBy("t", "part").orderBy(F.col("x").asc_nulls_first()))
+    hit = dealt.join(need.select("t", "part").distinct(), ["t", "part"], "left_semi").withColumn("upto", upto).join(need, ["t", "part"]).where(
+        (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
+    return {(r["c"], r["k"]): r["x"] for r in hit.select("c", "k", "x").collect()}

@@ -71,8 +71,8 @@ def test_folds_balanced(spark):
 def test_exact_quantiles_small_buckets(spark):
     import numpy as np
     import tabloom.operators.quantile as Q
-    old = Q.BUCKETS, Q.COLLECT_LIMIT
-    Q.BUCKETS, Q.COLLECT_LIMIT = 8, 50
+    old = Q.ACCURACY, Q.RANGE_ROWS
+    Q.ACCURACY, Q.RANGE_ROWS = 100, 50
     try:
         vals = [float((i * 37) % 1001) for i in range(3000)] + [5.0] * 2000
         df = spark.createDataFrame([(v,) for v in vals], "x double")
@@ -80,7 +80,7 @@ def test_exact_quantiles_small_buckets(spark):
         for p in (0.1, 0.25, 0.5, 0.9):
             assert got[("x", p)] == np.percentile(vals, p * 100)
     finally:
-        Q.BUCKETS, Q.COLLECT_LIMIT = old
+        Q.ACCURACY, Q.RANGE_ROWS = old
 
 
 def test_range_rank_with_a_heavy_sentinel_beyond_2_53(spark):
@@ -101,12 +101,31 @@ def test_quantiles_with_infinite_values(spark):
     from tabloom.operators import quantile as Q
     df = spark.range(5000).select(F.when(F.col("id") < 300, F.lit(float("-inf"))).when(F.col("id") >= 4900, F.lit(float("inf"))).otherwise(F.col("id").cast("double")).alias("x"),
                                   (F.exp(F.col("id") / 8.0) * F.when(F.col("id") % 2 == 0, 1).otherwise(-1)).alias("y"))
-    old = Q.COLLECT_LIMIT
-    Q.COLLECT_LIMIT = 10
+    old = Q.ACCURACY, Q.RANGE_ROWS
+    Q.ACCURACY, Q.RANGE_ROWS = 200, 10
     try:
         got = Q.exact_quantiles(df, {"x": [0.0, 0.5, 1.0], "y": [0.5]})
     finally:
-        Q.COLLECT_LIMIT = old
+        Q.ACCURACY, Q.RANGE_ROWS = old
     assert got["x", 0.0] == float("-inf") and got["x", 1.0] == float("inf") and got["x", 0.5] == 2499.5
     ys = sorted(r["y"] for r in df.select("y").collect())
     assert abs(got["y", 0.5] - (ys[2499] + ys[2500]) / 2) < 1e-6
+
+
+def test_quantiles_take_two_scans_and_few_values(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from tabloom.operators import quantile as Q
+    df = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.sin("id") * 1000).alias("x"), (F.col("id") * 7919 % 100_003).cast("double").alias("y"),
+                                     F.when(F.col("id") < 5, F.col("id").cast("double")).alias("z"), F.lit(None).cast("double").alias("none"), F.lit(2.5).alias("one")).repartition(5)
+    written, scans = [], []
+    monkeypatch.setattr(Q, "cut_lineage", lambda t, keep=Q.cut_lineage: written.append(keep(t)) or written[-1])
+    monkeypatch.setattr(Q, "_order_statistics", lambda d, w, run=Q._order_statistics: scans.append(len(w)) or run(d, w))
+    probs = {"x": [0.1, 0.25, 0.5], "y": [0.5, 0.999], "z": [0.5, 0.9], "none": [0.5], "one": [0.25]}
+    got = Q.exact_quantiles(df, probs)
+    pdf = df.toPandas()
+    for c, ps in probs.items():
+        v = pdf[c].dropna()
+        for p in ps:
+            assert (got[c, p] is None and not len(v)) or abs(got[c, p] - np.percentile(v, p * 100)) <= 1e-12 * max(1, abs(got[c, p]))
+    assert len(scans) == 1 and written[0].count() < 0.01 * 2 * 200_000  # one sketch, one pass, and what lies in the brackets
