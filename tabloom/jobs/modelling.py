@@ -13,6 +13,7 @@ from tabloom.functions.hashing import sql_row_hash
 from tabloom.jobs import job
 from tabloom.jobs import fixtures as fx
 from tabloom.jobs.sqlgen import fold_of
+from tabloom.jobs.planning import rules_sql, summary_sql
 from tabloom.jobs.preparation import split_cte
 from tabloom.operators.metrics import rank_trials
 from tabloom.operators.pipeline import FittedPipeline, TabularPipeline, cross_validate, summarize_cv
@@ -22,6 +23,7 @@ from tabloom.plans import catalog as cat
 from tabloom.plans.feature_plan import build_feature_plan
 from tabloom.plans.workflow import competition_dashboard, execute_workflow, pick_best
 from tabloom.session import checkpoint_dir, cut_lineage
+from tabloom.sources.io import read_run
 
 R4 = 4  # model outputs: decimals kept in compared results
 
@@ -225,7 +227,7 @@ def run_artifacts(spark, sf_dir):
     """The run's tables written under the shared checkpoint folder, read back."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/artifacts"
     res = _flagship(spark, sf_dir, output_root=root)
-    return spark.read.parquet(f"{root}/leaderboard").where(F.col("run_id") == res.run_id)
+    return read_run(spark, root, res.run_id)["leaderboard"].withColumn("run_id", F.lit(res.run_id))
 
 
 @job("score_saved_model")
@@ -268,3 +270,127 @@ def actual_vs_predicted_histogram(spark, sf_dir):
     fitted = pipe.fit(split.where("split = 'train'"))
     scored = fitted.predict(split.where("split = 'test'"), ["l_extendedprice"])
     return prediction_histogram(scored.withColumnRenamed("l_extendedprice", "actual"), 0.0, 100_000.0, 40)
+
+
+# ---- run record, one-feature leaderboard, rules that a model must find ---------------------------
+
+_LINEITEM = ("lineitem", FLAGSHIP_BRIEF, "l_orderkey", ["l_shipdate"], ["l_returnflag", "l_linestatus"], [],
+             ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"])
+
+
+@job("run_decisions", "WITH " + summary_sql(0, _LINEITEM, "lineitem") + rules_sql(1, """
+SELECT step_id, step_number, title, selected_option AS recommended,
+       CASE step_id WHEN '03_model_selection' THEN 'ridge_regression' WHEN '01_preprocessing' THEN 'auto_tabular_preprocessing' ELSE selected_option END AS selected FROM steps"""))
+def run_decisions(spark, sf_dir):
+    """Recommended and selected option per step, read back from the committed run."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/artifacts"
+    res = _flagship(spark, sf_dir, output_root=root)
+    return read_run(spark, root, res.run_id)["decisions"]
+
+
+_ONE_SQL = _RIDGE_SQL + f""",
+base AS (SELECT avg(l_extendedprice) AS c FROM tr),
+te AS (SELECT l_extendedprice AS y, b0 + b * l_quantity AS p, c FROM sp, m, base WHERE split = 'test'),
+tf AS (SELECT l_quantity AS x, l_extendedprice AS y,
+              {fold_of(f"(row_number() OVER (ORDER BY {sql_row_hash(['l_orderkey', 'l_linenumber'], 'fold:42')}, {_CV_TIE}) - 1)", "(SELECT count(*) FROM tr)", 5)} AS fold FROM tr),
+ff AS (SELECT f.fold, covar_pop(tf.x, tf.y) * count(*) / (var_pop(tf.x) * count(*) + 1.0) AS b, avg(tf.y) AS my, avg(tf.x) AS mx
+       FROM (SELECT DISTINCT fold FROM tf) f JOIN tf ON tf.fold <> f.fold GROUP BY f.fold),
+pf AS (SELECT tf.fold, y, my + b * (x - mx) AS p FROM tf JOIN ff USING (fold)),
+sf AS (SELECT sqrt(avg((y - p) ^ 2)) AS rmse, avg(abs(y - p)) AS mae, 1 - sum((y - p) ^ 2) / (var_pop(y) * count(*)) AS r2 FROM pf GROUP BY fold),
+long AS (
+  SELECT 'mean_value' AS model, 'baseline' AS role, 'test' AS split, sqrt(avg((y - c) ^ 2)) AS rmse, avg(abs(y - c)) AS mae, 1 - sum((y - c) ^ 2) / (var_pop(y) * count(*)) AS r2 FROM te
+  UNION ALL SELECT 'ridge_regression', 'candidate', 'test', sqrt(avg((y - p) ^ 2)), avg(abs(y - p)), 1 - sum((y - p) ^ 2) / (var_pop(y) * count(*)) FROM te, (VALUES (1), (2))
+     AS twice(k) GROUP BY k
+  UNION ALL SELECT 'ridge_regression', 'candidate', 'cv', avg(rmse), avg(mae), avg(r2) FROM sf, (VALUES (1), (2)) AS twice(k) GROUP BY k)
+SELECT model, role, split, metric, round(value, {R4}) AS value FROM long UNPIVOT (value FOR metric IN (rmse, mae, r2))"""
+
+
+@job("leaderboard_one_feature", _ONE_SQL)
+def leaderboard_one_feature(spark, sf_dir):
+    """W6 + H13 with a closed form: the whole workflow on one feature, ridge against the mean (initial and final model are the same)."""
+    li = fx.table(spark, sf_dir, "lineitem").select(*_RIDGE_COLS)
+    res = execute_workflow(spark, Brief("one feature", "l_extendedprice", "regression"), li, ["l_orderkey", "l_linenumber"],
+                           selected={"03_model_selection": "ridge_regression", "01_preprocessing": "minimal_cleanup", "05_metric_selection": "rmse",
+                                     "02_data_splitting": "random_holdout", "06_training_configuration": "thorough_training"},
+                           preprocessing_overrides={"drop_features": ["l_orderkey", "l_linenumber"]})
+    return res.leaderboard.select("model", "role", "split", "metric", F.round("value", R4).alias("value"))
+
+
+@job("saved_model_predictions", _RIDGE_SQL + f"""
+SELECT l_orderkey, l_linenumber, l_extendedprice, round(b0 + b * l_quantity, {R4}) AS prediction FROM sp, m WHERE split = 'test'""")
+def saved_model_predictions(spark, sf_dir):
+    """S9 + W8 with a closed form: every holdout row scored by the pipeline that was saved and loaded."""
+    return score_saved_model(spark, sf_dir).withColumn("prediction", F.round("prediction", R4))
+
+
+_RULE_COLS = ["o_orderkey", "f1", "f2", "y"]
+_PARTS = "CASE WHEN o_orderkey % 16 < 5 THEN 'a' WHEN o_custkey % 8 < 3 THEN 'b' ELSE 'c' END"
+_HALVES = "CASE WHEN o_orderkey % 16 + 2 * (o_custkey % 8) > 14 THEN 'over' ELSE 'under' END"
+_STEPS = "10.0 * CAST(o_orderkey % 16 < 5 AS INTEGER) + 3.0 * CAST(o_custkey % 8 >= 3 AS INTEGER)"
+_LINE = "0.5 * (o_orderkey % 16) - (o_custkey % 8)"
+
+
+def _rule_sql(rule: str) -> str:
+    """The holdout rows with the rule's value, which is what the model must predict."""
+    kind = "DOUBLE" if rule in (_STEPS, _LINE) else "VARCHAR"
+    return (f"WITH src AS (SELECT o_orderkey, o_orderkey % 16 AS f1, o_custkey % 8 AS f2, CAST({rule} AS {kind}) AS y FROM orders), " + split_cte("src", ["o_orderkey"], ties=_RULE_COLS)
+            + " SELECT o_orderkey, y AS prediction FROM sp WHERE split = 'test'")
+
+
+def _rule_holdout(spark, sf_dir, rule: str, model: str, params: dict, training: dict):
+    """Fit on rows whose target is a rule of two features, predict the others."""
+    numeric = rule in (_STEPS, _LINE)
+    df = fx.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 16).alias("f1"), (F.col("o_custkey") % 8).alias("f2"),
+                                                  F.expr(rule).cast("double" if numeric else "string").alias("y"))
+    task = "regression" if numeric else "classification"
+    profile, _ = profile_dataset(df, Brief("rule", "y", task), key_cols=["o_orderkey"])
+    plan = build_feature_plan(profile, "auto_tabular_preprocessing", {"drop_features": ["o_orderkey"]})
+    split = cut_lineage(holdout_split(df, ["o_orderkey"]))
+    settings = cat.default_training_configuration(model, profile.rows) | training
+    fitted = TabularPipeline(plan, task, model, "y", ["o_orderkey"], cat.default_model_parameters(model, profile.rows, None) | params, settings).fit(split.where("split = 'train'"))
+    return fitted.predict(split.where("split = 'test'"), ["o_orderkey"])
+
+
+@job("forest_rule", _rule_sql(_PARTS))
+def forest_rule(spark, sf_dir):
+    """M3: trees grown until pure give back a rule of three classes exactly."""
+    return _rule_holdout(spark, sf_dir, _PARTS, "random_forest_classifier", {"n_estimators": 15, "min_samples_leaf": 1, "max_depth": None}, {})
+
+
+@job("boosting_rule", _rule_sql(_PARTS))
+def boosting_rule(spark, sf_dir):
+    """M5: boosting of three classes gives back the rule exactly."""
+    return _rule_holdout(spark, sf_dir, _PARTS, "hist_gradient_boosting_classifier", {"max_leaf_nodes": 15}, {"epochs": 10, "learning_rate": 0.3, "early_stopping": False})
+
+
+@job("logistic_rule", _rule_sql(_HALVES))
+def logistic_rule(spark, sf_dir):
+    """M1: classes on the two sides of a line are told apart exactly."""
+    return _rule_holdout(spark, sf_dir, _HALVES, "logistic_regression", {"C": 1000.0}, {"epochs": 500})
+
+
+@job("mlp_rule", _rule_sql(_HALVES))
+def mlp_rule(spark, sf_dir):
+    """M7: a network does so too."""
+    return _rule_holdout(spark, sf_dir, _HALVES, "mlp_classifier", {"hidden_layer_sizes": (8,), "alpha": 1e-6}, {"optimizer": "lbfgs", "epochs": 120, "early_stopping": False})
+
+
+@job("forest_steps", _rule_sql(_STEPS))
+def forest_steps(spark, sf_dir):
+    """M4: a step function of two features, exactly."""
+    out = _rule_holdout(spark, sf_dir, _STEPS, "random_forest_regressor", {"n_estimators": 10, "min_samples_leaf": 1, "max_depth": None}, {})
+    return out.withColumn("prediction", F.round("prediction", 6))
+
+
+@job("boosting_steps", _rule_sql(_STEPS))
+def boosting_steps(spark, sf_dir):
+    """M6: a step function of two features, by four leaves a round at full learning rate."""
+    out = _rule_holdout(spark, sf_dir, _STEPS, "hist_gradient_boosting_regressor", {"max_leaf_nodes": 4}, {"epochs": 3, "learning_rate": 1.0, "early_stopping": False})
+    return out.withColumn("prediction", F.round("prediction", 6))
+
+
+@job("mlp_line", _rule_sql(_LINE))
+def mlp_line(spark, sf_dir):
+    """M8: a linear target, to the nearest half."""
+    out = _rule_holdout(spark, sf_dir, _LINE, "mlp_regressor", {"hidden_layer_sizes": (8,), "alpha": 1e-6}, {"optimizer": "lbfgs", "epochs": 120, "early_stopping": False})
+    return out.withColumn("prediction", F.round(F.col("prediction") * 2) / 2)

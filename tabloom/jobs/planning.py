@@ -9,7 +9,7 @@ from tabloom.functions.dates import sql_lenient_timestamp
 from tabloom.jobs import job
 from tabloom.jobs import fixtures as fx
 from tabloom.operators.profile import Brief
-from tabloom.plans.recommend import profile_catalog, recommend
+from tabloom.plans.recommend import profile_catalog, recommend, recommended_parameters, recommended_training
 
 # (dataset_id, brief, key, schema facts for the oracle: typed-date columns, text columns,
 #  columns whose name matches the identifier pattern, all feature columns)
@@ -35,9 +35,8 @@ def _frames(spark, sf_dir):
 _SOURCES = {"documents_quality": "labelled", "events_value": "events", "orders_priority": "orders"}
 
 
-def _summary_sql(i: int, ds) -> str:
+def summary_sql(i: int, ds, src: str) -> str:
     did, brief, key, typed_dates, texts, id_names, feats = ds
-    src = _SOURCES[did]
     h = sql_row_hash([key])
     n = f"(SELECT count(*) FROM {src})"
     nd = {c: f"(SELECT count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) FROM {src})" for c in feats}
@@ -65,8 +64,7 @@ def _summary_sql(i: int, ds) -> str:
 
 
 _RULES_SQL = """
-s AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2),
-r AS (SELECT dataset_id, task_type,
+r AS (SELECT dataset_id, task_type, rows, class_imbalance,
   CASE WHEN n_identifier + n_date_like + n_constant + n_high_card > 0 THEN 'custom'
        WHEN missing_fraction = 0 THEN 'minimal_cleanup' ELSE 'auto_tabular_preprocessing' END AS pre,
   CASE WHEN coalesce(date_column, '') <> '' THEN 'time_ordered_holdout'
@@ -84,8 +82,8 @@ r AS (SELECT dataset_id, task_type,
               WHEN target_skew IS NOT NULL AND NOT isnan(target_skew) AND abs(target_skew) >= 1 THEN 'hist_gradient_boosting_regressor'
               ELSE 'random_forest_regressor' END END AS model,
   CASE WHEN rows > 10000 THEN 'thorough_training' ELSE 'standard_training' END AS training,
-  CASE WHEN competition_enabled THEN 'small_competition' ELSE 'skip' END AS hpo FROM s)
-SELECT dataset_id, step_id, CAST(step_number AS BIGINT) AS step_number, title, selected_option, options FROM (
+  CASE WHEN competition_enabled THEN 'small_competition' ELSE 'skip' END AS hpo FROM s),
+steps AS (SELECT dataset_id, step_id, CAST(step_number AS BIGINT) AS step_number, title, selected_option, options FROM (
   SELECT dataset_id, '00_intake' AS step_id, 0 AS step_number, 'Intake' AS title, 'structured_brief' AS selected_option, 'structured_brief' AS options FROM r
   UNION ALL SELECT dataset_id, '01_preprocessing', 1, 'Preprocessing', pre, 'auto_tabular_preprocessing,minimal_cleanup,custom' FROM r
   UNION ALL SELECT dataset_id, '02_data_splitting', 2, 'Data splitting', split, 'stratified_holdout,random_holdout,time_ordered_holdout' FROM r
@@ -97,13 +95,63 @@ SELECT dataset_id, step_id, CAST(step_number AS BIGINT) AS step_number, title, s
   UNION ALL SELECT dataset_id, '06_training_configuration', 5, 'Training', training, 'fast_training,standard_training,thorough_training' FROM r
   UNION ALL SELECT dataset_id, '08_validation_and_baseline', 6, 'Validation', 'test_set_with_baseline', 'test_set_with_baseline' FROM r
   UNION ALL SELECT dataset_id, '07_hyperparameter_optimization', 7, 'Hyperparameter optimization', hpo, 'skip,small_competition,expanded_competition' FROM r
-  UNION ALL SELECT dataset_id, '09_final_validation', 9, 'Final validation', 'final_validation_dashboard', 'final_validation_dashboard' FROM r)"""
+  UNION ALL SELECT dataset_id, '09_final_validation', 9, 'Final validation', 'final_validation_dashboard', 'final_validation_dashboard' FROM r))"""
+
+
+def rules_sql(datasets: int, then: str) -> str:
+    """The rules over the summaries s0, s1, ..., then a query on ``r`` (a row per dataset) or ``steps``."""
+    return ", s AS (" + " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(datasets)) + ")," + _RULES_SQL + then
 
 
 @job("recommend_steps", "WITH " + fx.LABELLED_DOCUMENTS_SQL + ",\n"
-     + ",\n".join(_summary_sql(i, ds) for i, ds in enumerate(DATASETS)) + "," + _RULES_SQL)
+     + ",\n".join(summary_sql(i, ds, _SOURCES[ds[0]]) for i, ds in enumerate(DATASETS)) + rules_sql(len(DATASETS), " SELECT * FROM steps"))
 def recommend_steps(spark, sf_dir):
     """Three datasets profiled, summarised, and planned in one rules projection."""
     frames = _frames(spark, sf_dir)
     summary = profile_catalog(spark, [(did, brief, frames[did], [key]) for did, brief, key, *_ in DATASETS])
     return recommend(summary)
+
+
+_PLANNED = "WITH " + fx.LABELLED_DOCUMENTS_SQL + ",\n" + ",\n".join(summary_sql(i, ds, _SOURCES[ds[0]]) for i, ds in enumerate(DATASETS))
+
+
+def _summary(spark, sf_dir):
+    frames = _frames(spark, sf_dir)
+    return profile_catalog(spark, [(did, brief, frames[did], [key]) for did, brief, key, *_ in DATASETS])
+
+
+@job("recommend_parameters", _PLANNED + rules_sql(len(DATASETS), """,
+f AS (SELECT *, CASE WHEN model LIKE 'random_forest%' THEN 'forest' WHEN model LIKE 'hist%' THEN 'boosting' WHEN model LIKE 'mlp%' THEN 'mlp' ELSE model END AS family FROM r)
+SELECT dataset_id, model, parameter, value FROM (
+  SELECT dataset_id, model, 'n_estimators' AS parameter, CASE WHEN rows <= 10000 THEN '300' ELSE '500' END AS value FROM f WHERE family = 'forest'
+  UNION ALL SELECT dataset_id, model, 'max_depth', CASE WHEN rows <= 20000 THEN NULL ELSE '16' END FROM f WHERE family = 'forest'
+  UNION ALL SELECT dataset_id, model, 'min_samples_leaf', CASE WHEN rows <= 5000 THEN '1' ELSE '2' END FROM f WHERE family = 'forest'
+  UNION ALL SELECT dataset_id, model, 'max_depth', NULL FROM f WHERE family = 'boosting'
+  UNION ALL SELECT dataset_id, model, 'max_leaf_nodes', '31' FROM f WHERE family = 'boosting'
+  UNION ALL SELECT dataset_id, model, 'l2_regularization', '0.0' FROM f WHERE family = 'boosting'
+  UNION ALL SELECT dataset_id, model, 'hidden_layer_sizes', '64,32' FROM f WHERE family = 'mlp'
+  UNION ALL SELECT dataset_id, model, 'alpha', '0.0001' FROM f WHERE family = 'mlp'
+  UNION ALL SELECT dataset_id, model, 'alpha', '1.0' FROM f WHERE family = 'ridge_regression'
+  UNION ALL SELECT dataset_id, model, 'C', '1.0' FROM f WHERE family = 'logistic_regression'
+  UNION ALL SELECT dataset_id, model, 'class_weight', CASE WHEN class_imbalance >= 1.5 THEN 'balanced' END FROM f WHERE family = 'logistic_regression')"""))
+def recommend_parameters(spark, sf_dir):
+    """The recommended model's default parameters, as rows."""
+    return recommended_parameters(_summary(spark, sf_dir))
+
+
+@job("recommend_training", _PLANNED + rules_sql(len(DATASETS), """,
+f AS (SELECT *, CASE WHEN model LIKE 'random_forest%' THEN 'forest' WHEN model LIKE 'hist%' THEN 'boosting' WHEN model LIKE 'mlp%' THEN 'mlp' ELSE 'linear' END AS family FROM r),
+d AS (SELECT *, CASE WHEN training = 'thorough_training' THEN 5 ELSE greatest(3, CASE WHEN rows > 2000 THEN 5 ELSE 3 END) END AS folds,
+        CASE family WHEN 'linear' THEN 300 WHEN 'boosting' THEN 200 WHEN 'mlp' THEN 250 END AS base FROM f)
+SELECT dataset_id, setting, value FROM (
+  SELECT dataset_id, 'cv_folds' AS setting, CAST(folds AS VARCHAR) AS value FROM d
+  UNION ALL SELECT dataset_id, 'random_seed', '42' FROM d
+  UNION ALL SELECT dataset_id, 'optimizer', CASE WHEN family = 'mlp' THEN 'adam' END FROM d
+  UNION ALL SELECT dataset_id, 'learning_rate', CASE family WHEN 'boosting' THEN '0.1' WHEN 'mlp' THEN '0.001' END FROM d
+  UNION ALL SELECT dataset_id, 'epochs', CAST(CASE WHEN training = 'thorough_training' THEN CAST(floor(base * 1.25) AS INTEGER) ELSE base END AS VARCHAR) FROM d
+  UNION ALL SELECT dataset_id, 'mini_batch', CASE WHEN family = 'mlp' THEN '32' END FROM d
+  UNION ALL SELECT dataset_id, 'early_stopping', CASE WHEN family IN ('boosting', 'mlp') THEN 'true' ELSE 'false' END FROM d
+  UNION ALL SELECT dataset_id, 'validation_fraction', '0.1' FROM d)"""))
+def recommend_training(spark, sf_dir):
+    """The recommended model's training settings under the recommended budget, as rows."""
+    return recommended_training(_summary(spark, sf_dir))

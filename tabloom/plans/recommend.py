@@ -9,6 +9,7 @@ table keyed by ``dataset_id``. ``recommend`` then evaluates every rule as a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,6 +118,50 @@ def recommend(summary: DataFrame) -> DataFrame:
     return summary.select("dataset_id", F.inline(F.array(*steps)))
 
 
+def _setting(v) -> Column:
+    """A default as text: depending on the number of rows where it does."""
+    if isinstance(v, cat.BySize):
+        return F.when(F.col("rows") <= v.limit, _setting(v.small)).otherwise(_setting(v.large))
+    text = None if v is None else str(v).lower() if isinstance(v, bool) else ",".join(map(str, v)) if isinstance(v, (list, tuple)) else str(v)
+    return F.lit(text).cast("string")
+
+
+def _by_model(model: Column, of: Callable[[str], dict[str, Column]], name: str) -> Column:
+    """An array of (name, value) for the row's model, whichever of all models it is."""
+    out = F.lit(None)
+    for m in (*cat.CLASSIFICATION_MODELS, *cat.REGRESSION_MODELS):
+        rows = F.array(*[F.struct(F.lit(k).alias(name), v.alias("value")) for k, v in of(m).items()])
+        out = F.when(model == m, rows).otherwise(out)
+    return out
+
+
+def recommended_parameters(summary: DataFrame) -> DataFrame:
+    """R5 as rows (dataset_id, model, parameter, value): the recommended model's default parameters."""
+    def of(m: str) -> dict[str, Column]:
+        own = {k: _setting(v) for k, v in (cat.PARAMETERS.get(m) or cat.PARAMETERS[cat.FAMILY[m]]).items()}
+        if m == "logistic_regression":
+            own["class_weight"] = F.when(F.coalesce(F.col("class_imbalance"), F.lit(0.0)) >= cat.IMBALANCE_LIMIT, "balanced")
+        return own
+    model = rule_columns()["model"]
+    return summary.select("dataset_id", model.alias("model"), F.inline(_by_model(model, of, "parameter")))
+
+
+def recommended_training(summary: DataFrame) -> DataFrame:
+    """R6 and R7 as rows (dataset_id, setting, value): training settings of the recommended model under the recommended budget."""
+    r = rule_columns()
+
+    def of(m: str) -> dict[str, Column]:
+        settings = cat.TRAINING | cat.TRAINING_OF.get(cat.FAMILY[m], {})
+        own = {k: _setting(v) for k, v in settings.items()}
+        folds, factor, fewest = cat.BUDGETS["thorough"]
+        thorough = r["training"] == "thorough_training"
+        own["cv_folds"] = F.when(thorough, F.lit(str(folds))).otherwise(F.greatest(F.lit(3), own["cv_folds"].cast("int")).cast("string"))
+        if settings["epochs"]:
+            own["epochs"] = F.when(thorough, F.lit(str(max(fewest, int(settings["epochs"] * factor))))).otherwise(own["epochs"])
+        return own
+    return summary.select("dataset_id", F.inline(_by_model(r["model"], of, "setting")))
+
+
 def recommendation_details(summary_row: dict) -> dict[str, str]:
     """Per-dataset metadata (R5, R6, R8, H5) from the selected options: bounded, driver-side."""
     from tabloom.operators.baseline import choose_baseline_strategy

@@ -80,13 +80,16 @@ class RunResult:
     fitted: FittedPipeline | None = None
     dashboard: DataFrame | None = None
     run_id: str = ""
+    brief: Brief | None = None
+    facts: DataFrame | None = None      # the profile, a row per feature
+    decisions: DataFrame | None = None  # recommended and selected option per step
 
 
 def _validate(spark, fitted: FittedPipeline, train: DataFrame, test: DataFrame, brief: Brief, key_cols,
               metric: str, model_name: str, role: str, cv_metrics: dict) -> dict:
     """Holdout metrics of the model and of the no-feature baseline."""
     task, target = brief.task_type, brief.target
-    pred = fitted.predict(test, [*key_cols, target])
+    pred = fitted.predict(test, test.columns)  # raw columns go with the predictions; metrics read two of them
     model_metrics = evaluate(pred.select(F.col(target).alias("actual"), "prediction"), task)
     strategy = choose_baseline_strategy(task, metric)
     base = baseline_prediction(train, target, task, strategy, key_cols)
@@ -101,7 +104,7 @@ def execute_workflow(spark: SparkSession, brief: Brief, df: DataFrame, key_cols:
                      training_overrides: dict | None = None, preprocessing_overrides: dict | None = None,
                      search_parameters: list[str] | None = None, output_root: str | None = None) -> RunResult:
     """The whole run."""
-    profile, _, recs = plan(spark, brief, df, key_cols)
+    profile, facts, recs = plan(spark, brief, df, key_cols)
     cfg = resolve_configuration(brief, profile, recs, selected, model_parameters, training_overrides,
                                 preprocessing_overrides, search_parameters)
     task, target, metric = brief.task_type, brief.target, cfg["metric_option"]
@@ -148,7 +151,8 @@ def execute_workflow(spark: SparkSession, brief: Brief, df: DataFrame, key_cols:
     run_id = f"{_slug(brief.project_name)}-{_dt.datetime.now(_dt.timezone.utc).strftime('%Y%m%d-%H%M%S')}"
     result = RunResult(cfg, board, summary, final["predictions"], training_summary,
                        {k: v for k, v in first.items() if k != "predictions"}, optimization,
-                       {k: v for k, v in final.items() if k != "predictions"}, final_fitted, dashboard, run_id)
+                       {k: v for k, v in final.items() if k != "predictions"}, final_fitted, dashboard, run_id,
+                       brief, facts, decisions(recs, cfg["selected_options"]))
     if output_root:
         materialize(spark, result, output_root)
     return result
@@ -230,20 +234,30 @@ def pick_best(results: DataFrame, metric: str, order_col: str | None = None) ->
     return ranked.orderBy(*order).limit(1).drop("_v")
 
 
+def decisions(recommendations: DataFrame, selected: dict[str, str]) -> DataFrame:
+    """Per step its title, the recommended option and the one that the run used."""
+    chosen = F.create_map(*[F.lit(x) for kv in selected.items() for x in kv]) if selected else F.create_map().cast("map<string,string>")
+    return recommendations.select("step_id", "step_number", "title", F.col("selected_option").alias("recommended"),
+                                  F.coalesce(F.try_element_at(chosen, F.col("step_id")), F.col("selected_option")).alias("selected"))
+
+
 def materialize(spark: SparkSession, result: RunResult, root: str) -> None:
-    """Artifacts as Parquet tables partitioned by run id; S9 saved model."""
-    from tabloom.sources.io import write_artifact
-    write_artifact(result.leaderboard, root, "leaderboard", result.run_id)
-    write_artifact(result.metrics_summary, root, "metrics_summary", result.run_id)
+    """Brief, profile, decisions, results, summaries and raw features with predictions as Parquet tables by run id, S9 the saved
+    model, and last the manifest that commits the run (``sources.io.read_run``)."""
+    from tabloom.sources.io import commit_run, write_artifact
     payload = {"config": result.config, "training_summary": result.training_summary,
                "validation_summary": result.validation_summary, "optimization_summary": result.optimization_summary,
                "final_validation_summary": result.final_validation_summary}
-    write_artifact(spark.createDataFrame([(json.dumps(payload, default=str),)], "payload string"), root, "run", result.run_id)
-    write_artifact(result.predictions, root, "predictions", result.run_id)
-    if result.dashboard is not None:
-        write_artifact(result.dashboard, root, "competition_dashboard", result.run_id)
+    tables = {"leaderboard": result.leaderboard, "metrics_summary": result.metrics_summary, "predictions": result.predictions,
+              "run": spark.createDataFrame([(json.dumps(payload, default=str),)], "payload string"),
+              "brief": spark.createDataFrame([(k, None if v is None else str(v)) for k, v in (result.brief.__dict__ if result.brief else {}).items()], "field string, value string"),
+              "profile": result.facts, "decisions": result.decisions, "competition_dashboard": result.dashboard}
+    tables = {k: v for k, v in tables.items() if v is not None}
+    for name, table in tables.items():
+        write_artifact(table, root, name, result.run_id)
     if result.fitted is not None:
         result.fitted.save(f"{root.rstrip('/')}/model/run_id={result.run_id}")
+    commit_run(spark, root, result.run_id, list(tables), _dt.datetime.now(_dt.timezone.utc).isoformat(timespec="seconds"))
 
 
 def _slug(value: str) -> str:
