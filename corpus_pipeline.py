@@ -4,7 +4,7 @@ group, repeated passages, benchmark leaks, byte-level BPE.
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; each result
 is written as Parquet and read again. All stages but the last return the columns of
 ``documents``. SQL cannot express the first and the last stage, so there is no ORACLE_SQL; the
-tests hold the stages against brute force.
+tests hold the near-duplicate, passage and leak stages against brute force.
 """
 
 from __future__ import annotations
@@ -17,39 +17,63 @@ from tabloom.llm.common import cut_lineage
 from tabloom.llm.queries import vocabulary
 
 
+SURE = 0.5  # of the posterior probability
+
+
+def _columns(docs: DataFrame) -> list:
+    """The columns by name, whatever the name holds."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def _aside(docs: DataFrame, stay: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """``docs`` with all columns but ``stay`` under names that clash with nothing (Spark hands no dotted names to Python
+    tasks), and the columns that bring the names back."""
+    names = {c: c if c in stay else f"__column_{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+
+
+def _key(*names: str):
+    """A number of 63 bits for a row's values, from a digest of them."""
+    text = F.to_json(F.array(*[F.col(c).cast("string") for c in names]))
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose language can be told stay; those without a letter (``und``) go."""
+    """Texts whose language can be told stay; those without a letter (``und``) go, and those for which no
+    language has ``SURE`` of the posterior probability."""
     model = langid.learn(docs, vocabulary("piece_bpe_32k.model"))
-    scored = langid.score_rows(docs, model)
-    return scored.where(F.col("lang_pred") != langid.UND).select(*docs.columns)
+    if not model.languages:  # no row says its language: nothing can be told, nothing goes
+        return docs
+    plain, back = _aside(docs, ("text",))
+    return plain.transform(langid.score_rows, model).where((F.col("lang_pred") != langid.UND) & (F.col("score") >= SURE)).select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked at 0.8 on 5-word shingles, the document with the smallest id stays (then the least hash of id and
     text). Rows of one id with different texts are different documents; of rows with the same id and text the one
     with the least other columns stays. Rows without an id stay."""
-    keyed = docs.where("doc_id is not null").withColumn("__key", F.xxhash64("doc_id", "text"))
+    keyed = docs.where("doc_id is not null").select(*_columns(docs), _key("doc_id", "text").alias("__key"))
     groups = parity_join.near_duplicates(keyed, 5, 80, id_col="__key").select(F.col("doc_id").alias("__key"), "component_id").distinct()
     first = keyed.select("__key", "doc_id").distinct().join(groups, "__key").groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("first"))
     kept = keyed.join(first.select("first.__key"), "__key", "left_semi")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = kept.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("__0"), *others)).alias("__rest")).select("doc_id", "text", *[F.col(f"__rest.{c}") for c in others])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    row = F.struct(*_columns(docs))  # of equal ids and texts the row whose values as text come first: any type of column will do
+    kept = kept.groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
+    return kept.unionByName(docs.where("doc_id is null")).select(*_columns(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 13 words that an earlier document holds too are cut out of the text."""
-    kept = automaton_dedup.remove_repeats(docs, 13)
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    plain, back = _aside(docs.withColumn("n_chars", F.lit(None).cast("long")), ("doc_id", "text", "n_chars"))
+    return automaton_dedup.remove_repeats(plain, 13).withColumn("n_chars", F.char_length("text").cast("long")).select(*back).select(*_columns(docs))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item's question and answer go. What leaked is told by the text's hash: ids can be null
     or stand on several rows."""
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    keyed = docs.select(*_columns(docs), _key("text").alias("__key"))
     leaks = decontam.find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__key")
     leaked = leaks.select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(leaked, "__key", "left_anti").select(*docs.columns)
+    return keyed.join(leaked, "__key", "left_anti").select(*_columns(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
