@@ -12,7 +12,7 @@ links, so the output grows with the vectors and not with the links.
 Only vectors of one label (and one dimension) are compared. Null or zero vectors, vectors
 with a null or non-finite component and rows with a null label or id link with nothing; a
 row with a null id has no component and is not kept. Every row counts as a vector, repeated
-rows too. Extra columns are ignored.
+rows too; rows that share an id but not their vector are vectors of their own, each with its own links. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,15 +43,18 @@ def range_join(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)
     good = rows.where("usable").drop("usable")
-    classes = cut_lineage(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    # a class has a number of its own: ids may stand on several different vectors
+    classes = cut_lineage(good.groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
     n = classes.count()
     pivots = min(MAX_PIVOTS, -(-n // CELL_ROWS))
-    chosen = classes.select("v", "label", F.xxhash64("rep").alias("h")).orderBy("h", "label", "v").limit(pivots).collect()
+    chosen = classes.select("v", "label", F.xxhash64("low").alias("h")).orderBy("h", "label", "v").limit(pivots).collect()
     links = cut_lineage(_linked(classes, [r["v"] for r in chosen], cosine))
     per_class = links.groupBy("rep").agg(F.sum("n").alias("n"))
     component = connected_components(links.where("root is not null").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = classes.join(per_class, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    placed = classes.join(per_class, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "label", "v", "low", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    least = placed.groupBy("component").agg(F.min("low").alias("component_id"))
+    known = placed.join(least, "component").select("label", "v", "n_links", "component_id")
     found = good.join(known, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
