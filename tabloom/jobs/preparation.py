@@ -22,7 +22,8 @@ from tabloom.operators.preparer import FeaturePreparer
 from tabloom.operators.profile import Brief, profile_dataset
 from tabloom.operators.split import holdout_split
 from tabloom.plans.feature_plan import build_feature_plan, scope_overrides
-from tabloom.session import cut_lineage
+from tabloom.session import checkpoint_dir, cut_lineage
+from tabloom.sources.io import load_dataset
 
 R = 6
 
@@ -461,3 +462,30 @@ def one_hot_boolean(spark, sf_dir):
     """E1 on booleans kept as categories: false, true; missing ones are the more frequent."""
     o = fx.table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, None).otherwise(F.col("o_totalprice") > 150000).alias("b"), "o_totalprice")
     return _hot_index(spark, o, "b", "o_orderkey", "o_totalprice", {"force_categorical_features": ["b"]})
+
+
+# ---- CSV (S1, S3) --------------------------------------------------------------------------
+
+@job("csv_scan", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 2 = 0 END AS flag,
+       CASE WHEN o_orderkey % 17 <> 0 THEN o_custkey % 100 END AS small, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS price,
+       CAST(o_custkey AS VARCHAR) || 'd' AS code, CASE WHEN o_orderkey % 19 <> 0 THEN o_orderstatus END AS status, CAST(o_custkey AS DOUBLE) / 4 AS share,
+       '9999999999999999999' || CAST(o_orderkey % 10 AS VARCHAR) AS digits FROM orders""")
+def csv_scan(spark, sf_dir):
+    """A folder of CSV files, types by the evidence of all cells: booleans, whole numbers, doubles in several spellings, text
+    that only looks like numbers, numbers beyond 64 bits, missing tokens."""
+    import uuid
+    o = fx.table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    tokens = F.element_at(F.array(*[F.lit(t) for t in ("NA", "null", "n/a", "")]), (key % 4 + 1).cast("int"))
+    price = F.col("o_totalprice")
+    text = o.select(key.cast("string").alias("id"),
+                    F.when(key % 13 == 0, tokens).when(key % 2 == 0, F.when(key % 4 == 0, "TRUE").otherwise("True")).otherwise("false").alias("flag"),
+                    F.when(key % 17 == 0, tokens).otherwise((F.col("o_custkey") % 100).cast("string")).alias("small"),
+                    F.when(key % 11 == 0, tokens).otherwise(price.cast("string")).alias("price"),
+                    F.concat(F.col("o_custkey").cast("string"), F.lit("d")).alias("code"),
+                    F.when(key % 19 == 0, tokens).otherwise(F.col("o_orderstatus")).alias("status"),
+                    F.when(F.col("o_custkey") % 3 == 0, F.concat((F.col("o_custkey") * 25).cast("string"), F.lit("e-2"))).otherwise((F.col("o_custkey") / 4).cast("string")).alias("share"),
+                    F.concat(F.lit("9999999999999999999"), (key % 10).cast("string")).alias("digits"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}"
+    text.write.option("header", True).csv(path)
+    return load_dataset(spark, path)

@@ -82,3 +82,31 @@ def test_competition_and_standalone_validation(spark):
     pipe = TabularPipeline(plan, "regression", "ridge_regression", "value", ["event_id"], {"alpha": 1.0}, {})
     res = validate(spark, pipe.fit(train), train, test, b, ["event_id"], "rmse")
     assert res["baseline_strategy"] == "mean_value" and set(res["model_metrics"]) == {"rmse", "mae", "r2"}
+
+
+def test_csv_types_by_evidence(spark, tmp_path):
+    folder = tmp_path / "many.parts"
+    folder.mkdir()
+    (folder / "a.csv").write_text("b,i,d,t,none,big,inf,space\nTrue,1,1,1d,,1,1.5, 7\nNA,-2,2.5e3,2,NaN,99999999999999999999,-inf,8 \n")
+    (folder / "b.csv").write_text("b,i,d,t,none,big,inf,space\nfalse,+3,.5,x,null,2,Infinity,9\n")
+    (folder / "_SUCCESS").write_text("")
+    df = load_dataset(spark, str(folder))
+    assert dict(df.dtypes) == {"b": "boolean", "i": "bigint", "d": "double", "t": "string", "none": "double", "big": "string", "inf": "double", "space": "bigint"}
+    rows = sorted(df.collect(), key=lambda r: r["i"])
+    assert [r["b"] for r in rows] == [None, True, False] and [r["d"] for r in rows] == [2500.0, 1.0, 0.5] and [r["inf"] for r in rows] == [float("-inf"), 1.5, float("inf")]
+    assert [r["space"] for r in rows] == [8, 7, 9] and all(r["none"] is None for r in rows)
+    (folder / "c.json").write_text("{}")
+    with pytest.raises(ValueError, match="Unsupported dataset format"):
+        load_dataset(spark, str(folder))
+
+
+def test_a_run_counts_when_its_manifest_is_there(spark, tmp_path):
+    from tabloom.sources.io import commit_run, read_run, write_artifact
+    one = spark.createDataFrame([(1, "x")], "a int, b string")
+    write_artifact(one, str(tmp_path), "t", "r1")
+    with pytest.raises(Exception):
+        read_run(spark, str(tmp_path), "r1")
+    commit_run(spark, str(tmp_path), "r1", ["t"], "now")
+    write_artifact(one.union(one), str(tmp_path), "t", "r2")
+    run = read_run(spark, str(tmp_path), "r1")
+    assert set(run) == {"manifest", "t"} and run["t"].count() == 1 and run["manifest"].first()["rows"] == 1
