@@ -12,8 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tabloom.functions.hashing import unit_hash
 
@@ -28,22 +29,23 @@ def class_priors(train: DataFrame, target: str) -> DataFrame:
     """``label, n, prior, cum_prior``; NULL labels counted but given no prior.
 
     Cumulative priors are running integer counts divided once by the total, so
-    they do not depend on the order floating-point additions happen in. Windows
-    run over the class table (bounded by the number of classes)."""
-    counts = train.groupBy(F.col(target).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    labelled_n = F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0)
-    nonnull = F.sum(labelled_n).over(Window.partitionBy(F.lit(1)))
-    ordered = Window.partitionBy(F.lit(1)).orderBy(F.col("label").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    prior = F.when(F.col("label").isNotNull(), F.col("n") / nonnull)
-    cum = F.when(F.col("label").isNotNull(), F.sum(labelled_n).over(ordered) / nonnull)
-    return counts.select("label", "n", prior.alias("prior"), cum.alias("cum_prior"))
-
-
-def _collect_classes(train: DataFrame, target: str) -> list:
-    rows = class_priors(train, target).collect()
+    they do not depend on the order floating-point additions happen in. At most MAX_CLASSES classes."""
+    rows = [(r["label"], r["n"], r["prior"], r["cum_prior"]) for r in _collect_classes(train, target)]
+    kind = train.schema[target].dataType
+    return train.sparkSession.createDataFrame(rows, StructType([StructField("label", kind), StructField("n", LongType()), StructField("prior", DoubleType()), StructField("cum_prior", DoubleType())]))
+
+
+def _collect_classes(train: DataFrame, target: str) -> list[dict]:
+    """The class table in the order of the labels, NULL first; its size is checked before it is fetched."""
+    rows = train.groupBy(F.col(f"`{target}`").alias("label")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{len(rows)} classes exceed the baseline limit of {MAX_CLASSES}")
-    return sorted(rows, key=lambda r: (r["label"] is not None, r["label"]))
+        raise ValueError(f"there are more classes than the baseline limit of {MAX_CLASSES}")
+    out, run, whole = [], 0, sum(r["n"] for r in rows if r["label"] is not None)
+    for r in sorted(rows, key=lambda r: (r["label"] is not None, r["label"])):
+        known = r["label"] is not None
+        run += r["n"] if known else 0
+        out.append({"label": r["label"], "n": r["n"], "prior": r["n"] / whole if known else None, "cum_prior": run / whole if known else None})
+    return out
 
 
 def baseline_prediction(train: DataFrame, target: str, task_type: str, strategy: str,
@@ -63,12 +65,10 @@ def baseline_prediction(train: DataFrame, target: str, task_type: str, strategy:
             arr = F.array(*[F.lit(r["label"]) for r in labelled])
             return F.element_at(arr, idx + 1)
         if strategy == "stratified_random":
-            expr = None
-            for r in labelled[:-1]:
-                cond = u < F.lit(float(r["cum_prior"]))
-                expr = F.when(cond, F.lit(r["label"])) if expr is None else expr.when(cond, F.lit(r["label"]))
-            last = F.lit(labelled[-1]["label"])
-            return last if expr is None else expr.otherwise(last)
+            # the label's place is the number of cumulative priors that the draw has reached
+            labels = F.array(*[F.lit(r["label"]) for r in labelled])
+            bounds = F.array(*[F.lit(float(r["cum_prior"])) for r in labelled[:-1]]).cast("array<double>")
+            return F.element_at(labels, F.size(F.filter(bounds, lambda c: c <= u)) + 1)
         raise ValueError(f"Unsupported classification baseline strategy: {strategy}")
     if strategy == "median_value":
         from tabloom.operators.quantile import exact_quantiles

@@ -19,6 +19,9 @@ HIGHER_IS_BETTER = {"accuracy": True, "balanced_accuracy": True, "f1_macro": Tru
                     "rmse": False, "mae": False, "r2": True}
 
 
+MAX_PIVOT = 1_000  # columns of a pivoted confusion table
+
+
 def confusion(df: DataFrame, actual: str = "actual", prediction: str = "prediction") -> DataFrame:
     """Observed (actual, prediction) pairs with counts."""
     return df.groupBy(F.col(actual).alias("actual"), F.col(prediction).alias("prediction")).agg(
@@ -66,8 +69,10 @@ def evaluate(df: DataFrame, task_type: str, actual: str = "actual", prediction:
 def confusion_pivot(df: DataFrame, actual: str = "actual", prediction: str = "prediction") -> DataFrame:
     """A10: crosstab, zero filled; pivot values (bounded by #classes) are listed up front."""
     conf = confusion(df, actual, prediction)
-    labels = sorted({r["prediction"] for r in conf.select("prediction").distinct().collect()},
-                    key=lambda v: (v is None, v))
+    rows = conf.select("prediction").distinct().limit(MAX_PIVOT + 1).collect()
+    if len(rows) > MAX_PIVOT:
+        raise ValueError(f"a pivot of more than {MAX_PIVOT} predicted labels; use confusion() instead")
+    labels = sorted({r["prediction"] for r in rows}, key=lambda v: (v is None, v))
     return conf.groupBy("actual").pivot("prediction", labels).agg(F.sum("n")).fillna(0)
 
 

@@ -36,3 +36,17 @@ def test_scan_reads_only_needed_columns(spark):
     plan = li.select("l_quantity", "l_discount").agg(F.sum(F.col("l_quantity") * F.col("l_discount")))._jdf.queryExecution().executedPlan().toString()
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
     assert schema.count(":") == 2
+
+
+def test_profile_counts_features_and_target_in_one_scan(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    from tabloom.operators.profile import Brief, profile_dataset
+    plans = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda d: (lambda rows: plans.append(d._jdf.queryExecution().executedPlan().toString()) or rows)(collect(d)))
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    profile, _ = profile_dataset(orders, Brief("p", "o_orderpriority", "classification"), key_cols=["o_orderkey"])
+    assert profile.target_cardinality == 5 == len(profile.class_counts)
+    counted = next(p for p in plans if "Union" in p)
+    final = counted.split("== Initial Plan ==")[0]
+    assert final.count("Generate") == 1 and final.count("FileScan parquet") == 1 and "ReusedExchange" in final, final
