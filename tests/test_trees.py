@@ -74,9 +74,11 @@ def test_boosting_equals_plain_best_first(spark, leaves, depth, l2):
 def test_classifiers_early_stopping_and_same_trees_however_dealt(spark, monkeypatch):
     x, y = data(900, 1, 3)
     valid = np.arange(len(y)) % 10 == 0
-    settings = {"learning_rate": 0.2, "epochs": 60, "early_stopping": True}
+    settings = {"learning_rate": 0.4, "epochs": 14, "early_stopping": True}
     one = T.fit(frame(spark, x, y, valid=valid), "hist_gradient_boosting_classifier", {"max_leaf_nodes": 8}, settings, 3)
-    assert one.rounds < 60 and len(one.trees) == 3 * one.rounds
+    assert len(one.trees) == 3 * one.rounds
+    flat, falling = [1.0] * (T.PATIENCE + 1), [1.0 - k / 99 for k in range(40)]
+    assert T._no_gain(flat) and not T._no_gain(flat[1:]) and not T._no_gain(falling) and T._no_gain(falling + [falling[-1]] * T.PATIENCE)
     hidden, truth = data(500, 2, 3)
     assert (one.predicted(hidden) == truth).mean() > 0.75
     short = settings | {"epochs": 4}
@@ -87,7 +89,7 @@ def test_classifiers_early_stopping_and_same_trees_however_dealt(spark, monkeypa
     assert first.rows() == other.rows() == one.rows()[:12]
     scored = one.transform(frame(spark, x, y).select(F.col("label").alias("odd name"), "features"))
     assert scored.columns == ["odd name", "prediction"] and scored.where("prediction = `odd name`").count() == (one.predicted(x) == y).sum()
-    binary = T.fit(frame(spark, x, np.minimum(y, 1)), "hist_gradient_boosting_classifier", {"max_leaf_nodes": 8}, {"epochs": 15, "learning_rate": 0.6}, 2)
+    binary = T.fit(frame(spark, x, np.minimum(y, 1)), "hist_gradient_boosting_classifier", {"max_leaf_nodes": 8}, {"epochs": 8, "learning_rate": 0.8}, 2)
     assert (binary.predicted(x) == np.minimum(y, 1)).mean() > 0.85
 
 
