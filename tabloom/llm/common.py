@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -46,9 +47,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """cut_lineage that remembers where the table lies, for ``drop``."""
-    out = cut_lineage(df)
+def keep(df: DataFrame, compression: str | None = None) -> DataFrame:
+    """cut_lineage that remembers where the table lies, for ``drop``; with ``compression``, the table's codec."""
+    if compression is None:
+        out = cut_lineage(df)
+    else:
+        path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+        df.write.option("compression", compression).parquet(path)
+        out = df.sparkSession.read.parquet(path)
     out.table_files = out.inputFiles()[:1]
     return out
 

@@ -1,17 +1,20 @@
 """Training-order materialisation: token ids as fixed-stride binary shards in a keyed random order.
 
 Every document becomes sequences of ``length`` ids: its ids and one end id, the last sequence
-filled up with end ids. The documents' ids are made once, in a table that the numbering and the writing read; it goes when the
+filled up with end ids. The documents' ids are made once, in a compressed table that the numbering and the writing read; it goes when the
 shards are written. Sequences are numbered 0..N-1 in the order of the input's partitions and rows, and a keyed Feistel
 permutation of the next even power of two, walked along its cycle until it falls below N, gives each
 number its global slot: a bijection that any worker computes by itself. Shard k holds the slots
 [k * S, (k + 1) * S) in order, each at the byte offset (slot mod S) * stride of its file, so a
 reader finds any slot by arithmetic and resumes anywhere (``read_slots``). Rows are dealt by shard and
 sorted by slot; a shard is written under a name of its attempt and renamed when it is complete, so
-a lost executor or a second attempt leaves the same file.
+a lost executor or a second attempt leaves the same file. ``manifest.json`` is written when all shards are, so a
+folder without it is not complete.
 
 Ids are the UTF-8 bytes (one byte each; 0xFF, no byte of UTF-8, is the end), or with a
-vocabulary the ids of byte-level BPE (two bytes each, or four if its ids need them).
+vocabulary the ids of byte-level BPE (two bytes each, or four if its ids need them). A vocabulary whose merges stand in
+the order of their ids is encoded by the tiktoken library, with the pattern and special tokens of ``bpe``; other vocabularies,
+and texts that its pattern matcher refuses (runs of a million white spaces, say), by ``bpe`` itself. The ids are the same.
 
 Null and empty texts are one sequence of end ids. Rows keep their multiplicity, null ids stay, extra
 columns are ignored. An empty table writes a manifest and no shard.
@@ -23,16 +26,18 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import checkpoint_dir, chunks, cut_lineage, drop, keep, mix64, release, ship
+from tabloom.llm import bpe
+from tabloom.llm.common import array_bytes, binary_column, checkpoint_dir, chunks, cut_lineage, drop, keep, mix64, release, ship
 
 ROUNDS = 6
 U = np.uint64
@@ -60,7 +65,7 @@ def _location(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
 
 
-def materialise(docs: DataFrame, path: str, length: int = 512, shard_bytes: int = 64 << 20, key: int = 20240229, vocabulary_path: str | None = None, waves: int = 2,
+def materialise(docs: DataFrame, path: str, length: int = 512, shard_bytes: int = 64 << 20, key: int = 20240229, vocabulary_path: str | None = None, waves: int = 4,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards and ``manifest.json`` below ``path`` (a folder that all workers share) and return
     one row per sequence, in what the shards hold: (slot, shard, byte_offset, doc_id, seq, n_ids, crc32).
@@ -73,7 +78,7 @@ def materialise(docs: DataFrame, path: str, length: int = 512, shard_bytes: int
     stride = length * width
     per_shard = max(1, shard_bytes // stride)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    encoded = keep(_encoded(narrow, source, length, width))
+    encoded = keep(_encoded(narrow, source, length), compression="zstd")
     by_part = {r["part"]: r["n"] for r in encoded.groupBy("part").agg(F.sum("many").alias("n")).collect()}  # one row per input partition
     begin, total = {}, 0
     for part in sorted(by_part):
@@ -83,28 +88,24 @@ def materialise(docs: DataFrame, path: str, length: int = 512, shard_bytes: int
     def cut(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
         starts = shared.value
         for part, ids, at in chunks(batches, "ids"):
-            size, many = np.diff(at), part.column(2).to_numpy(zero_copy_only=False)
-            whole = np.frombuffer(np.full(int(many.sum()) * length, end, f"<u{width}").tobytes(), np.uint8).copy()
-            first = np.concatenate([[0], np.cumsum(many)])
-            whole[np.repeat(first[:-1] * stride - at[:-1], size) + np.arange(len(ids))] = ids
+            many = part.column(2).to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(part.num_rows), many)
-            seq = np.arange(len(owner)) - first[owner]
-            n_ids = np.minimum(length, size[owner] // width + 1 - seq * length)
+            seq = np.arange(len(owner)) - (np.cumsum(many) - many)[owner]
             number = np.array([starts[p] for p in part.column(0).to_pylist()], np.int64) + part.column(1).to_numpy(zero_copy_only=False)
             slot = slots(number[owner] + seq, total, key)
             mine = (slot >= low * per_shard) & (slot < high * per_shard)
-            owner, seq, n_ids, slot, whole = owner[mine], seq[mine], n_ids[mine], slot[mine], whole.reshape(-1, stride)[mine]
-            rows = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer((np.arange(len(owner) + 1) * stride).astype(np.int32)), pa.py_buffer(whole)])
+            owner, seq, slot = owner[mine], seq[mine], slot[mine]
+            begins = at[owner] + seq * stride
+            size = np.minimum(stride, at[owner + 1] - begins)
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), part.column(3).take(pa.array(owner)), pa.array(seq.astype(np.int32)),
-                                              pa.array(n_ids.astype(np.int32)), rows], ["slot", "shard", "doc_id", "seq", "n_ids", "ids"])
+                                              pa.array((size // width).astype(np.int32)), binary_column(bpe.gather(ids, begins, size), size)],
+                                             ["slot", "shard", "doc_id", "seq", "n_ids", "ids"])
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
     shards = -(-total // per_shard)
     place = path.rstrip("/")
     system, folder = _location(place)
     system.create_dir(folder, recursive=True)
-    with system.open_output_stream(f"{folder}/manifest.json") as f:
-        f.write(json.dumps({"sequences": total, "length": length, "width": width, "stride": stride, "slots_per_shard": per_shard, "shards": shards, "key": key}).encode())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = _location(place)
@@ -116,7 +117,7 @@ def materialise(docs: DataFrame, path: str, length: int = 512, shard_bytes: int
 
         for batch in batches:
             shard = batch.column(1).to_numpy(zero_copy_only=False)
-            data, _ = _bytes(batch.column(5))
+            data = _filled(batch.column(5), end, length, width)
             for a, b in _runs(shard):
                 if shard[a] != now:
                     if out is not None:
@@ -140,6 +141,8 @@ def materialise(docs: DataFrame, path: str, length: int = 512, shard_bytes: int
         del rows, dealt
         release(spark)
     drop(encoded)
+    with system.open_output_stream(f"{folder}/manifest.json") as f:
+        f.write(json.dumps({"sequences": total, "length": length, "width": width, "stride": stride, "slots_per_shard": per_shard, "shards": shards, "key": key}).encode())
     return reduce(DataFrame.unionByName, written)
 
 
@@ -148,9 +151,12 @@ def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(cuts, cuts[1:]) if len(x) else iter(())
 
 
-def _bytes(col: pa.Array):
-    from tabloom.llm.common import array_bytes
-    return array_bytes(col)
+def _filled(col: pa.Array, end: int, length: int, width: int) -> np.ndarray:
+    """The sequences' ids, each filled up with end ids to ``length``, one after another as bytes."""
+    ids, at = array_bytes(col)
+    out = np.full(len(col) * length, end, f"<u{width}").view(np.uint8)
+    out[np.repeat(np.arange(len(col)) * length * width - at[:-1], np.diff(at)) + np.arange(len(ids))] = ids
+    return out
 
 
 def _source(vocabulary_path: str | None) -> str | None:
@@ -160,45 +166,59 @@ def _source(vocabulary_path: str | None) -> str | None:
         return f.read()
 
 
-class _Held:
-    """What bpe.loaded expects of a broadcast."""
-
-    def __init__(self, value: str):
-        self.value = value
+@lru_cache(1)
+def _loaded(source: str) -> tuple[bpe.Vocabulary, tiktoken.Encoding | None]:
+    """The vocabulary of a file's content, and tiktoken's encoder of it if its merges stand in the order of their ids."""
+    vocabulary = bpe.Vocabulary(source)
+    added = set(vocabulary.special.values())
+    ranks = {token: i for i, token in vocabulary.token.items() if i not in added}
+    ordered = max(vocabulary.byte_id) < min(vocabulary.merged, default=1 << 62) and all(a < b for a, b in zip(vocabulary.merged, vocabulary.merged[1:]))
+    if not ordered or len(ranks) != len(vocabulary.merged) + 256:
+        return vocabulary, None
+    return vocabulary, tiktoken.Encoding("vocabulary", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens=vocabulary.special)
 
 
 def _form(source: str | None) -> tuple[int, int]:
     """Bytes of an id, and the end id."""
     if source is None:
         return 1, 0xFF
-    from tabloom.llm import bpe
-    encoder = bpe.loaded(_Held(source), False)
-    return encoder.width, max(encoder.vocabulary.special.values())
+    vocabulary, _ = _loaded(source)
+    return 2 if max(vocabulary.token) < 1 << 16 else 4, max(vocabulary.special.values())
 
 
-def _ids(part: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, source: str | None, column: int = 1):
-    if source is None:
-        return buf, offs
-    from tabloom.llm import bpe
-    _, ids, at, _, _ = bpe.encode_part(part, buf, offs, bpe.loaded(_Held(source), False), column)
-    return ids, at
+def _text_ids(text: str, source: str) -> np.ndarray | list[int]:
+    vocabulary, encoding = _loaded(source)
+    if encoding is not None:
+        try:
+            return encoding.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # its pattern matcher has run out of stack
+            pass
+    return vocabulary.encode(text)
+
+
+def _ids(texts: list[str | None], buf: np.ndarray, offs: np.ndarray, source: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's ids and one end id as bytes, with the texts' offsets."""
+    width, end = _form(source)
+    own = [buf[a:b] for a, b in zip(offs, offs[1:])] if source is None else [_text_ids(t or "", source) for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in own])]).astype(np.int64) * width
+    last = np.array([end], np.uint32)
+    return np.concatenate([y for x in own for y in (x, last)]).astype(f"<u{width}").view(np.uint8), at
 
 
-def _encoded(docs: DataFrame, source: str | None, length: int, width: int) -> DataFrame:
-    """Rows (part, first, many, doc_id, ids): each text's ids with its input partition, the number of its first sequence
-    within that partition and its number of sequences."""
+def _encoded(docs: DataFrame, source: str | None, length: int) -> DataFrame:
+    """Rows (part, first, many, doc_id, ids): each text's ids and end id with its input partition, the number of its first
+    sequence within that partition and its number of sequences."""
     shared = docs.sparkSession.sparkContext.broadcast(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, number = TaskContext.get().partitionId(), 0
+        stride = length * _form(shared.value)[0]
         for part, buf, offs in chunks(batches, "text"):
-            ids, at = _ids(part, buf, offs, shared.value)
-            size = np.diff(at)
-            many = size // width // length + 1
+            ids, at = _ids(part.column(1).to_pylist(), buf, offs, shared.value)
+            many = -(-np.diff(at) // stride)
             first = number + np.cumsum(many) - many
             number += int(many.sum())
-            data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, now, np.int32)), pa.array(first), pa.array(many), part.column(0), data],
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, now, np.int32)), pa.array(first), pa.array(many), part.column(0), binary_column(ids, np.diff(at))],
                                              ["part", "first", "many", "doc_id", "ids"])
 
     return docs.mapInArrow(run, f"part int, first bigint, many bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")

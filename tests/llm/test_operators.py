@@ -391,6 +391,37 @@ def test_training_order_query_writes_the_ids_of_the_vocabulary(spark, docs, data
         assert by[r["doc_id"]] == t.encode(r["text"] or "", add_special_tokens=False).ids + [end]
 
 
+def test_training_order_ids_by_either_encoder():
+    source = training_order._source(public_tokenizers.path("byte_bpe_50k.json"))
+    vocabulary, encoding = training_order._loaded(source)
+    assert encoding is not None
+    rng = random.Random(8)
+    parts = ["a", "the", " ", "  ", "\n", "'s", "é", "中", "😀", "\u00a0", "12", "<|endoftext|>", "<|endo", "\x1c", "\x85", "\u0301", "x" * 300]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(2000)] + ["ab" * 40_000]
+    for text in texts:
+        assert list(training_order._text_ids(text, source)) == vocabulary.encode(text)
+    text = " " * 1_000_000 + "x"  # refused by the library's pattern matcher
+    with pytest.raises(ValueError):
+        encoding.encode_to_numpy(text, allowed_special="all")
+    assert list(training_order._text_ids(text, source)) == vocabulary.encode(text)
+
+
+def test_training_order_of_no_rows_and_of_a_dead_job(spark, docs, monkeypatch):
+    place = training_order.shared_folder(spark)
+    assert training_order.materialise(docs.where("false"), place, 16, 1 << 10).count() == 0
+    assert training_order.read_slots(place, 0, 1 << 40).shape == (0, 16)
+    place = training_order.shared_folder(spark)
+
+    def dies(*tables):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(training_order, "release", dies)
+    with pytest.raises(RuntimeError):
+        training_order.materialise(docs, place, 16, 1 << 10)
+    with pytest.raises(OSError):  # no manifest promises shards that were not written
+        training_order.read_slots(place, 0, 1)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 3), (5, 6), (7, 7), (6, 5)], "a long, b long")
     assert {r["node"]: r["component"] for r in components.connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5}
