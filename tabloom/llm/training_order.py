@@ -186,8 +186,7 @@ def _form(source: str | None) -> tuple[int, int]:
     return 2 if max(vocabulary.token) < 1 << 16 else 4, max(vocabulary.special.values())
 
 
-def _text_ids(text: str, source: str) -> np.ndarray | list[int]:
-    vocabulary, encoding = _loaded(source)
+def _text_ids(text: str, vocabulary: bpe.Vocabulary, encoding: tiktoken.Encoding | None) -> np.ndarray | list[int]:
     if encoding is not None:
         try:
             return encoding.encode_to_numpy(text, allowed_special="all")
@@ -196,15 +195,6 @@ def _text_ids(text: str, source: str) -> np.ndarray | list[int]:
     return vocabulary.encode(text)
 
 
-def _ids(texts: list[str | None], buf: np.ndarray, offs: np.ndarray, source: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's ids and one end id as bytes, with the texts' offsets."""
-    width, end = _form(source)
-    own = [buf[a:b] for a, b in zip(offs, offs[1:])] if source is None else [_text_ids(t or "", source) for t in texts]
-    at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in own])]).astype(np.int64) * width
-    last = np.array([end], np.uint32)
-    return np.concatenate([y for x in own for y in (x, last)]).astype(f"<u{width}").view(np.uint8), at
-
-
 def _encoded(docs: DataFrame, source: str | None, length: int) -> DataFrame:
     """Rows (part, first, many, doc_id, ids): each text's ids and end id with its input partition, the number of its first
     sequence within that partition and its number of sequences."""
@@ -212,13 +202,20 @@ def _encoded(docs: DataFrame, source: str | None, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, number = TaskContext.get().partitionId(), 0
-        stride = length * _form(shared.value)[0]
+        width, end = _form(shared.value)
+        loaded = shared.value and _loaded(shared.value)  # once a task: a look-up compares whole files
+        last = np.array([end], np.uint32)
         for part, buf, offs in chunks(batches, "text"):
-            ids, at = _ids(part.column(1).to_pylist(), buf, offs, shared.value)
-            many = -(-np.diff(at) // stride)
+            if loaded:
+                own = [_text_ids(t or "", *loaded) for t in part.column(1).to_pylist()]
+            else:
+                own = [buf[a:b] for a, b in zip(offs, offs[1:])]
+            ids = np.concatenate([y for x in own for y in (x, last)]).astype(f"<u{width}").view(np.uint8)
+            size = np.array([(len(x) + 1) * width for x in own])
+            many = -(-size // (length * width))
             first = number + np.cumsum(many) - many
             number += int(many.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, now, np.int32)), pa.array(first), pa.array(many), part.column(0), binary_column(ids, np.diff(at))],
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, now, np.int32)), pa.array(first), pa.array(many), part.column(0), binary_column(ids, size)],
                                              ["part", "first", "many", "doc_id", "ids"])
 
     return docs.mapInArrow(run, f"part int, first bigint, many bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")

@@ -399,11 +399,11 @@ def test_training_order_ids_by_either_encoder():
     parts = ["a", "the", " ", "  ", "\n", "'s", "é", "中", "😀", "\u00a0", "12", "<|endoftext|>", "<|endo", "\x1c", "\x85", "\u0301", "x" * 300]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(2000)] + ["ab" * 40_000]
     for text in texts:
-        assert list(training_order._text_ids(text, source)) == vocabulary.encode(text)
+        assert list(training_order._text_ids(text, vocabulary, encoding)) == vocabulary.encode(text)
     text = " " * 1_000_000 + "x"  # refused by the library's pattern matcher
     with pytest.raises(ValueError):
         encoding.encode_to_numpy(text, allowed_special="all")
-    assert list(training_order._text_ids(text, source)) == vocabulary.encode(text)
+    assert list(training_order._text_ids(text, vocabulary, encoding)) == vocabulary.encode(text)
 
 
 def test_training_order_of_no_rows_and_of_a_dead_job(spark, docs, monkeypatch):
