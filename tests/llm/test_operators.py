@@ -254,6 +254,18 @@ def test_language_and_toxicity(spark, docs):
     assert len(scored) == docs.count() and all(0 <= r["score"] <= 1 for r in scored)
 
 
+def test_toxicity_of_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"  # the smaller tables hold out hardly any toxic row
+    folds = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    marks = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").where("toxic is not null")
+    judged = queries.QUERIES["op9_toxicity"](spark, sf).join(marks, "doc_id").withColumn("fold", folds).collect()
+    assert all(r["held_out"] == (r["fold"] == 0) and r["predicted"] == (r["score"] >= 0.5) for r in judged)
+    unseen = [r for r in judged if r["held_out"]]
+    toxic, clean = ([r for r in unseen if r["toxic"] == y] for y in (1, 0))
+    assert len(toxic) >= 50
+    assert sum(r["predicted"] for r in toxic) >= 0.8 * len(toxic) and sum(r["predicted"] for r in clean) <= 0.05 * len(clean)
+
+
 def test_language_forward_sums_all_segmentations():
     table = langid.PieceTable.from_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     rng = np.random.RandomState(0)
