@@ -23,8 +23,9 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -40,20 +41,38 @@ BLOCK_ROWS = 1 << 12     # so that a block's sums are exact in doubles
 LOCAL_ROWS = 1 << 16
 WAVE_TREES = 64
 WAVE_ROWS = 1 << 27      # bagged rows of a wave that are brought together, about
+GROUP_BYTES = 32 << 20   # of trees that a task of a prediction holds at a time
 REFRESH = 16             # rounds of boosting between two writings of the rows' scores
 MIN_LEAF = 20            # fixed value: rows of a boosting leaf
 MIN_HESSIAN = 1e-3       # fixed value
 PATIENCE, TOLERANCE = 10, 1e-7  # fixed values: early stopping of boosting
 
 
+def _typed(kind: str, values) -> array:
+    """A typed array, which takes a tenth of a list's memory."""
+    if isinstance(values, array):
+        return values
+    out = array(kind)
+    out.frombytes(np.asarray(values, {"i": np.int32, "d": np.float64}[kind]).tobytes())
+    return out
+
+
 @dataclass
 class Tree:
     """Nodes in arrays; a leaf has feature -1. Rows with x[feature] <= threshold go left. ``value`` has ``width`` numbers a node."""
-    feature: list[int] = field(default_factory=list)
-    threshold: list[float] = field(default_factory=list)
-    left: list[int] = field(default_factory=list)
-    right: list[int] = field(default_factory=list)
-    value: list[float] = field(default_factory=list)
+    feature: array = ()
+    threshold: array = ()
+    left: array = ()
+    right: array = ()
+    value: array = ()
+
+    def __post_init__(self):
+        self.feature, self.left, self.right = (_typed("i", a) for a in (self.feature, self.left, self.right))
+        self.threshold, self.value = (_typed("d", a) for a in (self.threshold, self.value))
+
+    def size(self) -> int:
+        """Bytes."""
+        return sum(len(a) * a.itemsize for a in (self.feature, self.threshold, self.left, self.right, self.value))
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         return _descend(x, *(np.asarray(a) for a in (self.feature, self.threshold, self.left, self.right)))
@@ -83,16 +102,28 @@ class TreeModel:
     scale: float = 1.0
     rounds: int = 0
 
+    def start(self, rows: int) -> np.ndarray:
+        """What the trees' values are added to."""
+        return np.zeros((rows, self.outputs)) if self.kind == "forest" else np.tile(np.asarray(self.base), (rows, 1))
+
+    def add(self, raw: np.ndarray, x: np.ndarray, first: int = 0) -> np.ndarray:
+        """``raw`` with the values of this model's trees, the first of which is number ``first`` of the whole model."""
+        for k, t in enumerate(self.trees, first):
+            if self.kind == "forest":
+                raw += t.values(x, self.outputs)
+            else:
+                raw[:, k % self.outputs] += t.values(x, 1)[:, 0]
+        return raw
+
     def raw(self, x: np.ndarray) -> np.ndarray:
-        if self.kind == "forest":
-            return sum(t.values(x, self.outputs) for t in self.trees) / len(self.trees)
-        out = np.tile(np.asarray(self.base), (len(x), 1))
-        for k, t in enumerate(self.trees):
-            out[:, k % self.outputs] += t.values(x, 1)[:, 0]
-        return out
+        out = self.add(self.start(len(x)), x)
+        return out / len(self.trees) if self.kind == "forest" else out
 
     def predicted(self, x: np.ndarray) -> np.ndarray:
-        raw = self.raw(x)
+        return self.told(self.raw(x))
+
+    def told(self, raw: np.ndarray) -> np.ndarray:
+        """The predictions, from the sums over all trees."""
         if not self.classes:
             return raw[:, 0] * self.scale
         return (raw[:, 0] > 0).astype(float) if raw.shape[1] == 1 else raw.argmax(1).astype(float)
@@ -101,20 +132,48 @@ class TreeModel:
         """``df`` (with a vector ``features``) with ``prediction``: a number, or the index of the class."""
         from pyspark.ml.functions import vector_to_array
         ship(df.sparkSession)
-        keep = [c for c in df.columns if c != "features"]
-        model = df.sparkSession.sparkContext.broadcast(self)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = _matrix(b.column(b.num_columns - 1), b.num_rows)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.value.predicted(x) if b.num_rows else [], pa.float64())], [*keep, "prediction"])
+        spark, keep = df.sparkSession, [c for c in df.columns if c != "features"]
+        groups = self.groups()
+
+        def part(first: int, trees: list[Tree], opens: bool, closes: bool):
+            many = len(self.trees)
+            model = spark.sparkContext.broadcast(TreeModel(self.kind, self.outputs, self.base, trees, self.classes, self.scale))
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                own = model.value
+                for b in batches:
+                    x = _matrix(b.column(len(keep)), b.num_rows)
+                    raw = own.add(own.start(b.num_rows) if opens else _matrix(b.column(len(keep) + 1), b.num_rows).copy(), x, first) if b.num_rows else np.zeros((0, own.outputs))
+                    if closes:
+                        yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(own.told(raw / many if own.kind == "forest" else raw) if b.num_rows else [], pa.float64())], [*keep, "prediction"])
+                    else:
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * own.outputs, pa.int32()), pa.array(raw.ravel()))
+                        yield pa.RecordBatch.from_arrays([*b.columns[:len(keep) + 1], lists], [*keep, "features", "__raw"])
+
+            return run
+
+        out = df.select(*[F.col(f"`{c}`") for c in keep], vector_to_array("features").alias("features"))
+        kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in out.schema.fields[:-1])
+        for k, (first, trees) in enumerate(groups):
+            closes = k == len(groups) - 1
+            out = out.mapInArrow(part(first, trees, k == 0, closes), kinds + ("prediction double" if closes else "features array<double>, __raw array<double>"))
+            if not closes:  # so that no two groups are in tasks at once
+                out = cut_lineage(out)
+        return out
 
-        narrow = df.select(*[F.col(f"`{c}`") for c in keep], vector_to_array("features").alias("features"))
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-        return narrow.mapInArrow(run, f"{kinds}, prediction double" if keep else "prediction double")
+    def groups(self) -> list[tuple[int, list[Tree]]]:
+        """The trees in stretches of at most GROUP_BYTES (one tree at least), each with the number of its first."""
+        out, size = [(0, [])], 0
+        for k, t in enumerate(self.trees):
+            if size + t.size() > GROUP_BYTES and out[-1][1]:
+                out.append((k, []))
+                size = 0
+            out[-1][1].append(t)
+            size += t.size()
+        return out
 
     def rows(self) -> list[tuple]:
-        return [(k, t.feature, [float(v) for v in t.threshold], t.left, t.right, [float(v) for v in t.value]) for k, t in enumerate(self.trees)]
+        return [(k, *(a.tolist() for a in (t.feature, t.threshold, t.left, t.right, t.value))) for k, t in enumerate(self.trees)]
 
     ROW = "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, value array<double>"
 
@@ -138,7 +197,8 @@ def bin_edges(data: DataFrame, width: int) -> list[np.ndarray]:
 
 
 def write_blocks(data: DataFrame, edges: list[np.ndarray]) -> DataFrame:
-    """Rows (block, n, x, y, w, v): bins, labels, weights and the validation flag of some rows each. ``data``: x, label, weight, valid."""
+    """Rows (block, n, x, y, w, v, u): bins, labels, weights and the validation flag of some rows each, and the numbers of
+    their different rows (empty where most rows differ). ``data``: x, label, weight, valid."""
     shared = data.sparkSession.sparkContext.broadcast(edges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,13 +210,27 @@ def write_blocks(data: DataFrame, edges: list[np.ndarray]) -> DataFrame:
                 bins = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(shared.value)], 1).astype(np.uint8) if shared.value else np.zeros((part.num_rows, 0), np.uint8)
                 y, w = (np.asarray(part.column(c).to_numpy(zero_copy_only=False), np.float64) for c in (1, 2))
                 v = np.asarray(part.column(3).to_numpy(zero_copy_only=False), bool)
-                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (bins, y, w, v)]], ["n", "x", "y", "w", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (bins, y, w, v, _alike(bins, y, w, v))]], ["n", "x", "y", "w", "v", "u"])
 
     ship(data.sparkSession)
-    blocks = data.select("x", "label", "weight", "valid").mapInArrow(run, "n int, x binary, y binary, w binary, v binary")
+    blocks = data.select("x", "label", "weight", "valid").mapInArrow(run, "n int, x binary, y binary, w binary, v binary, u binary")
     return cut_lineage(blocks.withColumn("block", F.monotonically_increasing_id()))
 
 
+def _alike(x: np.ndarray, *others: np.ndarray) -> np.ndarray:
+    """The number of each row's content among the different ones; empty if more than half of the rows differ."""
+    keys = [*x.T, *others]
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    if 2 * new.sum() >= len(order):
+        return np.zeros(0, np.uint16)
+    out = np.zeros(len(order), np.uint16)  # a block has at most BLOCK_ROWS rows
+    out[order] = np.cumsum(new)
+    return out
+
+
 class _Block:
     def __init__(self, row: dict, width: int):
         self.id, self.n = row["block"], row["n"]
@@ -164,6 +238,11 @@ class _Block:
         self.y, self.w = np.frombuffer(row["y"], np.float64), np.frombuffer(row["w"], np.float64)
         self.v = np.frombuffer(row["v"], bool)
         self.f = np.frombuffer(row["f"], np.float64).reshape(self.n, -1) if row.get("f") is not None else None
+        self.m = np.frombuffer(row["m"], np.int64) if row.get("m") is not None else None  # how many rows each one stands for
+        self.u = np.frombuffer(row["u"], np.uint16).astype(np.int64) if row.get("u") else None
+        if self.u is not None:
+            self.first = np.zeros(self.u.max() + 1, np.int64)
+            self.first[self.u] = np.arange(self.n)
 
 
 def _each(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[_Block]:
@@ -172,6 +251,27 @@ def _each(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[_Block]:
             yield _Block(b.slice(k, 1).to_pylist()[0], width)
 
 
+def _counted(blocks: DataFrame, width: int) -> DataFrame:
+    """Rows (block, n, x, y, w, v, m): the different rows of all blocks by bins, label and validation flag, and how many there are of each."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _each(batches, width):
+            first, m = (np.arange(b.n), np.ones(b.n, np.int64)) if b.u is None else (b.first, np.bincount(b.u))
+            x = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.arange(len(first) + 1) * width).astype(np.int32)), pa.py_buffer(b.x[first].tobytes())])
+            yield pa.RecordBatch.from_arrays([x, pa.array(b.y[first]), pa.array(b.v[first]), pa.array(m)], ["x", "y", "v", "m"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, min(BLOCK_ROWS, BLOCK_BYTES // max(1, width)))
+        for b in batches:
+            for k in range(0, b.num_rows, step):
+                part = b.slice(k, step)
+                y, v, m = (part.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3))
+                cols = [b"".join(part.column(0).to_pylist()), y.tobytes(), np.ones(len(y)).tobytes(), v.astype(bool).tobytes(), m.astype(np.int64).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), *[pa.array([c], pa.binary()) for c in cols]], ["n", "x", "y", "w", "v", "m"])
+
+    counted = blocks.mapInArrow(rows, "x binary, y double, v boolean, m long").groupBy("x", "y", "v").agg(F.sum("m").alias("m"))
+    return cut_lineage(counted.mapInArrow(again, "n int, x binary, y binary, w binary, v binary, m binary").withColumn("block", F.monotonically_increasing_id()))
+
+
 def _layout(edges: list[np.ndarray]) -> tuple[np.ndarray, int]:
     sizes = np.array([len(e) + 1 for e in edges], np.int64)
     return np.cumsum(sizes) - sizes, int(sizes.sum())
@@ -260,6 +360,8 @@ def fit_boosting(blocks: DataFrame, edges: list[np.ndarray], classes: int, rate:
                  max_leaf_nodes: int | None = 31, l2: float = 0.0, early_stopping: bool = False) -> TreeModel:
     """Squared loss (``classes`` 0), logistic loss (2) or softmax with a tree per class and round (more)."""
     width, outputs = len(edges), 1 if classes <= 2 else classes
+    if classes:  # labels repeat, and with them whole rows of bins: each is looked at once a pass
+        blocks = _counted(blocks, width)
     sums = blocks.mapInArrow(partial(_label_sums, width=width), "n bigint, s double, low double, high double, c array<double>").toArrow().to_pylist()
     n = sum(r["n"] for r in sums)
     if classes:
@@ -295,7 +397,7 @@ def fit_boosting(blocks: DataFrame, edges: list[np.ndarray], classes: int, rate:
         model.rounds += 1
         pending = pending + [[b for _, b in grown]]
         if len(pending) == REFRESH:
-            table = cut_lineage(table.mapInArrow(_rescored(width, base, pending), "block bigint, n int, x binary, y binary, w binary, v binary, f binary"))
+            table = cut_lineage(table.mapInArrow(_rescored(width, base, pending), f"block bigint, n int, x binary, y binary, w binary, v binary, {'m binary, ' if classes else ''}f binary"))
             pending = []
     return model
 
@@ -304,10 +406,11 @@ def _label_sums(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
     n, s, low, high, c = 0, 0.0, math.inf, -math.inf, np.zeros(1)
     for b in _each(batches, width):
         y = b.y[~b.v]
+        m = np.ones(len(y), np.int64) if b.m is None else b.m[~b.v]
         if len(y):
-            counts = np.bincount(np.maximum(y, 0).astype(int)).astype(float) if y.max() < 1 << 16 else np.zeros(1)
+            counts = np.bincount(np.maximum(y, 0).astype(int), m).astype(float) if y.max() < 1 << 16 else np.zeros(1)
             c = np.pad(c, (0, max(0, len(counts) - len(c)))) + np.pad(counts, (0, max(0, len(c) - len(counts))))
-            n, s, low, high = n + len(y), s + float(y.sum()), min(low, float(y.min())), max(high, float(y.max()))
+            n, s, low, high = n + int(m.sum()), s + float((y * m).sum()), min(low, float(y.min())), max(high, float(y.max()))
     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((n, pa.int64()), (s, pa.float64()), (low, pa.float64()), (high, pa.float64()), (c.tolist(), pa.list_(pa.float64())))], ["n", "s", "low", "high", "c"])
 
 
@@ -327,7 +430,7 @@ def _rescored(width: int, base: np.ndarray, pending: list[list[Tree]]):
                 f = _scores(_Block(row, width), base, pending)
                 kinds = {"block": pa.int64(), "n": pa.int32()}
                 row["f"] = f.tobytes()
-                names = ["block", "n", "x", "y", "w", "v", "f"]
+                names = ["block", "n", "x", "y", "w", "v", *(["m"] if "m" in row else []), "f"]
                 yield pa.RecordBatch.from_arrays([pa.array([row[c]], kinds.get(c, pa.binary())) for c in names], names)
 
     return run
@@ -367,8 +470,12 @@ class _Pass:
         for b in _each(batches, len(self.edges)):
             g, h, losses = self.gradients(b)
             watched = b.v if b.v.any() else np.zeros(b.n, bool)
-            loss += int(np.rint(losses[watched] * self.unit).sum())
-            loss_rows += int(watched.sum())
+            if b.m is None:
+                loss += int(np.rint(losses[watched] * self.unit).sum())
+                loss_rows += int(watched.sum())
+            else:
+                loss += int((np.rint(losses[watched] * self.unit).astype(np.int64) * b.m[watched]).sum())
+                loss_rows += int(b.m[watched].sum())
             for c, arrays in enumerate(self.trees):
                 slot_of = np.full(len(arrays[0]), -1)
                 for s, (k, node) in enumerate(self.slots):
@@ -380,8 +487,14 @@ class _Pass:
                     continue
                 key = (slot[mine, None] * total + first + b.x[mine]).ravel()
                 for out, values in ((g_sum, g[mine, c]), (h_sum, h[mine, c])):
-                    out += np.bincount(key, np.repeat(np.rint(values * self.unit), b.x.shape[1]), many * total).astype(np.int64)
-                n_sum += np.bincount(key, minlength=many * total)
+                    values = np.rint(values * self.unit)
+                    if b.m is None:
+                        out += np.bincount(key, np.repeat(values, b.x.shape[1]), many * total).astype(np.int64)
+                        continue
+                    values = values.astype(np.int64) * b.m[mine]  # sums can pass 2^53, so they are taken of two halves
+                    for half, shift in ((values >> 29, 29), (values & (1 << 29) - 1, 0)):
+                        out += np.bincount(key, np.repeat(half, b.x.shape[1]), many * total).astype(np.int64) << shift
+                n_sum += np.bincount(key, None if b.m is None else np.repeat(b.m[mine], b.x.shape[1]), many * total).astype(np.int64)
         at = np.flatnonzero(n_sum)
         slot, spot = at // max(total, 1), at % max(total, 1)
         feature = np.searchsorted(first, spot, "right") - 1
@@ -394,7 +507,8 @@ def _best_splits(table: DataFrame, work: _Pass, l2: float, unit: float) -> tuple
     """The best split of each wanted node that has one, with the node's sums, and the mean loss of the validation slice. Spark sums and compares; a row per node comes back."""
     shared = table.sparkSession.sparkContext.broadcast(work)
     counts = table.mapInArrow(lambda batches: shared.value(batches), "slot long, feature long, bin long, g long, h long, n long")
-    summed = counts.groupBy("slot", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
+    # a task's counts are sums already: dealt by node, they are added up and compared after one shuffle
+    summed = counts.repartition("slot").groupBy("slot", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
 
     def best(group: pa.Table) -> pa.Table:
         slot, feature, bin_, g, h, n = (group.column(c).to_numpy() for c in ("slot", "feature", "bin", "g", "h", "n"))
@@ -447,6 +561,16 @@ class Forest:
         rng = np.random.Generator(np.random.Philox(key=np.array([self.seed * 1_000_003 + tree, int(b.id)], np.uint64)))
         return np.where(b.v, 0, rng.poisson(1.0, b.n))
 
+    def bagged(self, tree: int, b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different rows in a tree's bootstrap: the place of one of each, how many rows of them are in it, and their bootstrap numbers' sum."""
+        bag = self.bag(tree, b)
+        if b.u is None:
+            rows = np.flatnonzero(bag)
+            return rows, np.ones(len(rows), np.int64), bag[rows]
+        count, total = (np.bincount(b.u, v, len(b.first)).astype(np.int64) for v in (bag > 0, bag))
+        at = np.flatnonzero(count)
+        return b.first[at], count[at], total[at]
+
     def targets(self, b: _Block) -> np.ndarray:
         """Per row and output, fixed-point: the weight in the class's column, or the weighted label less the mean; the weight itself comes first."""
         w = np.rint(b.w * self.unit)
@@ -489,8 +613,8 @@ def _done(forest: Forest, sums: np.ndarray, n: int, depth: int) -> bool:
     return bool(n < forest.min_split or n < 2 * forest.min_leaf or n < 2 or pure or (forest.max_depth is not None and depth >= forest.max_depth))
 
 
-def grow_here(forest: Forest, tree: int, name: int, depth: int, x: np.ndarray, t: np.ndarray, bag: np.ndarray, edges: list[np.ndarray]) -> Tree:
-    """The subtree of a node whose rows (bins, targets, bootstrap numbers) are all here."""
+def grow_here(forest: Forest, tree: int, name: int, depth: int, x: np.ndarray, t: np.ndarray, bag: np.ndarray, many: np.ndarray, edges: list[np.ndarray]) -> Tree:
+    """The subtree of a node whose rows (bins, targets, bootstrap numbers, how many rows each stands for) are all here."""
     out = Tree()
     t = t * bag[:, None]
 
@@ -504,7 +628,7 @@ def grow_here(forest: Forest, tree: int, name: int, depth: int, x: np.ndarray, t
     while stack:
         rows, name, depth, here = stack.pop()
         sums = t[rows].sum(0)
-        if _done(forest, sums, len(rows), depth) or not x.shape[1] or (not forest.classes and (t[rows, 1] * bag[rows[0]] == t[rows[0], 1] * bag[rows]).all()):
+        if _done(forest, sums, int(many[rows].sum()), depth) or not x.shape[1] or (not forest.classes and (t[rows, 1] * bag[rows[0]] == t[rows[0], 1] * bag[rows]).all()):
             continue
         best = None
         for tried, f in enumerate(forest.features(tree, name, x.shape[1])):
@@ -516,7 +640,7 @@ def grow_here(forest: Forest, tree: int, name: int, depth: int, x: np.ndarray, t
                 continue
             b = b.astype(np.int64) - low
             hist = np.stack([np.bincount(b, t[rows, c], high - low + 1) for c in range(t.shape[1])], 1)
-            got = forest.split(hist, np.bincount(b, minlength=high - low + 1))
+            got = forest.split(hist, np.bincount(b, many[rows], high - low + 1))
             if got and (best is None or (got[0], -f) > (best[0], -best[1])):
                 best = (got[0], int(f), got[1] + low)
         if best is None:
@@ -567,13 +691,13 @@ def _wave(blocks: DataFrame, edges: list[np.ndarray], forest: Forest, numbers: l
         grown = []
         for s, (t, node) in enumerate(big):
             r = best.get(s)
-            if r and r["feature"] < 0 and (t, node) not in wide and not _done(forest, np.asarray(r["sums"]), r["n"], depths[t][node]):
+            if r and r["feature"] < 0 and not r["pure"] and (t, node) not in wide and not _done(forest, np.asarray(r["sums"]), r["n"], depths[t][node]):
                 wide.add((t, node))
                 grown.append((t, node))
                 continue
             if r is None or r["feature"] < 0 or _done(forest, np.asarray(r["sums"]), r["n"], depths[t][node]):
                 final.add((t, node))
-                upper[t].value[node * forest.outputs:(node + 1) * forest.outputs] = forest.value(np.asarray(r["sums"])) if r else [0.0] * forest.outputs
+                upper[t].value[node * forest.outputs:(node + 1) * forest.outputs] = array("d", forest.value(np.asarray(r["sums"])) if r else [0.0] * forest.outputs)
                 continue
             tree = upper[t]
             tree.feature[node], tree.threshold[node], bins[t][node] = r["feature"], float(edges[r["feature"]][r["bin"]]), r["bin"]
@@ -592,19 +716,17 @@ def _wave(blocks: DataFrame, edges: list[np.ndarray], forest: Forest, numbers: l
 
 
 def _arrays(tree: Tree, bins: list[int]) -> tuple[np.ndarray, ...]:
-    return tuple(np.asarray(a) for a in (tree.feature, bins, tree.left, tree.right))
+    return tuple(np.array(a) for a in (tree.feature, bins, tree.left, tree.right))  # copies: the tree goes on growing
 
 
 def _graft(tree: Tree, node: int, sub: Tree, outputs: int) -> None:
     """Put a subtree in a leaf's place."""
     base = len(tree.feature) - 1  # the subtree's node k > 0 becomes base + k
-    place = lambda k: node if k == 0 else base + k
-    for k in range(1, len(sub.feature)):
-        tree.feature.append(sub.feature[k]), tree.threshold.append(sub.threshold[k])
-        tree.left.append(place(sub.left[k]) if sub.left[k] > 0 else -1), tree.right.append(place(sub.right[k]) if sub.right[k] > 0 else -1)
-        tree.value.extend(sub.value[k * outputs:(k + 1) * outputs])
-    tree.feature[node], tree.threshold[node] = sub.feature[0], sub.threshold[0]
-    tree.left[node], tree.right[node] = (place(v) if v > 0 else -1 for v in (sub.left[0], sub.right[0]))
+    left, right = (_typed("i", np.where((k := np.asarray(a)) > 0, k + base, -1)) for a in (sub.left, sub.right))
+    for a, own in ((tree.feature, sub.feature), (tree.threshold, sub.threshold), (tree.left, left), (tree.right, right)):
+        a[node] = own[0]
+        a.extend(own[1:])
+    tree.value.extend(sub.value[outputs:])
     tree.value[node * outputs:(node + 1) * outputs] = sub.value[:outputs]
 
 
@@ -617,15 +739,15 @@ def _subtrees(blocks: DataFrame, edges: list[np.ndarray], forest: Forest, upper:
         for b in _each(batches, width):
             targets = forest.targets(b)
             for t, arrays in trees.items():
-                bag = forest.bag(t, b)
-                rows = np.flatnonzero(bag)
+                rows, many, total = forest.bagged(t, b)
                 node = _descend(b.x[rows], *arrays)
                 for k in np.unique(node):
                     if k in open_[t]:
-                        mine = rows[node == k]
+                        own = node == k
+                        mine = rows[own]
                         cols = [pa.array([t], pa.int32()), pa.array([k], pa.int32()), pa.array([int(b.id)], pa.int64()),
-                                *[pa.array([a.tobytes()], pa.binary()) for a in (b.x[mine], targets[mine], bag[mine].astype(np.int64))]]
-                        yield pa.RecordBatch.from_arrays(cols, ["tree", "node", "block", "x", "t", "bag"])
+                                *[pa.array([a.tobytes()], pa.binary()) for a in (b.x[mine], targets[mine], total[own], many[own])]]
+                        yield pa.RecordBatch.from_arrays(cols, ["tree", "node", "block", "x", "t", "bag", "many"])
 
     def finish(group: pa.Table) -> pa.Table:
         forest, edges, _, names, depths, _ = shared.value
@@ -633,15 +755,16 @@ def _subtrees(blocks: DataFrame, edges: list[np.ndarray], forest: Forest, upper:
         group = group.sort_by("block")
         join = lambda c, kind: np.frombuffer(b"".join(group[c].to_pylist()), kind)
         bag = join("bag", np.int64)
-        sub = grow_here(forest, t, names[t][node], depths[t][node], join("x", np.uint8).reshape(len(bag), width), join("t", np.int64).reshape(len(bag), -1), bag, edges)
+        sub = grow_here(forest, t, names[t][node], depths[t][node], join("x", np.uint8).reshape(len(bag), width), join("t", np.int64).reshape(len(bag), -1), bag, join("many", np.int64), edges)
         out = TreeModel("forest", forest.outputs, [], [sub]).rows()[0]
         kinds = [pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64())]
         return pa.table([pa.array([t], pa.int32()), pa.array([node], pa.int32()), *[pa.array([v], kind) for v, kind in zip(out[1:], kinds)]],
                         ["tree", "node", "feature", "threshold", "left", "right", "value"])
 
-    dealt = blocks.mapInArrow(deal, "tree int, node int, block long, x binary, t binary, bag binary")
+    dealt = blocks.mapInArrow(deal, "tree int, node int, block long, x binary, t binary, bag binary, many binary")
     grown = dealt.groupBy("tree", "node").applyInArrow(finish, "tree int, node int, feature array<int>, threshold array<double>, left array<int>, right array<int>, value array<double>")
-    return {(r["tree"], r["node"]): Tree(r["feature"], r["threshold"], r["left"], r["right"], r["value"]) for r in grown.toArrow().to_pylist()}
+    return {(b.column(0)[k].as_py(), b.column(1)[k].as_py()): Tree(*[b.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(2, 7)])
+            for b in grown.toArrow().to_batches() for k in range(b.num_rows)}
 
 
 @dataclass
@@ -657,28 +780,34 @@ class _ForestPass:
         forest, width = self.forest, len(self.edges)
         sizes = [len(e) + 1 for e in self.edges]
         sums: dict[tuple[int, int], np.ndarray] = {}
+        ends: dict[int, tuple[int, int]] = {}  # by slot: the least and the greatest target
         slot_of = {}
         for s, (t, node) in enumerate(self.slots):
             slot_of.setdefault(t, {})[node] = s
         for b in _each(batches, width):
             targets = forest.targets(b)
             for t, own in slot_of.items():
-                bag = forest.bag(t, b)
-                rows = np.flatnonzero(bag)
+                rows, many, total = forest.bagged(t, b)
                 node = _descend(b.x[rows], *self.trees[t])
                 for k, s in own.items():
-                    mine = rows[node == k]
-                    if not len(mine):
+                    here = np.flatnonzero(node == k)
+                    if not len(here):
                         continue
-                    weighted = targets[mine] * bag[mine, None]
+                    mine = rows[here]
+                    weighted = targets[mine] * total[here, None]
+                    if not forest.classes:
+                        low, high = int(targets[mine, 1].min()), int(targets[mine, 1].max())
+                        ends[s] = (min(low, ends[s][0]), max(high, ends[s][1])) if s in ends else (low, high)
                     for f in forest.features(t, self.names[s], width)[:self.tries[s]]:
                         x = b.x[mine, f]
-                        hist = np.stack([np.bincount(x, minlength=sizes[f]), *[np.bincount(x, weighted[:, c], sizes[f]) for c in range(weighted.shape[1])]], 1).astype(np.int64)
+                        hist = np.stack([np.bincount(x, many[here], sizes[f]), *[np.bincount(x, weighted[:, c], sizes[f]) for c in range(weighted.shape[1])]], 1).astype(np.int64)
                         sums[s, f] = sums[s, f] + hist if (s, f) in sums else hist
         for (s, f), hist in sums.items():
             at = np.flatnonzero(hist[:, 0])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s)), pa.array(np.full(len(at), f)), pa.array(at), pa.array(hist[at].tolist(), pa.list_(pa.int64()))],
                                              ["slot", "feature", "bin", "stats"])
+        for s, pair in ends.items():  # as bins of a feature -1
+            yield pa.RecordBatch.from_arrays([pa.array([s, s]), pa.array([-1, -1]), pa.array(pair, pa.int64()), pa.array([[0, 0, 0]] * 2, pa.list_(pa.int64()))], ["slot", "feature", "bin", "stats"])
 
 
 def _forest_pass(blocks: DataFrame, forest: Forest, work: _ForestPass) -> dict[int, dict]:
@@ -686,14 +815,14 @@ def _forest_pass(blocks: DataFrame, forest: Forest, work: _ForestPass) -> dict[i
     shared = blocks.sparkSession.sparkContext.broadcast(work)
     many = forest.outputs + 2 if forest.classes else 3
     counts = blocks.mapInArrow(lambda batches: shared.value(batches), "slot long, feature long, bin long, stats array<long>")
-    summed = counts.groupBy("slot", "feature", "bin").agg(F.array(*[F.sum(F.col("stats")[k]) for k in range(many)]).alias("stats"))
+    summed = counts.repartition("slot").groupBy("slot", "feature", "bin").agg(F.array(*[F.sum(F.col("stats")[k]) for k in range(many)]).alias("stats"))
 
     def best(group: pa.Table) -> pa.Table:
         work = shared.value
         forest = work.forest
         slot, feature, bin_ = (group.column(c).to_numpy() for c in ("slot", "feature", "bin"))
         stats = np.array(group.column("stats").to_pylist(), np.int64)
-        row = {"slot": int(slot[0]), "feature": -1, "bin": 0, "nl": 0, "n": 0, "sums": []}
+        row = {"slot": int(slot[0]), "feature": -1, "bin": 0, "nl": 0, "n": 0, "pure": int((feature < 0).sum() == 1), "sums": []}
         found = None
         for tried, f in enumerate(forest.features(work.slots[slot[0]][0], work.names[slot[0]], len(work.edges))[:work.tries[slot[0]]]):
             if tried >= forest.tries and found:
@@ -701,14 +830,14 @@ def _forest_pass(blocks: DataFrame, forest: Forest, work: _ForestPass) -> dict[i
             mine = np.flatnonzero(feature == f)
             mine = mine[np.argsort(bin_[mine])]
             row |= {"n": int(stats[mine, 0].sum()), "sums": stats[mine, 1:].sum(0).tolist()}
-            got = forest.split(stats[mine, 1:], stats[mine, 0])
+            got = None if row["pure"] else forest.split(stats[mine, 1:], stats[mine, 0])
             if got and (found is None or (got[0], -f) > found):
                 found = got[0], -f
                 row |= {"feature": int(f), "bin": int(bin_[mine[got[1]]]), "nl": int(stats[mine[:got[1] + 1], 0].sum())}
         kinds = {"sums": pa.list_(pa.int64())}
         return pa.table({k: pa.array([v], kinds.get(k, pa.int64())) for k, v in row.items()})
 
-    found = summed.groupBy("slot").applyInArrow(best, "slot long, feature long, bin long, nl long, n long, sums array<long>")
+    found = summed.groupBy("slot").applyInArrow(best, "slot long, feature long, bin long, nl long, n long, pure long, sums array<long>")
     return {r["slot"]: r for r in found.toArrow().to_pylist()}
 
 
