@@ -8,8 +8,9 @@ integers (gradients scaled to fixed point), so the trees do not depend on how th
 sums arrive.
 
 Boosting grows best-first to ``max_leaf_nodes``: the leaf with the greatest gain is split next. A leaf's gain depends
-on its own rows only, so each pass works out all leaves that may still be split, and a tree takes about as many
-passes as it is deep. Gains and leaf values hold the l2 penalty. Rows of the validation slice only serve to
+on its own rows only, so each pass works out all leaves that may still be split, until the open nodes have at most
+``LOCAL_ROWS`` different rows: these are brought together by node, and one job works out all splits below. With labels of classes,
+rows of equal bins, label and validation flag are counted once and stand for all of them. Gains and leaf values hold the l2 penalty. Rows of the validation slice only serve to
 stop early.
 
 Forests weight every row per tree by a Poisson number (the bootstrap in place), try a random subset of the features per
@@ -334,6 +335,28 @@ class _Growing:
     def arrays(self) -> tuple[np.ndarray, ...]:
         return tuple(np.asarray(a) for a in (self.feature, self.bound, self.left, self.right))
 
+    def add(self, node: int, nodes: list[dict]) -> None:
+        """Take over the splits of a node's subtree; ``nodes`` come with their place in it (the node itself is the first) and their left half's."""
+        place = {0: node}
+        for k, s in enumerate(nodes):
+            here = place[k]
+            self.split[here] = s
+            if s["left"] < 0:
+                continue
+            self.feature[here], self.bound[here] = s["feature"], s["bin"]
+            for side, half in ((self.left, s["left"]), (self.right, s["left"] + 1)):
+                side[here] = place[half] = len(self.feature)
+                for a, v in ((self.feature, -1), (self.bound, 0), (self.left, -1), (self.right, -1), (self.depth, self.depth[here] + 1)):
+                    a.append(v)
+
+    def rows(self, node: int, whole: int) -> int:
+        """How many rows a node has."""
+        if node == 0:
+            return whole
+        up = next(n for n, (a, b) in enumerate(zip(self.left, self.right)) if node in (a, b))
+        s = self.split[up]
+        return s["nl"] if self.left[up] == node else s["n"] - s["nl"]
+
     def tree(self, edges: list[np.ndarray], rate: float, l2: float, unit: float) -> tuple[Tree, Tree]:
         """The chosen tree, by thresholds and by bins."""
         out, bins = Tree(), Tree()
@@ -363,7 +386,7 @@ def fit_boosting(blocks: DataFrame, edges: list[np.ndarray], classes: int, rate:
     if classes:  # labels repeat, and with them whole rows of bins: each is looked at once a pass
         blocks = _counted(blocks, width)
     sums = blocks.mapInArrow(partial(_label_sums, width=width), "n bigint, s double, low double, high double, c array<double>").toArrow().to_pylist()
-    n = sum(r["n"] for r in sums)
+    n, different = sum(r["n"] for r in sums), blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if classes:
         share = np.maximum(np.sum([r["c"][:classes] + [0.0] * (classes - len(r["c"])) for r in sums], axis=0) / max(n, 1), 1e-12)
         base, scale = (np.array([math.log(share[1] / share[0])]) if classes <= 2 else np.log(share)), 1.0
@@ -376,18 +399,24 @@ def fit_boosting(blocks: DataFrame, edges: list[np.ndarray], classes: int, rate:
     table, pending, losses = blocks, [], []
     for _ in range(rounds):
         growing = [_Growing(max_leaf_nodes, max_depth) for _ in range(outputs)]
-        stop = False
+        stop, small = False, []
         while (asked := [g.wanted() for g in growing]) != [None] * outputs:
-            slots = [(c, node) for c, nodes in enumerate(asked) for node in nodes or []]
+            big = []
+            for c, nodes in enumerate(asked):
+                for node in nodes or []:
+                    # a node has at most as many different rows as the table
+                    (small if width and min(growing[c].rows(node, n), different) <= LOCAL_ROWS else big).append((c, node))
+            slots = big or small
             work = _Pass(edges, classes, scale, base, pending, [g.arrays() for g in growing], slots, unit)
-            best, loss = _best_splits(table, work, l2 * unit, unit)
+            best, loss = _best_splits(table, work, l2 * unit, unit) if big else _best_subtrees(table, work, growing, l2 * unit, unit)
             if slots[0][1] == 0:  # the pass over the roots sees the scores of all trees so far
                 losses.append(loss)
                 stop = early_stopping and _no_gain(losses)
                 if stop:
                     break
             for s, (c, node) in enumerate(slots):
-                growing[c].split[node] = best.get(s, {"feature": -1, "gain": 0.0, "g": 0, "h": 0})
+                growing[c].add(node, best.get(s, [{"feature": -1, "gain": 0.0, "g": 0, "h": 0, "n": 0, "left": -1}]))
+            small = small if big else []
         if stop:
             break
         grown = [g.tree(edges, rate, l2, unit) for g in growing]
@@ -462,6 +491,25 @@ class _Pass:
         p, y = np.exp(f - top) / whole, b.y.astype(int)
         return p - (np.arange(f.shape[1]) == y[:, None]), p * (1 - p), (np.log(whole) + top)[:, 0] - f[np.arange(b.n), y]
 
+    def spread(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of the wanted nodes with their gradients, and the losses (slot -1)."""
+        names, width = ["slot", "x", "g", "h", "m"], len(self.edges)
+        for b in _each(batches, width):
+            g, h, losses = self.gradients(b)
+            m = np.ones(b.n, np.int64) if b.m is None else b.m
+            fixed = lambda values: np.rint(values * self.unit).astype(np.int64)
+            if b.v.any():
+                yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([b""]), pa.array([int((fixed(losses[b.v]) * m[b.v]).sum())]), pa.array([0]), pa.array([int(m[b.v].sum())])], names)
+            for c, arrays in enumerate(self.trees):
+                slot_of = np.full(len(arrays[0]), -1)
+                for s, (k, node) in enumerate(self.slots):
+                    if k == c:
+                        slot_of[node] = s
+                slot = slot_of[_descend(b.x, *arrays)]
+                mine = np.flatnonzero((slot >= 0) & ~b.v)
+                x = pa.Array.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer((np.arange(len(mine) + 1) * width).astype(np.int32)), pa.py_buffer(b.x[mine].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(slot[mine]), x, pa.array(fixed(g[mine, c]) * m[mine]), pa.array(fixed(h[mine, c]) * m[mine]), pa.array(m[mine])], names)
+
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, total = _layout(self.edges)
         many = len(self.slots)
@@ -491,9 +539,7 @@ class _Pass:
                     if b.m is None:
                         out += np.bincount(key, np.repeat(values, b.x.shape[1]), many * total).astype(np.int64)
                         continue
-                    values = values.astype(np.int64) * b.m[mine]  # sums can pass 2^53, so they are taken of two halves
-                    for half, shift in ((values >> 29, 29), (values & (1 << 29) - 1, 0)):
-                        out += np.bincount(key, np.repeat(half, b.x.shape[1]), many * total).astype(np.int64) << shift
+                    out += _exact(key, np.repeat(values.astype(np.int64) * b.m[mine], b.x.shape[1]), many * total)
                 n_sum += np.bincount(key, None if b.m is None else np.repeat(b.m[mine], b.x.shape[1]), many * total).astype(np.int64)
         at = np.flatnonzero(n_sum)
         slot, spot = at // max(total, 1), at % max(total, 1)
@@ -503,7 +549,31 @@ class _Pass:
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["slot", "feature", "bin", "g", "h", "n"])
 
 
-def _best_splits(table: DataFrame, work: _Pass, l2: float, unit: float) -> tuple[dict[int, dict], float | None]:
+def _exact(key: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of integers by key. They can pass 2^53, so they are taken of two halves."""
+    return sum(np.bincount(key, half, size).astype(np.int64) << shift for half, shift in ((values >> 29, 29), (values & (1 << 29) - 1, 0)))
+
+
+def _split_of(feature: np.ndarray, bin_: np.ndarray, g: np.ndarray, h: np.ndarray, n: np.ndarray, l2: float, unit: float) -> dict:
+    """The best split of a node from its sums per feature and bin, in this order."""
+    start = np.flatnonzero(np.concatenate([[True], feature[1:] != feature[:-1]]))
+    row = {"feature": -1, "bin": 0, "gain": 0.0, "gl": 0, "hl": 0, "nl": 0} | {k: int(v[feature == feature[0]].sum()) for k, v in (("g", g), ("h", h), ("n", n))}
+    of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(feature))))
+    gl, hl, nl = (np.cumsum(v) - (np.cumsum(v) - v)[start][of] for v in (g, h, n))
+    gr, hr, nr = row["g"] - gl, row["h"] - hl, row["n"] - nl
+    fit = (nl >= MIN_LEAF) & (nr >= MIN_LEAF) & (hl >= MIN_HESSIAN * unit) & (hr >= MIN_HESSIAN * unit)
+    f = lambda a, b: a.astype(float) ** 2 / np.maximum(b + l2, 1e-300)
+    gain = np.where(fit, f(gl, hl) + f(gr, hr) - float(row["g"]) ** 2 / max(row["h"] + l2, 1e-300), -1.0) / unit
+    if len(gain) and gain.max() > 1e-12:
+        k = int(gain.argmax())
+        row |= {"feature": int(feature[k]), "bin": int(bin_[k]), "gain": float(gain[k]), "gl": int(gl[k]), "hl": int(hl[k]), "nl": int(nl[k])}
+    return row
+
+
+_SPLIT = ["feature", "bin", "gain", "gl", "hl", "nl", "g", "h", "n"]
+
+
+def _best_splits(table: DataFrame, work: _Pass, l2: float, unit: float) -> tuple[dict[int, list[dict]], float | None]:
     """The best split of each wanted node that has one, with the node's sums, and the mean loss of the validation slice. Spark sums and compares; a row per node comes back."""
     shared = table.sparkSession.sparkContext.broadcast(work)
     counts = table.mapInArrow(lambda batches: shared.value(batches), "slot long, feature long, bin long, g long, h long, n long")
@@ -512,26 +582,71 @@ def _best_splits(table: DataFrame, work: _Pass, l2: float, unit: float) -> tuple
 
     def best(group: pa.Table) -> pa.Table:
         slot, feature, bin_, g, h, n = (group.column(c).to_numpy() for c in ("slot", "feature", "bin", "g", "h", "n"))
-        row = {"slot": int(slot[0]), "feature": -1, "bin": 0, "gain": 0.0, "gl": 0, "hl": 0, "g": int(g.sum()), "h": int(h.sum()), "n": int(n.sum())}
-        if slot[0] >= 0:
+        if slot[0] < 0:
+            row = dict.fromkeys(_SPLIT, 0) | {"g": int(g.sum()), "n": int(n.sum())}
+        else:
             order = np.lexsort((bin_, feature))
-            feature, bin_, g, h, n = feature[order], bin_[order], g[order], h[order], n[order]
-            start = np.flatnonzero(np.concatenate([[True], feature[1:] != feature[:-1]]))
-            row |= {k: int(v[feature == feature[0]].sum()) for k, v in (("g", g), ("h", h), ("n", n))}
-            of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(feature))))
-            gl, hl, nl = (np.cumsum(v) - (np.cumsum(v) - v)[start][of] for v in (g, h, n))
-            gr, hr, nr = row["g"] - gl, row["h"] - hl, row["n"] - nl
-            fit = (nl >= MIN_LEAF) & (nr >= MIN_LEAF) & (hl >= MIN_HESSIAN * unit) & (hr >= MIN_HESSIAN * unit)
-            f = lambda a, b: a.astype(float) ** 2 / np.maximum(b + l2, 1e-300)
-            gain = np.where(fit, f(gl, hl) + f(gr, hr) - float(row["g"]) ** 2 / max(row["h"] + l2, 1e-300), -1.0) / unit
-            if len(gain) and gain.max() > 1e-12:
-                k = int(gain.argmax())
-                row |= {"feature": int(feature[k]), "bin": int(bin_[k]), "gain": float(gain[k]), "gl": int(gl[k]), "hl": int(hl[k])}
-        return pa.table({k: pa.array([v], pa.float64() if k == "gain" else pa.int64()) for k, v in row.items()})
-
-    found = summed.groupBy("slot").applyInArrow(best, "slot long, feature long, bin long, gain double, gl long, hl long, g long, h long, n long").toArrow().to_pylist()
+            row = _split_of(feature[order], bin_[order], g[order], h[order], n[order], l2, unit)
+        return pa.table({"slot": pa.array([int(slot[0])], pa.int64())} | {k: pa.array([row[k]], pa.float64() if k == "gain" else pa.int64()) for k in _SPLIT})
+
+    found = summed.groupBy("slot").applyInArrow(best, "slot long, feature long, bin long, gain double, gl long, hl long, nl long, g long, h long, n long").toArrow().to_pylist()
     loss = next((r["g"] / unit / r["n"] for r in found if r["slot"] < 0 and r["n"]), None)
-    return {r["slot"]: r for r in found if r["slot"] >= 0}, loss
+    return {r["slot"]: [r | {"left": -1}] for r in found if r["slot"] >= 0}, loss
+
+
+def _best_subtrees(table: DataFrame, work: _Pass, growing: list[_Growing], l2: float, unit: float) -> tuple[dict[int, list[dict]], float | None]:
+    """The splits of each wanted node's whole subtree, as far as a tree can take them, and the loss. The rows of a node,
+    at most LOCAL_ROWS different ones, are brought together; one row per split comes back."""
+    spark = table.sparkSession
+    limits = {s: (growing[c].max_leaves - 1, growing[c].max_depth - growing[c].depth[node]) for s, (c, node) in enumerate(work.slots)}
+    shared = spark.sparkContext.broadcast((work, limits))
+    spread = table.mapInArrow(lambda batches: shared.value[0].spread(batches), "slot long, x binary, g long, h long, m long")
+
+    def finish(group: pa.Table) -> pa.Table:
+        work, limits = shared.value
+        slot, g, h, m = (group.column(c).to_numpy() for c in ("slot", "g", "h", "m"))
+        if slot[0] < 0:
+            nodes = [dict.fromkeys([*_SPLIT, "left"], 0) | {"g": int(g.sum()), "n": int(m.sum())}]
+        else:
+            x = np.frombuffer(b"".join(group.column("x").to_pylist()), np.uint8).reshape(len(g), -1)
+            nodes = boost_here(x, g, h, m, work.edges, *limits[int(slot[0])], l2, unit)
+        cols = {"slot": pa.array([int(slot[0])] * len(nodes), pa.int64()), "place": pa.array(range(len(nodes)), pa.int64())}
+        return pa.table(cols | {k: pa.array([r[k] for r in nodes], pa.float64() if k == "gain" else pa.int64()) for k in [*_SPLIT, "left"]})
+
+    found = spread.groupBy("slot").applyInArrow(finish, "slot long, place long, feature long, bin long, gain double, gl long, hl long, nl long, g long, h long, n long, left long").toArrow().to_pylist()
+    out: dict[int, list[dict]] = {}
+    for r in sorted(found, key=lambda r: (r["slot"], r["place"])):
+        out.setdefault(r["slot"], []).append(r)
+    loss = next((r["g"] / unit / r["n"] for r in out.pop(-1, []) if r["n"]), None)
+    return out, loss
+
+
+def boost_here(x: np.ndarray, g: np.ndarray, h: np.ndarray, m: np.ndarray, edges: list[np.ndarray], splits: int, depth: int, l2: float, unit: float) -> list[dict]:
+    """The nodes of a subtree whose rows (bins, fixed-point gradients, numbers) are all here, best first, with at most ``splits`` splits."""
+    first, total = _layout(edges)
+    of = np.repeat(np.arange(len(edges)), [len(e) + 1 for e in edges])
+    nodes, parts, count, leaves = [], [], 0, []
+
+    def put(rows: np.ndarray, d: int) -> None:
+        key = (first + x[rows]).ravel()
+        sums = [_exact(key, np.repeat(v[rows], x.shape[1]), total) for v in (g, h, m)]
+        at = np.flatnonzero(sums[2])
+        nodes.append(_split_of(of[at], at - first[of[at]], *[v[at] for v in sums], l2, unit) | {"left": -1})
+        parts.append((rows, d))
+        if nodes[-1]["feature"] >= 0 and d < depth:
+            heapq.heappush(leaves, (-nodes[-1]["gain"], len(nodes) - 1))
+
+    put(np.arange(len(x)), 0)
+    while leaves and count < splits:
+        _, k = heapq.heappop(leaves)
+        count += 1
+        (rows, d), s = parts[k], nodes[k]
+        parts[k] = None
+        goes = x[rows, s["feature"]] <= s["bin"]
+        s["left"] = len(nodes)
+        put(rows[goes], d + 1)
+        put(rows[~goes], d + 1)
+    return nodes
 
 
 def _no_gain(losses: list[float | None]) -> bool:
