@@ -207,7 +207,7 @@ class WindowCosts:
     """Costs by window in an open-addressing table, found for many windows at once."""
 
     def __init__(self, grams: np.ndarray, costs: np.ndarray):
-        self.bits = max(4, int(4 * len(grams)).bit_length())
+        self.bits = max(4, int(2 * len(grams)).bit_length())  # a quarter to a half full
         self.mask = (1 << self.bits) - 1
         self.keys, self.costs = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1)
         at, left = self._place(grams), np.arange(len(grams))
