@@ -29,6 +29,7 @@ from tabloom.session import cut_lineage
 ORDER_ROWS = 1 << 16
 BINS = 1 << 17
 LEAST_BINS = 16
+FEW_RANGES = 16
 TOP = (1 << 63) - 1
 
 
@@ -91,7 +92,8 @@ class Cuts:
         kind = StructType([StructField(c, d.schema[c].dataType) for c in self.columns()])
         if self.group is None:
             literals = [[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(self._value(b), kind.fields)] for b in self.bounds.get(None, [])]
-            behind = [own > (v[0] if single else F.struct(*v)) for v in literals]
+            lead = F.col(self.columns()[0])  # keys have no nulls; the columns after the first are compared where it is equal only
+            behind = [lead > v[0] if single else (lead > v[0]) | ((lead == v[0]) & (own > F.struct(*v))) for v in literals]
             count = reduce(lambda a, b: a + b.cast("int"), behind, F.lit(self.always.get(None, 0)))
             return d.withColumn("_passed", count).withColumn("_extra", F.lit(self.extras.get(None, 0)).cast("bigint"))
         most = max((len(b) for b in self.bounds.values()), default=0)
@@ -145,7 +147,12 @@ def _ranges_table(narrow: DataFrame, ranges: list[_Range], depth: int, more: lis
     return F.broadcast(spark.createDataFrame(rows, StructType(fields)))
 
 
-def _within(narrow: DataFrame, table: DataFrame, names: list[str], depth: int) -> DataFrame:
+def _within(narrow: DataFrame, ranges: list[_Range], table: DataFrame, names: list[str], depth: int) -> DataFrame:
+    leading = names[:depth + 1] if depth + 1 < len(names) else names[:depth]
+    if leading and len(ranges) <= FEW_RANGES:  # compared before the last key (a hash of columns) is worked out for rows outside
+        keys = [F.col(f"`{c}`") for c in leading]
+        inside = [reduce(lambda a, b: a & b, [*[k == F.lit(v) for k, v in zip(keys, r.fixed)], *[k.between(r.low, r.high) for k in keys[depth:]]]) for r in ranges]
+        narrow = narrow.where(reduce(lambda a, b: a | b, inside))
     on = [narrow["_g"].eqNullSafe(table["_group"])] + [narrow[f"`{names[k]}`"] == table[f"_fixed{k}"] for k in range(depth)]
     x = narrow[f"`{names[depth]}`"]
     return narrow.join(table, reduce(lambda a, b: a & b, [*on, x >= table["_low"], x <= table["_high"]]))
@@ -170,7 +177,7 @@ def _select(narrow: DataFrame, keys: Sequence[Key], ties: list[str], ranges: lis
             for r in todo:
                 width = max(1, -(-(min(r.usual, r.high) - r.low + 1) // (bins - 1)))
                 layout.append((min(r.low + width * (bins - 1), r.high + 1, TOP), width))
-            rows = _within(narrow, _ranges_table(narrow, todo, depth, layout), names, depth)
+            rows = _within(narrow, todo, _ranges_table(narrow, todo, depth, layout), names, depth)
             x = F.col(f"`{names[depth]}`")
             spot = F.when(x >= F.col("_last"), F.lit(bins - 1).cast("bigint")).otherwise(F.expr(f"(`{names[depth]}` - _low) div _width"))
             counts: list[dict[int, int]] = [{} for _ in todo]
@@ -217,7 +224,7 @@ def _needs_table(narrow: DataFrame, ranges: list[_Range]) -> DataFrame:
 def _ordered(narrow: DataFrame, ranges: list[_Range], names: list[str], ties: list[str], depth: int) -> list[Boundary]:
     """Boundaries in ranges of at most ORDER_ROWS rows, which are put in order, a range by itself."""
     whole = [F.col(f"`{c}`") for c in [*names, *ties]]
-    rows = _within(narrow, _ranges_table(narrow, ranges, depth), names, depth).select("_id", *whole)
+    rows = _within(narrow, ranges, _ranges_table(narrow, ranges, depth), names, depth).select("_id", *whole)
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_id").orderBy(*whole)))
     for n, at, many in ((len(names), "_key_place", "_key_rows"), (len(whole), "_equal_place", "_equal_rows")):  # the row's place among those with its keys, and among its equals
         same = Window.partitionBy("_id", *whole[:n])
@@ -236,7 +243,7 @@ def _counted(narrow: DataFrame, ranges: list[_Range], names: list[str], ties: li
     them, so that each task orders a part."""
     depth = len(names) - 1
     tie = [F.col(f"`{c}`") for c in ties]
-    rows = _within(narrow, _ranges_table(narrow, ranges, depth), names, depth).groupBy("_id", *tie).agg(F.count(F.lit(1)).alias("_n"))
+    rows = _within(narrow, ranges, _ranges_table(narrow, ranges, depth), names, depth).groupBy("_id", *tie).agg(F.count(F.lit(1)).alias("_n"))
     parts = max(8, -(-sum(r.rows for r in ranges) // ORDER_ROWS))
     dealt = cut_lineage(rows.repartitionByRange(min(parts, 1 << 14), "_id", *tie).withColumn("_part", F.spark_partition_id()))
     sums: dict[int, dict[int, int]] = {}

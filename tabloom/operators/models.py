@@ -1,6 +1,6 @@
 """Linear models (M1, M2) and class weights (M9). Trees are in ``trees``, networks in ``networks``.
 
-* ridge regression (M2) is solved exactly from sufficient statistics, at every width. One pass gives the means; a second one
+* ridge regression (M2) is solved exactly from sufficient statistics, at every width. One aggregate gives the means; a second pass
   the products of the centred features and label, block by block as a matrix product, summed row by row of the matrix by
   Spark (grouped by fold when cross-validating). As the columns are centred before they are multiplied, years, keys and other
   columns far from zero lose no digits. ``(Xc'Xc + alpha I) b = Xc'yc`` is solved on the driver (a p x p system); every alpha
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -39,24 +40,57 @@ def moments(parts: list[tuple[Any, DataFrame, list[str]]], label: str) -> dict[A
     frames = []
     for k, (_, df, cols) in enumerate(parts):
         x = [_c(c).cast("double") for c in cols] + [F.lit(0.0)] * (width - len(cols)) + [_c(label).cast("double")]
-        frames.append(df.where(_c(label).isNotNull()).select(F.lit(k).alias("key"), F.array(*x).alias("x")))
-    rows = frames[0]
-    for fr in frames[1:]:
-        rows = rows.unionByName(fr)
+        frames.append(df.where(_c(label).isNotNull()).select(F.lit(k).alias("key"), *[v.alias(f"x{i}") for i, v in enumerate(x)]))
+    found = _centred(frames, width + 1)
+    out = {}
+    for k, (name, _, cols) in enumerate(parts):
+        if k not in found:
+            raise ValueError("there are no rows with a label to fit")
+        n, mean, xx = found[k]
+        keep = [*range(len(cols)), width]
+        out[name] = {"n": n, "mean": mean[keep], "xx": xx[np.ix_(keep, keep)]}
+    return out
+
+
+def group_moments(df: DataFrame, group: str, cols: list[str], label: str) -> dict[int, dict]:
+    """``moments`` of each group of the rows, by its number in the column ``group``: every row is read once a pass."""
+    x = [_c(c).cast("double") for c in [*cols, label]]
+    rows = df.where(_c(label).isNotNull()).select(_c(group).cast("int").alias("key"), *[v.alias(f"x{i}") for i, v in enumerate(x)])
+    return {k: {"n": n, "mean": mean, "xx": xx} for k, (n, mean, xx) in _centred([rows], len(x)).items()}
+
+
+def pooled(groups: list[dict]) -> dict:
+    """The moments of several groups together."""
+    if not groups:
+        raise ValueError("there are no rows with a label to fit")
+    n = sum(m["n"] for m in groups)
+    mean = sum(m["n"] * m["mean"] for m in groups) / n
+    return {"n": n, "mean": mean, "xx": sum(m["xx"] + m["n"] * np.outer(m["mean"] - mean, m["mean"] - mean) for m in groups)}
+
+
+def mapped(m: dict, weights: np.ndarray, constants: np.ndarray) -> dict:
+    """The moments of ``weights`` @ x + ``constants``."""
+    return {"n": m["n"], "mean": weights @ m["mean"] + constants, "xx": weights @ m["xx"] @ weights.T}
+
+
+def _centred(frames: list[DataFrame], width: int) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """Rows, means and centred products by key of the frames (key, x0, x1, ...). What is taken off before the products are
+    made need not be the exact mean, as the rest of it is taken off after: an average rounded to 40 bits, the same in whichever
+    order Spark adds it up."""
+    names = [f"x{i}" for i in range(width)]
+    rows = reduce(DataFrame.unionByName, [fr.select("key", F.array(*names).alias("x")) for fr in frames])
     ship(rows.sparkSession)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         for b in batches:
             if b.num_rows:
                 key, x = b.column(0).to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                for k in np.unique(key):
-                    yield int(k), x[key == k]
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for k, x in blocks(batches):
-            total[k] = total.get(k, 0) + np.append(x.sum(0), len(x))
-        yield _matrix_rows(total)
+                if (key == key[0]).all():
+                    yield int(key[0]), x
+                    continue
+                order = np.argsort(key, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+                    yield int(key[part[0]]), x[part]
 
     def summed(products: DataFrame) -> dict[tuple[int, int], np.ndarray]:
         def add(group: pa.Table) -> pa.Table:
@@ -64,8 +98,17 @@ def moments(parts: list[tuple[Any, DataFrame, list[str]]], label: str) -> dict[A
             return pa.table({"key": group["key"].slice(0, 1), "row": group["row"].slice(0, 1), "x": pa.array([x.tolist()], pa.list_(pa.float64()))})
         return {(r["key"], r["row"]): np.asarray(r["x"]) for r in products.groupBy("key", "row").applyInArrow(add, "key int, row int, x array<double>").toArrow().to_pylist()}
 
-    total = summed(rows.mapInArrow(sums, "key int, row int, x array<double>"))
-    means = {k: v[:-1] / v[-1] for (k, _), v in total.items()}
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for k, x in blocks(batches):
+            total[k] = total.get(k, 0) + np.append(x.sum(0), len(x))
+        yield _matrix_rows(total)
+
+    if width > WIDE:  # too many for one aggregate
+        means = {k: v[:-1] / v[-1] for (k, _), v in summed(rows.mapInArrow(sums, "key int, row int, x array<double>")).items()}
+    else:
+        near = [fr.groupBy("key").agg(F.array(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in names]).alias("x")) for fr in frames]
+        means = {r["key"]: _rounded(np.asarray(r["x"])) for r in reduce(DataFrame.unionByName, near).collect()}
     shared = rows.sparkSession.sparkContext.broadcast(means)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,17 +120,18 @@ def moments(parts: list[tuple[Any, DataFrame, list[str]]], label: str) -> dict[A
 
     got = summed(rows.mapInArrow(products, "key int, row int, x array<double>"))
     out = {}
-    for k, (name, _, cols) in enumerate(parts):
-        if k not in means:
-            raise ValueError("there are no rows with a label to fit")
-        z = np.stack([got[k, i] for i in range(width + 2)])
+    for k, mean in means.items():
+        z = np.stack([got[k, i] for i in range(width + 1)])
         n, rest = z[-1, -1], z[-1, :-1]
-        keep = [*range(len(cols)), width]
-        xx = (z[:-1, :-1] - np.outer(rest, rest) / n)[np.ix_(keep, keep)]  # what rounding left of the means goes
-        out[name] = {"n": int(n), "mean": (means[k] + rest / n)[keep], "xx": xx}
+        out[k] = (int(n), mean + rest / n, z[:-1, :-1] - np.outer(rest, rest) / n)  # what rounding left of the means goes
     return out
 
 
+def _rounded(x: np.ndarray) -> np.ndarray:
+    part, power = np.frexp(x)
+    return np.ldexp(np.round(part * 2.0 ** 40) / 2.0 ** 40, power)
+
+
 def _matrix_rows(total: dict[int, np.ndarray]) -> pa.RecordBatch:
     """Rows (key, row, x) of the matrices of each key."""
     rows = [(k, i, line.tolist()) for k, m in total.items() for i, line in enumerate(np.atleast_2d(m))]

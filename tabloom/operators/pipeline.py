@@ -205,8 +205,8 @@ def cross_validate(pipe: TabularPipeline, folded: DataFrame, k: int, fold_col: s
 
 def _ridge_cv(pipe: TabularPipeline, folded: DataFrame, k: int, fold_col: str, grid: list[dict],
               preps: list[PreparedFeatures]) -> list[dict]:
-    """Ridge CV for every alpha of the grid: per fold one sufficient-statistics
-    aggregate on its prepared training rows (all alphas solved from it), then a
+    """Ridge CV for every alpha of the grid: per fold the sufficient statistics
+    of its prepared training rows (all alphas solved from them), then a
     single pass that scores every row, for every alpha, with the model of the fold
     it validates (scalar CASE-by-fold expressions, kept inside codegen)."""
     from tabloom.operators.preparer import _pre_frame
@@ -216,9 +216,10 @@ def _ridge_cv(pipe: TabularPipeline, folded: DataFrame, k: int, fold_col: str, g
     pre = _pre_frame(pipe.plan, folded, {}, {}, keep=[fold_col, target])
     models = {}
     exprs = [prep.output_expressions() for prep in preps]
-    # every fold's training moments in one job: one aggregate branch per fold
-    moms = M.moments([(f, pre.where(fold != f).select(*exprs[f], F.col(target)), preps[f].output_names())
-                            for f in range(k)], target)
+    moms = _fold_moments(pre, preps, fold_col, target)
+    if moms is None:  # the folds' features differ in kind: one branch per fold, all in one job
+        moms = M.moments([(f, pre.where(fold != f).select(*exprs[f], F.col(target)), preps[f].output_names())
+                          for f in range(k)], target)
     for f in range(k):
         for t, a in enumerate(alphas):
             coef, b0 = M.ridge_solve(moms[f], a)
@@ -255,6 +256,38 @@ def _ridge_cv(pipe: TabularPipeline, folded: DataFrame, k: int, fold_col: str, g
     return rows
 
 
+def _fold_moments(pre: DataFrame, preps: list[PreparedFeatures], fold_col: str, target: str) -> dict[int, dict] | None:
+    """Per fold the moments of the other folds' rows as its own preparation makes them, with each row read for its own
+    fold only. The preparations differ in centre, scale and fill of numeric features, so each one's features are linear in those of
+    the first and in marks of missing values. None if they differ in more: in levels, or in which features have a fill."""
+    first, names = preps[0], preps[0].output_names()
+    numeric = [c for c in names if c in first.plan.numeric_features]
+    for p in preps[1:]:
+        if p.output_names() != names or p.categories != first.categories or p.fills.keys() != first.fills.keys():
+            return None
+        if any(p.fills[c] != v for c, v in first.fills.items() if c not in numeric):
+            return None
+    marked = [c for c in numeric if any(p.fills.get(c) != first.fills.get(c) for p in preps)]
+    basis = [e.alias(f"b{i}") for i, e in enumerate(first.output_expressions())]
+    basis += [F.col(f"`{c}`").isNull().cast("double").alias(f"b{len(names) + i}") for i, c in enumerate(marked)]
+    width = len(basis)
+    frame = pre.select(F.col(f"`{fold_col}`").alias("_group"), *basis, F.col(f"`{target}`").alias("_label"))
+    groups = M.group_moments(frame, "_group", [f"b{i}" for i in range(width)], "_label")
+    out = {}
+    for f, p in enumerate(preps):
+        weights, constants = np.zeros((len(names) + 1, width + 1)), np.zeros(len(names) + 1)
+        weights[-1, -1] = 1.0
+        for j, c in enumerate(names):
+            weights[j, j] = 1.0
+            if c in numeric:
+                (center, scale), (own, by) = first.scalers.get(c, (0.0, 1.0)), p.scalers.get(c, (0.0, 1.0))
+                weights[j, j], constants[j] = scale / by, (center - own) / by
+                if c in marked:
+                    weights[j, len(names) + marked.index(c)] = (p.fills[c] - first.fills[c]) / by
+        out[f] = M.mapped(M.pooled([m for g, m in groups.items() if g != f]), weights, constants)
+    return out
+
+
 def summarize_cv(rows: list[dict], task_type: str) -> dict[int, dict[str, float]]:
     """Mean over folds per trial (plus population std of each metric)."""
     out: dict[int, dict[str, float]] = {}

@@ -139,14 +139,7 @@ class PreparedFeatures:
 
     def required_columns(self) -> list[str]:
         """Raw input columns the preparation reads."""
-        plan = self.plan
-        cfg = plan.overrides or ov.empty()
-        derived = set(plan.derived_numeric_features)
-        parts = {f"{d}__{p}" for d in plan.date_features for p in ("year", "month", "day", "dayofweek")}
-        cols = [c for c in plan.numeric_features if c not in derived and c not in parts]
-        cols += list(plan.date_features) + list(plan.raw_categorical_features)
-        cols += [r["source"] for r in cfg.get(ov.DERIVED, []) if r["kind"] == "frequency_count"]
-        return list(dict.fromkeys(cols))
+        return required_columns(self.plan)
 
     def transform(self, df: DataFrame, keep: Sequence[str] = (), keep_prefix: str = "",
                   require_columns: bool = False) -> DataFrame:
@@ -241,6 +234,17 @@ class PreparedFeatures:
                                 {c: spark.read.parquet(f"{path}/levels/{k}") for k, c in enumerate(meta["level_sizes"])}, meta["level_sizes"])
 
 
+def required_columns(plan: FeaturePlan) -> list[str]:
+    """Raw input columns the preparation reads."""
+    cfg = plan.overrides or ov.empty()
+    derived = set(plan.derived_numeric_features)
+    parts = {f"{d}__{p}" for d in plan.date_features for p in ("year", "month", "day", "dayofweek")}
+    cols = [c for c in plan.numeric_features if c not in derived and c not in parts]
+    cols += list(plan.date_features) + list(plan.raw_categorical_features)
+    cols += [r["source"] for r in cfg.get(ov.DERIVED, []) if r["kind"] == "frequency_count"]
+    return list(dict.fromkeys(cols))
+
+
 def _typed(value, kind: str):
     """A level or fill as the Python value of a column of type ``kind``; what does not parse stays as it is."""
     if value is None or not isinstance(value, (str, int, float)) or kind == "string":

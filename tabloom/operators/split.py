@@ -20,7 +20,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.dates import order_micros
@@ -98,10 +98,17 @@ def fold_ends(n: int, k: int) -> list[int]:
     return [f * (n // k) + min(f, n % k) for f in range(1, k)]
 
 
+def fold_hash(key_cols: Sequence[str], seed: int = 42) -> Column:
+    """The order that ``assign_folds`` cuts."""
+    return row_hash(key_cols, f"fold:{seed}")
+
+
 def assign_folds(df: DataFrame, key_cols: Sequence[str], k: int, *, target: str | None = None,
-                 stratified: bool = False, seed: int = 42, fold_col: str = "fold") -> DataFrame:
-    """Add ``fold_col`` in [0, k)."""
-    d = df.withColumn("_h", row_hash(key_cols, f"fold:{seed}"))
+                 stratified: bool = False, seed: int = 42, fold_col: str = "fold", hash_col: str | None = None) -> DataFrame:
+    """Add ``fold_col`` in [0, k). ``hash_col``: a column of ``df`` that holds ``fold_hash`` already; it is dropped."""
+    d = df.withColumn("_h", fold_hash(key_cols, seed) if hash_col is None else F.col(hash_col))
+    if hash_col is not None:
+        df, d = df.drop(hash_col), d.drop(hash_col)
     by_class = stratified and target is not None
     sizes = dict(_class_counts(df, target)) if by_class else {None: df.count()}
     before, run = {}, 0
