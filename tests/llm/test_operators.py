@@ -439,6 +439,59 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in components.connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5}
 
 
+def test_components_read_fewer_edges_each_round(spark, monkeypatch):
+    """pipeline: edges within a tree are gone after the round that made it; every round used to read all of them."""
+    rng = random.Random(2)
+    near = [(h, 1000 + k) for k in range(400) for h in rng.sample(range(40), 3)] + [(k, k + 1) for k in range(3000, 3060)]
+    edges = spark.createDataFrame(near, "a long, b long")
+    sizes, plain = [], components.cut_lineage
+
+    def counted(df):
+        out = plain(df)
+        if out.columns == ["a", "b"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "cut_lineage", counted)
+    got = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
+    assert got == {x: (0 if x < 3000 else 3000) for e in near for x in e}
+    assert len(sizes) > 1 and sum(sizes[1:]) < sizes[0] / 2
+
+
+def test_suffix_dedup_takes_runs_without_python_objects():
+    """op3: lists of runs and their strings are flat arrays (they used to be a Python object each), with nulls and slices."""
+    import pyarrow as pa
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    lists = pa.array([[{"start": 9, "stop": 10}], None, [{"start": 1, "stop": 3}, {"start": 5, "stop": 6}], []], kind)
+    for part, rows, starts, stops in ((lists, [0, 2, 2], [9, 1, 5], [10, 3, 6]), (lists.slice(1, 3), [1, 1], [1, 5], [3, 6]), (lists.slice(1, 1), [], [], [])):
+        runs, k = suffix_dedup._flat(part)
+        start, stop = suffix_dedup._bounds(runs)
+        assert (k.tolist(), start.tolist(), stop.tolist()) == (rows, starts, stops)
+
+
+def test_anchors_equal_their_definition():
+    rng = np.random.RandomState(3)
+    for threshold in (20, 60):
+        w = suffix_dedup.window_of(threshold)
+        sizes = [0, 3, threshold - 1, threshold, 5 * threshold, 1, 2 * threshold]
+        offs = np.concatenate([[0], np.cumsum(sizes)])
+        buf = rng.randint(97, 100, offs[-1]).astype(np.uint8)
+        grams = np.ndarray(len(buf) - 7, "<u8", buf, strides=(1,))
+        rank = suffix_dedup.mix64(grams) >> np.uint64(32)
+        want = []
+        for d in range(len(sizes)):
+            for s in range(offs[d], offs[d + 1] - w - 6):
+                pick = min(range(s, s + w), key=lambda p: (rank[p], p))
+                if not want or want[-1][:2] != [pick, d]:
+                    want.append([pick, d, s, -1])
+                if s + threshold <= offs[d + 1]:
+                    want[-1][3] = s
+        at, doc, low, high, begin = suffix_dedup.anchors(buf, offs, threshold)
+        assert [[a, d] for a, d in zip(at, doc)] == [x[:2] for x in want]
+        assert [(lo, hi) for lo, hi in zip(low, high) if lo >= 0] == [(x[2], x[3]) for x in want if x[3] >= 0]
+        assert begin.tolist() == [sum(x[1] < d for x in want) for d in range(len(sizes) + 1)]
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     path = public_tokenizers.path("piece_bpe_32k.model")
