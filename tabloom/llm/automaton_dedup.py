@@ -10,8 +10,8 @@ with a shingle is the reference of all others that have it. The references are t
 the stretches of a document that hold windows of a shared shingle travel to that shingle's reference, where the suffix
 automaton of the reference gives their matching statistics, and the windows that end
 where at least ``min_words`` words match are removed. (The automata of all references together
-grow with the corpus, so they are not broadcast but joined, one automaton per reference and task;
-Spark can split a reference that very many documents ask for.) A window that its reference
+grow with the corpus, so they are not broadcast: a reference's text is sorted before the stretches that
+ask for it and travels once, or once more for every ``ASKS`` shingles that others share with it.) A window that its reference
 does not hold can only be shared with other documents of the same shingle that failed
 likewise; these few are matched among themselves by 96-bit fingerprints, streamed in order.
 
@@ -34,14 +34,15 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tabloom.llm.common import Fingerprints, chunks, cut_lineage, drop, keep, mix64, release, ship, word_spans
 
 SHINGLE = 4
+ASKS = 10_000
 U = np.uint64
 
 
-def _sequences(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
-    """Hash of the n words from each place on (places too near the end give what is there)."""
-    h = np.full(max(len(words) - n + 1, 0), salt, U)
+def _sequences(words: np.ndarray, n: int, salt: int = 0, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the n words from each place on where n words follow, or from the places ``at``."""
+    h = np.full(max(len(words) - n + 1, 0) if at is None else len(at), salt, U)
     for k in range(n):
-        h = mix64(h * U(0x9E3779B97F4A7C15) + words[k:k + len(h)])
+        h = mix64(h * U(0x9E3779B97F4A7C15) + (words[k:k + len(h)] if at is None else words[at + k]))
     return h
 
 
@@ -155,9 +156,10 @@ def _later(rows: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
 
 
 def _asked(texts: DataFrame, min_words: int) -> DataFrame:
-    """Rows (first, doc_id, low, windows, text): the stretches of a document's words that hold windows to be looked up
+    """Rows (first, part, doc_id, low, windows, text): the stretches of a document's words that hold windows to be looked up
     in the reference ``first``; ``low`` is the number of the stretch's first word, ``windows`` are window starts within it.
-    ``texts``: (doc_id, text, asked), ``asked`` a list of (key, first) in any order."""
+    ``texts``: (doc_id, text, asked), ``asked`` a list of (key, first, more) in any order; all that a document asks
+    of a reference goes to one ``part``, 0 to ``more``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in chunks(batches, "text"):
             starts, ends, doc = word_spans(buf, offs)
@@ -168,57 +170,68 @@ def _asked(texts: DataFrame, min_words: int) -> DataFrame:
             list_at = lists.offsets.to_numpy()
             wanted = lists.flatten().field("key").to_numpy(zero_copy_only=False).astype(np.int64).view(U)
             wanted_first = lists.flatten().field("first").to_numpy(zero_copy_only=False)
+            wanted_more = lists.flatten().field("more").to_numpy(zero_copy_only=False).astype(np.int64)
             ids = part.column(0).to_pylist()
+            dealt = mix64(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)) >> U(1)
             out: list[tuple] = []
             for row in range(part.num_rows):
                 a, b = list_at[row] - list_at[0], list_at[row + 1] - list_at[0]
                 order = np.argsort(wanted[a:b])
-                keys, firsts = wanted[a:b][order], wanted_first[a:b][order]
+                keys, firsts, mores = wanted[a:b][order], wanted_first[a:b][order], wanted_more[a:b][order]
                 own = slice(bounds[row], bounds[row + 1])
                 spot = np.minimum(np.searchsorted(keys, key[own]), len(keys) - 1)
                 hit = np.flatnonzero(keys[spot] == key[own])
                 if not len(hit):
                     continue
-                place, first = at[own][hit], firsts[spot[hit]]
+                place, first, more = at[own][hit], firsts[spot[hit]], mores[spot[hit]]
                 order = np.lexsort((place, first))
-                place, first = place[order], first[order]
+                place, first, more = place[order], first[order], more[order]
                 cuts = np.flatnonzero((np.diff(first) != 0) | (np.diff(place) > min_words)) + 1
                 for c, d in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)]):
                     low, high = int(place[c]), int(place[d - 1]) + min_words - 1
-                    out.append((int(first[c]), ids[row], low - int(doc[row]), (place[c:d] - low).astype(np.int32).tobytes(), body[starts[low]:ends[high]].decode()))
+                    out.append((int(first[c]), int(dealt[row]) % (int(more[c]) + 1), ids[row], low - int(doc[row]), (place[c:d] - low).astype(np.int32).tobytes(),
+                                body[starts[low]:ends[high]].decode()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()))],
-                                                 ["first", "doc_id", "low", "windows", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.string()))],
+                                                 ["first", "part", "doc_id", "low", "windows", "text"])
 
-    return texts.mapInArrow(run, "first bigint, doc_id bigint, low bigint, windows binary, text string")
+    return texts.mapInArrow(run, "first bigint, part int, doc_id bigint, low bigint, windows binary, text string")
 
 
 def _against_references(asked: DataFrame, min_words: int) -> DataFrame:
     """Rows (doc_id, start, stop, h1, h2): runs of window starts found in their reference (h1 null), and
-    single windows not found in it. ``asked``: rows of _asked with the text of their reference, a reference's rows together."""
+    single windows not found in it. ``asked``: rows of _asked, those of one (first, part) together and after their reference's
+    text, whose row has no doc_id (texts that share the reference's id are all looked in)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, automaton = None, None
+        now, references, automaton = None, [], None
         for part, buf, offs in chunks(batches, "text", 1 << 19):
             starts, ends, doc = word_spans(buf, offs)
             words = Fingerprints(buf).of(starts, ends)
-            h1, h2 = _sequences(words, min_words, 1), _sequences(words, min_words, 2)
-            firsts, ids, lows, lists = (part.column(k).to_pylist() for k in range(4))
+            firsts, parts, ids, lows, lists = (part.column(k).to_pylist() for k in range(5))
             out: list[tuple] = []
+            lost: list[tuple[int, int, int]] = []  # the document, the window's number there and its place in the chunk
             for row in range(part.num_rows):
-                if firsts[row] != now:
-                    now = firsts[row]
-                    ref = np.frombuffer((part.column(5)[row].as_py() or "").encode(), np.uint8)
-                    a, b, _ = word_spans(ref, np.array([0, len(ref)]))
-                    automaton = SuffixAutomaton(Fingerprints(ref).of(a, b).tolist())
-                place, base = np.frombuffer(lists[row], np.int32).astype(np.int64), int(doc[row])
-                stat = np.array(automaton.statistics(words[base:int(doc[row + 1])].tolist()))
+                base, own = int(doc[row]), words[doc[row]:doc[row + 1]].tolist()
+                if (firsts[row], parts[row]) != now:
+                    now, references, automaton = (firsts[row], parts[row]), [], None
+                if ids[row] is None:
+                    if own not in references:
+                        references.append(own)
+                    continue
+                if automaton is None:  # -1 is no word
+                    automaton = SuffixAutomaton([w for reference in references for w in (*reference, -1)])
+                place = np.frombuffer(lists[row], np.int32).astype(np.int64)
+                stat = np.array(automaton.statistics(own))
                 found = stat[place + min_words - 1] >= min_words
                 hit = place[found] + lows[row]
                 if len(hit):
                     for r in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
                         out.append((ids[row], int(r[0]), int(r[-1]) + 1, None, None))
-                for p in place[~found].tolist():
-                    out.append((ids[row], p + lows[row], p + lows[row] + 1, int(h1[base + p].view(np.int64)), int(h2[base + p] >> U(33))))
+                lost += [(ids[row], p + lows[row], p + base) for p in place[~found].tolist()]
+            if lost:
+                at = np.array([x[2] for x in lost])
+                h1, h2 = (_sequences(words, min_words, salt, at) for salt in (1, 2))
+                out += [(i, p, p + 1, a, b) for (i, p, _), a, b in zip(lost, h1.view(np.int64).tolist(), (h2 >> U(33)).tolist())]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))],
                                                  ["doc_id", "start", "stop", "h1", "h2"])
@@ -230,15 +243,19 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     """Rows (doc_id, runs): the starts of a document's removed windows as [start, stop) runs of word numbers."""
     docs = docs.where("doc_id is not null and text is not null")
     later = keep(_later(_shingles(docs, min_words), ["key"], []))
-    first = F.lit(None).cast("struct<key:bigint,first:bigint>")
-    roles = later.select("doc_id", F.struct("key", "first").alias("ask")).union(later.select("first").distinct().select("first", first))
-    roles = roles.groupBy("doc_id").agg(F.collect_set("ask").alias("asked"), F.max(F.col("ask").isNull()).alias("is_first"))  # at most a document's windows
+    wide = later.groupBy("first").agg((F.count(F.lit(1)) / ASKS).cast("int").alias("more")).where("more > 0")  # a row for ASKS shared shingles at most
+    firsts = later.join(F.broadcast(wide), "first", "left").select("key", "doc_id", "first", F.coalesce("more", F.lit(0)).alias("more"))
+    no_ask = F.lit(None).cast("struct<key:bigint,first:bigint,more:int>")
+    roles = firsts.select("doc_id", F.struct("key", "first", "more").alias("ask"), F.lit(None).cast("int").alias("copies")).union(
+        firsts.select("first", "more").distinct().select("first", no_ask, "more"))
+    roles = roles.groupBy("doc_id").agg(F.collect_set("ask").alias("asked"), F.max("copies").alias("copies"))  # at most a document's windows
     release(docs.sparkSession)
-    texts = keep(docs.join(roles, "doc_id").select("doc_id", "text", "asked", "is_first"))  # the only shuffle of whole texts by their own id
+    texts = keep(docs.join(roles, "doc_id").select("doc_id", "text", "asked", "copies"))  # the only shuffle of whole texts by their own id
     drop(later)
-    references = texts.where("is_first").select(F.col("doc_id").alias("first"), F.col("text").alias("reference"))
     asked = _asked(texts.where(F.size("asked") > 0).select("doc_id", "text", "asked"), min_words)
-    asked = asked.join(references, "first").select(*asked.columns, "reference")
+    references = texts.where("copies is not null").select(F.col("doc_id").alias("first"), F.explode(F.sequence(F.lit(0), "copies")).alias("part"), "text")
+    asked = asked.unionByName(references, allowMissingColumns=True)  # references without a doc_id, so they come first
+    asked = asked.repartition("first", "part").sortWithinPartitions("first", "part", "doc_id")
     found = cut_lineage(_against_references(asked, min_words))
     drop(texts)
     among = _later(found.where("h1 is not null"), ["h1", "h2"], ["start", "stop"])

@@ -138,6 +138,35 @@ def test_automaton_dedup_equals_brute_force(docs, data):
     assert collected(got, "doc_id", "text", "n_words", "n_removed") == sorted(want, key=repr)
 
 
+def test_automaton_dedup_sends_a_reference_once(spark, monkeypatch):
+    rng = random.Random(5)
+    long = [f"w{rng.randint(0, 10 ** 6)}" for _ in range(3000)]
+    own = lambda k: " ".join(f"d{k}n{j}" for j in range(10))
+    rows = [(0, " ".join(long))] + [(k, f"{own(k)} {' '.join(long[30 * k:30 * k + 13 + k % 3])} {own(-k)}") for k in range(1, 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    real, sent = automaton_dedup._against_references, []
+
+    def spy(asked, min_words):
+        sent.append(asked.agg(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in asked.dtypes if kind == "string"))).first()[0])
+        return real(asked, min_words)
+
+    monkeypatch.setattr(automaton_dedup, "_against_references", spy)
+    want = [0] + [13 + k % 3 for k in range(1, 90)]
+    for asks, most in ((10_000, 2), (20, 30)):
+        monkeypatch.setattr(automaton_dedup, "ASKS", asks, raising=False)
+        got = automaton_dedup.remove_repeats(docs, 13).select("doc_id", "n_removed").collect()
+        assert [n for _, n in sorted(tuple(r) for r in got)] == want
+        assert sent.pop() < most * len(rows[0][1])
+
+
+def test_automaton_dedup_looks_in_all_texts_of_the_reference(spark):
+    one, two = (" ".join(f"{c}{j}" for j in range(30)) for c in "ab")
+    rows = [(3, f"{one} x"), (3, f"{two} y"), (5, f"{two} z"), (6, f"u {one}"), (7, f"v {' '.join(two.split()[:20])}")]
+    for texts in (rows, rows[::-1]):
+        got = automaton_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), 13)
+        assert collected(got, "doc_id", "n_removed") == [(3, 0), (3, 0), (5, 30), (6, 30), (7, 20)]
+
+
 def test_suffix_automaton_statistics():
     rng = random.Random(1)
     for _ in range(200):
