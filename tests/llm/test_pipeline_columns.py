@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tabloom.llm import embed_join
 
@@ -35,3 +38,21 @@ def test_embeddings_that_share_an_id(spark):
     rows = [(1, near(1, 0), 0), (1, near(0, 1), 0), (2, near(1, 0.01), 0), (3, near(0.01, 1), 0), (4, near(-1, 0), 0), (4, near(-1, 0), 0)]
     got = embed_join.range_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 4), (4, 1, 4)]
+
+
+def test_stages_bound_arrow_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    docs = spark.createDataFrame([(1, "a text", "en", 6)], "doc_id long, text string, lang string, n_chars long")
+    large = spark.range(0, 24, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    try:
+        spark.conf.unset(corpus_pipeline.BATCH)
+        assert corpus_pipeline.benchmark_leaks(spark, docs, SF).count() == 1
+        assert max(r["n"] for r in large.mapInArrow(sizes, "n long").collect()) < 6 << 20
+        spark.conf.set(corpus_pipeline.BATCH, "9m")  # the session's own choice stays
+        corpus_pipeline.benchmark_leaks(spark, docs, SF)
+        assert spark.conf.getAll[corpus_pipeline.BATCH] in ("9m", f"{9 << 20}b")
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCH)
