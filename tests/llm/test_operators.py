@@ -84,6 +84,21 @@ def test_suffix_dedup_equals_brute_force(docs, data):
     assert [(a, b, c, d, bytes(e)) for a, b, c, d, e in collected(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept")] == sorted(want, key=repr)
 
 
+def test_suffix_dedup_finds_strings_with_few_phrases_at_a_texts_end(spark):
+    """Copies whose last strings have only four or five phrases after their anchor lost bytes of those strings."""
+    threshold, n = 60, 20000
+    letters = np.random.RandomState(1).randint(97, 123, n * threshold).astype(np.uint8)
+    begin = suffix_dedup.anchors(letters, np.arange(n + 1) * threshold, threshold)[-1]
+    few = np.flatnonzero(np.diff(begin) - 1 < suffix_dedup.PHRASES + 2)
+    assert len(few) > 20
+    alone = [letters[k * threshold:(k + 1) * threshold].tobytes().decode() for k in few]
+    long = [letters[k * threshold:(k + 3) * threshold].tobytes().decode() for k in few[:20] - 2]  # few phrases behind many
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate((alone + long) * 2)], "doc_id long, text string").repartition(3)
+    got = suffix_dedup.remove_repeats(docs, threshold).collect()
+    assert len(got) == 2 * len(alone + long)
+    assert [r["doc_id"] for r in got if r["n_removed"] != r["n_bytes"] or r["kept"]] == []
+
+
 def test_parity_join_equals_brute_force(docs, data):
     for n, percent in ((3, 90), (5, 80), (2, 50)):
         sets = {}
