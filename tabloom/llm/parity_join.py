@@ -14,12 +14,21 @@ documents' keys the untouched one that ranks higher is a key of both, since the
 depends on a block's content alone. So linked sets share a (family, block, XOR) key: the pigeonhole join. The
 rows of a key are streamed in order, each joined with the key's first document only, so no
 group is held in memory or expanded into pairs; clusters of candidates are the components
-of these edges.
+of these edges. Keys are made and streamed in ``WAVES`` waves, by the key's hash, each from the texts.
+
+A block of few shingles that many documents hold (a common line) makes one cluster of documents that have little else in common,
+and it grows faster than the table. So clusters of more than ``MIN_BLOCK`` documents are divided again: their
+shingles are put in order of the number of their sets that hold them, the rarest first. Linked sets have a shingle in common
+among the first n - ceil(percent * n / 100) + 1 of each (the prefix filter, exact in any order that is the same for all),
+so only documents that share one of these stay candidates, and the components of their edges are the clusters.
 
 Within a cluster documents are compared in blocks of bounded size. A pair is first tested by parity sketches of
 ``SKETCH_BITS`` bits, whose Hamming distance is a lower bound of the symmetric difference; what
 remains is verified on the sets of shingle hashes unless it is connected already. A block
-reports a spanning forest of its links only.
+reports a spanning forest of its links only. A cluster of several blocks is compared block by block first, with about ``HUBS``
+documents of it in every block, which connect the blocks' groups. Only what is left then is compared across blocks: the documents outside the
+cluster's largest group with each other and with that group, whose own pairs are connected. A cluster that hangs together is thus
+dealt about once, however large it is.
 
 Null and empty texts have an empty set. Rows that share an id are one document whose links
 are those of all its rows. A row with a null id is returned with a null component and links
@@ -28,19 +37,21 @@ with nothing. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import Fingerprints, binary_column, chunks, cut_lineage, drop, keep, mix64, release, ship, word_spans
 from tabloom.llm.components import connected_components
 
 SKETCH_BITS = 1024
-MIN_BLOCK, MAX_BLOCK, BLOCKS = 128, 2048, 16
+MIN_BLOCK, MAX_BLOCK, BLOCKS, HUBS = 128, 2048, 16, 16
+WAVES = 2
 U = np.uint64
 
 
@@ -125,15 +136,16 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint")
 
 
-def _keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Rows (key, doc_id): the keys of each document's families. They are made where the texts are and go straight into the
-    shuffle by key: a table of them would be larger than the texts."""
+def _keys(docs: DataFrame, n: int, percent: int, wave: int) -> DataFrame:
+    """Rows (key, doc_id): the keys of each document's families that belong to one of ``WAVES`` waves. They are made where the texts are and
+    go straight into the shuffle by key: a table of them would be larger than the texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in chunks(batches, "text", lower=True):
             keys, counts = _family_keys(*shingle_sets(buf, offs, n), percent)
-            if len(keys):
+            now = keys % U(WAVES) == U(wave)
+            if now.any():
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids)], ["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[now].view(np.int64)), pa.array(ids[now])], ["key", "doc_id"])
 
     return docs.mapInArrow(run, "key bigint, doc_id bigint")
 
@@ -176,14 +188,15 @@ def _sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(-1, SKETCH_BITS), axis=1, bitorder="little").view(U).reshape(-1, words)
 
 
-def _forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def _forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among the sets: of the pairs across the two sides (0 and 1),
-    or of all pairs if every side is 0."""
+    or of all pairs if every side is 0. Those of one component are connected already."""
     size = np.array([len(s) for s in sets])
     sketch = _sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]))
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1) if side.any() else left
-    root = list(range(len(ids)))
+    _, first, label = np.unique(component, return_index=True, return_inverse=True)
+    root = first[label].tolist()
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -199,6 +212,8 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent:
             distance += np.bitwise_count(sketch[rows, w][:, None] ^ sketch[right, w])
         total = size[rows][:, None] + size[right]
         near = (distance <= total * (100 - percent) // (100 + percent)) & (np.abs(size[rows][:, None] - size[right]) <= total * (100 - percent) // (100 + percent))
+        roots = np.array([find(x) for x in range(len(ids))])
+        near &= roots[rows][:, None] != roots[right]
         for i, j in np.argwhere(near).tolist():
             a, b = int(rows[i]), int(right[j])
             if a == b or (x := find(a)) == (y := find(b)):
@@ -210,36 +225,93 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent:
     return out
 
 
+def _compared(dealt: DataFrame, percent: int) -> DataFrame:
+    """Forest edges (a, b) of the pairs of blocks i and j of every cluster; ``dealt``: (cluster, i, j, block, doc_id, component, members)."""
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id", kind="stable")
+        values = [np.frombuffer(b, U) for b in pdf["members"]]
+        side = (pdf["block"].to_numpy() != key[1]).astype(int)
+        ids, component = pdf["doc_id"].to_numpy(np.int64), pdf["component"].to_numpy(np.int64)
+        edges = _forest(ids, values, side, component, percent) if key[1] == key[2] or (side.any() and not side.all()) else []
+        return pd.DataFrame(edges, columns=["a", "b"]).astype(np.int64)
+
+    return dealt.groupBy("cluster", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+
+
+def _rare(full: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, doc_id): of each set the shingles that are among the first n - ceil(percent * n / 100) + 1 in the order of the
+    number of the cluster's sets that hold them (then by hash), without those that no other set holds. A key is a shingle of a cluster.
+    ``full``: (row, doc_id, cluster, members), ``row`` being a number of its own for each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, buf, offs in chunks(batches, "members"):
+            row, doc, cluster = (part.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            counts = offs // 8
+            counts = counts[1:] - counts[:-1]
+            key = mix64(buf.view(U) ^ np.repeat(mix64(cluster.view(U)), counts))
+            least = -(-percent * counts // 100)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(np.repeat(x, counts)) for x in (row, doc, least))], ["key", "row", "doc_id", "least"])
+
+    shingles = full.select("row", "doc_id", "cluster", "members").mapInArrow(run, "key bigint, row bigint, doc_id bigint, least bigint")
+    shared = shingles.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("sets > 1")
+    row = Window.partitionBy("row")
+    # those that no other set holds come before all others, so of the shared ones so many fewer are among the first
+    placed = shared.withColumn("place", F.row_number().over(row.orderBy("sets", "key"))).withColumn("shared", F.count(F.lit(1)).over(row))
+    return placed.where("place <= shared - least + 1").select("key", "doc_id")
+
+
+def _block(number: Column | str) -> Column:
+    """A document's block, of so many."""
+    return F.pmod(F.xxhash64("doc_id"), number).cast("int")
+
+
 def _links(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Forest edges (a, b) within the clusters; ``members``: (doc_id, cluster, n_shingles)."""
+    """Forest edges (a, b) within the clusters; ``members``: (doc_id, cluster)."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in chunks(batches, "text", lower=True):
             h, at = shingle_sets(buf, offs, n)
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], binary_column(h, np.diff(at))], ["doc_id", "cluster", "n_shingles", "members"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], binary_column(h, np.diff(at))], ["doc_id", "cluster", "rows", "members"])
 
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
     # members grow with the documents, so both sides are shuffled at every size
-    texts = docs.join(members.hint("merge"), "doc_id").select("doc_id", "cluster", "n_shingles", "text")
-    full = keep(texts.mapInArrow(sets, "doc_id bigint, cluster bigint, n_shingles bigint, members binary"))
+    texts = docs.join(members.join(sizes, "cluster").hint("merge"), "doc_id").select("doc_id", "cluster", "rows", "text")
+    full = keep(texts.mapInArrow(sets, "doc_id bigint, cluster bigint, rows bigint, members binary").withColumn("row", F.monotonically_increasing_id()))
+    release(docs.sparkSession)
+    small, large = full.where(F.col("rows") <= MIN_BLOCK), full.where(F.col("rows") > MIN_BLOCK)
+    one = F.lit(0)
+    whole = small.select("cluster", one.alias("i"), one.alias("j"), one.alias("block"), "doc_id", F.col("doc_id").alias("component"), "members")
+    if large.isEmpty():
+        out = keep(_compared(whole, percent))
+        drop(full)
+        return out
+
+    nodes = connected_components(cut_lineage(_stars(_rare(large, percent)))).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     size = F.least(F.greatest(F.ceil(F.col("rows") / BLOCKS), F.lit(MIN_BLOCK)), F.lit(MAX_BLOCK))
-    blocks = members.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("rows") / size).cast("int"))
-    small = blocks.where("blocks = 1").select("doc_id", "cluster", F.lit(0).alias("block"), F.lit(1).alias("blocks"))
-    large = blocks.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).select("doc_id", "cluster", "block", "blocks")
-    dealt = full.join(small.unionByName(large), ["doc_id", "cluster"])
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
-        F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))).alias("pair")
-    dealt = dealt.select("doc_id", "cluster", "block", "members", pair).select("cluster", "pair.i", "pair.j", "block", "doc_id", "members")
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable")
-        values = [np.frombuffer(b, U) for b in pdf["members"]]
-        side = (pdf["block"].to_numpy() != key[1]).astype(int)
-        edges = _forest(pdf["doc_id"].to_numpy(np.int64), values, side, percent) if key[1] == key[2] or (side.any() and not side.all()) else []
-        return pd.DataFrame(edges, columns=["a", "b"]).astype(np.int64)
+    sizes = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
+    parts = cut_lineage(nodes.join(sizes, "cluster").withColumn("size", size).withColumn("blocks", F.ceil(F.col("rows") / F.col("size")).cast("int")))
+    hub = F.pmod(F.xxhash64("doc_id", F.lit(1)), "rows") < HUBS
+    spread = F.explode(F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_block("blocks")))).alias("i")
+    large = large.select("doc_id", "members")
+    own = large.join(parts, "doc_id").select("cluster", "doc_id", "members", spread)
+    own = own.select("cluster", "i", F.col("i").alias("j"), F.col("i").alias("block"), "doc_id", F.col("doc_id").alias("component"), "members")
+    within = keep(_compared(whole.unionByName(own), percent))
+    release(docs.sparkSession)
 
-    out = keep(dealt.groupBy("cluster", "i", "j").applyInPandas(compare, "a bigint, b bigint"))
+    parts = parts.where("blocks > 1")
+    groups = connected_components(within.join(parts.select(F.col("doc_id").alias("a")), "a").select("a", "b"))
+    parts = parts.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    counts = parts.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("docs"))
+    most = counts.groupBy("cluster").agg(F.max(F.struct("docs", "component")).alias("most"), (F.sum("docs") - F.max("docs")).alias("others")).where("others > 0")
+    parts = parts.join(most, "cluster").withColumn("other_blocks", F.ceil(F.col("others") / F.col("size")).cast("int"))
+    parts = parts.withColumn("most_blocks", F.ceil(F.col("most.docs") / F.col("size")).cast("int")).withColumn("in_most", F.col("component") == F.col("most.component"))
+    block = F.when(F.col("in_most"), F.col("other_blocks") + _block("most_blocks")).otherwise(_block("other_blocks"))
+    against = F.when(F.col("in_most"), F.col("other_blocks")).otherwise(F.col("other_blocks") + F.col("most_blocks"))
+    apart = cut_lineage(parts.select("doc_id", "cluster", "component", block.alias("block"), against.alias("against")))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("against") - 1), lambda o: F.struct(
+        F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))).alias("pair")
+    dealt = large.join(apart, "doc_id").select("cluster", "block", "doc_id", "component", "members", pair)
+    across = keep(_compared(dealt.select("cluster", "pair.i", "pair.j", "block", "doc_id", "component", "members"), percent))
     drop(full)
-    return out
+    return within.unionByName(across)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,13 +322,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     sets = rows.where("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "h1", "h2"]
     classes = cut_lineage(sets.groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    reps = docs.join(classes.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
-    stars = cut_lineage(_stars(_keys(reps, n, percent)))
+    reps = keep(docs.join(classes.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "zstd")
     release(docs.sparkSession)
-    clusters = connected_components(stars)
-    shapes = classes.select(F.col("rep").alias("doc_id"), "n_shingles").distinct()
-    members = cut_lineage(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(shapes, "doc_id"))
-    links = _links(members, docs, n, percent)
+    stars = []
+    for wave in range(WAVES):  # keys take more room than the texts, so only a part of them lies in shuffle files at a time
+        stars.append(cut_lineage(_stars(_keys(reps, n, percent, wave))))
+        release(docs.sparkSession)
+    clusters = connected_components(functools.reduce(DataFrame.unionByName, stars))
+    links = _links(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), reps, n, percent)
+    drop(reps)
     component = connected_components(links)
     known = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     with_set = rows.where("n_shingles > 0 and doc_id is not null").join(known, same).select("doc_id", "n_shingles", "component_id")
